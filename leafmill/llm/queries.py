@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, packing, quality, toxicity, warc, wordpiece
+from leafmill.llm import mixing, neardup, packing, quality, toxicity, warc, wordpiece
 from leafmill.llm.common import fold, table, word_count
 
 
@@ -37,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
@@ -80,6 +85,22 @@ k AS (SELECT d.doc_id, size, source_size, target, floor(target / source_size) AS
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE size * (epochs + CASE WHEN before < rest AND before + size / 2 <= rest THEN 1 ELSE 0 END) END::BIGINT AS taken
 FROM k
+""",
+    "op8_near_duplicates": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS v, a AS l FROM u UNION SELECT u.b, r.l FROM r JOIN u ON u.a = r.v),
+c AS (SELECT v, min(l) AS l FROM r GROUP BY v)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.l, n.doc_id) AS component_id, n.doc_id = coalesce(c.l, n.doc_id) AS kept
+FROM n LEFT JOIN c ON c.v = n.doc_id
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
