@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, neardup, packing, quality, suffixdedup, toxicity, warc, wordpiece
+from leafmill.llm import decontaminate, mixing, neardup, packing, quality, suffixdedup, toxicity, warc, wordpiece
 from leafmill.llm.common import fold, table, word_count
 
 
@@ -34,6 +34,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, weights), held_out)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_shingles", "shared", "containment")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's weight is 2 where ``labels`` calls its quality good, 0.5 where not good, 1 where it says nothing."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
@@ -71,6 +77,14 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_decontamination": """
+WITH t AS (SELECT DISTINCT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, text, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT kind, id, text, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS x FROM w WHERE len(w) >= 5),
+q AS (SELECT id, count(*)::BIGINT AS q FROM s WHERE kind = 1 GROUP BY id),
+h AS (SELECT d.id AS doc_id, d.text, i.id AS item_id, count(*)::BIGINT AS shared FROM s d JOIN s i ON d.x = i.x AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
+SELECT doc_id, item_id, q AS item_shingles, shared, shared / q AS containment FROM h JOIN q ON q.id = h.item_id WHERE shared >= 0.8 * q
+""",
     "op7_mixing": """
 WITH q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (
