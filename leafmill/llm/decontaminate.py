@@ -13,17 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, words_column
+from leafmill.llm.common import cut, fresh, small, words_column
 
 COORDINATES = 32
 #: Coordinates for documents of under 64 shingles, and as many more for each fourfold size.
 FIRST, MORE = 12, 4
-#: Signatures, or candidates, of at most so many rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _shingles(words: Column, n: Column, width: int) -> Column:
@@ -64,7 +58,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shin
     words = rows.select("doc_id", "th", words_column(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     fourfold = F.floor(F.log(F.greatest(F.col("n"), F.lit(64)) / 64.0) / F.log(F.lit(4.0))).cast("int")
     words = words.withColumn("used", F.least(F.lit(COORDINATES), FIRST + MORE * fourfold))
-    wanted = _small(signature)
+    wanted = small(signature)
     hits = None
     for width in widths:
         x = words.select("doc_id", "th", "n", "used", _shingles(F.col("w"), F.col("n"), width).alias("r"))
@@ -81,12 +75,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shin
     pair = candidates.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "item_id")
     whole = texts.select("item_id", "width", F.col("x").alias("y"))
     keys = candidates.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    own = words.join(_small(keys), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
+    own = words.join(small(keys), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left_semi")
     exact = None
     for width in widths:
         x = own.select("doc_id", "th", _shingles(F.col("w"), F.col("n"), width).alias("r"))
         x = x.select("doc_id", "th", F.concat_ws(" ", *[f"r.w{k}" for k in range(width)]).alias("x"))
-        x = x.join(_small(whole.filter(F.col("width") == width)), F.col("x") == F.col("y")).select("doc_id", "th", "item_id", "x")
+        x = x.join(small(whole.filter(F.col("width") == width)), F.col("x") == F.col("y")).select("doc_id", "th", "item_id", "x")
         exact = x if exact is None else exact.union(x)
     shared = exact.join(pair.withColumnRenamed("item_id", "_i"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & F.col("item_id").eqNullSafe(F.col("_i")), "left_semi")
     shared = shared.distinct().groupBy("doc_id", "th", "item_id").agg(F.count("*").alias("shared"))
@@ -98,5 +92,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shin
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item; rows of null or empty text stay."""
     found = contaminated(docs.select("doc_id", "text"), items, threshold, shingle)
-    bad = cut(found.select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_text")).distinct())
-    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_text")), "left_anti")
+    key, text = fresh(docs, "_bad_id"), fresh(docs, "_bad_text")
+    bad = cut(found.select(F.col("doc_id").alias(key), F.col("th").alias(text)).distinct())
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_anti")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import fresh, word_count
+
 #: A source's keys fall in so many ranges; only one of them is ever sorted by row.
 RANGES = 4096
 
@@ -51,9 +53,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: float = 3) -> DataFrame:
-    """``doc_id, source, size, weight`` to ``doc_id, source, size, source_size, target, taken``, a row for each row.
+    """``doc_id, source, size, weight`` to ``doc_id, source, size, source_size, target, copies, taken``, a row for each row.
 
-    ``taken``: words that the mix takes of the document, a multiple of its size. The document in which the budget ends
+    ``copies``: how often the mix takes the document; ``taken``: its words times that. The document in which the budget ends
     is taken if that brings the sum nearer. Null or non-positive weights: never before others, key infinite. Null size
     counts as 0. Ties of keys go to the smaller doc_id; repeated rows of one id and size are taken together when
     they tie inside the last range. An empty table gives an empty result. Other columns are dropped.
@@ -80,5 +82,27 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_ep
     last = rows.filter("_ends").withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     last = last.withColumn("_more", F.col("_sum") + F.col("size") / 2 <= F.col("_rest")).drop("_sum")
     out = whole.unionByName(last)
-    taken = F.col("size") * (F.col("_epochs") + F.when(F.col("_more"), 1).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    copies = (F.col("_epochs") + F.when(F.col("_more"), 1).otherwise(0)).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``weight``: 2 where a label calls its quality good, 0.5 where not good, 1 where none is known."""
+    key, good = fresh(docs, "_id"), fresh(docs, "_q")
+    known = labels.groupBy(F.col("doc_id").alias(key)).agg(F.max("quality").alias(good))
+    weight = F.when(F.col(good) >= 1, 2.0).when(F.col(good) < 1, 0.5).otherwise(1.0)
+    return docs.join(known, F.col("doc_id") == F.col(key), "left").withColumn("weight", weight).drop(key, good)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: float = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows are known by a hash of id, source and text; rows equal in these are taken equally often.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    sizes = quality_weight(docs.select("doc_id", "source", row.alias("row"), word_count(F.col("text")).alias("size")), labels)
+    plan = mix_sources(sizes.select(F.col("row").alias("doc_id"), "source", "size", "weight"), weights, most_epochs)
+    key, n = fresh(docs, "_row"), fresh(docs, "_copies")
+    plan = plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n)).filter(F.col(n) > 0)
+    taken = docs.join(plan, row == F.col(key)).withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n))))
+    return taken.select(*[f"`{c}`" for c in docs.columns])

@@ -22,15 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, mix, shingles, word_hashes
+from leafmill.llm.common import cut, fresh, mix, shingles, small, word_hashes
 
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Members outside the largest component that a bucket compares with all others in a round; doubled in each round.
 HUBS = 8
-#: Candidates of at most so many ids are broadcast to fetch their texts; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 _SEEDS = mix(np.arange(2 * COORDINATES, dtype=np.uint64), 11)
 
 
@@ -135,10 +133,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     members = cut(cells.join(shared.select("h", "hub"), "h"))
 
     ids = cut(members.select(F.col("rep").alias("id")).distinct())
-    near = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = classes.select(F.col("rep").alias("id"), F.col("th").alias("_th")).join(ids, "id", "left_semi")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_t"))
-    rows = rows.join(F.broadcast(wanted) if near else wanted, (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("_th")))
+    rows = rows.join(small(cut(wanted)), (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("_th")))
     texts = cut(rows.groupBy("id", "_t").agg(F.first("text").alias("text")).select("id", "text"))
 
     alike = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
@@ -176,3 +173,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     out = s.select("doc_id", "n", "key").join(name, F.col("key") == F.col("_key"), "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest id of each group; of rows that repeat that id, one.
+
+    Rows without an id, or without words, all stay.
+    """
+    found = cut(near_duplicates(docs.select("doc_id", "text"), percent, shingle))
+    key = fresh(docs, "_other")
+    other = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    kept = docs.join(small(other), F.col("doc_id") == F.col(key), "left_anti")
+    again = cut(found.filter("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().filter("count > 1").select(key))
+    if not again.limit(1).count():
+        return kept
+    again = small(again)
+    once = kept.join(again, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col(key), "left_anti").unionByName(once)

@@ -12,9 +12,10 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from leafmill.llm import linear
-from leafmill.llm.common import CACHED_WORDS, mix, pieces
+from leafmill.llm.common import CACHED_WORDS, fresh, mix, pieces
 
 BITS = 18
 EPOCHS = 4
@@ -86,3 +87,9 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
         return linear.sigmoid(float(held.value[at] @ x))
 
     return linear.add_scores(docs, one, column)
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``."""
+    column = fresh(docs, "_score")
+    return score(docs, weights, column).filter(F.col(column) >= least).drop(column)

@@ -44,11 +44,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's weight is 2 where ``labels`` calls its quality good, 0.5 where not good, 1 where it says nothing."""
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_q"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    weight = F.when(F.col("_q") >= 1, 2.0).when(F.col("_q") < 1, 0.5).otherwise(1.0)
-    docs = docs.join(labels, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "source", "size", weight.alias("weight"))
+    docs = mixing.quality_weight(docs, table(spark, sf_dir, "labels"))
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
