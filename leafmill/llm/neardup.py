@@ -7,9 +7,10 @@ similarity. Sketches are cut into bands; documents that agree in a band are cand
 confirmed on their full shingle sets.
 
 Rows with equal sets form a class, of which only the smallest id goes on. In a band's bucket first all members are
-compared with one, and components are formed; a bucket that still holds several components then compares each member
-outside its largest component with the members of other components. So no link between components is left out, and a
-bucket of copies costs as many pairs as it has members.
+compared with one, and components are formed; a bucket that still holds several components compares its most central
+member with the others, and then each member outside its largest component with the members of other components. Pairs
+whose sets cannot share enough, because too much of them no other member of such buckets holds, are not compared. So no
+link between components is left out, and a bucket of copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -98,6 +99,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = 5
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shared_shingles(texts: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
+    """``id, alone``: how many shingles of each id no other id of ``ids`` holds.
+
+    Shingles are known by 32 bits here: two of one hash count as one that is shared, so that ``alone`` is never too large.
+    Tasks gather what their own rows share before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingles(word_hashes(t.as_py()), shingle) >> np.uint64(32)).astype(np.uint32)) for t in batch.column(1)]
+            h = np.concatenate([np.empty(0, np.uint32), *sets])
+            who = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            # of several owners in a batch two are enough to show that a shingle is shared
+            many = h[n > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, many]).view(np.int32)), pa.array(np.concatenate([who[first], np.full(len(many), -1)]).astype(np.int64))], names=["h", "id"])
+
+    rows = texts.join(small(cut(ids)), "id", "left_semi").select("id", "text")
+    owners = rows.mapInArrow(run, "h int, id long")
+    alone = owners.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = rows.select("id", F.lit(0).alias("z"))
+    return sizes.join(alone.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v, label`` of every vertex of the edges ``a, b``: the smallest vertex that it can reach.
 
@@ -148,26 +173,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     several = used.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").select("doc_id")
     same = used.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
     edges = cut(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
-    tested, hubs, open_ = first, HUBS, members.select("h", "rep", "n")
     labels = components(edges)
+    known = labels.select(F.col("v").alias("rep"), "label")
+    m = members.select("h", "rep", "n").join(known, "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    mixed = m.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("h")
+    open_ = cut(m.join(mixed, "h", "left_semi").select("h", "rep", "n"))
+    # an intersection is at most what other members of these buckets hold of a set
+    held = shared_shingles(texts, open_.select(F.col("rep").alias("id")).distinct(), shingle)
+    open_ = cut(open_.join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", (F.col("n") - F.col("alone")).alias("most")))
+    tested, hubs = first, 0
     while True:
         known = labels.select(F.col("v").alias("rep"), "label")
-        m = open_.join(known, "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        m = open_.join(known, "rep", "left").select("h", "rep", "n", "most", F.coalesce("label", "rep").alias("label"))
         groups = m.groupBy("h", "label").agg(F.count("*").alias("c"))
-        mixed = groups.groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("k")).filter("k > 1")
-        m = cut(m.join(mixed.select("h", F.col("most.label").alias("major"), (F.col("size") - F.col("most.c")).alias("rest")), "h"))
+        mixed = groups.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("k")).filter("k > 1")
+        m = cut(m.join(mixed.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), "h"))
         if not m.limit(1).count():
             break
-        pick = F.pmod(F.xxhash64("h", "rep", F.lit(hubs)), F.col("rest")) < hubs
-        hub = m.filter((F.col("label") != F.col("major")) & pick).select("h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        pairs = cut(ordered(m.join(hub, "h").filter("label <> label2")).join(tested, ["a", "b"], "left_anti"))
+        if hubs:
+            pick = F.pmod(F.xxhash64("h", "rep", F.lit(hubs)), F.col("rest")) < hubs
+            hub = m.filter((F.col("label") != F.col("major")) & pick)
+        else:
+            # first the member with the fewest shingles of its own, which copies of one text have in common
+            central = m.groupBy("h").agg(F.max(F.struct(F.col("most") / F.col("n"), "rep")).alias("x")).select("h", F.col("x.rep").alias("rep"))
+            hub = m.join(central, ["h", "rep"], "left_semi")
+        hub = hub.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("label").alias("label2"))
+        bound = F.least("most", "most2")
+        can = F.lit(100) * bound >= F.lit(percent) * (F.col("n") + F.col("n2") - bound)
+        pairs = cut(ordered(m.join(hub, (F.col("h") == F.col("h2")) & (F.col("label") != F.col("label2")) & can & alike)).join(tested, ["a", "b"], "left_anti"))
         found = cut(confirmed(pairs, texts, percent, shingle))
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
         # where all members outside the largest component were compared, no link can be missing
-        open_ = m.filter(F.col("rest") > hubs).select("h", "rep", "n")
-        tested, hubs = tested.union(pairs), hubs * 2
+        if hubs:
+            open_ = m.filter(F.col("rest") > hubs).select("h", "rep", "n", "most")
+        tested, hubs = tested.union(pairs), hubs * 2 or HUBS
 
     name = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("_key"), F.coalesce("label", "rep").alias("component"))
     out = s.select("doc_id", "n", "key").join(name, F.col("key") == F.col("_key"), "left")
