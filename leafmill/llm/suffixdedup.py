@@ -5,7 +5,7 @@ not needed: a string of ``span`` bytes always holds an *anchor*, the least hash
 strings have equal anchors. So only the suffixes that begin at anchors are sorted, each with what stands before it.
 
 1. Tasks find anchors, one row for each distinct surrounding in a batch; equal surroundings in a batch are settled there.
-2. Anchors whose core occurs once in the corpus are dropped by counting hashes.
+2. Anchors are dealt by their core's hash; those whose core occurs once in the corpus are dropped.
 3. For the others, tasks cut the surroundings from the texts and sort them: a run is front-coded (length of the prefix
    shared with the suffix before, and the rest) and compressed. Runs are dealt by the hash of their cores.
 4. A loser tree merges the runs of a part. Each run's head keeps the length of the prefix it shares with the last suffix
@@ -17,6 +17,7 @@ strings have equal anchors. So only the suffixes that begin at anchors are sorte
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, mix, shared_dir
+from leafmill.llm.common import mix, shared_dir
 
 SPAN = 200
 CORE = 64
@@ -103,7 +104,7 @@ def _bytes(value: pa.Scalar) -> bytes:
 
 
 def find_anchors(rows: DataFrame, span: int) -> DataFrame:
-    """From ``doc_id, rk, text``: rows with a ``core`` for anchors (``rk, pos``), and without one for settled intervals."""
+    """From ``doc_id, rk, text``: rows of anchors (``core, rk, pos``), and of settled intervals (``doc_id, rk, pos, stop``), whose core spreads them."""
     before = span - CORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +132,21 @@ def find_anchors(rows: DataFrame, span: int) -> DataFrame:
             keep = np.sort(np.concatenate([first, np.array(extra, np.int64)])).astype(np.int64)
             ids, rks = batch.column(0), batch.column(1)
             spans = [(d, *x) for d, i in settled.items() for x in joined(i)]
+            mine = pa.array([s[0] for s in spans], pa.int64())
             at = pa.array(np.concatenate([doc[keep], np.array([s[0] for s in spans], np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(at),
+                    pa.concat_arrays([pa.nulls(len(keep), pa.int64()), ids.take(mine)]),
                     rks.take(at),
-                    pa.array([*core[keep].view(np.int64).tolist(), *[None] * len(spans)], pa.int64()),
+                    pa.concat_arrays([pa.array(core[keep].view(np.int64)), rks.take(mine)]),
+                    pa.array([True] * len(keep) + [False] * len(spans), pa.bool_()),
                     pa.array([*pos[keep].tolist(), *[s[1] for s in spans]], pa.int64()),
                     pa.array([*[None] * len(keep), *[s[2] for s in spans]], pa.int64()),
                 ],
-                names=["doc_id", "rk", "core", "pos", "stop"],
+                names=["doc_id", "rk", "core", "anchor", "pos", "stop"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, rk long, core long, pos long, stop long")
+    return rows.mapInArrow(run, "doc_id long, rk long, core long, anchor boolean, pos long, stop long")
 
 
 def encode_run(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
@@ -270,12 +273,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     before, spark = span - CORE, docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), "text")
-    where = f"{shared_dir(spark)}/anchors-{xxhash.xxh3_64_hexdigest(np.random.default_rng().bytes(16))}"
+    where = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
     find_anchors(rows, span).write.parquet(where)
     found = spark.read.parquet(where)
-    marks = found.filter("core is not null")
-    twice = marks.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    chosen = marks.join(twice, "core").groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set("pos").alias("at"))
+    twice = found.filter("anchor").groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("n")).filter("n > 1").select("_core")
+    marks = found.filter("anchor").join(twice, F.col("core") == F.col("_core")).select(F.col("rk").alias("_rk"), "pos")
+    chosen = marks.repartition("_rk").groupBy("_rk").agg(F.collect_set("pos").alias("at"))
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +305,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         out = [(*key, *x) for key, i in by_doc.items() for x in joined(i)]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "rk", "start", "stop"])
 
-    texts = rows.repartition("doc_id", "rk")
-    cut_out = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk"))).select("doc_id", "rk", "text", "at").mapInArrow(runs, "part int, run binary")
+    texts = rows.repartition("rk")  # one exchange for both joins below
+    cut_out = texts.join(chosen, F.col("rk") == F.col("_rk")).select("doc_id", "rk", "text", "at").mapInArrow(runs, "part int, run binary")
     hits = cut_out.groupBy("part").applyInArrow(merged, "doc_id long, rk long, start long, stop long")
-    settled = found.filter("core is null").select("doc_id", "rk", F.col("pos").alias("start"), "stop")
-    spans = cut(hits.union(settled).groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
-    return texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rk") == F.col("_rk")), "left").select("doc_id", "rk", "text", "spans")
+    settled = found.filter("not anchor").select("doc_id", "rk", F.col("pos").alias("start"), "stop")
+    own = F.struct(F.col("doc_id").alias("id"), "start", "stop")
+    spans = hits.union(settled).repartition("rk").groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(own).alias("_spans"))
+    of_row = F.filter("_spans", lambda x: x["id"].eqNullSafe(F.col("doc_id")))
+    return texts.join(spans, F.col("rk") == F.col("_rk"), "left").select("doc_id", "rk", "text", of_row.alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
