@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.spans import regex_spans
@@ -98,16 +98,16 @@ def registrable_domain(host: Column) -> Column:
 
 def _brand(host: Column, domain: Column) -> Column:
     """The first brand, in the order given, whose name is in a host that it does not own."""
-    labels, name = F.split(host, r"\."), F.element_at(F.split(domain, r"\."), 1)
-    tokens = F.concat(labels, F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]"))))
+    brands = F.array(*[F.struct(F.lit(b).alias("name"), literals(o.split()).alias("owned")) for b, o in BRANDS.items()])
+    name = F.substring_index(domain, ".", 1)
 
-    def hit(brand: str, owned: list[str]) -> Column:
-        own = domain.isin(owned)
-        for d in owned:
-            own = own | host.endswith("." + d)
-        return ~own & (F.array_contains(tokens, brand) | ((name != brand) & name.contains(brand)))
+    def hit(b: Column) -> Column:
+        # a label, or a part of one between dashes, is the name; or the registered name holds it
+        inside = F.array_contains(F.split(host, "[._-]"), b["name"]) | ((name != b["name"]) & name.contains(b["name"]))
+        own = F.exists(b["owned"], lambda d: (domain == d) | F.endswith(host, F.concat(F.lit("."), d)))
+        return inside & ~own
 
-    return F.coalesce(*[F.when(hit(b, o.split()), F.lit(b)) for b, o in BRANDS.items()])
+    return F.get(F.filter(brands, hit), F.lit(0))["name"]
 
 
 def _onward(query: Column) -> Column:
@@ -117,46 +117,54 @@ def _onward(query: Column) -> Column:
     return url_parts(first["v"])["host"]
 
 
-def check_url(url: Column, shown: Column | None = None, unicode_host: Column | None = None) -> Column:
-    """``severity, flags, host, domain``. ``unicode_host``: the host with its ``xn--`` labels decoded, where known."""
-    p = url_parts(url)
-    host = F.coalesce(unicode_host, p["host"]) if unicode_host is not None else p["host"]
-    domain = registrable_domain(host)
+def flags_of(c: dict[str, Column], url: Column) -> Column:
+    """The flags of an address whose parts are in columns: scheme, userinfo, host, port, ascii, domain, brand, onward,
+    onward_domain, seen, seen_domain; ``ascii`` is the host as written, ``host`` as shown."""
+    host, scheme = c["host"], c["scheme"]
     labels = F.split(host, r"\.")
     tld = F.element_at(labels, -1)
-    onward = _onward(p["query"])
     scripts = sum((F.when(host.rlike(rf"\p{{{s}}}"), 1).otherwise(0) for s in SCRIPTS), F.lit(0))
-    seen = F.regexp_extract(F.trim(shown), SHOWN, 1) if shown is not None else F.lit("")
-    web = p["scheme"].isin("http", "https")
-    brand = _brand(host, domain)
+    web, hidden = scheme.isin("http", "https"), scheme.isin(HIDDEN)
+    good = web & host.isNotNull()
 
     def flag(when: Column, rule: str, severity: Column | str, detail: Column | None = None) -> Column:
         severity = F.lit(severity) if isinstance(severity, str) else severity
         return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), (F.lit(None).cast("string") if detail is None else detail).alias("detail")))
 
-    hidden, other = p["scheme"].isin(HIDDEN), ~web & ~p["scheme"].isin(HIDDEN)
-    invalid = web & p["host"].isNull()
-    good = web & p["host"].isNotNull()
-    flags = F.array(
-        flag(invalid, "invalid", "medium"),
-        flag(hidden, "hidden", "high", p["scheme"]),
-        flag(other, "scheme", "info", p["scheme"]),
-        flag(good & (p["scheme"] == "http"), "http", "medium"),
-        flag(good & p["userinfo"].isNotNull(), "userinfo", "high", host),
-        flag(good & (p["host"].rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | p["host"].contains(":")), "ip", "high"),
-        flag(good & p["host"].rlike(r"(^|\.)xn--"), "idn", F.when(scripts > 1, "high").otherwise("medium"), host),
-        flag(good & (domain.isin(SHORTENERS) | p["host"].isin(SHORTENERS)), "shortener", "medium"),
-        flag(good & brand.isNotNull(), "brand", "high", brand),
-        flag(good & tld.isin(FILE_LIKE), "file_like", "medium", tld),
-        flag(good & tld.isin(CHEAP), "cheap", "info", tld),
-        flag(good & p["port"].isNotNull() & ~p["port"].isin("80", "443"), "port", "medium", p["port"]),
-        flag(good & (F.size(labels) > 5), "subdomains", "info"),
-        flag(good & onward.isNotNull() & (registrable_domain(onward) != domain), "redirect", "medium", onward),
-        flag(good & (F.length(url) > 300), "length", "info"),
-        flag(good & (seen != "") & (registrable_domain(seen) != domain), "shown", "high", seen),
+    return F.array_compact(
+        F.array(
+            flag(web & host.isNull(), "invalid", "medium"),
+            flag(hidden, "hidden", "high", scheme),
+            flag(~web & ~hidden, "scheme", "info", scheme),
+            flag(good & (scheme == "http"), "http", "medium"),
+            flag(good & c["userinfo"].isNotNull(), "userinfo", "high", host),
+            flag(good & (c["ascii"].rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | c["ascii"].contains(":")), "ip", "high"),
+            flag(good & c["ascii"].rlike(r"(^|\.)xn--"), "idn", F.when(scripts > 1, "high").otherwise("medium"), host),
+            flag(good & (c["domain"].isin(SHORTENERS) | c["ascii"].isin(SHORTENERS)), "shortener", "medium"),
+            flag(good & c["brand"].isNotNull(), "brand", "high", c["brand"]),
+            flag(good & tld.isin(FILE_LIKE), "file_like", "medium", tld),
+            flag(good & tld.isin(CHEAP), "cheap", "info", tld),
+            flag(good & c["port"].isNotNull() & ~c["port"].isin("80", "443"), "port", "medium", c["port"]),
+            flag(good & (F.size(labels) > 5), "subdomains", "info"),
+            flag(good & c["onward"].isNotNull() & (c["onward_domain"] != c["domain"]), "redirect", "medium", c["onward"]),
+            flag(good & (F.length(url) > 300), "length", "info"),
+            flag(good & (c["seen"] != "") & (c["seen_domain"] != c["domain"]), "shown", "high", c["seen"]),
+        )
     )
-    flags = F.filter(flags, lambda f: f.isNotNull())
-    return F.struct(worst_severity(flags).alias("severity"), flags.alias("flags"), F.when(good, host).alias("host"), F.when(good, domain).alias("domain"))
+
+
+def with_verdicts(df: DataFrame, url: str, shown: str | None = None, unicode_host: str | None = None) -> DataFrame:
+    """``df`` with ``severity, flags, host, domain``, built in steps so that every part is worked out once. No shuffle."""
+    keep = [f"`{c}`" for c in df.columns if c not in ("severity", "flags", "host", "domain")]
+    df = df.withColumn("_p", url_parts(F.col(url)))
+    df = df.withColumn("_host", F.coalesce(F.col(unicode_host), F.col("_p.host")) if unicode_host else F.col("_p.host"))
+    seen = F.regexp_extract(F.trim(F.coalesce(F.col(shown), F.lit(""))), SHOWN, 1) if shown else F.lit("")
+    df = df.withColumns({"_domain": registrable_domain(F.col("_host")), "_onward": _onward(F.col("_p.query")), "_seen": seen})
+    df = df.withColumns({"_brand": _brand(F.col("_host"), F.col("_domain")), "_onward_domain": registrable_domain(F.col("_onward")), "_seen_domain": registrable_domain(F.col("_seen"))})
+    c = {k: F.col(f"_p.{k}") for k in ("scheme", "userinfo", "port")} | {k: F.col(f"_{k}") for k in ("host", "domain", "brand", "onward", "onward_domain", "seen", "seen_domain")}
+    df = df.withColumn("_flags", flags_of(c | {"ascii": F.col("_p.host")}, F.col(url)))
+    web = F.col("_p.scheme").isin("http", "https")
+    return df.select(*keep, worst_severity(F.col("_flags")).alias("severity"), F.col("_flags").alias("flags"), F.when(web, F.col("_host")).alias("host"), F.when(web, F.col("_domain")).alias("domain"))
 
 
 def worst_severity(flags: Column) -> Column:
@@ -164,8 +172,8 @@ def worst_severity(flags: Column) -> Column:
     return F.when(has("high"), "high").when(has("medium"), "medium").otherwise("info")
 
 
-def describe_payload(raw: Column) -> Column:
-    """``kind, details, severity`` of the text of a QR code."""
+def describe_payload(raw: Column, url_severity: Column | str = "info") -> Column:
+    """``kind, details, severity`` of the text of a QR code; ``url_severity``: what ``with_verdicts`` says of it as an address."""
     text = F.trim(raw)
     low = F.lower(text)
 
@@ -186,7 +194,7 @@ def describe_payload(raw: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), details.cast("array<string>").alias("details"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
 
     return (
-        F.when(low.rlike(r"^https?://") | low.rlike(r"^www\.[^\s]+\.[a-z]{2,}"), out("url", F.array(text), check_url(text)["severity"]))
+        F.when(low.rlike(r"^https?://") | low.rlike(r"^www\.[^\s]+\.[a-z]{2,}"), out("url", F.array(text), url_severity))
         .when(low.startswith("wifi:"), out("wifi", wifi, F.when(security.rlike("(?i)^(nopass|none)$"), "medium").otherwise("info")))
         .when(low.startswith("mailto:"), out("email", F.array(F.substring_index(F.substring(text, 8, 4000), "?", 1)), "info"))
         .when(low.startswith("tel:"), out("phone", F.array(F.substring(text, 5, 4000)), "info"))

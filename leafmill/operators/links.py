@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.urls import check_url, extract_urls, normal_url, url_parts
+from leafmill.functions.urls import extract_urls, normal_url, url_parts, with_verdicts
 
 
 def unicode_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
@@ -36,8 +36,7 @@ def check_links(links: DataFrame, url: str = "url", shown: str | None = None) ->
     rows = links.withColumn("_host", url_parts(F.col(url))["host"])
     odd = unicode_hosts(rows, "_host").select(F.col("host").alias("_odd"), F.col("shown").alias("_unicode"))
     rows = rows.join(odd, F.col("_host") == F.col("_odd"), "left")
-    verdict = check_url(F.col(url), F.col(shown) if shown else None, F.col("_unicode"))
-    return rows.withColumn("_v", verdict).select(*links.columns, "_v.severity", "_v.flags", "_v.host", "_v.domain")
+    return with_verdicts(rows, url, shown, "_unicode").select(*links.columns, "severity", "flags", "host", "domain")
 
 
 def text_links_not_linked(texts: DataFrame, links: DataFrame, key: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _shown(spark, sf_dir):
     target = (
         F.when(id_ % 7 == 1, F.concat(F.lit("https://paypal.com-check.example.xyz/p"), id_))
         .when(id_ % 7 == 2, F.concat(F.lit("https://www.apple.com@203.0.113.9/"), id_))
-        .when(id_ % 7 == 3, F.concat(u, F.lit("?next=https%3A%2F%2Fevil.test%2F")))
+        .when(id_ % 7 == 3, F.concat(F.regexp_replace(u, "#.*$", ""), F.when(u.contains("?"), "&").otherwise("?"), F.lit("next=https%3A%2F%2Fevil.test%2F")))
         .when(id_ % 7 == 4, F.concat(F.lit("javascript:go("), id_, F.lit(")")))
         .when(id_ % 7 == 5, F.lit("http://bit.ly:8080/x"))
         .otherwise(u)
@@ -127,7 +127,7 @@ SQL = {
     "html_blocks": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 n AS (SELECT page_id, len(regexp_extract_all(h, '<h1\b')) AS h1, len(regexp_extract_all(h, '<li\b')) AS li, len(regexp_extract_all(h, '<a\s+href')) AS a FROM b)
 SELECT page_id, 'heading' AS kind, 1 AS level, h1 AS n FROM n WHERE h1 > 0 UNION ALL SELECT page_id, 'item', 1, li FROM n WHERE li > 0 UNION ALL SELECT page_id, 'link', 0, a FROM n WHERE a > 0""",
-    "html_headings": r"SELECT page_id, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM pages",
+    "html_headings": r"SELECT page_id, replace(trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&amp;', '&') AS text FROM pages",
     "html_anchors": r"SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS target, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS text FROM pages",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '^[a-z]+://[^/:?#]*:([0-9]+)', 1), '') AS port FROM pages",
     "url_normal": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^www\.', ''), '/$', '') AS url FROM pages",
