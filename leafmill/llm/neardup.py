@@ -30,6 +30,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Members outside the largest component that a bucket compares with all others in a round; doubled in each round.
 HUBS = 8
+#: Rows whose shingles a task holds at a time.
+CHUNK_ROWS = 1000
 _SEEDS = mix(np.arange(2 * COORDINATES, dtype=np.uint64), 11)
 
 
@@ -107,7 +109,7 @@ def shared_shingles(texts: DataFrame, ids: DataFrame, shingle: int = 5) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, CHUNK_ROWS) for b in batches for k in range(0, b.num_rows, CHUNK_ROWS)):
             sets = [np.unique((shingles(word_hashes(t.as_py()), shingle) >> np.uint64(32)).astype(np.uint32)) for t in batch.column(1)]
             h = np.concatenate([np.empty(0, np.uint32), *sets])
             who = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
