@@ -35,6 +35,8 @@ CORE = 64
 PIECE = 1 << 20
 #: Parts into which sorted runs are dealt, for each shuffle partition.
 PARTS = 4
+#: Rows of the result that a task hands on at a time.
+ROWS = 500
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -273,12 +275,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     before, spark = span - CORE, docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), "text")
+    # texts are large rows: more partitions than usual keep what a task holds of them small
+    small = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     where = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
     find_anchors(rows, span).write.parquet(where)
     found = spark.read.parquet(where)
     twice = found.filter("anchor").groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("n")).filter("n > 1").select("_core")
     marks = found.filter("anchor").join(twice, F.col("core") == F.col("_core")).select(F.col("rk").alias("_rk"), "pos")
-    chosen = marks.repartition("_rk").groupBy("_rk").agg(F.collect_set("pos").alias("at"))
+    chosen = marks.repartition(small, "_rk").groupBy("_rk").agg(F.collect_set("pos").alias("at"))
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +309,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         out = [(*key, *x) for key, i in by_doc.items() for x in joined(i)]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "rk", "start", "stop"])
 
-    texts = rows.repartition("rk")  # one exchange for both joins below
+    texts = rows.repartition(small, "rk")  # one exchange for both joins below
     cut_out = texts.join(chosen, F.col("rk") == F.col("_rk")).select("doc_id", "rk", "text", "at").mapInArrow(runs, "part int, run binary")
     hits = cut_out.groupBy("part").applyInArrow(merged, "doc_id long, rk long, start long, stop long")
     settled = found.filter("not anchor").select("doc_id", "rk", F.col("pos").alias("start"), "stop")
     own = F.struct(F.col("doc_id").alias("id"), "start", "stop")
-    spans = hits.union(settled).repartition("rk").groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(own).alias("_spans"))
+    spans = hits.union(settled).repartition(small, "rk").groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(own).alias("_spans"))
     of_row = F.filter("_spans", lambda x: x["id"].eqNullSafe(F.col("doc_id")))
     return texts.join(spans, F.col("rk") == F.col("_rk"), "left").select("doc_id", "rk", "text", of_row.alias("spans"))
 
@@ -325,7 +329,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             sizes, spans, kept = [], [], []
             for text, own in zip(batch.column(1), batch.column(2)):
                 data = _bytes(text)
