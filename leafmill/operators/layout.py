@@ -109,3 +109,39 @@ def text_in_rect(items: DataFrame, rects: DataFrame) -> DataFrame:
 
 def textless_pages(pages: DataFrame, items: DataFrame) -> DataFrame:
     return pages.join(items.filter(F.trim("text") != "").select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+
+
+def annotation_hits(annotations: DataFrame, queries: DataFrame) -> DataFrame:
+    """``doc_id, page, annot_no, query`` of annotations whose text holds a query, without regard to case and runs of white space.
+
+    The queries are what a person typed: they are broadcast if they are counted to be few, else paired by a nested loop over both.
+    """
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    q = queries.select("query", flat(F.col("query")).alias("_q")).filter("_q <> ''").distinct()
+    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
+    return annotations.withColumn("_t", flat(F.col("text"))).join(q, F.col("_t").contains(F.col("_q"))).select("doc_id", "page", "annot_no", "query")
+
+
+def column_bands(cells: DataFrame, tolerated: float = 0.1) -> DataFrame:
+    """``doc_id, page, band, x0, x1``: ranges of x that more than a tenth of the rows of several cells ``doc_id, page, row, x0, x1`` cover."""
+    keys = ["doc_id", "page"]
+    rows = cells.groupBy(*keys, "row").agg(F.count("*").alias("n")).filter("n >= 2")
+    many = rows.groupBy(*keys).agg(F.floor(F.count("*") * tolerated).alias("_most"))
+    used = cells.join(rows.select(*keys, "row"), [*keys, "row"], "left_semi")
+    at = used.select(*keys, F.explode(F.sequence(F.floor("x0"), F.greatest(F.ceil("x1") - 1, F.floor("x0")))).alias("x"))
+    covered = at.groupBy(*keys, "x").agg(F.count("*").alias("c")).join(many, keys).filter("c > _most")
+    w = Window.partitionBy(*keys).orderBy("x")
+    island = covered.withColumn("_i", F.col("x") - F.row_number().over(w))
+    bands = island.groupBy(*keys, "_i").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
+    return bands.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("x0")) - 1).alias("band"), "x0", "x1")
+
+
+def markdown_document(paragraphs: DataFrame) -> DataFrame:
+    """``doc_id, text``: paragraphs with their ``level`` and ``list`` as Markdown, a blank line between them but not inside lists."""
+    from leafmill.functions.text import escape_markdown
+
+    w = Window.partitionBy("doc_id").orderBy("page", "paragraph")
+    shown = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), escape_markdown(F.col("text")))).when(F.col("list"), F.concat(F.lit("- "), escape_markdown(F.regexp_replace(F.col("text"), BULLET, "")))).otherwise(escape_markdown(F.col("text")))
+    lead = F.when(F.row_number().over(w) == 1, "").when(F.col("list") & F.lag("list").over(w), "\n").otherwise("\n\n")
+    piece = paragraphs.withColumn("_t", F.concat(lead, shown))
+    return piece.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraph", "_t"))), lambda s: s["_t"]), "").alias("text"))

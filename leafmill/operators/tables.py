@@ -148,3 +148,53 @@ def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str, ord
     half = F.floor(F.col(value) * 2 + 0.5) / 2
     per = rows.groupBy(*keys, half.alias("mode")).agg(F.sum(weight).alias("w"), F.min(order).alias("first"))
     return per.groupBy(*keys).agg(F.max_by("mode", F.struct(F.col("w"), -F.col("first"))).alias("mode"))
+
+
+def page_text(words: DataFrame) -> DataFrame:
+    """``doc, page, text, words, confidence`` of OCR words ``doc, page, par, line, word, text, confidence``: lines and, with a blank line
+    between them, paragraphs."""
+    keys = ["doc", "page"]
+    ordered = lambda at, c: F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda s: s[c])
+    lines = words.groupBy(*keys, "par", "line").agg(F.array_join(ordered("word", "text"), " ").alias("text"), F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    pars = lines.groupBy(*keys, "par").agg(F.array_join(ordered("line", "text"), "\n").alias("text"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return pars.groupBy(*keys).agg(F.array_join(ordered("par", "text"), "\n\n").alias("text"), F.sum("n").alias("words"), F.floor(F.sum("c") / F.sum("n") + 0.5).cast("long").alias("confidence"))
+
+
+def sheet_extent(cells: DataFrame) -> DataFrame:
+    """Used rows and columns of each sheet of cells ``sheet, row, col, value``, blank ones apart."""
+    return cells.filter(F.trim("value") != "").groupBy("sheet").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count("*").alias("filled"))
+
+
+def template_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
+    """``text, shown``: texts made from a template of one value (``{0}``, or ``{#}`` for a number), rebuilt in its ``translation``; the longest
+    template counts. Templates are a catalogue of a bounded size and are broadcast if counted to be small."""
+    parts = F.split("template", r"\{(?:0|#)\}")
+    t = templates.select("template", "translation", F.get(parts, F.lit(0)).alias("_head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_tail"), F.col("template").contains("{#}").alias("_number"))
+    t = F.broadcast(t) if t.limit(10_001).count() <= 10_000 else t
+    d = texts.select("text").distinct()
+    n = F.length("text") - F.length("_head") - F.length("_tail")
+    value = F.substring(F.col("text"), F.length("_head") + 1, n)
+    hit = d.join(t, F.col("text").startswith(F.col("_head")) & F.col("text").endswith(F.col("_tail")) & (n > 0))
+    hit = hit.withColumn("_v", value).filter(~F.col("_number") | F.col("_v").rlike(r"^\d[\d,.  ]*$"))
+    best = hit.groupBy("text").agg(F.max_by(F.regexp_replace(F.replace("translation", F.lit("{#}"), F.lit("{0}")), r"\{0\}", "\u0001"), F.length("template")).alias("_t"), F.max_by("_v", F.length("template")).alias("_v"))
+    return d.join(best.withColumnRenamed("text", "_k"), F.col("text") == F.col("_k"), "left").select("text", F.coalesce(F.replace("_t", F.lit("\u0001"), "_v"), "text").alias("shown"))
+
+
+def forensic_findings(entries: DataFrame) -> DataFrame:
+    """``file_id, id, severity`` of image metadata ``file_id, key, value``: made with AI, edited, software, changed a minute or more after it
+    was taken, camera, no camera."""
+    from leafmill.functions.metadata import editor_flags, parse_exif_date
+
+    k = F.lower("key")
+    flag = editor_flags(F.col("key"), F.col("value"))
+    date = lambda *names: F.min(F.when(k.isin(list(names)), parse_exif_date(F.col("value"))))
+    g = entries.groupBy("file_id").agg(
+        F.max(flag == "ai").alias("ai"), F.max((flag == "editor") | F.col("key").rlike("History")).alias("edited"), F.max(flag == "software").alias("software"),
+        date("datetimeoriginal", "createdate", "photoshop:datecreated", "xmp:createdate").alias("taken"), date("modifydate", "datetime", "xmp:modifydate", "xmp:metadatadate").alias("changed"),
+        F.max(k.isin("make", "model")).alias("camera"),
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    late = yes(F.unix_timestamp("changed") - F.unix_timestamp("taken") > 60)
+    rules = [(yes(F.col("ai")), "ai", "high"), (yes(F.col("edited")), "edited", "medium"), (~yes(F.col("edited")) & yes(F.col("software")), "software", "info"), (late, "dates", "medium"), (yes(F.col("camera")), "camera", "info"), (~yes(F.col("camera")) & ~yes(F.col("ai")), "no-camera", "info")]
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"))) for c, i, s in rules]))
+    return g.select("file_id", F.inline(hits))

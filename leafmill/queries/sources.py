@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions.register import register
-from leafmill.operators import office
+from leafmill.operators import layout, office, tables
 from leafmill.sources import files as src
 from leafmill.sources.tables import read_table
 
@@ -59,8 +59,56 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, lm_count_words(text) AS words, lm_has_words(text) AS has_words, size(lm_emails(text)) AS emails FROM lm_documents")
 
 
-QUERIES = {"office_findings": office_findings, "office_people": people, "office_zip_kinds": zip_kinds, "pdf_actions": actions, "media_probes": probes, "ocr_words": ocr, "sql_functions": sql_functions}
+def page_texts(spark, sf_dir):
+    """Turns as scanned pages: each sentence a paragraph, four words a line."""
+    t = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    p = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.posexplode(F.split("text", "\n")).alias("par", "s"))
+    w = p.select("doc", "page", "par", F.posexplode(F.filter(F.split("s", " "), lambda x: x != "")).alias("k", "text"))
+    w = w.select("doc", "page", "par", F.floor(F.col("k") / 4).alias("line"), F.col("k").alias("word"), "text", F.lit(80.0).alias("confidence"))
+    return tables.page_text(w).select("doc", "page", F.sha2("text", 256).alias("sha"), "words", "confidence")
+
+
+def sheets(spark, sf_dir):
+    df = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return tables.sheet_extent(df.select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 10).alias("col"), F.when(F.col("l_returnflag") == "N", " ").otherwise("x").alias("value")))
+
+
+def annotations(spark, sf_dir):
+    t = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    q = spark.createDataFrame([("of  THE",), ("zzzz",), (" ",)], "query string")
+    return layout.annotation_hits(t.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("annot_no"), "text"), q)
+
+
+def templates(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_custkey", F.lit(" files"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("My files of "), "c_name")).otherwise(F.col("c_name"))
+    made = spark.createDataFrame([("{#} files", "{#} Dateien"), ("My {0}", "Mein {0}"), ("My files of {0}", "Dateien von {0}")], "template string, translation string")
+    return tables.template_match(c.select(text.alias("text")), made)
+
+
+def forensics(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    day = F.date_format("o_orderdate", "yyyy:MM:dd")
+    rows = F.array(
+        F.struct(F.lit("DateTimeOriginal").alias("key"), F.concat(day, F.lit(" 10:00:00")).alias("value")),
+        F.struct(F.lit("ModifyDate").alias("key"), F.concat(day, F.when(F.col("o_orderkey") % 2 == 0, " 10:00:30").otherwise(" 11:00:00")).alias("value")),
+        F.struct(F.lit("Software").alias("key"), F.when(F.col("o_orderkey") % 3 == 0, "Adobe Photoshop 25").when(F.col("o_orderkey") % 3 == 1, "Midjourney").otherwise("Scanner").alias("value")),
+        F.when(F.col("o_orderkey") % 5 == 0, F.struct(F.lit("Model").alias("key"), F.lit("X100").alias("value"))),
+    )
+    entries = o.select(F.col("o_orderkey").alias("file_id"), F.explode(F.array_compact(rows)).alias("e")).select("file_id", "e.key", "e.value")
+    return tables.forensic_findings(entries)
+
+
+QUERIES = {"page_texts": page_texts, "sheet_extents": sheets, "annotation_hits": annotations, "template_match": templates, "image_forensics": forensics, "office_findings": office_findings, "office_people": people, "office_zip_kinds": zip_kinds, "pdf_actions": actions, "media_probes": probes, "ocr_words": ocr, "sql_functions": sql_functions}
 SQL = {
+    "page_texts": r"""WITH p AS (SELECT conv_id AS doc, turn AS page, generate_subscripts(string_split(text, chr(10)), 1) AS par, unnest(string_split(text, chr(10))) AS s FROM conversations),
+w AS (SELECT doc, page, par, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM p),
+l AS (SELECT doc, page, par, len(w) AS n, array_to_string(list_transform(range(0, (len(w) + 3) // 4), lambda i: array_to_string(w[i * 4 + 1:i * 4 + 4], ' ')), chr(10)) AS t FROM w WHERE len(w) > 0)
+SELECT doc, page, sha256(string_agg(t, chr(10) || chr(10) ORDER BY par)) AS sha, sum(n)::BIGINT AS words, 80::BIGINT AS confidence FROM l GROUP BY doc, page""",
+    "sheet_extents": "SELECT l_orderkey AS sheet, max(l_linenumber) + 1 AS rows, max(l_partkey % 10) + 1 AS cols, count(*) AS filled FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1",
+    "annotation_hits": r"SELECT conv_id AS doc_id, 0 AS page, turn AS annot_no, 'of  THE' AS query FROM conversations WHERE contains(lower(regexp_replace(text, '\s+', ' ', 'g')), 'of the')",
+    "template_match": "SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' files' WHEN 1 THEN 'My files of ' || c_name ELSE c_name END AS text, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' Dateien' WHEN 1 THEN 'Dateien von ' || c_name ELSE c_name END AS shown FROM customer",
+    "image_forensics": "WITH k AS (SELECT o_orderkey AS f FROM orders) SELECT f AS file_id, 'ai' AS id, 'high' AS severity FROM k WHERE f % 3 = 1 UNION ALL SELECT f, 'edited', 'medium' FROM k WHERE f % 3 = 0 UNION ALL SELECT f, 'software', 'info' FROM k WHERE f % 3 = 2 UNION ALL SELECT f, 'dates', 'medium' FROM k WHERE f % 2 = 1 UNION ALL SELECT f, 'camera', 'info' FROM k WHERE f % 5 = 0 UNION ALL SELECT f, 'no-camera', 'info' FROM k WHERE f % 5 <> 0 AND f % 3 <> 1",
     "office_findings": """WITH c AS (SELECT conv_id AS file_id, count(*) AS n FROM conversations GROUP BY 1)
 SELECT file_id, 'comments' AS id, 'high' AS severity, 1::BIGINT AS parts FROM c WHERE n > 2 UNION ALL SELECT file_id, 'properties', 'medium', 1 FROM c WHERE n > 3 UNION ALL SELECT file_id, 'hidden-text', 'high', 1 FROM c WHERE n > 1 AND file_id % 2 = 0""",
     "office_people": "SELECT conv_id AS file_id, string_agg(DISTINCT role, ',' ORDER BY role) AS people FROM conversations WHERE turn % 4 = 3 GROUP BY 1",
