@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a written table that one task reads on, at least, in ``compact``.
+COMPACT_ROWS = 100_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``cut``, read on by no more tasks than its rows need: small tables of many rounds else leave very many small shuffle files."""
+    df = cut(df)
+    return df.coalesce(1 + df.count() // COMPACT_ROWS)
+
+
 #: A table of at most so many rows of a few numbers is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, fresh, mix, shingles, small, word_hashes
+from leafmill.llm.common import compact, cut, fresh, mix, shingles, small, word_hashes
 
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
@@ -130,14 +130,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours and then that label's own label, until none changes.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = compact(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label"))
     while True:
-        labels = cut(labels)
+        labels = compact(labels)
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "m").alias("l"))
         up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
-        after = cut(step.join(up, F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")))
+        after = compact(step.join(up, F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")))
         if not after.filter("old <> label").limit(1).count():
             return after.select("v", "label")
         labels = after.select("v", "label")
@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     classes = cut(used.groupBy("key").agg(F.min(F.struct("doc_id", "th", "n", "bands")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.th", "x.n", "x.bands"))
     cells = classes.select("rep", "n", F.explode("bands").alias("h"))
     shared = cells.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    members = cut(cells.join(shared.select("h", "hub"), "h"))
+    members = compact(cells.join(shared.select("h", "hub"), "h"))
 
-    ids = cut(members.select(F.col("rep").alias("id")).distinct())
+    ids = compact(members.select(F.col("rep").alias("id")).distinct())
     wanted = classes.select(F.col("rep").alias("id"), F.col("th").alias("_th")).join(ids, "id", "left_semi")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_t"))
     rows = rows.join(small(cut(wanted)), (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("_th")))
@@ -170,26 +170,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.filter(alike & (F.col("rep") != F.col("rep2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
-    first = cut(ordered(members.select("rep", "n", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"))))
+    first = compact(ordered(members.select("rep", "n", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"))))
     # rows of one id with different texts belong together
     several = used.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").select("doc_id")
     same = used.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
-    edges = cut(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
+    edges = compact(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
     labels = components(edges)
     known = labels.select(F.col("v").alias("rep"), "label")
     m = members.select("h", "rep", "n").join(known, "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label"))
     mixed = m.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("h")
-    open_ = cut(m.join(mixed, "h", "left_semi").select("h", "rep", "n"))
+    open_ = compact(m.join(mixed, "h", "left_semi").select("h", "rep", "n"))
     # an intersection is at most what other members of these buckets hold of a set
     held = shared_shingles(texts, open_.select(F.col("rep").alias("id")).distinct(), shingle)
-    open_ = cut(open_.join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", (F.col("n") - F.col("alone")).alias("most")))
+    open_ = compact(open_.join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", (F.col("n") - F.col("alone")).alias("most")))
     tested, hubs = first, 0
     while True:
         known = labels.select(F.col("v").alias("rep"), "label")
         m = open_.join(known, "rep", "left").select("h", "rep", "n", "most", F.coalesce("label", "rep").alias("label"))
         groups = m.groupBy("h", "label").agg(F.count("*").alias("c"))
         mixed = groups.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("k")).filter("k > 1")
-        m = cut(m.join(mixed.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), "h"))
+        m = compact(m.join(mixed.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), "h"))
         if not m.limit(1).count():
             break
         if hubs:
@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
         hub = hub.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("label").alias("label2"))
         bound = F.least("most", "most2")
         can = F.lit(100) * bound >= F.lit(percent) * (F.col("n") + F.col("n2") - bound)
-        pairs = cut(ordered(m.join(hub, (F.col("h") == F.col("h2")) & (F.col("label") != F.col("label2")) & can & alike)).join(tested, ["a", "b"], "left_anti"))
-        found = cut(confirmed(pairs, texts, percent, shingle))
+        pairs = compact(ordered(m.join(hub, (F.col("h") == F.col("h2")) & (F.col("label") != F.col("label2")) & can & alike)).join(tested, ["a", "b"], "left_anti"))
+        found = compact(confirmed(pairs, texts, percent, shingle))
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
