@@ -51,3 +51,25 @@ def test_one_vector_may_be_most_of_the_table(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("id") == 0).collect() == []
+
+
+def ranked_ids(spark, rows, q, k=10, **more):
+    out = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == q, k, **more).collect()
+    return [r.vec_id for r in sorted(out, key=lambda r: r["rank"])]
+
+
+def test_a_tight_cluster_larger_than_a_shortlist(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODEWORDS", 4)  # too few to tell the cluster's vectors apart
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 10, (1500, 8)), 5 + rng.normal(0, 1e-4, (900, 8))]).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    for q in (2399, 1700):
+        assert ranked_ids(spark, rows, q, probes=10_000) == brute(x, q)
+
+
+def test_copies_and_repeated_rows_do_not_push_out_nearer_vectors(spark):
+    # 1,500 copies, rows that repeat one id, and nearer vectors of larger ids, all under one code
+    near = [(90_000 + k, [1.0, 1.0 + 1e-5 * (k + 1)]) for k in range(5)]
+    far = [(10_000 + 10 * k, [float(k % 31) * 3 - 40, float(k % 37) * 3 - 50]) for k in range(1200)]
+    rows = near + far + [(k, [1.0, 1.01]) for k in range(1500)] + [(5000, [1.0, 1.001])] * 700 + [(5000, [9.0, 9.0])] + [(99_999, [1.0, 1.0])]
+    assert ranked_ids(spark, rows, 99_999, 8, probes=10_000) == [90_000, 90_001, 90_002, 90_003, 90_004, 5000, 0, 1]
