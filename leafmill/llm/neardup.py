@@ -102,7 +102,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = 5
 
 
 def shared_shingles(texts: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
-    """``id, alone``: how many shingles of each id no other id of ``ids`` holds.
+    """``id, alone``: how many shingles of each text ``id, th, text`` no other text of ``ids`` holds; of the texts of one id the least.
 
     Shingles are known by 32 bits here: two of one hash count as one that is shared, so that ``alone`` is never too large.
     Tasks gather what their own rows share before the shuffle.
@@ -112,17 +112,18 @@ def shared_shingles(texts: DataFrame, ids: DataFrame, shingle: int = 5) -> DataF
         for batch in (b.slice(k, CHUNK_ROWS) for b in batches for k in range(0, b.num_rows, CHUNK_ROWS)):
             sets = [np.unique((shingles(word_hashes(t.as_py()), shingle) >> np.uint64(32)).astype(np.uint32)) for t in batch.column(1)]
             h = np.concatenate([np.empty(0, np.uint32), *sets])
-            who = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            who = np.repeat(np.arange(batch.num_rows), [len(x) for x in sets])
             h, first, n = np.unique(h, return_index=True, return_counts=True)
-            # of several owners in a batch two are enough to show that a shingle is shared
-            many = h[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, many]).view(np.int32)), pa.array(np.concatenate([who[first], np.full(len(many), -1)]).astype(np.int64))], names=["h", "id"])
+            # of several owners in a batch one and their number are enough to show that a shingle is shared
+            at = pa.array(who[first])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int32)), batch.column(0).take(at), batch.column(2).take(at), pa.array(n, pa.int64())], names=["h", "id", "th", "n"])
 
-    rows = texts.join(small(cut(ids)), "id", "left_semi").select("id", "text")
-    owners = rows.mapInArrow(run, "h int, id long")
-    alone = owners.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    sizes = rows.select("id", F.lit(0).alias("z"))
-    return sizes.join(alone.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("alone", F.lit(0)).alias("alone"))
+    rows = texts.join(small(cut(ids)), "id", "left_semi").select("id", "text", "th")
+    owners = rows.mapInArrow(run, "h int, id long, th long, n long")
+    owners = owners.groupBy("h").agg(F.min("id").alias("_id"), F.max("id").alias("id2"), F.min("th").alias("_th"), F.max("th").alias("th2"), F.max("n").alias("n"))
+    alone = owners.filter("_id = id2 and _th = th2 and n = 1").groupBy("_id", "_th").agg(F.count("*").alias("alone"))
+    own = rows.select("id", "th").join(alone, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    return own.groupBy("id").agg(F.min(F.coalesce("alone", F.lit(0))).alias("alone"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,15 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``doc_id, text``.
-
-    Words are runs without white space in lower case (A-Z only); a set holds the distinct runs of ``shingle`` words, or the
-    whole sequence where there are fewer. Rows are linked if 100 * intersection >= percent * union. Null, empty and
-    blank texts have no shingles and no link; rows without an id are not linked and are kept. Rows of one id are one
-    document: linked when any of them is; repeated rows have equal results. An empty table gives an empty result; other
-    columns are dropped.
-    """
+def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """``doc_id, th, n_shingles, key, component_id, kept`` for each row of ``doc_id, text``, as ``near_duplicates`` has them; ``th`` and ``key`` as ``sketches``."""
     s = cut(sketches(docs, shingle))
     used = s.filter("n > 0 and doc_id is not null")
     classes = cut(used.groupBy("key").agg(F.min(F.struct("doc_id", "th", "n", "bands")).alias("x")).select("key", F.col("x.doc_id").alias("rep"), "x.th", "x.n", "x.bands"))
@@ -163,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     wanted = classes.select(F.col("rep").alias("id"), F.col("th").alias("_th")).join(ids, "id", "left_semi")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_t"))
     rows = rows.join(small(cut(wanted)), (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("_th")))
-    texts = cut(rows.groupBy("id", "_t").agg(F.first("text").alias("text")).select("id", "text"))
+    texts = cut(rows.groupBy("id", "_t").agg(F.first("text").alias("text")).select("id", F.col("_t").alias("th"), "text"))
 
     alike = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
 
@@ -213,23 +207,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
         tested, hubs = tested.union(pairs), hubs * 2 or HUBS
 
     name = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("_key"), F.coalesce("label", "rep").alias("component"))
-    out = s.select("doc_id", "n", "key").join(name, F.col("key") == F.col("_key"), "left")
+    out = s.select("doc_id", "th", "n", "key").join(name, F.col("key") == F.col("_key"), "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "key", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``doc_id, text``.
+
+    Words are runs without white space in lower case (A-Z only); a set holds the distinct runs of ``shingle`` words, or the
+    whole sequence where there are fewer. Rows are linked if 100 * intersection >= percent * union. Null, empty and
+    blank texts have no shingles and no link; rows without an id are not linked and are kept. Rows of one id are one
+    document: linked when any of them is; repeated rows have equal results. An empty table gives an empty result; other
+    columns are dropped.
+    """
+    return linked(docs, percent, shingle).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest id of each group; of rows that repeat that id, one.
+    """The rows of ``docs``, all columns, of the smallest id of each group; of its rows with equal sets, one.
 
     Rows without an id, or without words, all stay.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text"), percent, shingle))
-    key = fresh(docs, "_other")
-    other = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
-    kept = docs.join(small(other), F.col("doc_id") == F.col(key), "left_anti")
-    again = cut(found.filter("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().filter("count > 1").select(key))
+    found = cut(linked(docs.select("doc_id", "text"), percent, shingle))
+    key, text, words = fresh(docs, "_other"), fresh(docs, "_text_hash"), fresh(docs, "_set_key")
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(text))
+    other = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("th").alias(text)).distinct())
+    kept = docs.join(small(other), same, "left_anti")
+    rows = found.filter("kept and doc_id is not null and n_shingles > 0")
+    sets = rows.groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    again = cut(rows.join(sets, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias(key), F.col("th").alias(text), F.col("key").alias(words)).distinct())
     if not again.limit(1).count():
         return kept
     again = small(again)
-    once = kept.join(again, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col(key), "left_anti").unionByName(once)
+    once = kept.join(again, same).dropDuplicates(["doc_id", words]).select(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(once)

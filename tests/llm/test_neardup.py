@@ -105,3 +105,18 @@ def test_shingles_of_pieces_equal_those_of_the_whole(monkeypatch):
     whole = shingles(word_hashes(text))
     monkeypatch.setattr("leafmill.llm.common.pieces.__defaults__", (100,))
     assert (shingles(word_hashes(text)) == whole).all()
+
+
+def test_an_id_with_different_texts_is_compared_in_the_second_round(spark, monkeypatch):
+    monkeypatch.setattr(nd, "bands", lambda coordinates: np.arange(40))  # all in the same buckets
+    text = lambda n, c: " ".join(f"{c}{k}" for k in range(n))
+    for one, other in ((9, 12), (-1, 12)):
+        rows = [(-5, text(44, "h")), (one, text(40, "a")), (one, text(45, "b")), (other, text(40, "a") + " more"), (20, text(42, "c"))]
+        out = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), 85).collect()}
+        assert out == {-5: -5, one: one, other: one, 20: 20}
+
+
+def test_different_texts_of_the_id_that_stays_are_kept(spark):
+    rows = [(5, "a b c d e f g", "x"), (5, "A b c  d e f g", "x"), (5, "quite another text of seven words", "y"), (5, " ", "z"), (8, "a b c d e f g", "w"), (8, "", "v")]
+    out = nd.without_near_duplicates(spark.createDataFrame(rows, SCHEMA + ", _set_key string"))
+    assert sorted((r.doc_id, r._set_key) for r in out.collect()) == [(5, "x"), (5, "y"), (5, "z"), (8, "v")]
