@@ -137,8 +137,8 @@ def name_findings(name: Column) -> Column:
 
 
 def script_markers(content: Column) -> Column:
-    """Whether the first megabyte of a page or picture holds code that runs."""
-    return _ascii(content, 0, 1 << 20).rlike(r"(?i)<script\b|\son\w+\s*=|javascript:")
+    """Whether a page or picture holds code that runs, anywhere in it."""
+    return F.decode(content, "ISO-8859-1").rlike(r"(?i)<script\b|\son\w+\s*=|javascript:")
 
 
 def hash_all(content: Column) -> dict[str, Column]:

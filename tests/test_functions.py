@@ -117,3 +117,9 @@ def test_metadata(spark):
     assert one(spark, metadata.camera_value(F.lit("FocalLength"), F.lit(6.86))) == "6.86 mm"
     assert one(spark, metadata.iso6709(F.lit("+37.7749-122.4194+010.000/"))) == "37.7749, -122.4194 (10 m)"
     assert str(one(spark, metadata.parse_pdf_date(F.lit("D:20260314092653+04'00'")))) == "2026-03-14 05:26:53"
+
+
+def test_script_markers_after_the_first_megabyte(spark):
+    page = F.concat(F.repeat(F.lit("x "), 1 << 20), F.lit("<SCRIPT>"))
+    assert one(spark, files.script_markers(page.cast("binary")))
+    assert not one(spark, files.script_markers(F.repeat(F.lit("x "), 1 << 20).cast("binary")))
