@@ -7,10 +7,11 @@ similarity. Sketches are cut into bands; documents that agree in a band are cand
 confirmed on their full shingle sets.
 
 Rows with equal sets form a class, of which only the smallest id goes on. In a band's bucket first all members are
-compared with one, and components are formed; a bucket that still holds several components compares its most central
-member with the others, and then each member outside its largest component with the members of other components. Pairs
-whose sets cannot share enough, because too much of them no other member of such buckets holds, are not compared. So no
-link between components is left out, and a bucket of copies costs about as many pairs as it has members.
+compared with one, and components are formed. In buckets that still hold several components, members are compared with the most
+central one, and with those that share a shingle with them which few others hold; a pair that shares none can be linked
+only by shingles that many hold. Members that have too few of those for any partner's size are done with, and the
+others go on with four times as large a bound of what is few. Each round makes at most that bound times its
+shingles in pairs, no link between components is left out, and a bucket of copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import compact, cut, fresh, mix, shingles, small, word_hashes
@@ -28,8 +29,10 @@ from leafmill.llm.common import compact, cut, fresh, mix, shingles, small, word_
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: Members outside the largest component that a bucket compares with all others in a round; doubled in each round.
-HUBS = 8
+#: A shingle that no more sets than this hold is rare; four times as many in each later round.
+RARE = 32
+#: A table of so many rare shingles is broadcast.
+RARE_BROADCAST = 200_000
 #: Rows whose shingles a task holds at a time.
 CHUNK_ROWS = 1000
 _SEEDS = mix(np.arange(2 * COORDINATES, dtype=np.uint64), 11)
@@ -101,29 +104,41 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = 5
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shared_shingles(texts: DataFrame, ids: DataFrame, shingle: int = 5) -> DataFrame:
-    """``id, alone``: how many shingles of each text ``id, th, text`` no other text of ``ids`` holds; of the texts of one id the least.
-
-    Shingles are known by 32 bits here: two of one hash count as one that is shared, so that ``alone`` is never too large.
-    Tasks gather what their own rows share before the shuffle.
-    """
+def held_shingles(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """``id, h``: 32 bits of each distinct shingle of the texts ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, CHUNK_ROWS) for b in batches for k in range(0, b.num_rows, CHUNK_ROWS)):
             sets = [np.unique((shingles(word_hashes(t.as_py()), shingle) >> np.uint64(32)).astype(np.uint32)) for t in batch.column(1)]
-            h = np.concatenate([np.empty(0, np.uint32), *sets])
+            h = np.concatenate([np.empty(0, np.uint32), *sets]).view(np.int32)
             who = np.repeat(np.arange(batch.num_rows), [len(x) for x in sets])
-            h, first, n = np.unique(h, return_index=True, return_counts=True)
-            # of several owners in a batch one and their number are enough to show that a shingle is shared
-            at = pa.array(who[first])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int32)), batch.column(0).take(at), batch.column(2).take(at), pa.array(n, pa.int64())], names=["h", "id", "th", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(h)], names=["id", "h"])
 
-    rows = texts.join(small(cut(ids)), "id", "left_semi").select("id", "text", "th")
-    owners = rows.mapInArrow(run, "h int, id long, th long, n long")
-    owners = owners.groupBy("h").agg(F.min("id").alias("_id"), F.max("id").alias("id2"), F.min("th").alias("_th"), F.max("th").alias("th2"), F.max("n").alias("n"))
-    alone = owners.filter("_id = id2 and _th = th2 and n = 1").groupBy("_id", "_th").agg(F.count("*").alias("alone"))
-    own = rows.select("id", "th").join(alone, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return own.groupBy("id").agg(F.min(F.coalesce("alone", F.lit(0))).alias("alone"))
+    return texts.select("id", "text").mapInArrow(run, "id long, h int")
+
+
+def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """``id, n, label, common`` of the sets ``id, n, label``, and ``id, h, n, label`` of the rare shingles that decide.
+
+    A shingle of ``held`` (``id, h``) that 2 to ``rare`` sets hold is rare, one that more hold is common. Two sets that can
+    be linked share one of the rows returned, or have no more in common than the lesser of their two ``common``: of a set's rare
+    shingles, the rarest first, only so many are returned that the rest is too small for a link. Shingles are known by 32
+    bits: those of one hash count as one, and what a set loses by that counts as common. For the ids of ``several_texts``, whose
+    rows of ``held`` come from different texts, all is common and all rare shingles are returned.
+    """
+    seen = cut(held.groupBy("h").agg(F.count("*").alias("f"), F.min("id").alias("id")).filter(F.col("f") <= rare))
+    alone = seen.filter("f = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    few = cut(held.join(small(seen.filter("f > 1").select("h", "f"), RARE_BROADCAST), "h"))
+    several = few.groupBy("id").agg(F.count("*").alias("several"))
+    many = several_texts.withColumn("many", F.lit(True))
+    own = sizes.join(alone, "id", "left").join(several, "id", "left").join(small(many), "id", "left").na.fill(0, ["alone", "several"])
+    reach = F.when(F.col("many"), F.col("n") + F.col("several")).otherwise(F.col("n") - F.col("alone"))
+    common = F.when(F.col("many"), F.col("n")).otherwise(F.col("n") - F.col("alone") - F.col("several"))
+    own = cut(own.select("id", "n", "label", reach.alias("reach"), common.alias("common")))
+    rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("f", "h"))
+    least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
+    rows = few.join(own.filter(F.col("reach") >= least), "id").withColumn("rank", rank)
+    return own.select("id", "n", "label", "common"), rows.filter(F.col("rank") <= F.col("reach") - least + 1).select("id", "h", "n", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,6 +159,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("v", "label")
 
 
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows ``h, rep, ...`` of buckets ``h`` that hold several components, with the ``label`` of each."""
+    m = members.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = m.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("h")
+    return m.join(mixed, "h", "left_semi")
+
+
 def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """``doc_id, th, n_shingles, key, component_id, kept`` for each row of ``doc_id, text``, as ``near_duplicates`` has them; ``th`` and ``key`` as ``sketches``."""
     s = cut(sketches(docs, shingle))
@@ -170,41 +192,41 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     same = used.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
     edges = compact(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
     labels = components(edges)
-    known = labels.select(F.col("v").alias("rep"), "label")
-    m = members.select("h", "rep", "n").join(known, "rep", "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    mixed = m.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("h")
-    open_ = compact(m.join(mixed, "h", "left_semi").select("h", "rep", "n"))
-    # an intersection is at most what other members of these buckets hold of a set
-    held = shared_shingles(texts, open_.select(F.col("rep").alias("id")).distinct(), shingle)
-    open_ = compact(open_.join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", (F.col("n") - F.col("alone")).alias("most")))
-    tested, hubs = first, 0
-    while True:
-        known = labels.select(F.col("v").alias("rep"), "label")
-        m = open_.join(known, "rep", "left").select("h", "rep", "n", "most", F.coalesce("label", "rep").alias("label"))
-        groups = m.groupBy("h", "label").agg(F.count("*").alias("c"))
-        mixed = groups.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("k")).filter("k > 1")
-        m = compact(m.join(mixed.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest")), "h"))
-        if not m.limit(1).count():
-            break
-        if hubs:
-            pick = F.pmod(F.xxhash64("h", "rep", F.lit(hubs)), F.col("rest")) < hubs
-            hub = m.filter((F.col("label") != F.col("major")) & pick)
-        else:
-            # first the member with the fewest shingles of its own, which copies of one text have in common
-            central = m.groupBy("h").agg(F.max(F.struct(F.col("most") / F.col("n"), "rep")).alias("x")).select("h", F.col("x.rep").alias("rep"))
-            hub = m.join(central, ["h", "rep"], "left_semi")
-        hub = hub.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("label").alias("label2"))
-        bound = F.least("most", "most2")
-        can = F.lit(100) * bound >= F.lit(percent) * (F.col("n") + F.col("n2") - bound)
-        pairs = compact(ordered(m.join(hub, (F.col("h") == F.col("h2")) & (F.col("label") != F.col("label2")) & can & alike)).join(tested, ["a", "b"], "left_anti"))
+    open_ = compact(mixed_buckets(members.select("h", "rep", "n"), labels))
+    held = cut(held_shingles(texts.join(small(cut(open_.select(F.col("rep").alias("id")).distinct())), "id", "left_semi"), shingle))
+    several_texts = cut(texts.groupBy("id").count().filter("count > 1").select("id"))
+    tested, rare, most = first, RARE, texts.count()
+    while open_.limit(1).count():
+        sizes = compact(open_.select(F.col("rep").alias("id"), "n", "label").distinct())
+        own, rows = split_by_rarity(held.join(small(sizes.select("id").distinct()), "id", "left_semi"), sizes, several_texts, percent, rare)
+        other = rows.select("h", F.col("id").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+        by_rare = ordered(rows.withColumnRenamed("id", "rep").join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))))
+        m = compact(open_.join(own.select(F.col("id").alias("rep"), "n", "common"), ["rep", "n"]))
+        # the member with the fewest shingles of its own, which copies of one text have in common; later one of a small component
+        central = m
+        if rare > RARE:
+            top = m.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"))
+            central = m.join(top, "h").filter(F.col("label") != F.col("top.label"))
+        hub = central.groupBy("h").agg(F.max(F.struct(F.col("common") / F.col("n"), "rep", "n", "common", "label")).alias("x"))
+        hub = hub.select("h", F.col("x.rep").alias("rep2"), F.col("x.n").alias("n2"), F.col("x.common").alias("common2"), F.col("x.label").alias("label2"))
+        bound = F.least("common", "common2")
+        can = F.lit(100 + percent) * bound >= F.lit(percent) * (F.col("n") + F.col("n2"))
+        by_hub = ordered(m.join(hub, "h").filter((F.col("label") != F.col("label2")) & can))
+        pairs = compact(by_rare.union(by_hub).distinct().join(tested, ["a", "b"], "left_anti"))
         found = compact(confirmed(pairs, texts, percent, shingle))
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
-        # where all members outside the largest component were compared, no link can be missing
-        if hubs:
-            open_ = m.filter(F.col("rest") > hubs).select("h", "rep", "n", "most")
-        tested, hubs = tested.union(pairs), hubs * 2 or HUBS
+        if rare >= most:
+            break
+        # what is left are links by common shingles alone: the largest size of a partner must be met in the bucket
+        fit = F.floor(F.lit(100 + percent) * F.col("common") / F.lit(percent)).cast("long") - F.col("n")
+        m = compact(mixed_buckets(m.select("h", "rep", "n", "common"), labels).withColumn("fit", fit))
+        partner = m.groupBy(F.col("h").alias("h2"), F.col("n").alias("n2")).agg(F.max("fit").alias("fit2"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+        fits = (F.col("n2") <= F.col("fit")) & (F.col("n") <= F.col("fit2")) & ((F.col("l1") != F.col("label")) | (F.col("l2") != F.col("label")))
+        m = m.join(partner, (F.col("h") == F.col("h2")) & fits, "left_semi")
+        open_ = compact(mixed_buckets(m.select("h", "rep", "n"), labels))
+        tested, rare = tested.union(pairs), rare * 4
 
     name = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("_key"), F.coalesce("label", "rep").alias("component"))
     out = s.select("doc_id", "th", "n", "key").join(name, F.col("key") == F.col("_key"), "left")

@@ -120,3 +120,22 @@ def test_different_texts_of_the_id_that_stays_are_kept(spark):
     rows = [(5, "a b c d e f g", "x"), (5, "A b c  d e f g", "x"), (5, "quite another text of seven words", "y"), (5, " ", "z"), (8, "a b c d e f g", "w"), (8, "", "v")]
     out = nd.without_near_duplicates(spark.createDataFrame(rows, SCHEMA + ", _set_key string"))
     assert sorted((r.doc_id, r._set_key) for r in out.collect()) == [(5, "x"), (5, "y"), (5, "z"), (8, "v")]
+
+
+def test_one_bucket_of_many_members_that_are_not_linked(spark, monkeypatch):
+    monkeypatch.setattr(nd, "bands", lambda coordinates: np.arange(40))  # all in the same buckets
+    monkeypatch.setattr(nd, "RARE", 2)  # so that it takes several rounds
+    rng = random.Random(6)
+    base, rows = [f"w{k}" for k in range(90)], []
+    other = [w if k % 25 else f"o{k}" for k, w in enumerate(base)]
+    for k in range(90):
+        own = list(rng.choice((base, other)))
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice(([], ["x"], [f"new{k}"], [own[at], "y"]))
+        rows.append((1000 - k, " ".join(own)))
+    check(spark, rows, 85)
+    check(spark, rows, 80)
+    # no original in the table, and every version far from the others or close to a few
+    far = [(k, " ".join(w if (i + k) % 9 or rng.random() < 0.5 else f"z{k // 2}" for i, w in enumerate(base))) for k in range(60)]
+    check(spark, far, 70)
