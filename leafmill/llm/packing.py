@@ -8,10 +8,13 @@ room. The search is by a segment tree over the capacities that are left. No toke
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -26,6 +29,13 @@ BLOCK_TOKENS = 1 << 21
 #: Fixed value: how the tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "pack_id string, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, parts array<int>, starts array<bigint>"
+#: What an index row repeats of the packed row; its place is ``path`` and ``row``, and ``first`` holds in the lower 32 bits where its running ends begin, in the upper ones where its resets begin.
+KEPT = ["pack_id", "n_tokens", "doc_ids", "parts", "starts"]
+INDEX = "path string, row long, first long, segments int, pack_id string, n_tokens int, doc_ids array<bigint>, parts array<int>, starts array<bigint>"
+#: Rows of a matrix that are read at once, at most.
+READ_ROWS = 1024
+#: White space as the tokenizer knows it. A run of more than 1000 is a piece of its own but for its last character, as the pattern also has it.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1001,}")
 
 
 class Tokens:
@@ -44,7 +54,14 @@ class Tokens:
         self.by_piece = _Pieces(self.encoder)
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text or ""):
+            end = run.end() - (run.end() < len(text))
+            out += [self._encode(text[at : run.start()]), np.array(self.encoder._encode_single_piece(text[run.start() : end]), "<u2").tobytes()]
+            at = end
+        return b"".join([*out, self._encode((text or "")[at:])])
+
+    def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         if "  " in text or text[-1] == " ":
@@ -172,27 +189,81 @@ _POSITIONS = np.arange(1 << 16, dtype="<u2")
 
 
 def write_matrices(packed: DataFrame, folder: str | None = None, width: int = WIDTH, pad: int = END_OF_TEXT) -> DataFrame:
-    """Writes ``packed`` as binary id matrices, a file for each task; returns ``path, rows, width, dtype`` of the files.
+    """Writes ``packed`` as binary id matrices, one for each task, and returns the index of their rows, columns ``INDEX``.
 
-    ``path`` holds rows of ``width`` uint16 ids, the unused end of a row filled with ``pad``; ``path + ".cu"`` holds for
-    each row the number of its segments and their running ends, as int32. Files go to the shared folder by default. A
-    task that runs again writes files of another name, and only those of the run that counts are returned.
+    ``path`` holds rows of ``width`` little-endian uint16 ids, the unused end of a row filled with ``pad``. ``path + ".cu"`` holds
+    0 and the running ends of each row's segments, and ``path + ".resets"`` the offsets, counted in ids from the
+    beginning of the matrix, at which positions begin at 0 again, both as little-endian int64; ``first`` and ``segments``
+    say which of them are a row's. Files go to the shared folder by default. A task that runs again writes files of another
+    name, and the index names those of the run that counts. An empty table gives an empty index.
     """
-    from pyarrow import fs
+    folder = folder or f"{shared_dir(packed.sparkSession)}/matrices-{uuid.uuid4().hex}"
+    uri = folder.split("://")[0] + "://" if "://" in folder else ""
 
-    folder = folder or f"{shared_dir(packed.sparkSession)}/matrices"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, store, files, row, first = TaskContext.get(), None, [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if store is None:
+                store, base = fs.FileSystem.from_uri(folder)
+                store.create_dir(base, recursive=True)
+                path = f"{base}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
+                files = [store.open_output_stream(path + end, compression=None) for end in ("", ".cu", ".resets")]
+            made: list[list] = [[], []]
+            for ids, cu in zip(batch.column("input_ids"), batch.column("cu_seqlens")):
+                ids, cu = ids.as_buffer(), np.array(cu.as_py(), "<i8")
+                begins = cu if cu[-1] < width else cu[:-1]  # the filling begins at 0 too
+                files[0].write(ids)
+                files[0].write(np.full(width - ids.size // 2, pad, "<u2").tobytes())
+                files[1].write(cu.tobytes())
+                files[2].write((begins + row * width).tobytes())
+                made[0].append(first)
+                made[1].append(len(cu) - 1)
+                first += len(cu) + (len(begins) << 32)
+                row += 1
+            rows = pa.array(range(row - batch.num_rows, row), pa.int64())
+            own = [pa.array([uri + path] * batch.num_rows), rows, pa.array(made[0], pa.int64()), pa.array(made[1], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *(batch.column(c) for c in KEPT)], names=["path", "row", "first", "segments", *KEPT])
+        for f in files:
+            f.close()
+
+    return cut(packed.select("input_ids", "cu_seqlens", *KEPT).mapInArrow(run, INDEX))
+
+
+def read_matrices(index: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows, columns ``SCHEMA``, of an index of ``write_matrices``, read back from the files; ranges of rows are one read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        path, rows = f"{base}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
-        with store.open_output_stream(path) as ids, store.open_output_stream(path + ".cu") as ends:
-            for batch in batches:
-                for row, cu in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids.write(row + np.full(width - len(row) // 2, pad, "<u2").tobytes())
-                    ends.write(np.array([len(cu) - 1, *cu[1:]], "<i4").tobytes())
-                    rows += 1
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows], pa.int64()), pa.array([width], pa.int32()), pa.array(["uint16"])], names=["path", "rows", "width", "dtype"])
-
-    return cut(packed.select("input_ids", "cu_seqlens").mapInArrow(run, "path string, rows long, width int, dtype string"))
+        for batch in (b.slice(k, READ_ROWS) for b in batches for k in range(0, b.num_rows, READ_ROWS)):
+            paths = batch.column("path").to_pylist()
+            begins = [k for k in range(len(paths)) if not k or paths[k] != paths[k - 1]]
+            for a, b in zip(begins, [*begins[1:], len(paths)]):
+                yield read(batch.slice(a, b - a), paths[a])
+
+    def read(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
+        rows, first, segments, used = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "first", "segments", "n_tokens"))
+        store, path = fs.FileSystem.from_uri(path)
+        low, high = int(rows.min()), int(rows.max()) + 1
+        with store.open_input_file(path) as f:
+            ids = np.frombuffer(f.read_at((high - low) * width * 2, low * width * 2), "<u2").reshape(-1, width)
+        ends, resets = first & (1 << 32) - 1, first >> 32
+        count = segments + (used < width)
+        with store.open_input_file(path + ".cu") as f:
+            e0 = int(ends.min())
+            cu = np.frombuffer(f.read_at(8 * (int((ends + segments).max()) + 1 - e0), 8 * e0), "<i8")
+        with store.open_input_file(path + ".resets") as f:
+            r0 = int(resets.min())
+            zero = np.frombuffer(f.read_at(8 * (int((resets + count).max()) - r0), 8 * r0), "<i8")
+        out: list[list] = [[], [], []]
+        for row, n, e, r, k, c in zip(rows, used, ends - e0, resets - r0, segments, count):
+            out[0].append(ids[row - low, :n].tobytes())
+            out[1].append(cu[e : e + k + 1].tolist())
+            begin = zero[r : r + c] - row * width
+            sizes = np.diff(np.append(begin, width))
+            out[2].append((_POSITIONS[:width] - np.repeat(begin, sizes).astype("<u2"))[:n].tobytes())
+        arrays = dict(zip(("input_ids", "cu_seqlens", "position_ids"), (pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.binary())))))
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([arrays.get(c) if c in arrays else part.column(c) for c in names], names=names)
+
+    return index.mapInArrow(run, SCHEMA)

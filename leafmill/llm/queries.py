@@ -28,7 +28,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.read_matrices(packing.write_matrices(packing.pack_documents(table(spark, sf_dir, "documents"))))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,10 +62,39 @@ def test_null_empty_and_repeated_rows(spark):
 
 
 def test_written_matrices(spark, tmp_path):
-    packed = pk.pack_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-    files = pk.write_matrices(packed, f"file://{tmp_path}").collect()
-    ids = np.concatenate([np.fromfile(f.path, "<u2").reshape(f.rows, f.width) for f in files])
-    assert len(ids) == packed.count()
-    want = sorted(r.input_ids for r in packed.collect())
-    lengths = [r.n_tokens for r in packed.collect()]
-    assert sorted(bytes(row[: n].tobytes()) for row, n in zip(ids, lengths)) == sorted(map(bytes, want))
+    packed = pk.pack_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)).cache()
+    index = pk.write_matrices(packed, f"file://{tmp_path}")
+    want = {r.pack_id: r for r in packed.collect()}
+    assert {r.pack_id: r for r in pk.read_matrices(index).collect()} == want
+    rows = index.collect()
+    assert len(rows) == len(want)
+    for path in {r.path for r in rows}:
+        own = sorted((r for r in rows if r.path == path), key=lambda r: r.row)
+        ids = np.fromfile(path.removeprefix("file://"), "<u2").reshape(len(own), pk.WIDTH)
+        resets = np.fromfile(path.removeprefix("file://") + ".resets", "<i8")
+        positions = np.arange(ids.size) - resets[np.searchsorted(resets, np.arange(ids.size), "right") - 1]
+        ends = np.fromfile(path.removeprefix("file://") + ".cu", "<i8")
+        at = 0
+        for r, row, position in zip(own, ids, positions.reshape(ids.shape)):
+            w = want[r.pack_id]
+            assert bytes(w.input_ids) == row[: r.n_tokens].tobytes() and (row[r.n_tokens :] == pk.END_OF_TEXT).all()
+            assert np.frombuffer(w.position_ids, "<u2").tolist() == position[: r.n_tokens].tolist()
+            assert position[r.n_tokens :].tolist() == list(range(pk.WIDTH - r.n_tokens))
+            assert ends[at : at + r.segments + 1].tolist() == w.cu_seqlens
+            at += r.segments + 1
+    assert pk.read_matrices(pk.write_matrices(packed.limit(0))).collect() == []
+
+
+def test_long_runs_of_white_space_are_pieces_as_for_the_tokenizer(monkeypatch):
+    rng = random.Random(4)
+    for space in (" ", "\n", "\u3000", " \t"):
+        for _ in range(20):
+            text = "".join(rng.choice(["a", "1b", ".", space * rng.randint(1, 1500), " c"]) for _ in range(8))
+            assert np.frombuffer(TOKENS.encode(text), "<u2").tolist() == TOKENS.encoder.encode_ordinary(text)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "x" + " " * 5_000_000 + "y"), (2, "ab" * 2_500_000), (3, "\n" * 2_000_000), (4, "one two " * 200_000)]
+    back = unpack(pk.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for doc, text in rows:
+        assert TOKENS.decode(back[doc][:-1]) == text and back[doc][-1] == pk.END_OF_TEXT
