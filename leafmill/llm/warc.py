@@ -25,6 +25,8 @@ from leafmill.llm.common import cut, shared_dir
 ARCHIVE_BYTES = 1 << 26
 #: Ranges no farther apart than this are read at once, up to so many bytes.
 GAP_BYTES, READ_BYTES = 1 << 16, 1 << 23
+#: Where there are many records, a task reads about so many bytes.
+TASK_BYTES = 1 << 28
 #: A table of revisits of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 DATE = "2026-01-01T00:00:00Z"
@@ -142,10 +144,13 @@ def read_records(index: DataFrame, selected=None) -> DataFrame:
     """The records, columns ``RECORD``, of the index rows for which ``selected`` holds (all without it).
 
     A revisit has no payload, but its length and digest. Sorted ranges no more than ``GAP_BYTES`` apart are one read of at
-    most about ``READ_BYTES``. The payload of a response is checked against its digest.
+    most about ``READ_BYTES``. The payload of a response is checked against its digest. Sections of ``READ_BYTES`` of the
+    archives are dealt to as many tasks as the selected records' bytes ask for.
     """
-    rows = index if selected is None else index.filter(selected)
-    rows = rows.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    rows = (index if selected is None else index.filter(selected)).select("archive", "offset", "length")
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = 1 + min(total // READ_BYTES, max(4 * index.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES))
+    rows = rows.repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
         held: list[tuple[str, int, int]] = []
