@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of token ids."""
-    return packing.pack_documents(docs)
+    """Rows of token ids, written as id matrices with their running ends and position resets, and read back."""
+    return packing.read_matrices(packing.write_matrices(packing.pack_documents(docs)))
 
 
 STAGES = [
