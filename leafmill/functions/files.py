@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.metadata import AI_SOURCE
+
 # Extensions, MIME types and signatures.
 PROGRAMS = "exe scr com pif bat cmd vbs vbe js jse wsf wsh hta ps1 psm1 msi msp jar lnk cpl reg dll iso img vhd vhdx apk app dmg pkg sh command scf url inf".split()
 MACROS = "docm dotm xlsm xltm xlam pptm potm ppsm".split()
@@ -141,6 +143,16 @@ def script_markers(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1").rlike(r"(?i)<script\b|\son\w+\s*=|javascript:")
 
 
+def content_marks(content: Column) -> Column:
+    """``c2pa, ai``: whether a picture holds Content Credentials, and whether they or its other labels say that a machine made it.
+
+    The whole file is looked at, as a credential may stand after the picture.
+    """
+    text = F.decode(content, "ISO-8859-1")
+    c2pa = text.rlike(r"jumb[\s\S]{0,64}c2pa|c2pa\.(claim|signature|actions)")
+    return F.struct(c2pa.alias("c2pa"), (c2pa & text.rlike(AI_SOURCE)).alias("ai"))
+
+
 def hash_all(content: Column) -> dict[str, Column]:
     return {"sha256": F.sha2(content, 256), "sha512": F.sha2(content, 512), "sha1": F.sha1(content), "md5": F.md5(content)}
 
@@ -181,12 +193,18 @@ def permission_flags(p: Column) -> Column:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-16 by its mark, else UTF-8 where valid, else Windows-1252."""
+    """UTF-16 by its mark, else UTF-8 where valid, else Windows-1252. Of UTF-16 an odd last byte goes, and half a surrogate pair becomes U+FFFD."""
     first = F.hex(F.substring(content, 1, 2))
     latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, _C1)), "".join(bytes([c]).decode("cp1252") for c in _C1))
     utf8 = F.regexp_replace(content.cast("string"), "^﻿", "")
-    rest = F.substring(content, F.lit(3), F.octet_length(content))
-    return F.when(first == "FFFE", F.decode(rest, "UTF-16LE")).when(first == "FEFF", F.decode(rest, "UTF-16BE")).when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(latin)
+    units = F.hex(F.substring(content, F.lit(3), F.octet_length(content)))
+
+    def wide(order: str) -> Column:
+        spaced = F.regexp_replace(F.regexp_replace(units, "(..)(..)", order), " ..$", " ")
+        whole = F.regexp_replace(F.regexp_replace(spaced, "D[89AB].. (?!D[C-F])", "FFFD "), "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+        return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
+
+    return F.when(first == "FFFE", wide("$2$1 ")).when(first == "FEFF", wide("$1$2 ")).when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(latin)
 
 
 _C1 = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]

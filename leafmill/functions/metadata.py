@@ -48,6 +48,11 @@ def humanize_key(key: Column) -> Column:
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
 
 
+def format_values(values: Column, most: int = 2000) -> Column:
+    """An array's values as one text."""
+    return format_value(F.array_join(values, ", "), most)
+
+
 def format_value(value: Column, most: int = 2000) -> Column:
     t = F.trim(F.regexp_replace(value, "\\u0000+$", ""))
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ NINO = r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 DATE = rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.?[{SPACE}]+(?:{MONTHS})\.?[{SPACE}]+\d{{4}}|(?:{MONTHS})\.?[{SPACE}]+\d{{1,2}},?[{SPACE}]+\d{{4}})"
 BIRTH = "date of birth|birth ?date|d\\.?o\\.?b\\.?|born(?: on)?|geburtsdatum|geboren(?: am)?|date de naissance|né(?:e)? le|fecha de nacimiento|data di nascita"
+BIRTH_WORDS = ["birth", "dob", "d.o", "do.b", "born", "gebur", "gebor", "naissance", "né", "nacimiento", "nascita"]
 DOB = rf"(?iu)\b(?:{BIRTH})[{SPACE}]*[:\-–]?[{SPACE}]*({DATE})"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.])"
 PHONE = rf"(?<![\w+])(?:\+|00)?\(?\d[\d{SPACE}().-]{{6,18}}\d(?![\w])"
@@ -67,7 +71,9 @@ def spans_of(kind: str, text: Column) -> Column:
     if kind == "nino":
         return guarded(text, digit, regex_spans(text, NINO))
     if kind == "dob":
-        return guarded(text, digit, regex_spans(text, DOB, 1))
+        low = F.lower(text)
+        labels = [low.contains(w) for w in BIRTH_WORDS]
+        return guarded(text, digit & reduce(or_, labels), regex_spans(text, DOB, 1))
     if kind == "ip":
         return guarded(text, digit & text.contains("."), F.filter(regex_spans(text, IP), lambda s: ~s["value"].rlike(r"^[0-2]\.\d\.\d\.\d$")))
     if kind == "phone":

@@ -28,7 +28,8 @@ def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct((at + F.coalesce(F.length(x["whole"]), F.lit(0))).alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # most texts have no match, and are gone through once
+    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
 def guarded(text: Column, needed: Column, spans: Column) -> Column:

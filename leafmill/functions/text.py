@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Common passwords, and how numbers in cells look.
 COMMON = "password passw0rd 123456 12345678 123456789 1234567890 qwerty qwertyuiop abc123 letmein welcome admin iloveyou monkey dragon football baseball sunshine princess master shadow trustno1 111111 000000 secret changeme p@ssw0rd login starwars".split()
 NUMBER = r"^(\()?([-+−])?\s?([$€£¥])?\s?(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?(\))?$"
-SENTENCE = r"[^.!?。！？]+[.!?。！？]*\s*"
+#: Marks that no sentence stands before are a part of their own, so that no text is lost.
+SENTENCE = r"[^.!?。！？]+[.!?。！？]*\s*|[.!?。！？]+\s*"
 CLOCK = r"^\d+(:\d+){0,2}(\.\d+)?$"
 _CHUNKS = "struct<part:string,out:array<string>>"
 
@@ -106,19 +107,21 @@ def password_score(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """XML entities as their characters; numeric ones up to the highest code point that ``char`` knows are decoded one by one."""
+    """XML entities as their characters; numbers that are no character, like those of half a surrogate pair, stay as they are."""
     for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
         text = F.regexp_replace(text, f"(?i)&{name};", mark)
     numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(x[0-9a-f]+|[0-9]+);"), F.lit(1)))
 
     def one(acc: Column, n: Column) -> Column:
         hexa = F.lower(n).startswith("x")
-        code = F.when(hexa, F.conv(F.substring(n, 2, 16), 16, 10)).otherwise(n).try_cast("int")
+        digits = F.regexp_replace(F.substring(n, F.when(hexa, 2).otherwise(1), F.length(n)), "^0+(?=.)", "")
+        code = F.when(F.length(digits) < 8, F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits)).try_cast("int")
         # UTF-16 of the code point, so that all of Unicode is reached
         low = code - 65536
         pair = F.concat(F.unhex(F.lpad(F.hex(F.lit(55296) + F.shiftright(low, 10)), 4, "0")), F.unhex(F.lpad(F.hex(F.lit(56320) + low.bitwiseAND(1023)), 4, "0")))
         shown = F.decode(F.when(code < 65536, F.unhex(F.lpad(F.hex(code), 4, "0"))).otherwise(pair), "UTF-16BE")
-        return F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), F.coalesce(shown, F.lit("")))
+        good = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(F.coalesce(good, F.lit(False)), F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), shown)).otherwise(acc)
 
     return F.regexp_replace(F.aggregate(numbers, text, one), "(?i)&amp;", "&")
 
@@ -143,3 +146,21 @@ def data_url(url: Column) -> Column:
     plain = F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))).cast("binary")
     content = F.when(options.rlike("(?i);base64"), F.try_to_binary(F.regexp_replace(body, r"\s+", ""), F.lit("base64"))).otherwise(plain)
     return F.when(t.rlike(pattern) & content.isNotNull(), F.struct(F.lower(kind).alias("type"), content.alias("bytes")))
+
+
+def expand_tabs(line: Column, stop: int = 4) -> Column:
+    """Tabs as spaces up to the next multiple of ``stop`` columns."""
+    parts = F.split(line, "\t", -1)
+    filled = lambda acc: F.concat(acc, F.repeat(F.lit(" "), F.lit(stop) - F.length(acc) % stop))
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.get(parts, F.lit(0)), lambda acc, p: F.concat(filled(acc), p))
+
+
+def text_blocks(texts: DataFrame, key: str, text: str, mono: bool = False) -> DataFrame:
+    """``key, seq, text``: a block for each line, an empty one as a space; tabs go to stops of four columns where ``mono``, else they are four spaces.
+
+    Empty lines at the end are left out; a null text has no blocks.
+    """
+    whole = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n+$", "")
+    shown = (lambda x: expand_tabs(x)) if mono else (lambda x: F.replace(x, F.lit("\t"), F.lit("    ")))
+    lines = F.transform(F.split(whole, "\n", -1), lambda x: F.coalesce(F.nullif(shown(x), F.lit("")), F.lit(" ")))
+    return texts.select(key, F.posexplode(lines).alias("seq", "text"))

@@ -83,12 +83,26 @@ def url_parts(url: Column) -> Column:
     raw = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*:"), raw).otherwise(F.concat(F.lit("https://"), raw))
     part = lambda k: F.regexp_extract(raw, _URL, k)
     host = F.lower(F.regexp_replace(F.coalesce(F.try_url_decode(part(3)), part(3)), r"^\[|\]$", ""))
+    host = numeric_host(host)
     good = F.when((host != "") & ~host.rlike(r"[\s<>^|%]") & F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int").between(0, 65535), F.lit(True)), host)
     empty = lambda c: F.nullif(c, F.lit(""))
     port = F.nullif(F.regexp_replace(part(4), "^0+(?=.)", ""), F.lit(""))
     return F.struct(F.lower(part(1)).alias("scheme"), empty(part(2)).alias("userinfo"), good.alias("host"), port.alias("port"), part(5).alias("path"), empty(part(6)).alias("query"))
 
 
+def numeric_host(host: Column) -> Column:
+    """A host of one to four numbers, decimal, octal or hexadecimal, as browsers read it: in dotted form; other hosts as they are."""
+    number = r"(?:0x[0-9a-f]{0,8}|[0-9]{1,12})"
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    value = lambda p: F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 8)), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p).try_cast("long")
+    n, values = F.size(parts), F.transform(parts, value)
+    room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+    fits = F.forall(F.slice(values, 1, n - 1), lambda v: v < 256) & (F.element_at(values, -1) < room)
+    whole = F.aggregate(F.slice(values, 1, n - 1), F.struct(F.lit(1 << 24).cast("long").alias("unit"), F.lit(0).cast("long").alias("sum")), lambda a, v: F.struct((a["unit"] / 256).cast("long").alias("unit"), (a["sum"] + v * a["unit"]).alias("sum")))["sum"] + F.element_at(values, -1)
+    byte = lambda k: F.shiftright(whole, k).bitwiseAND(F.lit(255).cast("long")).cast("string")
+    return F.when(host.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$"), F.when(fits, F.concat_ws(".", byte(24), byte(16), byte(8), byte(0)))).otherwise(host)
+
+
 def registrable_domain(host: Column) -> Column:
     """The part of a host that someone registered: two labels, or three where the last two are sold like one."""
     labels = F.split(F.regexp_replace(F.lower(host), r"\.$", ""), r"\.")
@@ -139,7 +153,7 @@ def flags_of(c: dict[str, Column], url: Column) -> Column:
             flag(good & (scheme == "http"), "http", "medium"),
             flag(good & c["userinfo"].isNotNull(), "userinfo", "high", host),
             flag(good & (c["ascii"].rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | c["ascii"].contains(":")), "ip", "high"),
-            flag(good & c["ascii"].rlike(r"(^|\.)xn--"), "idn", F.when(scripts > 1, "high").otherwise("medium"), host),
+            flag(good & c["ascii"].rlike(r"(^|\.)xn--|[^\x00-\x7F]"), "idn", F.when(scripts > 1, "high").otherwise("medium"), host),
             flag(good & (c["domain"].isin(SHORTENERS) | c["ascii"].isin(SHORTENERS)), "shortener", "medium"),
             flag(good & c["brand"].isNotNull(), "brand", "high", c["brand"]),
             flag(good & tld.isin(FILE_LIKE), "file_like", "medium", tld),
@@ -161,8 +175,10 @@ def with_verdicts(df: DataFrame, url: str, shown: str | None = None, unicode_hos
     seen = F.regexp_extract(F.trim(F.coalesce(F.col(shown), F.lit(""))), SHOWN, 1) if shown else F.lit("")
     df = df.withColumns({"_domain": registrable_domain(F.col("_host")), "_onward": _onward(F.col("_p.query")), "_seen": seen})
     df = df.withColumns({"_brand": _brand(F.col("_host"), F.col("_domain")), "_onward_domain": registrable_domain(F.col("_onward")), "_seen_domain": registrable_domain(F.col("_seen"))})
+    # a host that only looks beyond ASCII, as wide letters do, is the ASCII one
+    written = F.when(F.col("_p.host").rlike("[^\\x00-\\x7F]") & ~F.col("_host").rlike("[^\\x00-\\x7F]"), F.col("_host")).otherwise(F.col("_p.host"))
     c = {k: F.col(f"_p.{k}") for k in ("scheme", "userinfo", "port")} | {k: F.col(f"_{k}") for k in ("host", "domain", "brand", "onward", "onward_domain", "seen", "seen_domain")}
-    df = df.withColumn("_flags", flags_of(c | {"ascii": F.col("_p.host")}, F.col(url)))
+    df = df.withColumn("_flags", flags_of(c | {"ascii": written}, F.col(url)))
     web = F.col("_p.scheme").isin("http", "https")
     return df.select(*keep, worst_severity(F.col("_flags")).alias("severity"), F.col("_flags").alias("flags"), F.when(web, F.col("_host")).alias("host"), F.when(web, F.col("_domain")).alias("domain"))
 
@@ -176,15 +192,16 @@ def describe_payload(raw: Column, url_severity: Column | str = "info") -> Column
     """``kind, details, severity`` of the text of a QR code; ``url_severity``: what ``with_verdicts`` says of it as an address."""
     text = F.trim(raw)
     low = F.lower(text)
+    rest = lambda at: F.substring(text, F.lit(at), F.length(text))
 
     def field(body: Column, key: str) -> Column:
         value = F.regexp_extract(body, rf"(?i)(?:^|;){key}:((?:\\.|[^;])*)", 1)
         return F.when(body.rlike(rf"(?i)(?:^|;){key}:"), F.regexp_replace(value, r"\\(.)", "$1"))
 
-    body = F.substring(text, 6, 4000)
+    body = rest(6)
     security = F.coalesce(F.nullif(field(body, "T"), F.lit("")), F.lit("none"))
     wifi = F.array_compact(F.array(F.concat(F.lit("network: "), F.coalesce(field(body, "S"), F.lit("?"))), F.concat(F.lit("security: "), security), F.when(F.nullif(field(body, "P"), F.lit("")).isNotNull(), "with password")))
-    name = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)\nFN:(.*)", 1), F.lit("")), field(F.substring(text, 8, 4000), "N"), F.lit("Contact"))
+    name = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)\nFN:(.*)", 1), F.lit("")), field(rest(8), "N"), F.lit("Contact"))
     lines = F.split(text, r"\r?\n")
     bank = text.rlike(r"^BCD\r?\n")
     paid = F.when(bank, F.array_compact(F.array(F.concat(F.lit("to: "), F.coalesce(F.get(lines, F.lit(5)), F.lit("?"))), F.concat(F.lit("account: "), F.coalesce(F.get(lines, F.lit(6)), F.lit("?"))), F.concat(F.lit("amount: "), F.nullif(F.get(lines, F.lit(7)), F.lit("")))))).otherwise(F.array(F.substring_index(text, "?", 1)))
@@ -196,11 +213,11 @@ def describe_payload(raw: Column, url_severity: Column | str = "info") -> Column
     return (
         F.when(low.rlike(r"^https?://") | low.rlike(r"^www\.[^\s]+\.[a-z]{2,}"), out("url", F.array(text), url_severity))
         .when(low.startswith("wifi:"), out("wifi", wifi, F.when(security.rlike("(?i)^(nopass|none)$"), "medium").otherwise("info")))
-        .when(low.startswith("mailto:"), out("email", F.array(F.substring_index(F.substring(text, 8, 4000), "?", 1)), "info"))
-        .when(low.startswith("tel:"), out("phone", F.array(F.substring(text, 5, 4000)), "info"))
+        .when(low.startswith("mailto:"), out("email", F.array(F.substring_index(rest(8), "?", 1)), "info"))
+        .when(low.startswith("tel:"), out("phone", F.array(rest(5)), "info"))
         .when(low.rlike("^sms(to)?:"), out("sms", F.array(F.regexp_replace(text, "(?i)^smsto?:", "")), "medium"))
         .when(low.startswith("begin:vcard") | low.startswith("mecard:"), out("contact", F.array(F.trim(name)), "info"))
-        .when(low.startswith("geo:"), out("location", F.array(F.substring(text, 5, 4000)), "info"))
+        .when(low.startswith("geo:"), out("location", F.array(rest(5)), "info"))
         .when(low.startswith("otpauth://"), out("authenticator", F.array(code), "high"))
         .when(low.rlike("^(bitcoin|ethereum|litecoin|monero|upi):") | bank, out("payment", paid, "high"))
         .otherwise(out("text", F.array(F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 300), F.lit("…"))).otherwise(text)), "info"))

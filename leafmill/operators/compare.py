@@ -1,100 +1,265 @@
-"""Word-by-word comparison of two versions, for many pairs at once."""
+"""Word-by-word comparison of two versions, for many pairs at once.
+
+Words, keys, common starts and ends and the words that stand once on both sides are found by column expressions and one
+aggregation. Their longest rising chain cuts a pair into gaps; gaps are rows of their own, so that a long pair is dealt over
+many tasks, and only gaps reach the helper that finds a least script of edits.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafmill.functions.spans import SPACE
 
-# Marks that count as one.
+# Marks that count as one, and how many edits a gap may take before it is one replacement.
 UNIFIED = str.maketrans({**dict.fromkeys("‘’‚′", "'"), **dict.fromkeys("“”„″", '"'), **dict.fromkeys("‐‑‒–—―−", "-"), "­": None})
+MOST_EDITS = 1500
+SIDES = ["pair", "a", "b", "wa", "wb", "pa", "pb"]
+CHANGE = "kind string, a_from int, a_to int, b_from int, b_to int, before string, after string, before_page int, after_page int"
 
 
-def words_of(pairs: DataFrame) -> DataFrame:
-    """``pair, side, pos, word`` of ``pair, before, after``."""
-    sides = [pairs.select("pair", F.lit(s).alias("side"), F.posexplode(F.filter(F.split(c, r"\s+"), lambda w: w != "")).alias("pos", "word")) for s, c in (("a", "before"), ("b", "after"))]
-    return sides[0].union(sides[1])
+def _folded(words: pa.Array) -> pa.Array:
+    flat = [None if w is None else unicodedata.normalize("NFKC", w).translate(UNIFIED) for w in words.flatten().to_pylist()]
+    sizes = words.value_lengths().to_pylist()
+    ends = np.cumsum([0, *(n or 0 for n in sizes)]).tolist()
+    starts = [None if n is None else e for n, e in zip(sizes, ends)] + ends[-1:]
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.string()))
 
 
-def word_keys(words: DataFrame) -> DataFrame:
-    """``words`` with ``key``, the form in which they are compared. Only words beyond ASCII are worked out, once each."""
+#: Called nondeterministic so that Spark works it out once, and no filter that uses it is moved below it.
+_keys = F.arrow_udf(_folded, T.ArrayType(T.StringType())).asNondeterministic()
+
+
+def page_words(text: Column) -> Column:
+    """``page, word`` of the words of a text; pages, from 0, end at form feeds. Null has none."""
+    words = lambda t: F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\f"), lambda t, i: F.transform(words(t), lambda w: F.struct(i.cast("int").alias("page"), w.alias("word")))))
+
+
+def keys_of(words: Column) -> Column:
+    """The forms in which words are compared: compatible characters folded, quotes and dashes made one. Only rows with words beyond
+    ASCII hand these to Python."""
+    return F.coalesce(_keys(F.when(F.exists(words, lambda w: w.rlike("[^\\x00-\\x7F]")), words)), words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [unicodedata.normalize("NFKC", w).translate(UNIFIED) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys)], names=["_w", "_key"])
 
-    odd = words.select(F.col("word").alias("_w")).filter(F.col("_w").rlike("[^\\x00-\\x7F]")).distinct().mapInArrow(run, "_w string, _key string")
-    return words.join(odd, F.col("word") == F.col("_w"), "left").withColumn("key", F.coalesce("_key", "word")).drop("_w", "_key")
+def prepared(pairs: DataFrame) -> DataFrame:
+    """``pair, a, b, pa, pb, wa, wb, head, tail``: keys, pages and words of both sides, and how many words they have in common at their ends."""
+    df = pairs.select("pair", page_words(F.col("before")).alias("_a"), page_words(F.col("after")).alias("_b"))
+    df = df.select("pair", *[F.col(f"_{s}.{c}").alias(f"{n}{s}") for s in "ab" for n, c in (("p", "page"), ("w", "word"))])
+    df = df.select("*", keys_of(F.col("wa")).alias("a"), keys_of(F.col("wb")).alias("b"))
+    shorter = F.least(F.size("a"), F.size("b"))
+
+    def alike(x: Column, y: Column) -> Column:
+        first = F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), F.lit(False))
+        return F.when(first > 0, first - 1).otherwise(F.size(x)).cast("int")
+
+    df = df.withColumn("head", F.least(alike(F.col("a"), F.col("b")), shorter))
+    return df.withColumn("tail", F.least(alike(F.reverse("a"), F.reverse("b")), shorter - F.col("head")).cast("int"))
 
 
 def unique_anchors(words: DataFrame) -> DataFrame:
-    """``pair, key, a, b``: words that stand exactly once on both sides of a pair, with their positions."""
-    once = words.groupBy("pair", "key").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"), F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("b"))
+    """``pair, key, a, b``: keys that stand exactly once on both sides of a pair (``pair, side, pos, key``), with their positions."""
+    at = lambda s: F.max(F.when(F.col("side") == s, F.col("pos")))
+    n = lambda s: F.count_if(F.col("side") == s)
+    once = words.groupBy("pair", "key").agg(n("a").alias("na"), n("b").alias("nb"), at("a").alias("a"), at("b").alias("b"))
     return once.filter("na = 1 and nb = 1").select("pair", "key", "a", "b")
 
 
-def trim_common(words: DataFrame) -> DataFrame:
-    """``pair, head, tail, na, nb``: how many words two versions have in common at their starts and at their ends."""
-    n = words.groupBy("pair").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
-    w = words.join(n, "pair").withColumn("end", F.when(F.col("side") == "a", F.col("na")).otherwise(F.col("nb")) - F.col("pos"))
+def words_of(ready: DataFrame) -> DataFrame:
+    """``pair, side, pos, key`` of the words between the common ends of ``prepared`` pairs."""
+    inner = lambda c, s: F.transform(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")), lambda k, i: F.struct(F.lit(s).alias("side"), (i + F.col("head")).alias("pos"), k.alias("key")))
+    return ready.select("pair", F.inline(F.concat(inner("a", "a"), inner("b", "b"))))
+
+
+#: A path that left the two sequences.
+OUTSIDE = -(1 << 40)
+
+
+def rising(values: list[int]) -> list[int]:
+    """The places of a longest strictly rising chain of ``values``."""
+    ends, places, before = [], [], []
+    for k, v in enumerate(values):
+        at = bisect_left(ends, v)
+        before.append(places[at - 1] if at else -1)
+        ends[at : at + 1], places[at : at + 1] = [v], [k]
+    out, k = [], places[-1] if places else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def least_script(a: np.ndarray, b: np.ndarray, most: int = MOST_EDITS) -> list[tuple[int, int]] | None:
+    """The pairs of places that a least script of edits keeps (Myers 1986), or None if it takes more than ``most`` edits.
+
+    The furthest reaching paths of one number of edits are moved on together, as arrays over their diagonals.
+    """
+    n, m, trail = len(a), len(b), []
+    reach = np.zeros(1, np.int64)  # by diagonal -d, -d + 2, ..., d
+    for d in range(min(n + m, most) + 1):
+        k = np.arange(-d, d + 1, 2)
+        if d:
+            down = np.append(reach, OUTSIDE)  # an insertion, from the diagonal above
+            across = np.append(OUTSIDE, reach + 1)  # a deletion, from the one below
+            reach = np.where(down >= across, down, across)
+        reach = np.where((reach < 0) | (reach > n) | (reach - k > m), OUTSIDE, reach)
+        start, go = reach.copy(), reach >= 0
+        while True:
+            go &= (reach < n) & (reach - k < m)
+            if not go.any():
+                break
+            at = np.flatnonzero(go)
+            same = a[reach[at]] == b[reach[at] - k[at]]
+            reach[at[same]] += 1
+            go[at[~same]] = False
+        trail.append((start, reach.copy()))
+        end = n - m
+        if abs(end) <= d and (end + d) % 2 == 0 and reach[(end + d) // 2] == n:
+            break
+    else:
+        return None
+    kept, k = [], n - m
+    for d in range(len(trail) - 1, -1, -1):
+        start, reach = trail[d]
+        i = (k + d) // 2
+        kept += [(x, x - k) for x in range(int(reach[i]) - 1, int(start[i]) - 1, -1)]
+        if d:
+            previous = trail[d - 1][1]
+            down = previous[i] if i < d else OUTSIDE
+            across = previous[i - 1] + 1 if i else OUTSIDE
+            k += 1 if down >= across else -1
+    return kept[::-1]
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The places kept between two sequences: equal ends, then words that stand once on each side, then a least script of what is between.
+
+    The gaps are a list of work, so that depth costs no recursion.
+    """
+    kept, work = [], [(0, len(a), 0, len(b))]
+    while work:
+        a0, a1, b0, b1 = work.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            kept.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            kept.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        left, right = a[a0:a1].tolist(), b[b0:b1].tolist()
+        n, m = Counter(left), Counter(right)
+        place = {w: j for j, w in enumerate(right)}
+        once = [(i, place[w]) for i, w in enumerate(left) if n[w] == 1 and m[w] == 1]
+        chain = [once[k] for k in rising([j for _, j in once])]
+        if chain:
+            cuts = [(-1, -1), *chain, (a1 - a0, b1 - b0)]
+            kept += [(a0 + i, b0 + j) for i, j in chain]
+            work += [(a0 + i + 1, a0 + k, b0 + j + 1, b0 + l) for (i, j), (k, l) in zip(cuts, cuts[1:])]
+        else:
+            kept += [(a0 + i, b0 + j) for i, j in least_script(a[a0:a1], b[b0:b1]) or []]
+    return sorted(kept)
 
-    def first_difference(at: str) -> DataFrame:
-        both = w.groupBy("pair", at).agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        return both.filter("c < 2 or lo <> hi").groupBy("pair").agg(F.min(at).alias(f"_{at}"))
 
-    out = n.join(first_difference("pos"), "pair", "left").join(first_difference("end"), "pair", "left")
-    shorter = F.least("na", "nb")
-    head = F.coalesce("_pos", shorter)
-    tail = F.least(F.coalesce(F.col("_end") - 1, shorter), shorter - head)
-    return out.select("pair", head.cast("int").alias("head"), tail.cast("int").alias("tail"), "na", "nb")
+def gaps(ready: DataFrame) -> DataFrame:
+    """``pair, a0, b0, a, b, wa, wb, pa, pb`` of the stretches between anchors in which the sides of ``prepared`` pairs differ.
+
+    ``pa`` and ``pb`` go one word further than the stretch, where there is one, and begin one word before it.
+    """
+    anchors = unique_anchors(words_of(ready)).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("anchors"))
+    df = ready.filter("size(a) + size(b) > head + head + tail + tail").join(anchors, "pair", "left")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for head, tail, na, nb, anchors in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "na", "nb", "anchors"))):
+                anchors = anchors or []
+                chain = [anchors[i] for i in rising([x["b"] for x in anchors])]
+                cuts = [(head - 1, head - 1), *((x["a"], x["b"]) for x in chain), (na - tail, nb - tail)]
+                out.append([{"a0": i + 1, "a1": u, "b0": j + 1, "b1": v} for (i, j), (u, v) in zip(cuts, cuts[1:]) if u > i + 1 or v > j + 1])
+            kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("a0", "a1", "b0", "b1")]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SIDES), pa.array(out, kind)], names=[*SIDES, "gaps"])
 
-def _ops(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """What differs between two lists of words: (kind, from a, to a, from b, to b), without what is equal."""
-    return [(k, *at) for k, *at in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if k != "equal"]
+    df = df.select(*SIDES, "head", "tail", F.size("a").alias("na"), F.size("b").alias("nb"), "anchors")
+    shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in SIDES)
+    cut = df.mapInArrow(run, f"{shape}, gaps array<struct<a0:int,a1:int,b0:int,b1:int>>").select("*", F.inline("gaps"))
+    part = lambda c, s: F.slice(c, F.col(f"{s}0") + 1, F.col(f"{s}1") - F.col(f"{s}0")).alias(c)
+    wide = lambda s: F.slice(f"p{s}", F.greatest(F.col(f"{s}0"), F.lit(1)), F.col(f"{s}1") - F.col(f"{s}0") + 2).alias(f"p{s}")
+    return cut.select("pair", "a0", "b0", part("a", "a"), part("b", "b"), part("wa", "a"), part("wb", "b"), wide("a"), wide("b"))
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:
-    """``pair, kind, a_from, a_to, b_from, b_to, before, after`` of every change of every pair.
+    """``pair`` and the columns of ``CHANGE`` for every change of every pair ``pair, before, after``; ``pair`` is unique.
 
-    Common starts and ends are cut off by joins and aggregates; only the middles of pairs that differ are put side by side, one
-    pair at a time. A change is ``added``, ``removed`` or ``changed``; positions count words from 0.
+    A change is ``added``, ``removed`` or ``changed``; positions count words from 0, pages (ended by form feeds) from 0. Of words that were only
+    added or only removed, the page on the other side is that of the word that follows, or of the last one. Null texts are empty.
     """
-    words = word_keys(words_of(pairs))
-    ends = trim_common(words)
-    mid = words.join(ends, "pair").filter((F.col("pos") >= F.col("head")) & (F.col("pos") < F.when(F.col("side") == "a", F.col("na")).otherwise(F.col("nb")) - F.col("tail")))
-    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "key", "word")))), lambda x: F.struct(x["key"].alias("key"), x["word"].alias("word")))
-    both = mid.groupBy("pair", "head").agg(side("a").alias("a"), side("b").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for k, row in enumerate(batch.select(["head", "a", "b"]).to_pylist()):
-                a, b, head = row["a"] or [], row["b"] or [], row["head"]
-                for _, i, j, m, n in _ops([x["key"] for x in a], [x["key"] for x in b]):
-                    kind = "changed" if j > i and n > m else "removed" if j > i else "added"
-                    out.append((k, kind, head + i, head + j, head + m, head + n, " ".join(x["word"] for x in a[i:j]), " ".join(x["word"] for x in b[m:n])))
-            kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.string()]
-            keys = batch.column(0).take(pa.array([r[0] for r in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c + 1] for r in out], t) for c, t in enumerate(kinds))], names=["pair", "kind", "a_from", "a_to", "b_from", "b_to", "before", "after"])
+            for k, g in enumerate(batch.drop_columns(["pair"]).to_pylist()):
+                code: dict[str, int] = {}
+                a, b = (np.array([code.setdefault(w, len(code)) for w in g[s]], np.int64) for s in "ab")
+                kept = [(-1, -1), *matched(a, b), (len(a), len(b))]
+                for (i, j), (u, v) in zip(kept, kept[1:]):
+                    if u > i + 1 or v > j + 1:
+                        kind = "changed" if u > i + 1 and v > j + 1 else "removed" if u > i + 1 else "added"
+                        before, after = g["wa"][i + 1 : u], g["wb"][j + 1 : v]
+                        pages = [p[min(x + 1 + (g[f"{s}0"] > 0), len(p) - 1)] if p else 0 for s, p, x in (("a", g["pa"], i), ("b", g["pb"], j))]
+                        out.append((k, kind, g["a0"] + i + 1, g["a0"] + u, g["b0"] + j + 1, g["b0"] + v, " ".join(before), " ".join(after), *pages))
+            kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.int32()]
+            keys = batch.column("pair").take(pa.array([r[0] for r in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c + 1] for r in out], t) for c, t in enumerate(kinds))], names=["pair", *(c.split()[0] for c in CHANGE.split(", "))])
 
-    kind = pairs.schema["pair"].dataType.simpleString()
-    return both.select("pair", "head", "a", "b").mapInArrow(run, f"pair {kind}, kind string, a_from int, a_to int, b_from int, b_to int, before string, after string")
+    dealt = gaps(prepared(pairs)).repartition("pair", "a0")
+    return dealt.mapInArrow(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, {CHANGE}")
 
 
 def comparison_summary(pairs: DataFrame) -> DataFrame:
     """Words before, after and unchanged, and changes by kind, of each pair."""
     d = word_diff(pairs).groupBy("pair").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "changed")], F.sum(F.col("a_to") - F.col("a_from")).alias("gone"))
-    n = [F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long").alias(a) for c, a in (("before", "words_before"), ("after", "words_after"))]
+    n = [F.size(page_words(F.col(c))).cast("long").alias(a) for c, a in (("before", "words_before"), ("after", "words_after"))]
     out = pairs.select("pair", *n).join(d, "pair", "left").fillna(0, ["added", "removed", "changed", "gone"])
     return out.withColumn("unchanged", F.col("words_before") - F.col("gone")).drop("gone")
 
 
+def changes_report(changes: DataFrame) -> DataFrame:
+    """``pair, changes, text``: the number of changes of each pair and a line for each of them, in order."""
+    page = lambda c: (F.col(c) + 1).cast("string")
+    added = F.concat(F.lit("Added (page "), page("after_page"), F.lit("): "), "after")
+    removed = F.concat(F.lit("Removed (page "), page("before_page"), F.lit("): "), "before")
+    changed = F.concat(F.lit("Changed (page "), page("before_page"), F.lit(" → "), page("after_page"), F.lit("): "), "before", F.lit(" → "), "after")
+    line = F.when(F.col("kind") == "added", added).when(F.col("kind") == "removed", removed).otherwise(changed)
+    lines = F.array_sort(F.collect_list(F.struct("a_from", "b_from", line.alias("line"))))
+    return changes.groupBy("pair").agg(F.count("*").alias("changes"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def rebuilt(pairs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``pair, text``: the words of ``after`` with single spaces, made from ``before`` and the changes alone."""
+    ops = changes.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("a_from", "a_to", "after"))).alias("ops"))
+    words = F.transform(page_words(F.col("before")), lambda w: w["word"])
+    df = pairs.select("pair", words.alias("w")).join(ops, "pair", "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, op: Column) -> Column:
+        same = F.slice("w", acc["at"] + 1, op["a_from"] - acc["at"])
+        return F.struct(op["a_to"].alias("at"), F.concat(acc["out"], same, F.filter(F.array(op["after"]), lambda t: t != "")).alias("out"))
+
+    none = F.array().cast("array<struct<a_from:int,a_to:int,after:string>>")
+    whole = F.aggregate(F.coalesce("ops", none), start, step, lambda acc: F.concat(acc["out"], F.slice("w", acc["at"] + 1, F.size("w"))))
+    return df.select("pair", F.array_join(whole, " ").alias("text"))
+
+
 def version_pairs(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Each row with the one before it in its group, as ``pair, before, after``."""
     w = Window.partitionBy(key).orderBy(order)

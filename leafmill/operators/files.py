@@ -30,6 +30,6 @@ def tools_for(files: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def size_savings(sizes: DataFrame) -> DataFrame:
-    """``saved`` of ``before, after``: the share saved; the original is kept unless a tenth is saved."""
+    """``saved`` of ``before, after``: the share saved; the original is kept unless a tenth is saved. Of an empty file nothing is."""
     smaller = F.col("after") <= F.col("before") * 0.9
-    return sizes.withColumn("kept", F.when(smaller, F.col("after")).otherwise(F.col("before"))).withColumn("saved", 1 - F.col("kept") / F.col("before"))
+    return sizes.withColumn("kept", F.when(smaller, F.col("after")).otherwise(F.col("before"))).withColumn("saved", F.coalesce(1 - F.try_divide("kept", "before"), F.lit(0.0)))

@@ -23,8 +23,19 @@ def keep_drop(segments: DataFrame, keep_icc: bool = True) -> DataFrame:
     return segments.withColumn("keep", keeps(F.col("marker"), F.col("bytes"), keep_icc))
 
 
-def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content: str = "content", keep_icc: bool = True) -> DataFrame:
-    """``key, content`` of JPEG and PNG files without what only describes them: header, kept segments, and a JPEG's image data, in order."""
+def upright_segment(turn: Column, png: Column) -> Column:
+    """The bytes of a segment that holds the orientation alone, as EXIF."""
+    tiff = F.concat(F.unhex(F.lit("4D4D002A000000080001011200030000000100")), F.unhex(F.lpad(F.hex(turn), 2, "0")), F.unhex(F.lit("000000000000")))
+    chunk = F.concat(F.lit(b"eXIf"), tiff)
+    whole = F.concat(F.unhex(F.lit("0000001A")), chunk, F.unhex(F.lpad(F.hex(F.crc32(chunk)), 8, "0")))
+    return F.when(png, whole).otherwise(F.concat(F.unhex(F.lit("FFE10022457869660000")), tiff))
+
+
+def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content: str = "content", keep_icc: bool = True, orientation: DataFrame | None = None) -> DataFrame:
+    """``key, content`` of JPEG and PNG files without what only describes them: header, kept segments, and a JPEG's image data, in order.
+
+    With ``orientation`` (``key, turn``, 1 to 8) a picture that is not upright keeps that tag alone, after a JPEG's header or a PNG's first chunk.
+    """
     s = keep_drop(segments, keep_icc).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "length", "keep"))).alias("_s"))
     df = files.select(key, content).join(s, key)
     png = F.substring(F.col(content), 1, 4) == F.unhex(F.lit("89504E47"))
@@ -32,15 +43,28 @@ def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content:
     last = F.element_at("_s", -1)
     tail = F.when(png, F.unhex(F.lit(""))).otherwise(F.substring(F.col(content), (last["start"] + last["length"] + 1).cast("int"), F.octet_length(content)))
     kept = F.filter("_s", lambda x: x["keep"])
-    body = F.aggregate(kept, head, lambda acc, x: F.concat(acc, F.substring(F.col(content), (x["start"] + 1).cast("int"), x["length"].cast("int"))))
+    own = lambda x: F.substring(F.col(content), (x["start"] + 1).cast("int"), x["length"].cast("int"))
+    if orientation is not None:
+        df = df.join(orientation.select(F.col(key).alias("_k"), "turn"), F.col(key) == F.col("_k"), "left")
+        tag = F.when(F.col("turn").between(2, 8), upright_segment(F.col("turn"), png)).otherwise(F.unhex(F.lit("")))
+        first = F.when(png, own(F.get("_s", F.lit(0)))).otherwise(F.unhex(F.lit("")))
+        head, kept = F.concat(head, first, tag), F.when(png, F.filter(F.slice("_s", F.lit(2), F.size("_s")), lambda x: x["keep"])).otherwise(kept)
+    body = F.aggregate(kept, head, lambda acc, x: F.concat(acc, own(x)))
     return df.select(key, F.concat(body, tail).alias(content))
 
 
 def jpeg_quality(segments: DataFrame, key: str = "path") -> DataFrame:
-    """``key, quality`` (1 to 100) from the 8-bit luminance table of a JPEG."""
+    """``key, quality`` (1 to 100) from a JPEG's luminance table, of 8 or 16 bits, wherever it stands among the tables of a segment."""
     byte = lambda i: F.conv(F.hex(F.substring(F.col("bytes"), i + 1, F.lit(1))), 16, 10).cast("int")
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda acc, i: acc + byte(i))
-    tables = segments.filter((F.col("marker") == "DB") & (F.hex(F.substring("bytes", 1, 1)) == "00") & (F.octet_length("bytes") >= 65))
+    wide = lambda at: byte(at) >= 16
+    # a segment holds four tables at most, each of 65 or 129 bytes
+    step = lambda acc, _: F.when((acc >= F.octet_length("bytes")) | (byte(acc) % 16 == 0), acc).otherwise(acc + 1 + F.when(wide(acc), 128).otherwise(64))
+    df = segments.filter(F.col("marker") == "DB").withColumn("_at", F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), step))
+    df = df.filter((F.col("_at") < F.octet_length("bytes")) & (byte(F.col("_at")) % 16 == 0))
+    df = df.filter(F.octet_length("bytes") > F.col("_at") + F.when(wide(F.col("_at")), 128).otherwise(64))
+    at = F.col("_at")
+    one = lambda i: F.when(wide(at), byte(at + i * 2 - 1) * 256 + byte(at + i * 2)).otherwise(byte(at + i))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda acc, i: acc + one(i))
     scale = F.col("_sum") / F.lit(STANDARD_SUM) * 100
     quality = F.when(F.col("_sum") == 64, 100).otherwise(F.least(F.lit(100), F.greatest(F.lit(1), F.floor(F.when(scale <= 100, (200 - scale) / 2).otherwise(5000 / scale) + 0.5))))
-    return tables.groupBy(key).agg(F.min_by(total, "seq").alias("_sum")).select(key, quality.cast("int").alias("quality"))
+    return df.groupBy(key).agg(F.min_by(total, "seq").alias("_sum")).select(key, quality.cast("int").alias("quality"))

@@ -10,16 +10,29 @@ PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$|^[-–—]\s*\d{1,
 BULLET = r"^\s*([•●○◦▪▫■□‣⁃∙·*–-])\s+"
 NUMBERED = r"(?i)^\s*(\(?(\d{1,3}|[a-z]|[ivxlcdm]{1,5})[.)])\s+"
 HEADINGS = [(1.6, 1), (1.3, 2), (1.12, 3)]
+BLANK = {"strict": 0.00002, "normal": 0.0003, "scanned": 0.004}
+PAGE = ("doc_id", "page")
 
 
-def group_lines(items: DataFrame) -> DataFrame:
-    """``items`` with ``line``: numbered from the top of each page.
+def mode_of(values: Column, weights: Column) -> Column:
+    """The value of an array, rounded to halves, that has the most weight; of equal ones the first."""
+    half = F.transform(values, lambda v: F.floor(v * 2 + 0.5) / 2)
+
+    def one(k: Column) -> Column:
+        weight = F.aggregate(F.zip_with(half, weights, lambda v, w: F.when(v == k, w).otherwise(0)), F.lit(0), lambda x, y: x + y)
+        return F.struct(weight.alias("w"), (-F.array_position(half, k)).alias("first"), k.alias("value"))
+
+    return F.array_max(F.transform(F.array_distinct(half), one))["value"]
+
+
+def group_lines(items: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """``items`` with ``line``: numbered from the top of each page, or of each column where ``by`` has one.
 
     An item is on the line before it if its baseline is within 45 % of the larger size of the line's anchor, its largest item so far. That is
     a running state, so a page's items are folded in order; a page is small, and pages are dealt over the cluster.
     """
     used = items.filter((F.trim("text") != "") & (F.col("size") > 0))
-    page = used.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size"))).alias("items"))
+    page = used.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size"))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("size"), F.array().cast("array<struct<item_no:int,line:int>>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -29,21 +42,44 @@ def group_lines(items: DataFrame) -> DataFrame:
         out = F.concat(acc["out"], F.array(F.struct(i["item_no"].cast("int").alias("item_no"), n.alias("line"))))
         return F.struct(n.alias("n"), F.when(taller, i["y"]).otherwise(acc["y"]).alias("y"), F.when(taller, i["size"]).otherwise(acc["size"]).alias("size"), out.alias("out"))
 
-    lines = page.select("doc_id", "page", F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
-    return used.join(lines, ["doc_id", "page", "item_no"])
+    lines = page.select(*by, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
+    return used.join(lines, [*by, "item_no"])
 
 
-def line_text(lined: DataFrame, tab_gap: float = 3) -> DataFrame:
-    """``doc_id, page, line, text, x, right, y, size, bold``: wide gaps between items become tabs, smaller ones spaces."""
-    w = Window.partitionBy("doc_id", "page", "line").orderBy("x", "item_no")
+def _pieces(lined: DataFrame, tab_gap: float, by: tuple[str, ...]) -> DataFrame:
+    """``lined`` with ``_t``, the item's text with the tab or space that its gap to the items before stands for."""
+    w = Window.partitionBy(*by, "line").orderBy("x", "item_no")
     before = F.max(F.col("x") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gap, last = F.col("x") - before, F.lag("text").over(w)
-    lead = F.when(gap > tab_gap * F.col("size"), F.lit("\t")).when((gap > 0.15 * F.col("size")) & ~last.rlike(r"\s$") & ~F.col("text").rlike(r"^\s"), F.lit(" ")).otherwise("")
-    piece = lined.withColumn("_t", F.concat(F.coalesce(lead, F.lit("")), F.col("text")))
-    return piece.groupBy("doc_id", "page", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "item_no", "_t"))), lambda s: s["_t"]), "").alias("text"),
-        F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.max_by("y", F.struct("size", -F.col("x"))).alias("y"), F.max("size").alias("size"), F.bool_and(F.coalesce("bold", F.lit(False))).alias("bold"),
+    df = lined.withColumn("_tab", F.coalesce(gap > tab_gap * F.col("size"), F.lit(False)))
+    space = F.coalesce((gap > 0.15 * F.col("size")) & ~last.rlike(r"\s$") & ~F.col("text").rlike(r"^\s"), F.lit(False))
+    own = F.when(F.coalesce(F.lead("_tab").over(w), F.lit(False)), F.rtrim("text")).otherwise(F.col("text"))
+    return df.withColumn("_t", F.when(F.col("_tab"), F.concat(F.lit("\t"), F.ltrim(own))).when(space, F.concat(F.lit(" "), own)).otherwise(own))
+
+
+def line_text(lined: DataFrame, tab_gap: float = 3, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """``doc_id, page, line, text, x, right, y, size, bold``: wide gaps between items become tabs, smaller ones spaces.
+
+    A line has the size of most of its characters, and the baseline of its first item of that size.
+    """
+    rows = _pieces(lined, tab_gap, by).groupBy(*by, "line").agg(
+        F.array_sort(F.collect_list(F.struct("x", "item_no", "_t", "y", "size", F.length("text").alias("n")))).alias("_i"),
+        F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.bool_and(F.coalesce("bold", F.lit(False))).alias("bold"),
     )
+    rows = rows.withColumn("size", mode_of(F.col("_i.size"), F.col("_i.n")))
+    main = F.get(F.filter("_i", lambda i: F.abs(i["size"] - F.col("size")) < 0.01), F.lit(0))["y"]
+    return rows.select(*by, "line", F.array_join("_i._t", "").alias("text"), "x", "right", F.coalesce(main, F.get("_i", F.lit(0))["y"]).alias("y"), "size", "bold")
+
+
+def line_segments(lined: DataFrame, tab_gap: float = 3, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """``doc_id, page, line, segment, text, bold, italic, size``: stretches of one style in each line, from 0; ``italic`` may be missing."""
+    lined = lined if "italic" in lined.columns else lined.withColumn("italic", F.lit(False))
+    w = Window.partitionBy(*by, "line").orderBy("x", "item_no")
+    df = _pieces(lined, tab_gap, by).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("bold", "italic")})
+    new = (F.col("bold") != F.lag("bold").over(w)) | (F.col("italic") != F.lag("italic").over(w)) | (F.abs(F.col("size") - F.lag("size").over(w)) >= 0.25)
+    df = df.withColumn("segment", F.sum(F.when(new, 1).otherwise(0)).over(w).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "item_no", "_t"))), lambda s: s["_t"]), "")
+    return df.groupBy(*by, "line", "segment").agg(text.alias("text"), F.first("bold").alias("bold"), F.first("italic").alias("italic"), F.min_by("size", F.struct("x", "item_no")).alias("size"))
 
 
 def remove_running_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -57,20 +93,30 @@ def remove_running_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return out.filter(~(F.col("_margin") & (F.trim("text").rlike(PAGE_NUMBER) | F.coalesce("_often", F.lit(False))))).select(*lines.columns)
 
 
-def group_paragraphs(lines: DataFrame) -> DataFrame:
+def group_paragraphs(lines: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """``lines`` with ``paragraph``, numbered in each page: a new one after a gap, a change of size or weight, at a list mark or a tab,
-    at an indent, and after a short line that ends a sentence."""
+    at an indent that does not continue a list item, between centred and other lines, and after a short line that ends a sentence.
+
+    ``widths`` (``doc_id, page, page_width``) tells which lines are centred; without it none is.
+    """
     w = Window.partitionBy("doc_id", "page").orderBy("line")
+    df = lines.withColumn("page_width", F.lit(None).cast("double")) if widths is None else lines.join(widths.select("doc_id", "page", "page_width"), ["doc_id", "page"], "left")
+    wide, middle = F.col("page_width"), (F.col("x") + F.col("right")) / 2
+    centred = (F.abs(middle - wide / 2) < wide * 0.03) & (F.col("right") - F.col("x") < wide * 0.7) & (F.col("x") > wide * 0.12)
+    begins = F.col("text").rlike(BULLET) | F.col("text").rlike(NUMBERED)
+    df = df.withColumns({"centered": F.coalesce(centred, F.lit(False)), "list": begins, "_widest": F.max("right").over(Window.partitionBy("doc_id", "page"))})
     text, last = F.col("text"), F.lag("text").over(w)
     gap, prior = F.col("y") - F.lag("y").over(w), F.lag("size").over(w)
-    widest = F.max("right").over(Window.partitionBy("doc_id", "page"))
-    begins = text.rlike(BULLET) | text.rlike(NUMBERED)
-    breaks = (
-        last.isNull() | last.contains("\t") | text.contains("\t") | (gap > F.greatest("size", prior) * 1.75) | (gap < 0) | (F.abs(F.col("size") - prior) > prior * 0.15)
-        | begins | (F.col("bold") != F.lag("bold").over(w)) | (~F.coalesce(last.rlike(BULLET) | last.rlike(NUMBERED), F.lit(False)) & (F.col("x") > F.lag("x").over(w) + F.col("size") * 1.2))
-        | (last.rlike(r"[.!?:][\"”’)]?$") & (F.lag("right").over(w) < widest - F.col("size") * 4))
+    hard = (
+        last.isNull() | F.rtrim(last).contains("\t") | text.contains("\t") | (gap > F.greatest("size", prior) * 1.75) | (gap < 0) | (F.abs(F.col("size") - prior) > prior * 0.15)
+        | F.col("list") | (F.col("bold") != F.lag("bold").over(w)) | (F.col("centered") != F.lag("centered").over(w))
+        | (F.rtrim(last).rlike(r"[.!?:][\"”’)]?$") & (F.lag("right").over(w) < F.col("_widest") - F.col("size") * 4))
     )
-    return lines.withColumn("paragraph", F.sum(F.when(breaks, 1).otherwise(0)).over(w).cast("int")).withColumn("list", begins)
+    # an indent never breaks a list item, and what it begins is none: so the last break of another kind tells
+    df = df.withColumn("_hard", hard).withColumn("_in_list", F.last(F.when(F.col("_hard"), F.col("list")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    indent = ~F.coalesce("_in_list", F.lit(False)) & (F.col("x") > F.lag("x").over(w) + F.col("size") * 1.2)
+    number = F.sum(F.when(F.col("_hard") | F.coalesce(indent, F.lit(False)), 1).otherwise(0)).over(w).cast("int")
+    return df.withColumn("paragraph", number).select(*lines.columns, "list", "centered", "paragraph")
 
 
 def paragraph_text(paragraphs: DataFrame) -> DataFrame:
@@ -91,7 +137,7 @@ def heading_levels(paragraphs: DataFrame) -> DataFrame:
     plain = F.col("list") | t.contains("\t") | (F.col("lines") > 3) | (F.length(t) > 200) | ~t.rlike(r"\p{L}")
     level = F.when(plain, F.lit(None))
     for ratio, n in HEADINGS:
-        level = level.when(F.col("size") / F.col("_body") >= ratio, n)
+        level = level.when(F.try_divide("size", "_body") >= ratio, n)
     level = level.when(F.col("bold") & (F.col("lines") == 1) & (F.length(t) <= 80) & ~t.rlike("[.:,;]$"), 3)
     return df.withColumn("level", level).drop("_body")
 
@@ -99,7 +145,7 @@ def heading_levels(paragraphs: DataFrame) -> DataFrame:
 def text_in_rect(items: DataFrame, rects: DataFrame) -> DataFrame:
     """The characters of items whose middle is inside each rectangle ``doc_id, page, rect, x1, y1, x2, y2``, on the same page."""
     n = F.length("text")
-    hit = items.join(rects, ["doc_id", "page"]).filter(F.col("y").between(F.least("y1", "y2") - 2, F.greatest("y1", "y2") + 2))
+    hit = items.filter(n > 0).join(rects, ["doc_id", "page"]).filter(F.col("y").between(F.least("y1", "y2") - 2, F.greatest("y1", "y2") + 2))
     middle = lambda i: F.col("x") + (i - F.lit(0.5)) * F.col("width") / n
     inside = F.filter(F.sequence(F.lit(1), n), lambda i: middle(i).between(F.least("x1", "x2"), F.greatest("x1", "x2")))
     part = F.array_join(F.transform(inside, lambda i: F.substring(F.col("text"), i, F.lit(1))), "")
@@ -107,6 +153,11 @@ def text_in_rect(items: DataFrame, rects: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", "rect", F.trim(F.regexp_replace(F.array_join(F.transform("_l", lambda s: s["_p"]), " "), r"\s+", " ")).alias("text"))
 
 
+def blank_pages(pages: DataFrame, level: str = "normal") -> DataFrame:
+    """Pages ``has_text, ink`` without text whose share of dark pixels is at most that of ``level``: strict, normal or scanned."""
+    return pages.filter(~F.coalesce("has_text", F.lit(False)) & (F.col("ink") <= BLANK[level]))
+
+
 def textless_pages(pages: DataFrame, items: DataFrame) -> DataFrame:
     return pages.join(items.filter(F.trim("text") != "").select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
 
@@ -122,26 +173,47 @@ def annotation_hits(annotations: DataFrame, queries: DataFrame) -> DataFrame:
     return annotations.withColumn("_t", flat(F.col("text"))).join(q, F.col("_t").contains(F.col("_q"))).select("doc_id", "page", "annot_no", "query")
 
 
-def column_bands(cells: DataFrame, tolerated: float = 0.1) -> DataFrame:
-    """``doc_id, page, band, x0, x1``: ranges of x that more than a tenth of the rows of several cells ``doc_id, page, row, x0, x1`` cover."""
-    keys = ["doc_id", "page"]
-    rows = cells.groupBy(*keys, "row").agg(F.count("*").alias("n")).filter("n >= 2")
-    many = rows.groupBy(*keys).agg(F.floor(F.count("*") * tolerated).alias("_most"))
-    used = cells.join(rows.select(*keys, "row"), [*keys, "row"], "left_semi")
-    at = used.select(*keys, F.explode(F.sequence(F.floor("x0"), F.greatest(F.ceil("x1") - 1, F.floor("x0")))).alias("x"))
-    covered = at.groupBy(*keys, "x").agg(F.count("*").alias("c")).join(many, keys).filter("c > _most")
-    w = Window.partitionBy(*keys).orderBy("x")
-    island = covered.withColumn("_i", F.col("x") - F.row_number().over(w))
-    bands = island.groupBy(*keys, "_i").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
-    return bands.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("x0")) - 1).alias("band"), "x0", "x1")
+def join_across_pages(paragraphs: DataFrame) -> DataFrame:
+    """``paragraphs`` with those that a page break cut made one: the first ends with a letter or comma, the next begins in lower case on a later
+    page, both in one size and no list. The whole stands where its first part did."""
+    w = Window.partitionBy("doc_id").orderBy("page", "paragraph")
+    flows = ~F.col("list") & ~F.lag("list").over(w) & F.rtrim(F.lag("text").over(w)).rlike(r"[\p{L},]$") & F.col("text").rlike(r"^\s*\p{Ll}") & (F.abs(F.lag("size").over(w) - F.col("size")) < 0.5)
+    df = paragraphs.withColumns({"_flows": F.coalesce(flows, F.lit(False)), "_turned": F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(False))})
+    df = df.withColumn("_run", F.sum(F.when(F.col("_flows"), 0).otherwise(1)).over(w))
+    turned = F.max(F.col("_flows") & F.col("_turned")).over(Window.partitionBy("doc_id", "_run").orderBy("page", "paragraph"))
+    df = df.withColumn("_joined", turned).withColumn("_whole", F.sum(F.when(F.col("_joined"), 0).otherwise(1)).over(w))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraph", F.trim("text").alias("t")))), lambda s: s["t"])
+    first = {c: F.min_by(c, F.struct("page", "paragraph")).alias(c) for c in paragraphs.columns if c not in ("doc_id", "text", "lines")}
+    return df.groupBy("doc_id", "_whole").agg(*first.values(), F.array_join(texts, " ").alias("text"), F.sum("lines").alias("lines")).select(*paragraphs.columns)
+
 
+def markdown_document(paragraphs: DataFrame, page_marks: bool = False) -> DataFrame:
+    """``doc_id, text``: paragraphs with their ``level`` and ``list`` as Markdown, a blank line between them but not inside lists.
 
-def markdown_document(paragraphs: DataFrame) -> DataFrame:
-    """``doc_id, text``: paragraphs with their ``level`` and ``list`` as Markdown, a blank line between them but not inside lists."""
+    Paragraphs with tabs in a row are a table, the first of them its head; one alone is text. With ``page_marks`` a comment with the page's
+    number, from 1, stands before the first paragraph of each page, and ends a table.
+    """
     from leafmill.functions.text import escape_markdown
 
     w = Window.partitionBy("doc_id").orderBy("page", "paragraph")
-    shown = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), escape_markdown(F.col("text")))).when(F.col("list"), F.concat(F.lit("- "), escape_markdown(F.regexp_replace(F.col("text"), BULLET, "")))).otherwise(escape_markdown(F.col("text")))
-    lead = F.when(F.row_number().over(w) == 1, "").when(F.col("list") & F.lag("list").over(w), "\n").otherwise("\n\n")
-    piece = paragraphs.withColumn("_t", F.concat(lead, shown))
-    return piece.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "paragraph", "_t"))), lambda s: s["_t"]), "").alias("text"))
+    df = paragraphs.filter(F.trim("text") != "").withColumn("text", F.trim("text"))
+    df = df.withColumn("_row", F.col("text").contains("\t") & F.col("level").isNull())
+    mark = F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True)) & F.lit(page_marks)
+    df = df.withColumn("_mark", mark).withColumn("_block", F.sum(F.when(F.col("_row") & F.coalesce(F.lag("_row").over(w), F.lit(False)) & ~F.col("_mark"), 0).otherwise(1)).over(w))
+    number = F.regexp_extract("text", r"^\s*\(?(\d{1,3})[.)]\s", 1)
+    body = escape_markdown(F.regexp_replace(F.regexp_replace("text", BULLET, ""), NUMBERED, ""))
+    shown = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), escape_markdown(F.col("text")))).when(F.col("list"), F.concat(F.when(number != "", F.concat(number, F.lit(". "))).otherwise("- "), body)).otherwise(escape_markdown(F.col("text")))
+    cells = F.transform(F.split("text", "\t+"), lambda c: F.trim(escape_markdown(c)))
+    order = F.struct("page", "paragraph", F.when(F.col("_row"), cells).alias("cells"), shown.alias("shown"))
+    blocks = df.groupBy("doc_id", "_block").agg(F.array_sort(F.collect_list(order)).alias("_r"), F.first("page").alias("page"), F.bool_or("_mark").alias("_mark"), F.bool_and(F.coalesce("list", F.lit(False)) & F.col("level").isNull() & ~F.col("_row")).alias("list"), F.bool_or("_row").alias("_row"))
+    wide = F.array_max(F.transform("_r", lambda r: F.size(r["cells"])))
+    line = lambda c: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(""), wide - F.size(c))), " | "), F.lit(" |"))
+    lines = F.transform("_r", lambda r: line(r["cells"]))
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), wide))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+    alone = F.array_join(F.get("_r", F.lit(0))["cells"], " ")
+    text = F.when(~F.col("_row"), F.get("_r", F.lit(0))["shown"]).when(F.size("_r") > 1, table).otherwise(alone)
+    v = Window.partitionBy("doc_id").orderBy("_block")
+    head = F.when(F.col("_mark"), F.concat(F.lit("<!-- Page "), (F.col("page") + 1).cast("string"), F.lit(" -->\n\n"))).otherwise("")
+    lead = F.when(F.row_number().over(v) == 1, "").when(F.col("list") & F.lag("list").over(v) & ~F.col("_mark"), "\n").otherwise("\n\n")
+    piece = blocks.withColumn("_t", F.concat(lead, head, text))
+    return piece.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_t"))), lambda s: s["_t"]), "").alias("text"))

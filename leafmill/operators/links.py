@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,9 +13,10 @@ from leafmill.functions.urls import extract_urls, normal_url, url_parts, with_ve
 
 
 def unicode_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
-    """``host, shown`` of the distinct hosts with ``xn--`` labels: what they show. Only these reach Python."""
+    """``host, shown`` of the distinct hosts with ``xn--`` labels or letters beyond ASCII: what they show. Only these reach Python."""
 
     def decode(label: str) -> str:
+        label = unicodedata.normalize("NFKC", label).lower()
         if not label.startswith("xn--"):
             return label
         try:
@@ -27,7 +29,7 @@ def unicode_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
             shown = [".".join(map(decode, h.split("."))) for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown)], names=["host", "shown"])
 
-    odd = hosts.select(F.col(host).alias("host")).filter(F.col("host").rlike(r"(^|\.)xn--")).distinct()
+    odd = hosts.select(F.col(host).alias("host")).filter(F.col("host").rlike(r"(^|\.)xn--|[^\x00-\x7F]")).distinct()
     return odd.mapInArrow(run, "host string, shown string")
 
 

@@ -42,12 +42,18 @@ def people_in_files(parts: DataFrame) -> DataFrame:
 
 
 def zip_kind(parts: DataFrame) -> DataFrame:
-    """``file_id, kind`` of packages by the names of their parts."""
-    has = lambda p: F.max(F.col("path").startswith(p))
-    own = lambda p: F.max(F.col("path") == p)
-    g = parts.groupBy("file_id").agg(own("[Content_Types].xml").alias("office"), has("word/").alias("word"), has("xl/").alias("xl"), has("ppt/").alias("ppt"), has("visio/").alias("visio"), own("AndroidManifest.xml").alias("apk"), own("META-INF/MANIFEST.MF").alias("jar"))
-    kind = F.when(F.expr("office and word"), "Word document").when(F.expr("office and xl"), "Excel workbook").when(F.expr("office and ppt"), "PowerPoint presentation").when(F.expr("office and visio"), "Visio drawing").when(F.col("apk"), "Android app (APK)").when(F.col("jar"), "Java program (JAR)").otherwise("ZIP archive")
-    return g.select("file_id", kind.alias("kind"))
+    """``file_id, kind`` of packages by the names of their parts, and by what a part ``mimetype`` says (column ``xml``)."""
+    has = lambda p: F.coalesce(F.max(F.col("path").startswith(p)), F.lit(False))
+    own = lambda p: F.coalesce(F.max(F.col("path") == p), F.lit(False))
+    mime = F.coalesce(F.max(F.when(F.col("path") == "mimetype", F.col("xml"))), F.lit(""))
+    office = [("word/", "Word document"), ("xl/", "Excel workbook"), ("ppt/", "PowerPoint presentation"), ("visio/", "Visio drawing")]
+    kind = F.when(mime.startswith("application/epub+zip"), "EPUB e-book")
+    for word in ("text", "spreadsheet", "presentation"):
+        kind = kind.when(mime.contains(f"opendocument.{word}"), f"OpenDocument {word}")
+    for folder, name in office:
+        kind = kind.when(own("[Content_Types].xml") & has(folder), name)
+    kind = kind.when(own("AndroidManifest.xml"), "Android app (APK)").when(own("META-INF/MANIFEST.MF"), "Java program (JAR)").otherwise("ZIP archive")
+    return parts.groupBy("file_id").agg(kind.alias("kind"))
 
 
 def object_findings(actions: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.ranges import bates_label, fill_template, pages_to_delete, parse_page_ranges
 
@@ -12,23 +16,45 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc").agg(F.count("*").alias("pages"))
 
 
-def prefix_sums(counts: DataFrame, order: str, value: str, out: str, buckets: int = 256) -> DataFrame:
-    """``counts`` with ``out``, the sum of ``value`` over rows of smaller ``order``, without one window over all rows.
+#: Rows whose order values give the bounds of ranges, on average at most.
+SAMPLE = 10_000
+
+
+def ranges_of(rows: DataFrame, order: str, total: int, buckets: int = 256) -> DataFrame:
+    """``rows`` with ``_b``, the number of the range of ``order`` that each is in, from 0; null orders come first, as in a sort.
 
-    Rows are dealt into ranges of ``order``; sums of ranges are added up, and each range is summed by itself. A range
-    takes its bounds from quantiles, so it holds about one part in ``buckets`` of the rows.
+    Bounds are quantiles of a sample chosen by hash, so any type that sorts will do. They only even out the ranges.
     """
-    cuts = counts.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts"))
-    bucket = F.size(F.filter("cuts", lambda c: c < F.col(order)))
-    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.coalesce(bucket, F.lit(0))).drop("cuts")
-    sums = dealt.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = sums.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(before), F.col("_b") == F.col("_c")).withColumn(out, (F.col("_before") + own).cast("long")).drop("_b", "_c", "_before")
+    pick = F.pmod(F.xxhash64(order), F.lit(max(1, total // SAMPLE))) == 0
+    values = rows.filter(pick).agg(F.array_sort(F.collect_set(order)).alias("_v"))
+    cuts = values.select(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda k: F.get("_v", F.floor(k * F.size("_v") / buckets).cast("int"))).alias("_cuts"))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
+
+
+def prefix_sums(counts: DataFrame, order: str, value: str, out: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """``counts`` with ``out``, the sum of ``value`` over rows of smaller ``order``, of the same ``by`` where given.
+
+    No window holds all rows, nor all rows of one ``by``: rows are dealt into ranges of ``order``; sums of ranges are added up, and each range is
+    summed by itself.
+    """
+    by = by or []
+    dealt = ranges_of(counts, order, counts.count(), buckets)
+    sums = dealt.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    running = F.sum("_s").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_b").alias("_c"), F.coalesce(running, F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_b") == F.col("_c")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    joined = dealt.join(before if by else F.broadcast(before), same)  # without ``by`` a row for each range
+    return joined.withColumn(out, (F.col("_before") + own).cast("long")).drop("_b", "_c", "_before", *[f"_by{k}" for k in range(len(by))])
 
 
 def merge_docs(pages: DataFrame, order: str = "doc") -> DataFrame:
-    """All pages as one document ``merged``: the documents one after another by ``order``, pages numbered on."""
+    """All pages as one document ``merged``: the documents one after another by ``order``, numbers or text, pages numbered on.
+
+    One document merged with none is that document, and no document gives no pages; ``order`` is unique by document.
+    """
     counts = pages.groupBy("doc").agg(F.first(order).alias("_order"), F.count("*").alias("_n"))
     at = prefix_sums(counts, "_order", "_n", "_at").select(F.col("doc").alias("_doc"), "_at")
     return pages.join(at, F.col("doc") == F.col("_doc")).withColumn("merged", F.col("_at") + F.col("page")).drop("_doc", "_at")
@@ -109,22 +135,38 @@ def bates_number(pages: DataFrame, order: str = "doc", prefix: str = "", digits:
 
 
 def unique_names(files: DataFrame, name: str = "name", order: str = "tab_order") -> DataFrame:
-    """``unique``: of names equal without regard to case the second gets " (2)" before its extension, and so on.
+    """``unique``: in order, a name that an earlier file has, whatever the case, gets " (2)" before its extension, or the next number that is free.
 
-    A number that another file already has as its own name is passed over. Groups of equal names are numbered in a window
-    by name; a collision is found by a join, not by going through the files.
+    Names that differ only in such numbers are a family. Where no name of a family has a number, the files of a name are counted by ranges of the
+    order, so that one name may be that of most files. Other families are gone through in order, each in one task that keeps their names.
     """
     low = F.lower(F.col(name))
-    w = Window.partitionBy("_low").orderBy(order)
-    df = files.withColumn("_low", low).withColumn("_k", F.row_number().over(w))
+    root = F.regexp_replace(low, r"(?: \(\d+\))+((?:\.[^.]*)?)$", "$1")
+    df = files.withColumns({"_low": low, "_root": root})
+    numbered = df.filter(F.col("_low") != F.col("_root")).select(F.col("_root").alias("_family")).distinct()
+    same = F.col("_root").eqNullSafe(F.col("_family"))
+    plain = prefix_sums(df.join(numbered, same, "left_anti").withColumn("_one", F.lit(1)), order, "_one", "_k", ["_low"])
     tail = F.regexp_extract(F.col(name), r"(\.[^.]*)?$", 0)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(tail))
-    # for each group, the numbers that files of its stem already carry
-    mark = r"^([\s\S]*) \((\d+)\)((?:\.[^.]*)?)$"
-    taken = files.filter(F.col(name).rlike(mark)).select(F.lower(F.concat(F.regexp_extract(name, mark, 1), F.regexp_extract(name, mark, 3))).alias("_own"), F.regexp_extract(name, mark, 2).try_cast("int").alias("_n"))
-    taken = taken.filter(F.col("_n") >= 2).groupBy("_own").agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
-    df = df.join(taken, F.col("_low") == F.col("_own"), "left")
-    # the (k - 1)th free number from 2
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k"), lambda k, n: F.when(n <= k, k + 1).otherwise(k))
-    unique = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), free.cast("string"), F.lit(")"), tail))
-    return df.withColumn("unique", unique).drop("_low", "_k", "_own", "_taken")
+    plain = plain.withColumn("unique", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), (F.col("_k") + 1).cast("string"), F.lit(")"), tail)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, used, after = None, set(), {}
+        for batch in batches:
+            out = []
+            for own, text in zip(batch.column("_root").to_pylist(), batch.column(name).to_pylist()):
+                if own != family:
+                    family, used, after = own, set(), {}
+                head, dot, end = text.rpartition(".")
+                head, end = (head, dot + end) if dot else (text, "")
+                shown, n = text, after.get(text.lower(), 2)
+                while shown.lower() in used:
+                    shown, n = f"{head} ({n}){end}", n + 1
+                after[text.lower()] = n
+                used.add(shown.lower())
+                out.append(shown)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "unique"])
+
+    some = df.join(numbered, same, "left_semi").repartition("_root").sortWithinPartitions("_root", order)
+    some = some.mapInArrow(run, T.StructType([*some.schema.fields, T.StructField("unique", T.StringType())]))
+    return plain.select(*files.columns, "unique").unionByName(some.select(*files.columns, "unique"))

@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.metadata import classify_key
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, that of ``spark.checkpoint.dir``.
+
+    Only a local master may do without: the executors of a cluster would not find a folder of the driver's own.
+    """
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    given = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares, so that the next round starts from there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+    """``df`` written to the shared folder, so that the next round starts from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -32,27 +46,37 @@ def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFra
     return nodes.join(seen, ["file_id", "node"], "left_anti")
 
 
-def issuer_chain(certs: DataFrame, most: int = 32) -> DataFrame:
-    """``file_id, leaf, depth, subject``: the issuers of every certificate ``file_id, subject, issuer``, nearest first, without going round."""
+def issuer_chain(certs: DataFrame) -> DataFrame:
+    """``file_id, leaf, depth, subject``: the issuers of every certificate ``file_id, subject, issuer``, nearest first, without going round.
+
+    A round for each step up, until no certificate has a further issuer; the path that was gone ends chains that go round.
+    """
     step = certs.select("file_id", F.col("subject").alias("leaf"), F.col("issuer").alias("next"), F.array("subject").alias("path"), F.lit(0).alias("depth")).filter("next <> leaf")
     own, out = certs.select(F.col("file_id").alias("_f"), F.col("subject").alias("_s"), F.col("issuer").alias("_i")), None
-    for _ in range(most):
+    while True:
         step = cut(step.join(own, (F.col("file_id") == F.col("_f")) & (F.col("next") == F.col("_s")) & ~F.array_contains("path", F.col("_s"))).select("file_id", "leaf", F.when(F.col("_i") != F.col("_s"), F.col("_i")).alias("next"), F.concat("path", F.array("_s")).alias("path"), (F.col("depth") + 1).alias("depth")))
         found = step.select("file_id", "leaf", "depth", F.element_at("path", -1).alias("subject"))
         out = found if out is None else out.union(found)
-        if not step.filter("next is not null").limit(1).count():
-            break
-    return out
+        step = step.filter("next is not null")
+        if not step.limit(1).count():
+            return out
 
 
 def outline_tree(bookmarks: DataFrame) -> DataFrame:
-    """``parent``: the sequence number of the last bookmark before that is one level up; ``valid``: no level is skipped."""
+    """``parent``: the sequence number of the last bookmark before that is one level up; ``valid``: no level is skipped.
+
+    Every bookmark stands twice in the order: as a possible parent of the level below, and as one that looks for its own. So one window by level
+    finds all parents, and no bookmark meets all earlier ones.
+    """
     w = Window.partitionBy("doc_id").orderBy("seq")
-    top = bookmarks.select(F.col("doc_id").alias("_d"), F.col("seq").alias("_s"), F.col("level").alias("_l"))
-    up = bookmarks.join(top, (F.col("doc_id") == F.col("_d")) & (F.col("_l") == F.col("level") - 1) & (F.col("_s") < F.col("seq")), "left")
-    up = up.groupBy(*bookmarks.columns).agg(F.max("_s").alias("parent"))
     before = F.coalesce(F.lag("level").over(w), F.lit(-1))
-    return up.withColumn("valid", (F.col("level") >= 0) & (F.col("level") <= before + 1))
+    roles = F.array(F.struct(F.col("level").alias("_at"), F.lit(1).alias("_asks")), F.struct((F.col("level") + 1).alias("_at"), F.lit(0).alias("_asks")))
+    both = bookmarks.withColumn("_before", before).select("*", F.inline(roles))
+    own = Window.partitionBy("doc_id", "_at").orderBy("seq", "_asks").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("parent", F.last(F.when(F.col("_asks") == 0, F.col("seq")), ignorenulls=True).over(own))
+    before = F.col("_before")
+    up = both.filter("_asks = 1").select(*bookmarks.columns, "_before", "parent")
+    return up.withColumn("valid", (F.col("level") >= 0) & (F.col("level") <= before + 1)).drop("_before")
 
 
 def changes_after(signatures: DataFrame) -> DataFrame:
@@ -125,22 +149,42 @@ def catalog_quality(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     return out.fillna(0)
 
 
-def keyword_rank(items: DataFrame, query: str, k: int = 10, id_col: str = "id", name: str = "name", more: str = "text") -> DataFrame:
-    """The ``k`` best items in which every word of ``query`` is found: 6 where it begins a word of the name, 4 inside it, 1 elsewhere;
-    4 more for the words in a row. The limit is the feature: a top-k report."""
-    words = query.lower().split()
-    low, rest = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(more, F.lit("")))
-    parts = F.split(low, r"[^\p{L}\p{N}]+")
-
-    def points(w: str):
-        return F.when(F.exists(parts, lambda p: p.startswith(w)), 6).when(low.contains(w), 4).when(rest.contains(w), 1).otherwise(0)
+def keyword_rank(items: DataFrame, queries: DataFrame | str, k: int | None = 10, id_col: str = "id", name: str = "name", more: str = "text", keywords: str | None = None) -> DataFrame:
+    """The ``k`` best items for a query (all of them where ``k`` is None) in which every one of its words is found, as ``id, score``.
 
-    each = [points(w) for w in words]
-    all_found = F.lit(True)
-    for p in each:
-        all_found = all_found & (p > 0)
-    total = sum(each, F.lit(0)) + F.when(low.contains(" ".join(words)), 4).otherwise(0)
-    return items.filter(all_found).select(id_col, total.cast("long").alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    A word gives 6 where it begins a word of the name, 4 inside it, 3 where it begins a keyword (an array column) and 2 inside one, 1 elsewhere, the most
+    of these; 4 more for the words in a row in the name, 4 for the id that reads the same with dashes, 2 for the words in order. A
+    query without words finds all items, unscored (null). Many ``queries`` (``query``) at once give ``query, id, score``; they are what people typed
+    and are broadcast if counted to be few. The limit is the feature: a top-k report.
+    """
+    single = isinstance(queries, str)
+    typed = items.sparkSession.createDataFrame([(queries,)], "query string") if single else queries.select("query").distinct()
+    q = typed.withColumn("_words", F.filter(F.split(F.lower(F.col("query")), r"\s+"), lambda w: w != ""))
+    q = F.broadcast(q) if single or q.limit(10_001).count() <= 10_000 else q
+    low, rest = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(more, F.lit("")))
+    terms = F.lower(F.array_join(F.coalesce(F.col(keywords), F.array().cast("array<string>")), " | ")) if keywords else F.lit("")
+    df = items.select(id_col, low.alias("_name"), rest.alias("_rest"), terms.alias("_terms")).withColumns({"_parts": F.split("_name", r"[^\p{L}\p{N}]+"), "_keys": F.split("_terms", r"[^\p{L}\p{N}-]+")})
+
+    def points(w):
+        begins = lambda parts: F.exists(parts, lambda p: p.startswith(w))
+        named = F.when(begins("_parts"), 6).when(F.contains("_name", w), 4)
+        listed = F.when(begins("_keys"), 3).when(F.contains("_terms", w), 2)
+        return F.coalesce(named, listed, F.when(F.contains("_rest", w), 1), F.lit(0))
+
+    hit = df.join(q, F.lit(True)).withColumn("_each", F.transform("_words", points)).filter(F.forall("_each", lambda p: p > 0))
+    at = F.transform("_words", lambda w: F.position(w, F.col("_name")))
+    found = F.forall("_words", lambda w: F.contains("_name", w))
+    ordered = found & (F.size("_words") > 1) & F.forall(F.sequence(F.lit(1), F.greatest(F.size("_words") - 1, F.lit(1))), lambda i: F.coalesce(F.get(at, i) > F.get(at, i - 1), F.lit(False)))
+    bonus = F.when(F.contains("_name", F.array_join("_words", " ")), 4).otherwise(0) + F.when(F.contains(F.lower(F.col(id_col).cast("string")), F.array_join("_words", "-")), 4).otherwise(0) + F.when(ordered, 2).otherwise(0)
+    total = F.aggregate("_each", F.lit(0), lambda x, y: x + y) + bonus
+    scored = hit.select("query", id_col, F.when(F.size("_words") > 0, total).cast("long").alias("score"))
+    if single:
+        out = scored.drop("query").orderBy(F.desc("score"), id_col)
+        return out if k is None else out.limit(k)
+    if k is None:
+        return scored
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))
+    return scored.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str, order: str) -> DataFrame:
@@ -180,21 +224,45 @@ def template_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
     return d.join(best.withColumnRenamed("text", "_k"), F.col("text") == F.col("_k"), "left").select("text", F.coalesce(F.replace("_t", F.lit("\u0001"), "_v"), "text").alias("shown"))
 
 
-def forensic_findings(entries: DataFrame) -> DataFrame:
-    """``file_id, id, severity`` of image metadata ``file_id, key, value``: made with AI, edited, software, changed a minute or more after it
-    was taken, camera, no camera."""
+def forensic_findings(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``file_id, id, severity, detail`` of image metadata ``file_id, key, value``: made with AI, edited, software, changed over a minute after it
+    was taken, camera, no camera, extra pictures; with ``facts`` (``file_id, c2pa, ai, quality, latitude, longitude``, any of them null) also
+    Content Credentials, the quality of a JPEG, and where it was taken. A file with facts alone has findings too."""
     from leafmill.functions.metadata import editor_flags, parse_exif_date
 
     k = F.lower("key")
     flag = editor_flags(F.col("key"), F.col("value"))
     date = lambda *names: F.min(F.when(k.isin(list(names)), parse_exif_date(F.col("value"))))
+    shown = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("value")))), ", ")
     g = entries.groupBy("file_id").agg(
-        F.max(flag == "ai").alias("ai"), F.max((flag == "editor") | F.col("key").rlike("History")).alias("edited"), F.max(flag == "software").alias("software"),
+        F.max(flag == "ai").alias("_ai"), F.max((flag == "editor") | F.col("key").rlike("History")).alias("edited"), F.max(flag == "software").alias("software"),
         date("datetimeoriginal", "createdate", "photoshop:datecreated", "xmp:createdate").alias("taken"), date("modifydate", "datetime", "xmp:modifydate", "xmp:metadatadate").alias("changed"),
-        F.max(k.isin("make", "model")).alias("camera"),
+        F.max(k.isin("make", "model")).alias("camera"), F.max(k.isin("trailer", "mpf")).alias("extra"),
+        shown(flag == "editor").alias("editors"), shown(flag == "software").alias("programs"), shown(k == "make").alias("make"), shown(k == "model").alias("model"),
     )
+    if facts is None:
+        g = g.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("c2pa", "boolean"), ("ai", "boolean"), ("quality", "int"), ("latitude", "double"), ("longitude", "double"))])
+    else:
+        g = g.join(facts.select("file_id", "c2pa", "ai", "quality", "latitude", "longitude"), "file_id", "full")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    late = yes(F.unix_timestamp("changed") - F.unix_timestamp("taken") > 60)
-    rules = [(yes(F.col("ai")), "ai", "high"), (yes(F.col("edited")), "edited", "medium"), (~yes(F.col("edited")) & yes(F.col("software")), "software", "info"), (late, "dates", "medium"), (yes(F.col("camera")), "camera", "info"), (~yes(F.col("camera")) & ~yes(F.col("ai")), "no-camera", "info")]
-    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"))) for c, i, s in rules]))
+    ai, edited, camera = yes(F.col("_ai")) | yes(F.col("ai")), yes(F.col("edited")), yes(F.col("camera"))
+    gap = F.unix_timestamp("changed") - F.unix_timestamp("taken")
+    named = F.when(F.startswith(F.lower("model"), F.lower("make")), F.col("model")).otherwise(F.trim(F.concat_ws(" ", "make", "model")))
+    none = F.lit(None).cast("string")
+    rules = [
+        (ai, "ai", "high", none), (yes(F.col("c2pa")), "c2pa", "info", none), (edited, "edited", "medium", F.nullif(F.col("editors"), F.lit(""))), (~edited & yes(F.col("software")), "software", "info", F.col("programs")),
+        (yes(gap > 60), "dates", "medium", duration_text(gap)), (camera, "camera", "info", named), (~camera & ~ai, "no-camera", "info", none), (F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), "location", "medium", F.format_string("%.5f, %.5f", "latitude", "longitude")),
+        (yes(F.col("extra")), "extra-images", "medium", none), (F.col("quality").isNotNull(), "quality", "info", F.col("quality").cast("string")),
+    ]
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"), d.alias("detail"))) for c, i, s, d in rules]))
     return g.select("file_id", F.inline(hits))
+
+
+def duration_text(seconds):
+    """Seconds as minutes, hours, days or years, the first in which they are few."""
+    half = lambda x: F.floor(x + 0.5).cast("long")
+    minutes = half(seconds / 60)
+    hours = half(minutes / 60)
+    days = half(hours / 24)
+    unit = lambda n, name: F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
+    return F.when(minutes < 60, unit(minutes, "minute")).when(hours < 48, unit(hours, "hour")).when(days < 365, unit(days, "day")).otherwise(unit(half(days / 365), "year"))

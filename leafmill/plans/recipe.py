@@ -11,19 +11,39 @@ from pyspark.sql import functions as F
 from leafmill.functions.pii import find_pii
 from leafmill.functions.ranges import bates_label
 from leafmill.functions.spans import mask_spans
+from leafmill.functions.text import decode_entities
 from leafmill.operators.pages import prefix_sums, unique_names
 
 
 @dataclass
 class Step:
     """``accepts``: kinds of files that it takes, others pass. ``one``: the new text and an error for each row, from its text. ``all``: for
-    steps that see all rows at once, a function of the rows it takes. ``produces``: the kind of its results, where it changes."""
+    steps that see all rows at once, a function of the rows it takes. ``produces``: the kind of its results, where it changes. ``once``: a recipe
+    has it once at most. ``seals``: no later step may change what it made. ``problem``: what is wrong with its settings."""
 
     name: str
     accepts: tuple[str, ...]
     one: Callable[[Column], tuple[Column, Column]] | None = None
     all: Callable[[DataFrame], DataFrame] | None = None
     produces: str | None = None
+    once: bool = False
+    seals: bool = False
+    problem: str | None = None
+
+
+def check_steps(steps: list[Step]) -> list[tuple[int, str]]:
+    """The places of steps that cannot work, from 0, and why: bad settings, a second one of a kind that may stand once, or after a sealing step."""
+    out: list[tuple[int, str]] = []
+    sealed: Step | None = None
+    for k, s in enumerate(steps):
+        if sealed and set(s.accepts) & set(sealed.accepts):
+            out.append((k, f"{s.name} would change what {sealed.name} sealed: move it before that step"))
+        if s.once and any(t.name == s.name for t in steps[:k]):
+            out.append((k, f"{s.name} can only be used once"))
+        if s.problem:
+            out.append((k, s.problem))
+        sealed = sealed or (s if s.seals else None)
+    return out
 
 
 @dataclass
@@ -37,21 +57,26 @@ class Result:
 
 
 def plan_files(files: DataFrame, steps: list[Step]) -> DataFrame:
-    """``touches``, the steps that will take each file, and ``kind_after``, its kind at the end."""
-    kind, touched = F.col("kind"), F.array().cast("array<string>")
-    for s in steps:
+    """``touches``, the steps that will take each file, ``kind_after``, its kind at the end, and ``together_at``, the place of the first step that takes it with
+    all others, from 0, or null."""
+    kind, touched, together = F.col("kind"), F.array().cast("array<string>"), F.lit(None).cast("int")
+    for k, s in enumerate(steps):
         takes = kind.isin(list(s.accepts))
+        together = F.coalesce(together, F.when(takes & F.lit(s.all is not None), k))
         touched = F.when(takes, F.concat(touched, F.array(F.lit(s.name)))).otherwise(touched)
         kind = F.when(takes & F.lit(s.produces is not None), F.lit(s.produces)).otherwise(kind)
-    return files.withColumn("touches", touched).withColumn("kind_after", kind)
+    return files.withColumns({"touches": touched, "kind_after": kind, "together_at": together})
 
 
 def run_recipe(files: DataFrame, steps: list[Step]) -> Result:
     """Runs ``steps`` over ``tab_order, name, kind, text``.
 
-    A row that a step cannot take drops out with the step's name and a message; rows of other kinds pass. The plan stays lazy: one
+    Steps that cannot work (``check_steps``) are an error before anything runs. A row that a step cannot take drops out with the step's name and a message; rows of other kinds pass. The plan stays lazy: one
     pass over the files, with a shuffle only where a step sees all rows.
     """
+    problems = check_steps(steps)
+    if problems:
+        raise ValueError("; ".join(f"step {k + 1}: {why}" for k, why in problems))
     df = files.withColumn("_touched", F.lit(False)).withColumn("_failed", F.lit(None).cast("struct<step:string,message:string>"))
     for s in steps:
         takes = F.col("_failed").isNull() & F.col("kind").isin(list(s.accepts))
@@ -90,8 +115,31 @@ def bates_step(prefix: str = "", digits: int = 6) -> Step:
         at = prefix_sums(df.withColumn("_one", F.lit(1)), "tab_order", "_one", "_at").drop("_one")
         return at.withColumn("text", F.concat(bates_label(F.col("_at") + 1, prefix, "", digits), F.lit(" "), F.coalesce("text", F.lit("")))).drop("_at")
 
-    return Step("number", ("text",), all=number)
+    problem = None if 1 <= digits <= 12 else "use between 1 and 12 digits"
+    return Step("number", ("text",), all=number, once=True, problem=problem)
+
+
+def stamp_step(text: str) -> Step:
+    """A line before each text."""
+    return Step("stamp", ("text",), one=lambda t: (F.concat(F.lit(f"{text}\n"), F.coalesce(t, F.lit(""))), F.lit(None).cast("string")), problem=None if text.strip() else "type the text of the stamp")
+
+
+def clean_step() -> Step:
+    """White space as single spaces, no control characters, entities as characters."""
+    tidy = lambda t: F.trim(F.regexp_replace(F.regexp_replace(decode_entities(t), "[\\x00-\\x08\\x0e-\\x1f]", ""), "[ \t]+", " "))
+    return Step("clean", ("text",), one=lambda t: (tidy(t), F.when(t.isNull(), "no text")))
+
+
+def seal_step() -> Step:
+    """A last line with the SHA-256 of what stands before it; nothing may change the text after that."""
+    return Step("seal", ("text",), one=lambda t: (F.concat(t, F.lit("\nsha256:"), F.sha2(t, 256)), F.when(t.isNull(), "no text")), once=True, seals=True)
 
 
 #: Ready recipes.
-PRESETS = {"share safely": [require_text_step(), redact_step()], "numbered bundle": [require_text_step(), bates_step("LM-")]}
+PRESETS = {
+    "share safely": [require_text_step(), redact_step()],
+    "numbered bundle": [require_text_step(), bates_step("LM-")],
+    "draft copies": [stamp_step("DRAFT"), bates_step("")],
+    "readable scans": [clean_step(), require_text_step(2)],
+    "sealed originals": [clean_step(), redact_step(), seal_step()],
+}

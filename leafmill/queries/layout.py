@@ -48,10 +48,6 @@ def paragraphs(spark, sf_dir):
     return p.groupBy("doc_id", "page").agg(F.sum(F.length(F.regexp_replace("text", r"[\s-]", ""))).alias("letters"), (F.count("*") > 0).alias("any"))
 
 
-def headings(spark, sf_dir):
-    return layout.heading_levels(_paragraphs(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
-
-
 def rects(spark, sf_dir):
     """What stands under a rectangle over the second word of each page's first line."""
     r = _pages(spark, sf_dir).select("doc_id", "page", F.lit(1).alias("rect"), F.lit(130.0).alias("x1"), F.lit(90.0).alias("y1"), F.lit(184.0).alias("x2"), F.lit(105.0).alias("y2"))
@@ -80,13 +76,22 @@ def recipe_plan(spark, sf_dir):
     return p.groupBy("kind", F.array_join("touches", ",").alias("touches"), "kind_after").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"layout_lines": lines, "layout_body_lines": body_lines, "layout_paragraphs": paragraphs, "layout_headings": headings, "layout_rects": rects, "recipe_outputs": recipe_outputs, "recipe_failures": recipe_failures, "recipe_untouched": recipe_untouched, "recipe_plan": recipe_plan}
+def recipe_sealed(spark, sf_dir):
+    """Texts with their seals, and what the plan said of them."""
+    steps = recipe.PRESETS["sealed originals"]
+    files = _files(spark, sf_dir).withColumn("text", F.regexp_replace("text", "@", " at "))
+    out = recipe.run_recipe(files, [s for s in steps if s.name != "redact"]).outputs
+    return out.select("tab_order", F.regexp_extract("text", "\\nsha256:([0-9a-f]{64})$", 1).alias("seal"))
+
+
+QUERIES = {"recipe_sealed": recipe_sealed, "layout_lines": lines, "layout_body_lines": body_lines, "layout_paragraphs": paragraphs, "layout_rects": rects, "recipe_outputs": recipe_outputs, "recipe_failures": recipe_failures, "recipe_untouched": recipe_untouched, "recipe_plan": recipe_plan}
 _WORDS = r"w AS (SELECT conv_id AS doc_id, turn AS page, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations)"
 SQL = {
     "layout_lines": f"WITH {_WORDS} SELECT doc_id, page, (2 + (len(w) + 7) // 8)::BIGINT AS lines FROM w",
     "layout_body_lines": f"WITH {_WORDS}, c AS (SELECT doc_id, count(*) AS pages FROM w GROUP BY doc_id) SELECT w.doc_id, page, ((len(w) + 7) // 8 + CASE WHEN pages < 3 THEN 1 ELSE 0 END)::BIGINT AS lines FROM w JOIN c ON c.doc_id = w.doc_id WHERE len(w) > 0 OR pages < 3",
     "layout_paragraphs": f"WITH {_WORDS}, c AS (SELECT doc_id, count(*) AS pages FROM w GROUP BY doc_id) SELECT w.doc_id, page, (length(replace(array_to_string(w, ''), '-', '')) + CASE WHEN pages < 3 THEN 10 ELSE 0 END)::BIGINT AS letters, true AS any FROM w JOIN c ON c.doc_id = w.doc_id WHERE len(w) > 0 OR pages < 3",
     "layout_rects": f"WITH {_WORDS} SELECT doc_id, page, w[2] AS text FROM w WHERE len(w) > 1",
+    "recipe_sealed": r"SELECT doc_id AS tab_order, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 9 = 0 THEN '' ELSE replace(text, '@', ' at ') END, '[\x00-\x08\x0e-\x1f]', '', 'g'), '[ \t]+', ' ', 'g'), '^ +', ''), ' +$', '')) AS seal FROM documents WHERE lang <> 'fr' AND NOT (doc_id % 9 <> 0 AND text IS NULL)",
     "recipe_outputs": "WITH t AS (SELECT doc_id FROM documents WHERE lang <> 'fr' AND doc_id % 9 <> 0) SELECT doc_id AS tab_order, 'LM-' || lpad((row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS label FROM t",
     "recipe_failures": "SELECT 'check' AS step, 'fewer than 1 characters' AS message, count(*) AS n FROM documents WHERE lang <> 'fr' AND doc_id % 9 = 0",
     "recipe_untouched": "SELECT count(*) AS n FROM documents WHERE lang = 'fr'",

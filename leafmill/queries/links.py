@@ -91,7 +91,7 @@ def payloads(spark, sf_dir):
     """What codes with page addresses and ids in them would do."""
     id_ = F.col("page_id").cast("string")
     raw = (
-        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("WIFI:T:WPA;S:Net"), id_, F.lit("\;x;P:s;;")))
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("WIFI:T:WPA;S:Net"), id_, F.lit("\\;x;P:s;;")))
         .when(F.col("page_id") % 5 == 1, F.concat(F.lit("mailto:a"), id_, F.lit("@b.c?subject=x")))
         .when(F.col("page_id") % 5 == 2, F.concat(F.lit("otpauth://totp/Me%20"), id_, F.lit("?secret=A")))
         .when(F.col("page_id") % 5 == 3, F.concat(F.lit("BCD\n1\n2\n3\n4\nShop\nDE"), id_, F.lit("\n")))

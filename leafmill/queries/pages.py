@@ -138,6 +138,10 @@ SELECT doc, string_agg(CASE WHEN a = b THEN (a + 1)::VARCHAR ELSE (a + 1) || '-'
     "pages_header": f"WITH {_P} SELECT p.doc, page, p.doc || ': ' || (page + 1) || '/' || pages || ' (2026-01-02)' AS header FROM p JOIN c ON c.doc = p.doc",
     "pages_spec_errors": f"WITH {_P} SELECT doc, CASE doc % 5 WHEN 0 THEN CASE WHEN pages < 2 THEN 'missing' END WHEN 1 THEN 'invalid' WHEN 2 THEN CASE WHEN pages < 9 THEN 'missing' ELSE 'backwards' END WHEN 3 THEN 'empty' ELSE CASE WHEN pages < 99 THEN 'missing' END END AS error FROM c",
     "files_unique_names": """WITH f AS (SELECT doc_id AS tab_order, CASE WHEN doc_id % 10 = 3 THEN source || ' (2).txt' ELSE CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '.txt' END AS name FROM documents),
-k AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY tab_order) AS k FROM f), t AS (SELECT DISTINCT lower(replace(name, ' (2)', '')) AS own FROM f WHERE contains(name, ' (2)'))
-SELECT tab_order, name, CASE WHEN k = 1 THEN name ELSE replace(name, '.txt', ' (' || (k + CASE WHEN own IS NULL THEN 0 ELSE 1 END) || ').txt') END AS "unique" FROM k LEFT JOIN t ON own = lower(name)""",
+k AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY tab_order) AS k, lower(replace(name, ' (2)', '')) AS own FROM f),
+t AS (SELECT own, min(tab_order) AS first FROM k WHERE contains(name, ' (2)') GROUP BY own),
+s AS (SELECT own, min(tab_order) AS second FROM k WHERE k = 2 AND NOT contains(name, ' (2)') GROUP BY own)
+-- " (2)" goes to the file that has it as its own name if that comes before the second file of the name without it
+SELECT tab_order, name, CASE WHEN contains(name, ' (2)') THEN CASE WHEN k = 1 AND (second IS NULL OR first < second) THEN name ELSE replace(name, '.txt', ' (' || (k + CASE WHEN first < coalesce(second, first + 1) THEN 0 ELSE 1 END) || ').txt') END
+            WHEN k = 1 THEN name ELSE replace(name, '.txt', ' (' || (k + CASE WHEN first < second THEN 1 ELSE 0 END) || ').txt') END AS "unique" FROM k LEFT JOIN t USING (own) LEFT JOIN s USING (own)""",
 }

@@ -27,9 +27,7 @@ def pii_findings(spark, sf_dir):
 
 
 def pii_summary(spark, sf_dir):
-    docs = _docs(spark, sf_dir, "lang")
-    found = ops.pii_findings(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id")
-    return ops.pii_summary(found, ["lang"])
+    return ops.pii_summary(ops.pii_findings(_docs(spark, sf_dir, "lang"), keep=("lang",)), ["lang"])
 
 
 def pii_by_kind(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.register import register
 from leafmill.operators import layout, office, tables
 from leafmill.sources import files as src
+from leafmill.sources import media
 from leafmill.sources.tables import read_table
 
 
@@ -41,15 +42,20 @@ def probes(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id")
     n = F.col("event_id").cast("string")
     json = F.concat(F.lit('{"streams":[{"codec_type":"video","duration":"'), n, F.lit('"}'), F.when(F.col("event_id") % 2 == 0, ',{"codec_type":"audio","duration":"1"}').otherwise(""), F.lit('],"format":{"format_name":"mp4"'), F.when(F.col("event_id") % 3 == 0, ',"duration":"7.5"').otherwise(""), F.lit("}}"))
-    return src.parse_probe(e.select("event_id", json.alias("json")), "event_id").select("event_id", "duration", "video", "audio", "cover")
+    return media.parse_probe(e.select("event_id", json.alias("json")), "event_id").select("event_id", "duration", "video", "audio", "cover")
 
 
 def ocr(spark, sf_dir):
-    """First two words of each turn as OCR words, with a speck that is dropped."""
-    t = read_table(spark, sf_dir, "conversations", "conv_id", "turn")
-    word = lambda text, confidence, x: f'{{"text":"{text}","confidence":{confidence},"bbox":{{"x0":{x},"y0":0,"x1":{x + 10},"y1":8}}}}'
-    line = '{"baseline":{"x0":0,"y0":8,"x1":100,"y1":18},"bbox":{"x0":0,"y0":0,"x1":100,"y1":8},"words":[%s]}' % ",".join([word("a", 90, 0), word("|", 20, 20), word("b", 90, 50)])
-    json = F.lit('{"confidence":90,"blocks":[{"paragraphs":[{"is_ltr":true,"lines":[%s]}]}]}' % line)
+    """All words of each turn as OCR words in one line, ten pixels apart, each followed by a speck that is dropped."""
+    t = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
+    box = lambda x: F.struct(x.cast("double").alias("x0"), F.lit(0.0).alias("y0"), (x + 8).cast("double").alias("x1"), F.lit(8.0).alias("y1"))
+    word = lambda text, confidence, x: F.struct(text.alias("text"), F.lit(confidence).alias("confidence"), box(x).alias("bbox"))
+    own = F.flatten(F.transform(words, lambda w, i: F.array(word(w, 90.0, i * 10), word(F.lit("|"), 20.0, i * 10 + 9))))
+    base = F.struct(F.lit(0.0).alias("x0"), F.lit(8.0).alias("y0"), F.lit(100.0).alias("x1"), F.lit(18.0).alias("y1"))
+    line = F.struct(base.alias("baseline"), box(F.lit(0)).alias("bbox"), own.alias("words"))
+    par = F.struct(F.lit(True).alias("is_ltr"), F.array(line).alias("lines"))
+    json = F.to_json(F.struct(F.lit(90.0).alias("confidence"), F.array(F.struct(F.array(par).alias("paragraphs"))).alias("blocks")))
     return src.parse_ocr(t.select("conv_id", "turn", json.alias("json")), ["conv_id", "turn"], scale=F.lit(2.0)).select("conv_id", "turn", "text", "x", "baseline")
 
 
@@ -96,7 +102,7 @@ def forensics(spark, sf_dir):
         F.when(F.col("o_orderkey") % 5 == 0, F.struct(F.lit("Model").alias("key"), F.lit("X100").alias("value"))),
     )
     entries = o.select(F.col("o_orderkey").alias("file_id"), F.explode(F.array_compact(rows)).alias("e")).select("file_id", "e.key", "e.value")
-    return tables.forensic_findings(entries)
+    return tables.forensic_findings(entries).select("file_id", "id", "severity")
 
 
 QUERIES = {"page_texts": page_texts, "sheet_extents": sheets, "annotation_hits": annotations, "template_match": templates, "image_forensics": forensics, "office_findings": office_findings, "office_people": people, "office_zip_kinds": zip_kinds, "pdf_actions": actions, "media_probes": probes, "ocr_words": ocr, "sql_functions": sql_functions}
@@ -115,6 +121,6 @@ SELECT file_id, 'comments' AS id, 'high' AS severity, 1::BIGINT AS parts FROM c
     "office_zip_kinds": "SELECT conv_id AS file_id, CASE WHEN count(*) > 1 THEN 'Word document' ELSE 'ZIP archive' END AS kind FROM conversations GROUP BY 1",
     "pdf_actions": "WITH e AS (SELECT user_id AS file_id, CASE event_id % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'links' WHEN 3 THEN 'submit' END AS id FROM events) SELECT file_id, id, count(*) AS n, CASE id WHEN 'javascript' THEN 'high' WHEN 'submit' THEN 'medium' ELSE 'info' END AS severity FROM e WHERE id IS NOT NULL GROUP BY file_id, id",
     "media_probes": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7.5 WHEN event_id % 2 = 0 THEN greatest(event_id, 1) ELSE event_id END::DOUBLE AS duration, 1 AS video, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS audio, false AS cover FROM events",
-    "ocr_words": "SELECT conv_id, turn, 'a' AS text, 0.0::DOUBLE AS x, 4.0::DOUBLE AS baseline FROM conversations UNION ALL SELECT conv_id, turn, 'b', 25.0, 6.5 FROM conversations",
+    "ocr_words": r"WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS w FROM conversations), k AS (SELECT conv_id, turn, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS k FROM w) SELECT conv_id, turn, text, (k * 5)::DOUBLE AS x, (8 + k) / 2.0::DOUBLE AS baseline FROM k",
     "sql_functions": r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]+'))::INT AS words, regexp_matches(text, '\p{L}{2}') AS has_words, len(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}'))::INT AS emails FROM documents",
 }

@@ -77,20 +77,36 @@ def _pairs(spark, sf_dir):
     return compare.version_pairs(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
-def diff_invariant(spark, sf_dir):
-    """Words kept and taken out make up the version before, words kept and put in the one after."""
-    d = compare.word_diff(_pairs(spark, sf_dir)).groupBy("pair").agg(F.sum(F.col("a_to") - F.col("a_from")).alias("out"), F.sum(F.col("b_to") - F.col("b_from")).alias("put"))
-    n = compare.comparison_summary(_pairs(spark, sf_dir)).join(d, "pair", "left").fillna(0)
-    return n.select("pair", "words_before", "words_after", (F.col("words_before") - F.col("out") + F.col("put") == F.col("words_after")).alias("adds_up"))
+def diff_rebuilt(spark, sf_dir):
+    """Every version word by word, made from the one before it and the changes alone."""
+    pairs = _pairs(spark, sf_dir)
+    return compare.rebuilt(pairs, compare.word_diff(pairs))
+
+
+def diff_summary(spark, sf_dir):
+    """Words of both versions; what is unchanged and what was put in make up the version after."""
+    s = compare.comparison_summary(_pairs(spark, sf_dir))
+    return s.select("pair", "words_before", "words_after", (F.col("unchanged") <= F.least("words_before", "words_after")).alias("adds_up"))
+
+
+def diff_edited(spark, sf_dir):
+    """Texts against a version in which the second word was replaced, the last doubled, and a page break and a word put before all: the report's lines."""
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    w = F.transform(compare.page_words(F.col("text")), lambda x: x["word"])
+    d = d.select(F.col("doc_id").alias("pair"), F.array_distinct(w).alias("w")).filter(F.size("w") > 4)
+    new = F.transform("w", lambda x, i: F.when(i == 1, F.lit("REPLACED~1")).otherwise(x))
+    d = d.select("pair", F.array_join("w", " ").alias("before"), F.concat(F.lit("ADDED~1\f"), F.array_join(new, " "), F.lit(" "), F.element_at("w", -1)).alias("after"))
+    return compare.changes_report(compare.word_diff(d)).select("pair", "changes", F.sha2("text", 256).alias("sha"))
 
 
 def diff_anchors(spark, sf_dir):
-    words = compare.word_keys(compare.words_of(_pairs(spark, sf_dir)))
-    return compare.unique_anchors(words).groupBy("pair").agg(F.count("*").alias("anchors"))
+    """Words that stand once on both sides."""
+    whole = compare.prepared(_pairs(spark, sf_dir)).withColumns({"head": F.lit(0), "tail": F.lit(0)})
+    return compare.unique_anchors(compare.words_of(whole)).groupBy("pair").agg(F.count("*").alias("anchors"))
 
 
 def diff_ends(spark, sf_dir):
-    return compare.trim_common(compare.word_keys(compare.words_of(_pairs(spark, sf_dir)))).select("pair", "head")
+    return compare.prepared(_pairs(spark, sf_dir)).filter("size(a) + size(b) > 0").select("pair", "head")
 
 
 def unreached(spark, sf_dir):
@@ -153,13 +169,20 @@ def ranked(spark, sf_dir):
     return tables.keyword_rank(d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("name"), "text"), "the of", 20)
 
 
+def ranked_all(spark, sf_dir):
+    """Three queries at once over all parts, with the brand as a keyword; one has no words."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type").withColumn("keywords", F.array("p_brand"))
+    q = spark.createDataFrame([("BRAND#1 a",), ("  ",), ("e brand#2",)], "query string")
+    return tables.keyword_rank(p, q, None, "p_partkey", "p_name", "p_type", "keywords")
+
+
 def modes(spark, sf_dir):
     df = read_table(spark, sf_dir, "lineitem", "l_returnflag", "l_discount", "l_quantity", "l_orderkey", "l_linenumber")
     df = df.withColumn("order", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("value", F.col("l_discount") * 40)
     return tables.weighted_mode(df, ["l_returnflag"], "value", "l_quantity", "order")
 
 
-QUERIES = {f"table_{f.__name__}": f for f in (classified, audit, high_only, humanized, stripped, camera, dates, places, media_groups, software, diff_invariant, diff_anchors, diff_ends, unreached, chains, outlines, signatures, forms, targets, lookups, catalogs, ranked, modes)}
+QUERIES = {f"table_{f.__name__}": f for f in (classified, audit, high_only, humanized, stripped, camera, dates, places, media_groups, software, diff_rebuilt, diff_summary, diff_edited, diff_anchors, diff_ends, unreached, chains, outlines, signatures, forms, targets, lookups, catalogs, ranked, ranked_all, modes)}
 
 _LEVEL = "CASE WHEN key IN ('GPSLatitude', 'dc:creator') THEN 'high' WHEN key IN ('ExposureTime', 'ColorSpace', 'XResolution') THEN 'low' ELSE 'medium' END"
 _E = f"""e AS (SELECT l_orderkey AS file_id, ['exif', 'xmp'][l_linenumber % 2 + 1] AS grp, ['{"', '".join(KEYS)}'][(l_partkey % 8 + 1)::INT] AS key, l_quantity AS value FROM lineitem), c AS (SELECT *, {_LEVEL} AS sensitivity FROM e)"""
@@ -177,7 +200,11 @@ SQL = {
     "table_places": "SELECT c_custkey, CASE WHEN c_custkey % 120 <= 90 THEN (c_custkey % 120) || ', -122.5 (10 m)' END AS place FROM customer",
     "table_media_groups": "SELECT CASE c_custkey % 7 WHEN 0 THEN 'device' WHEN 1 THEN 'dates' WHEN 2 THEN 'text' WHEN 3 THEN 'software' WHEN 5 THEN 'location' WHEN 6 THEN 'other' END AS grp, count(*) AS n FROM customer GROUP BY 1",
     "table_software": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'editor' WHEN 1 THEN 'ai' ELSE 'software' END AS flag, count(*) AS n FROM part GROUP BY 1",
-    "table_diff_invariant": f"WITH {_PAIRS} SELECT pair, len(a)::BIGINT AS words_before, len(b)::BIGINT AS words_after, true AS adds_up FROM w",
+    "table_diff_rebuilt": f"WITH {_PAIRS} SELECT pair, array_to_string(b, ' ') AS text FROM w",
+    "table_diff_summary": f"WITH {_PAIRS} SELECT pair, len(a)::BIGINT AS words_before, len(b)::BIGINT AS words_after, true AS adds_up FROM w",
+    "table_diff_edited": rf"""WITH w AS (SELECT doc_id AS pair, {_W.format("coalesce(text, '')")} AS w FROM documents),
+d AS (SELECT pair, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM w)
+SELECT pair, 3::BIGINT AS changes, sha256('Added (page 1): ADDED~1' || chr(10) || 'Changed (page 1 → 2): ' || w[2] || ' → REPLACED~1' || chr(10) || 'Added (page 2): ' || w[len(w)]) AS sha FROM d WHERE len(w) > 4""",
     "table_diff_anchors": f"WITH {_PAIRS}, x AS (SELECT pair, unnest(a) AS k FROM w), y AS (SELECT pair, unnest(b) AS k FROM w), u AS (SELECT pair, k FROM x GROUP BY ALL HAVING count(*) = 1), v AS (SELECT pair, k FROM y GROUP BY ALL HAVING count(*) = 1) SELECT pair, count(*) AS anchors FROM u JOIN v USING (pair, k) GROUP BY pair",
     "table_diff_ends": f"WITH {_PAIRS} SELECT pair, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1, least(len(a), len(b)))::INT AS head FROM w WHERE len(a) + len(b) > 0",
     "table_unreached": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS node UNION SELECT unnest([node * 2, node * 3]) FROM r WHERE node <= (SELECT max(o_orderkey) FROM orders)) SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN (SELECT node FROM r)",
@@ -191,6 +218,12 @@ SQL = {
 SELECT lang, (SELECT n FROM n) - count(*) FILTER (k % 5 <> 0) AS missing, count(*) FILTER (k % 5 = 0) AS stale, 0::BIGINT AS twice, count(*) FILTER (k % 11 = 0) AS placeholders FROM c GROUP BY lang""",
     "table_ranked": r"""WITH d AS (SELECT doc_id AS id, lower(substr(text, 1, 200)) AS n, lower(text) AS t FROM documents),
 s AS (SELECT id, n, CASE WHEN regexp_matches(n, '(^|[^\p{L}\p{N}])the') THEN 6 WHEN contains(n, 'the') THEN 4 WHEN contains(t, 'the') THEN 1 ELSE 0 END AS a, CASE WHEN regexp_matches(n, '(^|[^\p{L}\p{N}])of') THEN 6 WHEN contains(n, 'of') THEN 4 WHEN contains(t, 'of') THEN 1 ELSE 0 END AS b FROM d)
-SELECT id, (a + b + CASE WHEN contains(n, 'the of') THEN 4 ELSE 0 END)::BIGINT AS score FROM s WHERE a > 0 AND b > 0 ORDER BY score DESC, id LIMIT 20""",
+SELECT id, (a + b + CASE WHEN contains(n, 'the of') THEN 4 ELSE 0 END + CASE WHEN contains(n, 'the') AND contains(n, 'of') AND instr(n, 'of') > instr(n, 'the') THEN 2 ELSE 0 END)::BIGINT AS score FROM s WHERE a > 0 AND b > 0 ORDER BY score DESC, id LIMIT 20""",
+    "table_ranked_all": r"""WITH q(query, a, b) AS (VALUES ('BRAND#1 a', 'brand#1', 'a'), ('e brand#2', 'e', 'brand#2')),
+p AS (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS k, lower(p_type) AS t FROM part),
+w AS (SELECT query, a, b, p_partkey, n, k, t, unnest([a, b]) AS w FROM p, q),
+s AS (SELECT query, a, b, p_partkey, n, CASE WHEN regexp_matches(n, '(^|[^\p{L}\p{N}])' || w) THEN 6 WHEN contains(n, w) THEN 4 WHEN regexp_matches(k, '(^|[^\p{L}\p{N}-])' || w) AND NOT contains(w, '#') THEN 3 WHEN contains(k, w) THEN 2 WHEN contains(t, w) THEN 1 ELSE 0 END AS s FROM w)
+SELECT query, p_partkey, (sum(s) + CASE WHEN contains(n, a || ' ' || b) THEN 4 ELSE 0 END + CASE WHEN contains(n, a) AND contains(n, b) AND instr(n, b) > instr(n, a) THEN 2 ELSE 0 END)::BIGINT AS score FROM s GROUP BY query, p_partkey, n, a, b HAVING min(s) > 0
+UNION ALL SELECT '  ', p_partkey, NULL FROM part""",
     "table_modes": "WITH v AS (SELECT l_returnflag, floor(l_discount * 40 * 2 + 0.5) / 2 AS mode, sum(l_quantity) AS w, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, arg_max(mode, (w, -first)) AS mode FROM v GROUP BY 1",
 }

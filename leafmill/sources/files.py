@@ -27,16 +27,15 @@ TABLES = {
     "bookmarks": "doc_id string, seq int, title string, page int, level int",
     "catalog": "lang string, area string, key string, text string, forms map<string,string>",
 }
-PROBE = "streams array<struct<index:int,codec_name:string,codec_type:string,width:int,height:int,avg_frame_rate:string,duration:string,channels:int,tags:map<string,string>,disposition:map<string,int>>>, format struct<format_name:string,format_long_name:string,duration:string,bit_rate:string,tags:map<string,string>>"
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 OCR = f"confidence double, blocks array<struct<paragraphs:array<struct<is_ltr:boolean,lines:array<struct<baseline:{_BOX},bbox:{_BOX},words:array<struct<text:string,confidence:double,bbox:{_BOX}>>>>>>>>"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, name, size, content, tab_order`` of the files under ``path``; ``content`` is read only where it is used."""
+    """``path, name, size, content, tab_order`` of the files under ``path``; ``content`` is read only where it is used, and ``tab_order`` is the path."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return df.select("path", name.alias("name"), F.col("length").alias("size"), "content", F.xxhash64("path").alias("tab_order"))
+    return df.select("path", name.alias("name"), F.col("length").alias("size"), "content", F.col("path").alias("tab_order"))
 
 
 def read_input_table(spark: SparkSession, path: str, name: str, form: str = "parquet") -> DataFrame:
@@ -98,16 +97,6 @@ def image_segments(files: DataFrame, key: str = "path", content: str = "content"
     return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, seq int, marker string, start long, length long, bytes binary")
 
 
-def parse_probe(df: DataFrame, key: str, json: str = "json") -> DataFrame:
-    """Tracks by kind, cover pictures, and the duration (of the file, else of its longest track) from a media probe's JSON."""
-    p = df.select(key, F.from_json(json, PROBE).alias("p")).select(key, "p.*")
-    s = F.coalesce("streams", F.array().cast("array<struct<index:int,codec_name:string,codec_type:string,width:int,height:int,avg_frame_rate:string,duration:string,channels:int,tags:map<string,string>,disposition:map<string,int>>>"))
-    cover = lambda x: (x["codec_type"] == "video") & (F.coalesce(x["disposition"]["attached_pic"], F.lit(0)) == 1)
-    count = lambda kind: F.size(F.filter(s, lambda x: (x["codec_type"] == kind) & ~cover(x)))
-    longest = F.array_max(F.transform(s, lambda x: x["duration"].try_cast("double")))
-    return p.select(key, F.coalesce("format.format_long_name", "format.format_name", F.lit("unknown")).alias("format"), F.coalesce(F.col("format.duration").try_cast("double"), longest).alias("duration"), count("video").alias("video"), count("audio").alias("audio"), count("subtitle").alias("subtitles"), F.exists(s, cover).alias("cover"))
-
-
 def parse_ocr(df: DataFrame, keys: list[str], json: str = "json", scale: Column | None = None) -> DataFrame:
     """``par, line, word, text, x, width, baseline`` of OCR JSON, in points; marks of low confidence without letters are left out."""
     scale = F.lit(1.0) if scale is None else scale

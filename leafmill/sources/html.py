@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,6 +13,12 @@ BLOCKS = "kind string, level int, text string, target string"
 _HEADINGS = {f"h{k}": k for k in range(1, 7)}
 _BREAKING = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "table", "tr", "body", "html", "form", "figure", "figcaption", "dl", "dt", "dd", "br", "hr"}
 _SILENT = {"script", "style", "template", "noscript", "head", "svg"}
+_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def _hidden(attrs: dict) -> bool:
+    return "hidden" in attrs or bool(_HIDING.search(attrs.get("style") or ""))
 
 
 class _Blocks(HTMLParser):
@@ -22,7 +29,8 @@ class _Blocks(HTMLParser):
         self.rows: list[tuple] = []
         self.open = [("paragraph", 0)]
         self.text: list[str] = []
-        self.silent = self.lists = 0
+        self.silent = self.lists = self.row = 0
+        self.unseen: list[str] = []  # open tags from a hidden one on
         self.link: tuple[str, int] | None = None
 
     def flush(self) -> None:
@@ -31,15 +39,39 @@ class _Blocks(HTMLParser):
         if text:
             self.rows.append((*self.open[-1], text, None))
 
+    def end_cell(self) -> None:
+        """Ends a cell that was left open."""
+        if self.open[-1][0] == "cell":
+            self.flush()
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
+        if self.unseen:
+            if self.unseen == ["p"] and (tag in _BREAKING or tag in _HEADINGS or tag in ("li", "blockquote", "pre")) and tag != "br":
+                self.unseen = []  # a block ends a paragraph that was left open
+            else:
+                if tag not in _VOID:
+                    self.unseen.append(tag)
+                return
+        if _hidden(attrs):
+            if tag in _BREAKING or tag in _HEADINGS:
+                self.flush()
+            if tag not in _VOID:
+                self.unseen.append(tag)
+            return
+        if tag in ("td", "th", "tr"):
+            self.end_cell()
+        if tag == "table":
+            self.row = 0
+        self.row += tag == "tr"
         if tag in _SILENT:
             self.silent += 1
         elif tag in _HEADINGS or tag in ("li", "blockquote", "pre", "td", "th"):
             self.flush()
             self.lists += tag == "li"
             kind = "heading" if tag in _HEADINGS else {"li": "item", "blockquote": "quote", "pre": "code"}.get(tag, "cell")
-            self.open.append((kind, _HEADINGS.get(tag, self.lists if tag == "li" else 0)))
+            self.open.append((kind, _HEADINGS.get(tag, self.lists if tag == "li" else self.row if kind == "cell" else 0)))
         elif tag in _BREAKING:
             self.flush()
         elif tag == "img" and not self.silent:
@@ -49,29 +81,37 @@ class _Blocks(HTMLParser):
             self.link = (attrs["href"] or "", len(self.text))
 
     def handle_endtag(self, tag):
+        if self.unseen:
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+            return
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag in _HEADINGS or tag in ("li", "blockquote", "pre", "td", "th"):
             self.flush()
-            if len(self.open) > 1:
+            if len(self.open) > 1 and not (tag in ("td", "th") and self.open[-1][0] != "cell"):
                 kind = self.open.pop()[0]
                 self.lists -= kind == "item"
         elif tag in _BREAKING:
             self.flush()
+            if tag in ("tr", "table"):
+                self.end_cell()
         elif tag == "a" and self.link:
             target, at = self.link
             self.rows.append(("link", 0, " ".join("".join(self.text[at:]).split()), target))
             self.link = None
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and not self.unseen:
             self.text.append(data)
 
 
 def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key, seq, kind, level, text, target`` of each page. Kinds: heading, paragraph, item, quote, code, cell, link, picture.
+    ``level``: of a heading or list, a cell's row in its table from 1, 1 for a picture stored in the page.
 
-    What scripts, styles and the head hold is left out. A null or empty page has no rows. Each page is parsed by itself, so
+    What scripts, styles and the head hold is left out, and so are elements that are hidden by attribute or style. A null or empty page has no rows. Each page is parsed by itself, so
     nothing is shuffled.
     """
 

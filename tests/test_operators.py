@@ -14,10 +14,17 @@ def test_word_diff(spark):
     assert (s[1].words_before, s[1].words_after, s[1].unchanged) == (6, 8, 5) and s[4].unchanged == 1
 
 
-def test_unique_names_pass_over_names_that_are_there(spark):
-    names = ["a.pdf", "A.pdf", "a (2).pdf", "a.pdf", "b", "b"]
+def test_unique_names_go_in_order(spark):
+    names = ["a.pdf", "A.pdf", "a (2).pdf", "a.pdf", "b", "b", "c (2).x", "c.x", "c.x", "c (2).x", "d.e", "D.E", "d.e"]
+    want = ["a.pdf", "A (2).pdf", "a (2) (2).pdf", "a (3).pdf", "b", "b (2)", "c (2).x", "c.x", "c (3).x", "c (2) (2).x", "d.e", "D (2).E", "d (3).e"]
     out = pages.unique_names(spark.createDataFrame(list(enumerate(names)), "tab_order int, name string")).collect()
-    assert [r.unique for r in sorted(out, key=lambda r: r.tab_order)] == ["a.pdf", "A (3).pdf", "a (2).pdf", "a (4).pdf", "b", "b (2)"]
+    assert [r.unique for r in sorted(out, key=lambda r: r.tab_order)] == want
+
+
+def test_pages_merge_by_a_text_order(spark):
+    rows = [("b/2", 0), ("b/2", 1), ("a/9", 0), ("", 0), ("é", 0), ("é", 1)]
+    out = pages.merge_docs(spark.createDataFrame(rows, "doc string, page int")).collect()
+    assert sorted((r.merged, r.doc, r.page) for r in out) == [(0, "", 0), (1, "a/9", 0), (2, "b/2", 0), (3, "b/2", 1), (4, "é", 0), (5, "é", 1)]
 
 
 def test_a_failing_row_drops_out_and_others_go_on(spark):
