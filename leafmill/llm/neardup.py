@@ -9,9 +9,9 @@ confirmed on their full shingle sets.
 Rows with equal sets form a class, of which only the smallest id goes on. In a band's bucket first all members are
 compared with one, and components are formed. In buckets that still hold several components, members are compared with the most
 central one, and with those that share a shingle with them which few others hold; a pair that shares none can be linked
-only by shingles that many hold. Members that have too few of those for any partner's size are done with, and the
-others go on with four times as large a bound of what is few. Each round makes at most that bound times its
-shingles in pairs, no link between components is left out, and a bucket of copies costs about as many pairs as it has members.
+only by shingles that many hold. Members that have too few of those for any partner's size are done with. The others go
+on with four times as large a bound of what is few, and where few members are outside a bucket's largest component these are
+compared with all others that have enough. A round makes at most a bounded multiple of its shingles and members in pairs, no link between components is left out, and a bucket of copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import compact, cut, fresh, mix, shingles, small, word_hashes
+from leafmill.llm.common import compact, cut, fresh, in_python, mix, shingles, small, word_hashes
 
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: A shingle that no more sets than this hold is rare; four times as many in each later round.
 RARE = 32
+#: A quarter of the members outside a bucket's largest component that its second round compares with all others; four times as many in each later one.
+HUBS = 16
 #: A table of so many rare shingles is broadcast.
 RARE_BROADCAST = 200_000
 #: Rows whose shingles a task holds at a time.
@@ -80,7 +82,7 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "n", "key", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    return rows.mapInArrow(run, "doc_id long, th long, n long, key binary, bands array<long>")
+    return in_python(rows, run, "doc_id long, th long, n long, key binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = 5) -> DataFrame:
@@ -101,7 +103,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = 5
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return in_python(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def held_shingles(texts: DataFrame, shingle: int = 5) -> DataFrame:
@@ -114,7 +116,7 @@ def held_shingles(texts: DataFrame, shingle: int = 5) -> DataFrame:
             who = np.repeat(np.arange(batch.num_rows), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(h)], names=["id", "h"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, h int")
+    return in_python(texts.select("id", "text"), run, "id long, h int")
 
 
 def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
@@ -202,16 +204,20 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         other = rows.select("h", F.col("id").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
         by_rare = ordered(rows.withColumnRenamed("id", "rep").join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))))
         m = compact(open_.join(own.select(F.col("id").alias("rep"), "n", "common"), ["rep", "n"]))
-        # the member with the fewest shingles of its own, which copies of one text have in common; later one of a small component
-        central = m
-        if rare > RARE:
-            top = m.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"))
-            central = m.join(top, "h").filter(F.col("label") != F.col("top.label"))
-        hub = central.groupBy("h").agg(F.max(F.struct(F.col("common") / F.col("n"), "rep", "n", "common", "label")).alias("x"))
-        hub = hub.select("h", F.col("x.rep").alias("rep2"), F.col("x.n").alias("n2"), F.col("x.common").alias("common2"), F.col("x.label").alias("label2"))
+        m = compact(m.join(m.groupBy("rep", "n").agg(F.array_sort(F.collect_set("h")).alias("hs")), ["rep", "n"]))
+        size = m.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
+        size = size.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
+        # first the member with the fewest shingles of its own, which copies of one text have in common; later members outside the largest component
+        others = m if rare == RARE else m.join(size.select("h", "major"), "h").filter(F.col("label") != F.col("major"))
+        hubs = 1 if rare == RARE else HUBS * rare // RARE
+        place = F.row_number().over(Window.partitionBy("h").orderBy(F.desc(F.col("common") / F.col("n")), "rep"))
+        hub = others.withColumn("place", place).filter(F.col("place") <= hubs)
+        hub = hub.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "common", "label", "hs")])
         bound = F.least("common", "common2")
         can = F.lit(100 + percent) * bound >= F.lit(percent) * (F.col("n") + F.col("n2"))
-        by_hub = ordered(m.join(hub, "h").filter((F.col("label") != F.col("label2")) & can))
+        # a pair is met in the first bucket that it shares only
+        once = F.get(F.array_intersect("hs", "hs2"), F.lit(0)) == F.col("h")
+        by_hub = ordered(m.join(hub, "h").filter((F.col("label") != F.col("label2")) & can & alike & (once if rare > RARE else F.lit(True))))
         pairs = compact(by_rare.union(by_hub).distinct().join(tested, ["a", "b"], "left_anti"))
         found = compact(confirmed(pairs, texts, percent, shingle))
         if found.limit(1).count():
@@ -221,6 +227,9 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
             break
         # what is left are links by common shingles alone: the largest size of a partner must be met in the bucket
         fit = F.floor(F.lit(100 + percent) * F.col("common") / F.lit(percent)).cast("long") - F.col("n")
+        if rare > RARE:
+            # where all members outside the largest component were compared with all others, no link is missing
+            m = m.join(size.filter(F.col("rest") > hubs).select("h"), "h", "left_semi")
         m = compact(mixed_buckets(m.select("h", "rep", "n", "common"), labels).withColumn("fit", fit))
         partner = m.groupBy(F.col("h").alias("h2"), F.col("n").alias("n2")).agg(F.max("fit").alias("fit2"), F.min("label").alias("l1"), F.max("label").alias("l2"))
         fits = (F.col("n2") <= F.col("fit")) & (F.col("n") <= F.col("fit2")) & ((F.col("l1") != F.col("label")) | (F.col("l2") != F.col("label")))
