@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,11 @@ from pyspark.sql import functions as F
 #: The separators of words: space, and tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words kept by a worker with their hashes; others are hashed each time.
-CACHED_WORDS = 300_000
+#: Words kept by a task with their hashes; others are hashed each time.
+CACHED_WORDS = 150_000
+#: Rows of texts that are handed to Python at once, at most, where the session has Spark's own bound.
+BATCH_ROWS = 1000
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: A long text is split into words in pieces of about so many bytes.
 PIECE_BYTES = 1 << 20
 
@@ -27,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(given)
@@ -39,6 +47,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What a worker's tasks keep while they run.
+CACHES: list[dict] = []
+
+
+def give_back() -> None:
+    """Empties the caches and hands freed memory to the system: Spark keeps its workers, which else stay as large as their largest task."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_python(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in small batches, as texts can be long; at its end a task gives its memory back."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
 #: Rows of a written table that one task reads on, at least, in ``compact``.
 COMPACT_ROWS = 100_000
 
@@ -94,6 +132,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+CACHES.append(_HASHES)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 

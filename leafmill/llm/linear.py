@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.common import in_python
+
 #: Most labelled rows that a classifier learns from (on average: rows are chosen by a hash of their id).
 SAMPLE_ROWS = 20_000
 #: The sample is trained in so many parts; their weights are averaged.
@@ -33,13 +35,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 
 def by_shard(sample: DataFrame, work: Callable[[list[tuple[str, int]]], bytes]) -> list[bytes]:
-    """``work`` on the rows of each shard, in an order that does not depend on the run; one blob from each shard."""
+    """``work`` on the rows of each shard, in an order that does not depend on the run; one blob from each shard.
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["text"].to_pylist(), group["y"].to_pylist()), key=lambda r: (hash_text(r[0]), r[1]))
-        return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "blob": pa.array([work(rows)], pa.binary())})
+    Shards are dealt by their range, so that each has a task of its own.
+    """
 
-    out = sample.groupBy("shard").applyInArrow(run, "shard int, blob binary").toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[str, int]]] = {}
+        for batch in batches:
+            for text, y, shard in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "shard"))):
+                held.setdefault(shard, []).append((text, y))
+        for shard in sorted(held):
+            rows = sorted(held.pop(shard), key=lambda r: (hash_text(r[0]), r[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([work(rows)], pa.binary())], names=["shard", "blob"])
+
+    out = in_python(sample.repartitionByRange(SHARDS, "shard"), run, "shard int, blob binary").toArrow()
     return [b for _, b in sorted(zip(out["shard"].to_pylist(), out["blob"].to_pylist()))]
 
 
@@ -70,6 +80,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def compact_row(at: np.ndarray, x: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A row for ``train`` in half of the memory."""
+    return at.astype(np.int32), x.astype(np.float32), y
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int, **settings: float) -> np.ndarray:
     """Weights after ``epochs`` passes over rows of (indices, values, label); the order is shuffled by a fixed seed."""
     model, order = Ftrl(size, **settings), np.random.default_rng(7)
@@ -80,8 +95,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int
 
 
 def add_scores(docs: DataFrame, score: Callable[[str | None], float], column: str) -> DataFrame:
-    """``docs`` with ``column``, a double, computed from its text in Arrow batches; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c != column]
+    """``docs`` with ``column``, a double, computed from its text in Arrow batches; a column of that name, in whatever case, is replaced."""
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +105,7 @@ def add_scores(docs: DataFrame, score: Callable[[str | None], float], column: st
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*kept, column])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(column, T.DoubleType())])
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return in_python(docs.select(*[f"`{c}`" for c in kept]), run, schema)
 
 
 def sigmoid(z: float) -> float:

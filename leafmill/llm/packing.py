@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import CACHED_WORDS, cut, shared_dir
+from leafmill.llm.common import CACHED_WORDS, CACHES, cut, in_python, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
@@ -181,10 +181,11 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, width: int = W
         if held:
             yield block(held, f"{task}-{n}")
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    return in_python(docs.select(docs["doc_id"].cast("long"), "text"), run, SCHEMA)
 
 
 _TOKENS: dict[str, Tokens] = {}
+CACHES.append(_TOKENS)
 _POSITIONS = np.arange(1 << 16, dtype="<u2")
 
 
@@ -228,7 +229,7 @@ def write_matrices(packed: DataFrame, folder: str | None = None, width: int = WI
         for f in files:
             f.close()
 
-    return cut(packed.select("input_ids", "cu_seqlens", *KEPT).mapInArrow(run, INDEX))
+    return cut(in_python(packed.select("input_ids", "cu_seqlens", *KEPT), run, INDEX))
 
 
 def read_matrices(index: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -266,4 +267,4 @@ def read_matrices(index: DataFrame, width: int = WIDTH) -> DataFrame:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([arrays.get(c) if c in arrays else part.column(c) for c in names], names=names)
 
-    return index.mapInArrow(run, SCHEMA)
+    return in_python(index, run, SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import linear
-from leafmill.llm.common import CACHED_WORDS, fresh, mix, pieces
+from leafmill.llm.common import CACHED_WORDS, CACHES, fresh, mix, pieces
 
 BITS = 18
 EPOCHS = 4
@@ -38,6 +38,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+CACHES.append(_WORDS)
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -72,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, epo
     """
 
     def work(part: list[tuple[str, int]]) -> bytes:
-        return linear.train([(*row(t, bits), y) for t, y in part], 1 << bits, epochs).tobytes()
+        return linear.train([linear.compact_row(*row(t, bits), y) for t, y in part], 1 << bits, epochs).tobytes()
 
     blobs = linear.by_shard(linear.labelled_sample(docs, labels, "quality", learn, rows), work)
     return np.mean([np.frombuffer(b, np.float32) for b in blobs], axis=0) if blobs else np.zeros(1 << bits, np.float32)

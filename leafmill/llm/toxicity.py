@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from leafmill.llm import linear
-from leafmill.llm.common import LOWER, UPPER, pieces
+from leafmill.llm.common import LOWER, UPPER, cut, pieces
 
 BITS = 18
 EPOCHS = 4
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, epo
             sums[y][at] += n.astype(np.int64)
         return sums.tobytes()
 
-    sample = linear.labelled_sample(docs, labels, "toxic", learn, rows)
+    sample = cut(linear.labelled_sample(docs, labels, "toxic", learn, rows))
     sums = [np.frombuffer(b, np.int64).reshape(2, size) for b in linear.by_shard(sample, count)]
     if not sums:
         return np.zeros(size + 1, np.float32)
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, epo
         rows = []
         for text, y in part:
             at, n, norm = counts(text, bits)
-            rows.append((np.append(at, size), np.append(held.value[at] * n / norm, 1.0), y))
+            rows.append(linear.compact_row(np.append(at, size), np.append(held.value[at] * n / norm, 1.0), y))
         return linear.train(rows, size + 1, epochs).tobytes()
 
     weights = np.mean([np.frombuffer(b, np.float32) for b in linear.by_shard(sample, work)], axis=0)

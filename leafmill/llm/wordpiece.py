@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.common import CACHED_WORDS, pieces
+from leafmill.llm.common import CACHED_WORDS, CACHES, in_python, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -89,6 +89,7 @@ class WordCounts(dict):
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
+        CACHES.append(self)
 
     def __missing__(self, word: bytes) -> int:
         value = self.automaton.count(b" " + word)
@@ -125,4 +126,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 size.append(len(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, size))], names=["doc_id", "n_words", "n_tokens", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_bytes long")
+    return in_python(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_bytes long")
