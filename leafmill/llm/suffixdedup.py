@@ -13,6 +13,10 @@ strings have equal anchors. So only the suffixes that begin at anchors are sorte
 5. The merged order with its common prefixes, and the order of what stands before the anchors, show for each offset
    of the anchor in a string whether the string occurs elsewhere. All strings that hold one anchor overlap, so an
    anchor gives one interval; a document's intervals are joined and cut out.
+
+A core with more than ``HOT_ANCHORS`` anchors, as boilerplate of less than ``span`` bytes in very many documents has, would gather
+in one part. For these anchors alone the strings around them are counted by 128-bit hashes, which is pre-aggregated and has no hot key
+but true repeats.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ SPAN = 200
 CORE = 64
 #: A longer text is searched in pieces of so many bytes that overlap.
 PIECE = 1 << 20
-#: Parts into which sorted runs are dealt, for each shuffle partition.
-PARTS = 4
+#: Parts into which sorted runs are dealt, for each shuffle partition at least, and so many that a part has about so many anchors.
+PARTS, PART_ANCHORS = 4, 100_000
+#: A core with more anchors than this is not merged in one task: the strings around its anchors are counted by their hashes instead.
+HOT_ANCHORS = 200_000
 #: Rows of the result that a task hands on at a time.
 ROWS = 500
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -280,10 +286,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     where = f"{shared_dir(spark)}/anchors-{uuid.uuid4().hex}"
     find_anchors(rows, span).write.parquet(where)
     found = spark.read.parquet(where)
-    twice = found.filter("anchor").groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("n")).filter("n > 1").select("_core")
-    marks = found.filter("anchor").join(twice, F.col("core") == F.col("_core")).select(F.col("rk").alias("_rk"), "pos")
-    chosen = marks.repartition(small, "_rk").groupBy("_rk").agg(F.collect_set("pos").alias("at"))
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    twice = found.filter("anchor").groupBy(F.col("core").alias("_core")).agg(F.count("*").alias("n")).filter("n > 1")
+    marks = found.filter("anchor").join(twice, F.col("core") == F.col("_core")).select(F.col("rk").alias("_rk"), "pos", (F.col("n") > HOT_ANCHORS).alias("_hot"))
+    at = lambda hot: F.collect_set(F.when(F.col("_hot") == F.lit(hot), F.col("pos")))
+    chosen = marks.repartition(small, "_rk").groupBy("_rk").agg(at(False).alias("at"), at(True).alias("hot"))
+    anchors, most = found.filter("anchor").count(), twice.agg(F.max("n")).first()[0] or 0
+    parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), anchors // PART_ANCHORS)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,11 +317,31 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         out = [(*key, *x) for key, i in by_doc.items() for x in joined(i)]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "rk", "start", "stop"])
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, rk, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                text = _bytes(text)
+                for p in at.as_py():
+                    begins = range(max(0, p - before, p + CORE - span), min(p, len(text) - span) + 1)
+                    if begins:
+                        columns = [[doc] * len(begins), [rk] * len(begins), list(begins), [p - b for b in begins], [xxhash.xxh3_128_digest(text[b : b + span]) for b in begins]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "rk", "start", "lead", "h"])
+
     texts = rows.repartition(small, "rk")  # one exchange for both joins below
     cut_out = texts.join(chosen, F.col("rk") == F.col("_rk")).select("doc_id", "rk", "text", "at").mapInArrow(runs, "part int, run binary")
+    if most > HOT_ANCHORS:
+        # a string is the same string at another place if it is met twice with its anchor as far from its begin
+        strings = f"{shared_dir(spark)}/strings-{uuid.uuid4().hex}"
+        hot = texts.join(chosen.filter(F.size("hot") > 0), F.col("rk") == F.col("_rk")).select("doc_id", "rk", "text", "hot")
+        hot.mapInArrow(windows, "doc_id long, rk long, start long, lead int, h binary").write.parquet(strings)
+        hot = spark.read.parquet(strings)
+        again = hot.groupBy(F.col("h").alias("_h"), F.col("lead").alias("_lead")).agg(F.count("*").alias("n")).filter("n > 1").select("_h", "_lead")
+        found_hot = hot.join(again, (F.col("h") == F.col("_h")) & (F.col("lead") == F.col("_lead"))).groupBy("doc_id", "rk", (F.col("start") + F.col("lead")).alias("p"))
+        found_hot = found_hot.agg(F.min("start").alias("start"), (F.max("start") + span).alias("stop")).select("doc_id", "rk", "start", "stop")
     hits = cut_out.groupBy("part").applyInArrow(merged, "doc_id long, rk long, start long, stop long")
     settled = found.filter("not anchor").select("doc_id", "rk", F.col("pos").alias("start"), "stop")
     own = F.struct(F.col("doc_id").alias("id"), "start", "stop")
+    hits = hits.union(found_hot) if most > HOT_ANCHORS else hits
     spans = hits.union(settled).repartition(small, "rk").groupBy(F.col("rk").alias("_rk")).agg(F.collect_set(own).alias("_spans"))
     of_row = F.filter("_spans", lambda x: x["id"].eqNullSafe(F.col("doc_id")))
     return texts.join(spans, F.col("rk") == F.col("_rk"), "left").select("doc_id", "rk", "text", of_row.alias("spans"))

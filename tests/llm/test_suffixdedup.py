@@ -47,6 +47,19 @@ def test_equals_brute_force(spark):
         assert all(a.stop < b.start for a, b in zip(got[k].spans, got[k].spans[1:]))
 
 
+def test_hot_cores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_ANCHORS", 2)  # cores of the shared passage are hot, others are merged
+    monkeypatch.setattr(sd, "PART_ANCHORS", 3)
+    test_equals_brute_force(spark)
+    rng = random.Random(8)
+    passage = prose(rng, 25)[:150]
+    texts = [f"{prose(rng, rng.randrange(12))} {passage} {rng.choice(['same end of it', ''])} {prose(rng, rng.randrange(12))}" for _ in range(30)]
+    texts += texts[:3] + [texts[4][3:], texts[5][:-4]]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4)
+    got = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(rows).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts])))
+
+
 def test_repeated_rows_nulls_and_other_columns(spark):
     long = prose(random.Random(5), 100)
     rows = [(1, long, "a"), (1, long, "b"), (None, long[:250], "c"), (2, "tiny", None), (2, "tiny", None)]
