@@ -186,6 +186,16 @@ def pdf_revisions(content: Column) -> Column:
     return F.regexp_count(text, F.lit("%%EOF")) - F.when(F.substring(text, 1, 1024).contains("/Linearized"), 1).otherwise(0)
 
 
+def pdf_version(content: Column) -> Column:
+    """``1.7``, from the mark in a file's first 1024 bytes; null where there is none."""
+    return F.nullif(F.regexp_extract(_ascii(content, 0, 1024), r"%PDF-(\d\.\d)", 1), F.lit(""))
+
+
+def text_format(name: Column) -> Column:
+    """``markdown``, ``html`` or ``text``, by a name's extension."""
+    return F.when(extension(name).isin("md", "markdown"), "markdown").when(extension(name).isin("html", "htm", "xhtml"), "html").otherwise("text")
+
+
 def permission_flags(p: Column) -> Column:
     """What a PDF's permission bits forbid."""
     bits = {"printing": 4, "editing": 8, "copying": 16, "commenting": 32}

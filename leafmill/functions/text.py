@@ -134,6 +134,12 @@ def plural_category(n: Column, lang: Column) -> Column:
     return F.when(lang == "ar", arabic).when(lang == "fr", F.when(n < 2, "one").when(million, "many").otherwise("other")).when(lang == "es", F.when(n == 1, "one").when(million, "many").otherwise("other")).otherwise(F.when(n == 1, "one").otherwise("other"))
 
 
+def plural_form(n: Column, lang: Column, forms: Column) -> Column:
+    """The catalogue's form (a map by category) for a number, ``{n}`` filled in; that of ``other`` where the category has none."""
+    form = F.coalesce(F.try_element_at(forms, plural_category(n, lang)), F.try_element_at(forms, F.lit("other")))
+    return F.replace(form, F.lit("{n}"), n.cast("string"))
+
+
 def strip_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, "^﻿?---\\r?\\n[\\s\\S]*?\\r?\\n---\\r?\\n", "")
 

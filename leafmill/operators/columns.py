@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.spans import SPACE
+from leafmill.functions.spans import SPACE, regex_spans
 from leafmill.functions.text import cell_number, join_lines
 from leafmill.operators.layout import PAGE, group_lines
 
@@ -77,6 +79,22 @@ def indexed_text(indexed: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
     return indexed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
 
 
+def find_text(pages: DataFrame, query: str) -> DataFrame:
+    """``doc_id, page, start, stop``: every place of ``query`` in the pages' texts (``text``), without regard to case and runs of white space.
+
+    With ``span_boxes`` a hit that goes over several items gets a box for each.
+    """
+    needle = " ".join(query.split()).lower()
+    if not needle:
+        return pages.select(*PAGE, F.lit(0).alias("start"), F.lit(0).alias("stop")).filter(F.lit(False))
+    # letters whose lower case is longer stay as they are, so that positions hold
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    low = F.array_join(F.transform(chars, lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)), "")
+    quoted = re.sub(r"([^\w\s])", r"\\\1", needle)
+    hits = pages.select(*PAGE, F.explode(regex_spans(low, quoted)).alias("s"))
+    return hits.select(*PAGE, "s.start", "s.stop")
+
+
 def span_boxes(spans: DataFrame, indexed: DataFrame, sizes: DataFrame) -> DataFrame:
     """``spans`` (``doc_id, page, start, stop`` in the page's text) with ``item_no`` and ``box``: a row for each item that a span covers.
 

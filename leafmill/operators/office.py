@@ -56,6 +56,32 @@ def zip_kind(parts: DataFrame) -> DataFrame:
     return parts.groupBy("file_id").agg(kind.alias("kind"))
 
 
+def annotation_findings(annotations: DataFrame) -> DataFrame:
+    """``file_id, id, severity, n, authors`` of PDF annotations ``file_id, subtype, author, text``: comments and markup, high where someone is named or wrote something."""
+    a = annotations.filter(~F.col("subtype").isin("Link", "Widget", "Popup"))
+    author, note = F.nullif(F.trim("author"), F.lit("")), F.nullif(F.trim("text"), F.lit(""))
+    g = a.groupBy("file_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(author)).alias("authors"), F.count(note).alias("_notes"))
+    severity = F.when((F.size("authors") > 0) | (F.col("_notes") > 0), "high").otherwise("medium")
+    return g.select("file_id", F.lit("comments").alias("id"), severity.alias("severity"), "n", "authors")
+
+
+def form_findings(fields: DataFrame) -> DataFrame:
+    """``file_id, id, severity, n, filled`` of PDF form fields ``file_id, kind, value``: a form, medium where a field is filled in, and signatures."""
+    signed = F.col("kind") == "signature"
+    has = F.col("value").isNotNull() & (F.trim("value") != "") & (F.col("value") != "Off")
+    g = fields.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(~signed & has).alias("filled"), F.count_if(signed & has).alias("signed"))
+    form = F.struct(F.lit("form").alias("id"), F.when(F.col("filled") > 0, "medium").otherwise("info").alias("severity"), F.col("n"), F.col("filled"))
+    signature = F.when(F.col("signed") > 0, F.struct(F.lit("signatures").alias("id"), F.lit("info").alias("severity"), F.col("signed").alias("n"), F.col("signed").alias("filled")))
+    return g.select("file_id", F.inline(F.array_compact(F.array(form, signature))))
+
+
+def layer_findings(layers: DataFrame) -> DataFrame:
+    """``file_id, id, severity, n``: hidden layers of ``file_id, name, visible`` where there are any, else that all are seen."""
+    g = layers.groupBy("file_id").agg(F.count_if(~F.col("visible")).alias("_hidden"), F.count("*").alias("_all"))
+    some = F.col("_hidden") > 0
+    return g.select("file_id", F.when(some, "layers").otherwise("layers-info").alias("id"), F.when(some, "high").otherwise("info").alias("severity"), F.when(some, F.col("_hidden")).otherwise(F.col("_all")).alias("n"))
+
+
 def object_findings(actions: DataFrame) -> DataFrame:
     """``file_id, id, severity, n`` of PDF actions ``file_id, action, target``: code, programs, forms sent, files elsewhere, links."""
     a = F.lower("action")

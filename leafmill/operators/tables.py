@@ -62,6 +62,13 @@ def issuer_chain(certs: DataFrame) -> DataFrame:
             return out
 
 
+def display_name(subject):
+    """The name to show of a distinguished name like ``CN=Jane Doe, O=Example``: the common name, else given and surname, organisation, e-mail, else all of it."""
+    part = lambda key: F.nullif(F.trim(F.regexp_extract(subject, rf"(?:^|,)\s*{key}=([^,]*)", 1)), F.lit(""))
+    person = F.nullif(F.concat_ws(" ", part("GN"), part("SN")), F.lit(""))
+    return F.coalesce(part("CN"), person, part("O"), part("E"), F.nullif(F.trim(subject), F.lit("")), F.lit("Unnamed"))
+
+
 def outline_tree(bookmarks: DataFrame) -> DataFrame:
     """``parent``: the sequence number of the last bookmark before that is one level up; ``valid``: no level is skipped.
 
@@ -93,12 +100,24 @@ def signature_rollup(signatures: DataFrame) -> DataFrame:
 
 
 def apply_values(fields: DataFrame, values: DataFrame) -> DataFrame:
-    """Text values by field name: read-only fields and choices that are not offered keep theirs, text is cut to its greatest length."""
-    v = values.select(F.col("doc_id").alias("_d"), F.col("name").alias("_n"), F.col("value_s").alias("_v"))
-    offered = (F.size("options") == 0) | F.array_contains("options", F.col("_v")) | F.col("editable")
+    """Values by field name: read-only fields and choices that are not offered keep theirs, text is cut to its greatest length.
+
+    Check boxes take ``value_b`` and lists ``value_l``, whose choices must all be offered, where both tables have these columns; an empty choice
+    clears a field. A value of another kind than its field is passed over.
+    """
+    more = [c for c in ("value_b", "value_l") if c in fields.columns and c in values.columns]
+    v = values.select(F.col("doc_id").alias("_d"), F.col("name").alias("_n"), F.col("value_s").alias("_v"), *[F.col(c).alias(f"_{c}") for c in more])
+    offered = (F.size("options") == 0) | F.array_contains("options", F.col("_v")) | F.col("editable") | (F.col("_v") == "")
+    open_ = ~F.col("read_only")
+    takes_more = {
+        "value_b": open_ & (F.col("kind") == "checkbox") & F.col("_value_b").isNotNull() if "value_b" in more else None,
+        "value_l": open_ & (F.col("kind") == "list") & F.col("_value_l").isNotNull() & (F.size(F.array_except("_value_l", "options")) == 0) if "value_l" in more else None,
+    }
     cut_value = F.when(F.col("max_length").isNotNull(), F.substring("_v", F.lit(1), F.col("max_length"))).otherwise(F.col("_v"))
     takes = F.col("_v").isNotNull() & ~F.col("read_only") & F.when(F.col("kind").isin("radio", "dropdown"), offered).otherwise(F.col("kind") == "text")
-    return fields.join(v, (F.col("doc_id") == F.col("_d")) & (F.col("name") == F.col("_n")), "left").withColumn("value_s", F.when(takes, cut_value).otherwise(F.col("value_s"))).drop("_d", "_n", "_v")
+    new = {"value_s": F.when(takes, cut_value).otherwise(F.col("value_s"))} | {c: F.when(takes_more[c], F.col(f"_{c}")).otherwise(F.col(c)) for c in more}
+    joined = fields.join(v, (F.col("doc_id") == F.col("_d")) & (F.col("name") == F.col("_n")), "left")
+    return joined.withColumns(new).select(*fields.columns)
 
 
 def classify_entries(entries: DataFrame) -> DataFrame:
@@ -187,6 +206,18 @@ def keyword_rank(items: DataFrame, queries: DataFrame | str, k: int | None = 10,
     return scored.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
+# The plural categories that a language needs.
+CATEGORIES = {"en": ["one", "other"], "de": ["one", "other"], "es": ["one", "many", "other"], "fr": ["one", "many", "other"], "ar": ["zero", "one", "two", "few", "many", "other"]}
+
+
+def plural_gaps(catalog: DataFrame) -> DataFrame:
+    """``lang, key, missing``: plural texts (``forms``, a map by category) that lack a category of their language; other languages need ``other`` alone."""
+    need = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in CATEGORIES.items() for x in pair])
+    wanted = F.coalesce(F.try_element_at(need, F.col("lang")), F.array(F.lit("other")))
+    missing = F.array_except(wanted, F.map_keys("forms"))
+    return catalog.filter("forms is not null").select("lang", "key", missing.alias("missing")).filter("size(missing) > 0")
+
+
 def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str, order: str) -> DataFrame:
     """The value, rounded to halves, with the most weight in each group; of equal ones that met first."""
     half = F.floor(F.col(value) * 2 + 0.5) / 2
@@ -205,8 +236,9 @@ def page_text(words: DataFrame) -> DataFrame:
 
 
 def sheet_extent(cells: DataFrame) -> DataFrame:
-    """Used rows and columns of each sheet of cells ``sheet, row, col, value``, blank ones apart."""
-    return cells.filter(F.trim("value") != "").groupBy("sheet").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count("*").alias("filled"))
+    """Used rows and columns of each sheet of cells ``sheet, row, col, value``, blank ones apart; ``hidden`` where the cells say so of their sheets."""
+    hidden = [F.bool_or(F.coalesce("hidden", F.lit(False))).alias("hidden")] if "hidden" in cells.columns else []
+    return cells.filter(F.trim("value") != "").groupBy("sheet").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count("*").alias("filled"), *hidden)
 
 
 def template_match(texts: DataFrame, templates: DataFrame) -> DataFrame:

@@ -58,6 +58,12 @@ def boxes(spark, sf_dir):
     return found.select("doc_id", "page", F.col("item_no").cast("long").alias("item_no"), *[F.round(f"box.{c}", 9).alias(c) for c in ("x", "y", "width", "height")])
 
 
+def hits(spark, sf_dir):
+    """Pages' places of "of the", over the border of two items."""
+    indexed = columns.page_index(_items(spark, sf_dir), ["item_no"])
+    return columns.find_text(columns.indexed_text(indexed), "OF  the").select("doc_id", "page", F.col("start").cast("long").alias("start"))
+
+
 def segments(spark, sf_dir):
     """Stretches of bold and plain text in lines of eight words."""
     df = _words(spark, sf_dir).select("doc_id", "page", F.posexplode("w").alias("item_no", "text"))
@@ -129,7 +135,7 @@ def textless(spark, sf_dir):
     return layout.textless_pages(pages, items)
 
 
-QUERIES = {f"layout_{f.__name__}": f for f in (reading_order, phrases, blocks, boxes, segments, page_rows, markdown, joined, headings, lines_of_text, blank, textless)}
+QUERIES = {f"layout_{f.__name__}": f for f in (reading_order, phrases, blocks, boxes, hits, segments, page_rows, markdown, joined, headings, lines_of_text, blank, textless)}
 _W = r"w AS (SELECT conv_id AS doc_id, turn AS page, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations)"
 _K = f"{_W}, k AS (SELECT *, len(w) AS n, (len(w) + 1) // 2 AS half, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS k FROM w), i AS (SELECT *, n >= 40 AS two, n >= 40 AND k >= half AS r FROM k), p AS (SELECT *, CASE WHEN r THEN k - half ELSE k END AS own, CASE WHEN two THEN 4 ELSE 8 END AS wide FROM i)"
 _N = "k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem)"
@@ -138,6 +144,7 @@ SQL = {
     "layout_phrases": f"WITH {_K}, g AS (SELECT doc_id, page, own // wide AS row, r, string_agg(t, ' ' ORDER BY k) AS text, count(*) AS c FROM p GROUP BY ALL) SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY row, r) AS phrase, text, CASE WHEN r THEN 330.0 ELSE 40.0 END::DOUBLE AS x, (c * 60 - 5)::DOUBLE AS width FROM g",
     "layout_blocks": f"WITH {_K} SELECT doc_id, page, CASE WHEN r THEN 330.0 ELSE 40.0 END::DOUBLE AS x, replace(string_agg(t, '' ORDER BY k), '-', '') AS letters, ((count(*) + any_value(wide) - 1) // any_value(wide))::BIGINT AS lines FROM p GROUP BY doc_id, page, r",
     "layout_boxes": f"WITH {_K} SELECT doc_id, page, k AS item_no, round(((CASE WHEN r THEN 330 ELSE 40 END + own % wide * 60 - 1) / 600.0)::DOUBLE, 9) AS x, round(((100 + own // wide * 14 - 10) / 800.0)::DOUBLE, 9) AS y, round((57 / 600.0)::DOUBLE, 9) AS width, round((13.5 / 800.0)::DOUBLE, 9) AS height FROM p WHERE n > 1 AND k >= n - 2",
+    "layout_hits": rf"WITH {_W}, t AS (SELECT doc_id, page, lower(array_to_string(w, ' ')) AS t FROM w), s AS (SELECT doc_id, page, string_split(t, 'of the') AS s FROM t WHERE contains(t, 'of the')), k AS (SELECT *, unnest(range(1, len(s))) AS k FROM s) SELECT doc_id, page, (list_sum(list_transform(s[1:k], lambda x: length(x))) + 6 * (k - 1))::BIGINT AS start FROM k",
     "layout_segments": f"WITH {_K}, s AS (SELECT doc_id, page, k // 8 AS line, (k % 8) // 4 * 2 + CASE WHEN k % 4 > 0 THEN 1 ELSE 0 END AS segment, string_agg(t, ' ' ORDER BY k) AS t FROM k GROUP BY ALL) SELECT doc_id, page, (line + 1)::BIGINT AS line, segment::BIGINT AS segment, CASE WHEN segment > 0 THEN ' ' ELSE '' END || t AS text, segment % 2 = 0 AS bold FROM s",
     "layout_page_rows": f"""WITH {_N}, n AS (SELECT l_orderkey AS doc_id, k::INT AS row, k AS l, l_quantity::INT AS q, l_extendedprice AS p FROM k)
 SELECT doc_id, row, 0 AS band, 'No' || l AS text, NULL::DOUBLE AS number FROM n UNION ALL SELECT doc_id, row, 1, '(' || q || ')', -q::DOUBLE FROM n UNION ALL SELECT doc_id, row, 2, format('{{:,.2f}}', p), p::DOUBLE FROM n""",

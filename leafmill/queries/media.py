@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.files import content_marks, decode_text
-from leafmill.functions.text import decode_entities, sentence_chunks
+from leafmill.functions.files import content_marks, decode_text, pdf_version, text_format
+from leafmill.functions.text import decode_entities, plural_form, sentence_chunks
 from leafmill.operators import findings, images, office, tables
 from leafmill.operators.tables import shared_folder
 from leafmill.sources import files as src
@@ -120,6 +120,54 @@ def zip_kinds_by_mime(spark, sf_dir):
     return office.zip_kind(parts)
 
 
+def pdf_marks(spark, sf_dir):
+    """Versions and the form of text of files whose names and first bytes come from parts."""
+    p = read_table(spark, sf_dir, "part", "p_partkey")
+    k = F.col("p_partkey")
+    content = F.concat(F.encode(F.concat(F.lit("\n%PDF-1."), (k % 8).cast("string"), F.lit("\n")), "ISO-8859-1"), _hex("E2E3"))
+    name = F.concat(F.lit("file."), F.element_at(F.array(*map(F.lit, ("md", "HTM", "txt"))), (k % 3 + 1).cast("int")))
+    return p.select("p_partkey", pdf_version(F.when(k % 5 == 0, F.substring(content, 5, 9)).otherwise(content)).alias("version"), text_format(name).alias("form"))
+
+
+def pdf_remarks(spark, sf_dir):
+    """Findings of annotations, form fields and layers, one for each line of an order."""
+    df = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag").withColumnRenamed("l_orderkey", "file_id")
+    kind = F.when(F.col("l_returnflag") == "N", "Highlight").otherwise("Link")
+    a = office.annotation_findings(df.select("file_id", kind.alias("subtype"), F.when(F.col("l_partkey") % 2 == 0, "Ann").otherwise(" ").alias("author"), F.lit(" ").alias("text")))
+    f = office.form_findings(df.select("file_id", F.when(F.col("l_partkey") % 7 == 0, "signature").otherwise("text").alias("kind"), F.when(F.col("l_quantity") > 25, "x").otherwise(" ").alias("value")))
+    l = office.layer_findings(df.select("file_id", F.lit("L").alias("name"), (F.col("l_quantity") < 40).alias("visible")))
+    parts = [x.select("file_id", "id", "severity", "n") for x in (a, f, l)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def plural_texts(spark, sf_dir):
+    """Catalogues in five languages that lack a category here and there, and the forms that numbers take."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k = F.col("p_partkey")
+    lang = F.element_at(F.array(*map(F.lit, ("en", "es", "fr", "de", "ar"))), (k % 5 + 1).cast("int"))
+    forms = F.when(k % 2 == 0, F.create_map(F.lit("one"), F.lit("{n} file"), F.lit("other"), F.lit("{n} files"))).otherwise(F.create_map(F.lit("other"), F.lit("{n} files")))
+    c = p.select(lang.alias("lang"), k.cast("string").alias("key"), forms.alias("forms"), plural_form(F.col("p_size") % 3, lang, forms).alias("shown"))
+    gaps = tables.plural_gaps(c).select("lang", "key", F.array_join("missing", ",").alias("missing"))
+    return c.select("lang", "key", "shown").join(gaps, ["lang", "key"], "left")
+
+
+def form_values(spark, sf_dir):
+    """Check boxes and lists: a list takes choices that are all offered, a read-only field none."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    k = F.col("p_partkey")
+    texts = F.array().cast("array<string>")
+    fields = p.select(k.alias("doc_id"), F.lit("f").alias("name"), F.when(k % 2 == 0, "checkbox").otherwise("list").alias("kind"), F.lit(None).cast("string").alias("value_s"), F.lit(False).alias("value_b"), texts.alias("value_l"), F.array(F.lit("a"), F.lit("b")).alias("options"), F.lit(None).cast("int").alias("max_length"), F.lit(False).alias("editable"), (F.col("p_size") > 40).alias("read_only"))
+    values = p.select(k.alias("doc_id"), F.lit("f").alias("name"), F.lit(None).cast("string").alias("value_s"), F.lit(True).alias("value_b"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("b"))).alias("value_l"))
+    return tables.apply_values(fields, values).select("doc_id", "value_b", F.array_join("value_l", ",").alias("value_l"))
+
+
+def signer_names(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    k = F.col("c_custkey") % 4
+    dn = F.when(k == 0, F.concat(F.lit("O=Org, CN="), "c_name")).when(k == 1, F.concat(F.lit("GN=Jane,SN="), "c_name")).when(k == 2, F.concat(F.lit("C=XX, O="), "c_name")).otherwise("")
+    return c.select("c_custkey", tables.display_name(dn).alias("name"))
+
+
 def _folder(spark):
     return f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
 
@@ -202,7 +250,7 @@ def media_summary(spark, sf_dir):
     return s.select("event_id", "duration", "bit_rate", *[F.col(c).cast("long").alias(c) for c in ("video", "audio", "subtitles")], "cover", F.array_join("groups", ",").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, zip_kinds_by_mime, csv_rows, files_by_path, report_lines, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
+QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_lines, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
 _Q = "greatest(1, least(100, floor(CASE WHEN s = 64 THEN 100 WHEN s * 100.0 / 3688 <= 100 THEN (200 - s * 100.0 / 3688) / 2 ELSE 5000 / (s * 100.0 / 3688) END + 0.5)))::INT"
 SQL = {
     "image_entries": """SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Make' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'image', 'Orientation', (c_custkey % 8 + 1)::VARCHAR FROM customer
@@ -216,6 +264,16 @@ SELECT 'ai' AS id, 'high' AS severity, m AS n FROM c UNION ALL SELECT 'c2pa', 'i
     "image_places": "SELECT c_custkey::VARCHAR AS path, round(((c_custkey % 90 + 0.51) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE, 6) AS latitude, round(((c_custkey % 200 + 0.25) * CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END)::DOUBLE, 6) AS longitude FROM customer WHERE c_custkey % 200 < 180",
     "package_parts": "SELECT s_suppkey AS path, 'part-' || s_suppkey || '.txt' AS part, strlen(s_name)::BIGINT AS size, s_name AS text FROM supplier",
     "zip_kinds_by_mime": "SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN 'EPUB e-book' WHEN 1 THEN 'OpenDocument text' WHEN 2 THEN 'OpenDocument spreadsheet' ELSE 'ZIP archive' END AS kind FROM part",
+    "pdf_marks": "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN '1.' || (p_partkey % 8) END AS version, ['markdown', 'html', 'text'][(p_partkey % 3 + 1)::INT] AS form FROM part",
+    "pdf_remarks": """WITH g AS (SELECT l_orderkey AS file_id, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS notes, count(*) FILTER (l_returnflag = 'N' AND l_partkey % 2 = 0) AS named, count(*) FILTER (l_partkey % 7 <> 0 AND l_quantity > 25) AS filled,
+  count(*) FILTER (l_partkey % 7 = 0 AND l_quantity > 25) AS signed, count(*) FILTER (l_quantity >= 40) AS hidden FROM lineitem GROUP BY 1)
+SELECT file_id, 'comments' AS id, CASE WHEN named > 0 THEN 'high' ELSE 'medium' END AS severity, notes AS n FROM g WHERE notes > 0 UNION ALL SELECT file_id, 'form', CASE WHEN filled > 0 THEN 'medium' ELSE 'info' END, n FROM g
+UNION ALL SELECT file_id, 'signatures', 'info', signed FROM g WHERE signed > 0 UNION ALL SELECT file_id, CASE WHEN hidden > 0 THEN 'layers' ELSE 'layers-info' END, CASE WHEN hidden > 0 THEN 'high' ELSE 'info' END, CASE WHEN hidden > 0 THEN hidden ELSE n END FROM g""",
+    "plural_texts": """WITH p AS (SELECT p_partkey::VARCHAR AS key, p_partkey % 2 = 0 AS two, ['en', 'es', 'fr', 'de', 'ar'][(p_partkey % 5 + 1)::INT] AS lang, p_size % 3 AS n FROM part)
+SELECT lang, key, n || CASE WHEN two AND (n = 1 OR (n = 0 AND lang = 'fr')) THEN ' file' ELSE ' files' END AS shown,
+       nullif(concat_ws(',', CASE WHEN lang = 'ar' THEN 'zero' END, CASE WHEN NOT two THEN 'one' END, CASE WHEN lang = 'ar' THEN 'two,few' END, CASE WHEN lang IN ('ar', 'es', 'fr') THEN 'many' END), '') AS missing FROM p""",
+    "form_values": "SELECT p_partkey AS doc_id, p_partkey % 2 = 0 AND p_size <= 40 AS value_b, CASE WHEN p_partkey % 2 = 1 AND p_size <= 40 AND p_partkey % 3 > 0 THEN 'b' ELSE '' END AS value_l FROM part",
+    "signer_names": "SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'Jane ' || c_name WHEN 3 THEN 'Unnamed' ELSE c_name END AS name FROM customer",
     "csv_rows": "SELECT p_partkey, '\"' || p_name || ',' || chr(10) || '\"' AS p_name, p_size::BIGINT AS p_size FROM part",
     "files_by_path": "SELECT n_nationkey, true AS by_path, true AS whole FROM nation",
     "report_lines": r"WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}')) AS v, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}'), 1) AS k, regexp_split_to_array(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS g, regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS a FROM documents) SELECT 'email' || chr(9) || v || chr(9) || (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k - 1], lambda x: length(x))), 0))::BIGINT AS line FROM m",
