@@ -26,6 +26,17 @@ def pii_findings(spark, sf_dir):
     return ops.pii_findings(_docs(spark, sf_dir))
 
 
+#: What is planted after every text: a value of four kinds, and three that only look like one. (kind, value, place)
+PLANTED = "\nGB82 WEST 1234 5698 7654 32; 123-45-6789; AB 12 34 56 C; born on 12/05/1980; GB82 WEST 1234 5698 7654 33; 000-12-3456; BG123456A"
+FOUND = [("iban", "GB82 WEST 1234 5698 7654 32", 1), ("ssn", "123-45-6789", 30), ("nino", "AB 12 34 56 C", 43), ("dob", "12/05/1980", 66)]
+
+
+def pii_planted(spark, sf_dir):
+    """Kinds that the tables do not hold by themselves, planted after every text."""
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(PLANTED)))
+    return ops.pii_findings(docs, ["iban", "ssn", "nino", "dob"]).select("doc_id", "kind", "value", F.col("start").cast("long").alias("start"))
+
+
 def pii_summary(spark, sf_dir):
     return ops.pii_summary(ops.pii_findings(_docs(spark, sf_dir, "lang"), keep=("lang",)), ["lang"])
 
@@ -82,6 +93,7 @@ def report_lines(spark, sf_dir):
 
 
 QUERIES = {
+    "pii_planted": pii_planted,
     "pii_email": _kind("email"),
     "pii_card": _kind("card"),
     "pii_ip": _kind("ip"),
@@ -138,6 +150,7 @@ _CONTEXT = r"""regexp_replace(concat(CASE WHEN start > 32 THEN '…' ELSE '' END
 _NONE = "SELECT doc_id, text AS value, 0 AS start, 0 AS stop FROM documents WHERE regexp_matches(text, '{}')"
 _VERDICT = "SELECT doc_id, CASE WHEN bool_or(kind IN ('card', 'iban', 'ssn')) THEN 'high' ELSE 'medium' END AS severity, array_to_string(list_sort(list_distinct(list(kind))), ',') AS ids FROM f GROUP BY doc_id"
 SQL = {
+    "pii_planted": "SELECT doc_id, kind, value, (length(coalesce(text, '')) + place)::BIGINT AS start FROM documents, (VALUES " + ", ".join(f"('{k}', '{v}', {at})" for k, v, at in FOUND) + ") p(kind, value, place)",
     "pii_email": f"WITH {_EMAIL} SELECT doc_id, value, start, stop FROM email",
     "pii_card": f"WITH {_CARD} SELECT doc_id, value, start, stop FROM card",
     "pii_ip": f"WITH {_IP} SELECT doc_id, value, start, stop FROM ip",
