@@ -73,3 +73,15 @@ def test_rows_as_often_as_taken(spark):
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     goal = targets({"a": 1000, "b": 1000, "c": 2000, None: 0})
     assert all(abs(10 * n[s] - goal[s]) <= 10 for s in "abc")
+
+
+def test_equal_keys_and_very_long_texts(spark):
+    # no weight makes all keys infinite: ties go to the smaller id, and exactly the first ones are taken a second time
+    rows = [(k, ["a", "b", "c"][k % 3], 10, 0.0) for k in range(300)]
+    out = mx.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in "abc":
+        copies = [r.copies for r in sorted((r for r in out if r.source == s), key=lambda r: r.doc_id)]
+        assert copies == sorted(copies, reverse=True) and copies[0] - copies[-1] <= 1
+    docs = spark.createDataFrame([(1, "w " * 2_000_000, "a"), (2, "v " * 2_000_000, "a"), (3, " \t" * 1_000_000, "b")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in mx.mixed(docs, labels).collect()) == [1, 2, 3]  # a text without words takes none of the budget

@@ -66,3 +66,9 @@ def test_stages_on_an_empty_table(spark, k):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     same_rows(spark, queries.QUERIES[name], queries.SQL[name], FOLDER)
+
+
+def test_the_whole_pipeline_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []

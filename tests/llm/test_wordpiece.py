@@ -36,3 +36,11 @@ def test_nulls_empty_texts_and_clashing_columns(spark):
     out = wp.token_counts(df).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in out) == [(0, 2), (1, 0), (1, 0), (2, 0)]
     assert wp.token_counts(df.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    tokens = set(wp.load_tokens())
+    rows = [(1, "word wörd " * 300_000), (2, "x" * 300_000), (3, "\n" * 2_000_000 + "end")]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in wp.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (600_000, 300_000 * (greedy(b" word", tokens) + greedy(" wörd".encode(), tokens)))
+    assert got[2][0] == 1 and got[3] == (1, greedy(b" end", tokens))
