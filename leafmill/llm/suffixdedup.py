@@ -41,8 +41,8 @@ PIECE = 1 << 20
 PARTS, PART_ANCHORS = 4, 100_000
 #: A core with more anchors than this is not merged in one task: the strings around its anchors are counted by their hashes instead.
 HOT_ANCHORS = 200_000
-#: Rows of the result that a task hands on at a time.
-ROWS = 500
+#: Rows of the result that a task hands on at a time, and rows in which it looks for equal surroundings.
+ROWS, GATHER = 500, 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -111,12 +111,24 @@ def _bytes(value: pa.Scalar) -> bytes:
     return (value.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least ``GATHER`` rows where there are so many, however small the session makes them: equal surroundings meet in a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def find_anchors(rows: DataFrame, span: int) -> DataFrame:
     """From ``doc_id, rk, text``: rows of anchors (``core, rk, pos``), and of settled intervals (``doc_id, rk, pos, stop``), whose core spreads them."""
     before = span - CORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [_bytes(t) for t in batch.column(2)]
             own = [anchors(t, span) for t in texts]
             doc = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
