@@ -166,7 +166,11 @@ def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             kept += [(a0 + i, b0 + j) for i, j in chain]
             work += [(a0 + i + 1, a0 + k, b0 + j + 1, b0 + l) for (i, j), (k, l) in zip(cuts, cuts[1:])]
         else:
-            kept += [(a0 + i, b0 + j) for i, j in least_script(a[a0:a1], b[b0:b1]) or []]
+            # words of one side alone are edits in any script
+            own, other = [i for i, w in enumerate(left) if m[w]], [j for j, w in enumerate(right) if n[w]]
+            most = MOST_EDITS - (len(left) - len(own)) - (len(right) - len(other))
+            found = least_script(a[a0:a1][own], b[b0:b1][other], most) if own else None
+            kept += [(a0 + own[i], b0 + other[j]) for i, j in found or []]
     return sorted(kept)
 
 
