@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import ann, decontaminate, mixing, neardup, packing, quality, suffixdedup, toxicity, warc, wordpiece
-from leafmill.llm.common import fold, table, word_count
+from leafmill.llm import ann, covertree, decontaminate, langid, mixing, neardup, packing, quality, runs, suffixdedup, toxicity, warc, wordpiece
+from leafmill.llm.common import fold, table, word_count, words_column
 
 
 def _scored(df: DataFrame, held_out) -> DataFrame:
@@ -65,6 +65,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, weights), held_out)
 
 
+def _periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where of one id in ten, by its crc32, the words from one of them on are made to repeat the next few."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, w = F.floor(h / 10), words_column(F.col("text"), lower=False)
+    n = F.greatest(F.size(w), F.lit(1))
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.when(h % 10 == 0, F.concat_ws(" ", F.slice(w, F.lit(1), a), F.slice(again, F.lit(1), n - a))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(_periodic(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    start, length, period = -F.col("r.start"), F.col("r.length"), -F.col("r.period")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.withColumn("r", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("(1000 * r.length) div -r.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_nearest": op2_nearest,
@@ -76,8 +112,16 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_language": op13_language,
 }
 
+#: crc32 of the decimal text of doc_id in SQL, bit by bit; of no id 0.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_CRC32 = f"CASE WHEN doc_id IS NULL THEN 0 ELSE {_CRC32} END::BIGINT"
+
 SQL = {
     "op2_nearest": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -144,5 +188,46 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
 FROM d JOIN f ON d.hex = f.hex
+""",
+    "op11_periodic_runs": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_CRC32} AS h,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS o FROM documents),
+a AS (SELECT *, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) ELSE len(o) END AS a FROM d),
+e AS (SELECT row, doc_id, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) AS w FROM a),
+x AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM e),
+m AS (SELECT x.row, x.i, x.i - y.i AS q FROM x JOIN x y ON x.row = y.row AND x.word = y.word AND y.i < x.i),
+k AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS stretch FROM m),
+s AS (SELECT row, q, min(i) - q AS start, count(*) + q AS length FROM k GROUP BY row, q, stretch HAVING count(*) >= q AND count(*) + q >= 12),
+r AS (SELECT row, start, length, min(q) AS period FROM s GROUP BY row, start, length),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY row ORDER BY length DESC, start, period) = 1),
+t AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY row),
+g AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT x.row, string_agg(word, ' ' ORDER BY x.i) AS rest FROM x ANTI JOIN g ON x.row = g.row AND x.i = g.i GROUP BY x.row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM e LEFT JOIN l USING (row) LEFT JOIN t USING (row) LEFT JOIN c USING (row)
+""",
+    "op12_hard_negatives": """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""",
+    "op13_language": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, lang, {_CRC32} % 5 = 0 AS held_out FROM documents),
+w AS (SELECT row, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM d),
+c AS (SELECT row, ' ' || w || ' ' AS w, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT row, substr(w, i, k) AS g, sum(n) AS n FROM c, LATERAL (SELECT unnest([1, 2, 3]) AS k), LATERAL (SELECT unnest(range(1, length(w) - k + 2)) AS i)
+      WHERE substr(w, i, k) <> ' ' GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS r
+      FROM (SELECT lang, g, sum(n) AS n FROM g JOIN d USING (row) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY r < 300),
+t AS (SELECT row, g, rank() OVER (PARTITION BY row ORDER BY n DESC) - 1 AS r FROM g QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, g) <= 300),
+s AS (SELECT t.row, l.lang, sum(CASE WHEN p.r IS NULL THEN 300 ELSE abs(p.r - t.r) END) AS off, count(*) AS k
+      FROM t CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = t.g GROUP BY ALL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY row ORDER BY off, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - off::DOUBLE / (300 * k), 0)::DOUBLE AS score FROM d LEFT JOIN b USING (row)
 """,
 }
