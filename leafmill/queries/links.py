@@ -34,6 +34,13 @@ def blocks(spark, sf_dir):
     return b.filter("kind in ('heading', 'item', 'link')").groupBy("page_id", "kind", "level").agg(F.count("*").alias("n"))
 
 
+def block_texts(spark, sf_dir):
+    """What a reader sees of each page, by kind, in the words and the order of the page."""
+    b = html_blocks(_pages(spark, sf_dir, "page_id", "html")).filter("kind in ('heading', 'item', 'paragraph')")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))), lambda x: F.concat(x["kind"], F.lit(": "), x["text"]))
+    return b.groupBy("page_id").agg(F.array_join(lines, "\n").alias("lines"))
+
+
 def headings(spark, sf_dir):
     return html_blocks(_pages(spark, sf_dir, "page_id", "html")).filter("kind = 'heading' and level = 1").select("page_id", "text")
 
@@ -103,6 +110,7 @@ def payloads(spark, sf_dir):
 
 QUERIES = {
     "html_blocks": blocks,
+    "html_texts": block_texts,
     "html_headings": headings,
     "html_anchors": anchors,
     "url_parts": parts,
@@ -127,6 +135,11 @@ SQL = {
     "html_blocks": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 n AS (SELECT page_id, len(regexp_extract_all(h, '<h1\b')) AS h1, len(regexp_extract_all(h, '<li\b')) AS li, len(regexp_extract_all(h, '<a\s+href')) AS a FROM b)
 SELECT page_id, 'heading' AS kind, 1 AS level, h1 AS n FROM n WHERE h1 > 0 UNION ALL SELECT page_id, 'item', 1, li FROM n WHERE li > 0 UNION ALL SELECT page_id, 'link', 0, a FROM n WHERE a > 0""",
+    "html_texts": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(/?)(h1|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '</?(p|div|article|nav|ul|ol|body|html|footer|header|main|section|br|table|tr)\b[^>]*>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g') AS h FROM b),
+p AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(1)), lambda x: [CASE WHEN x LIKE 'h1' || chr(2) || '%' THEN 'heading' WHEN x LIKE 'li' || chr(2) || '%' THEN 'item' ELSE 'paragraph' END,
+      trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(string_split(x, chr(2))[-1], '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '[\s ]+', ' ', 'g'))]), lambda x: x[2] <> '') AS l FROM t)
+SELECT page_id, array_to_string(list_transform(l, lambda x: x[1] || ': ' || x[2]), chr(10)) AS lines FROM p WHERE len(l) > 0""",
     "html_headings": r"SELECT page_id, replace(trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&amp;', '&') AS text FROM pages",
     "html_anchors": r"SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS target, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS text FROM pages",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '^[a-z]+://[^/:?#]*:([0-9]+)', 1), '') AS port FROM pages",

@@ -5,6 +5,7 @@ import zlib
 
 from leafmill.operators import images
 from leafmill.sources import files
+from leafmill.sources.html import html_blocks, rows_of
 
 
 def jpeg(*segments):
@@ -37,3 +38,26 @@ def test_images_are_cleaned(spark):
     out = {r.path: bytes(r.content) for r in images.sanitize(df, segments).collect()}
     assert out == {"a.jpg": jpeg((0xE0, b"JFIF\0.."), (0xDB, table)), "b.png": files.PNG + chunk(b"IHDR", b"x" * 13) + chunk(b"IDAT", b"d") + chunk(b"IEND", b"")}
     assert [r.quality for r in images.jpeg_quality(segments).collect()] == [86]
+
+
+def test_elements_end_where_html_says():
+    read = lambda page: [(kind, level, text) for kind, level, text, *_ in rows_of(page)]
+    assert read("<ul><li>a<li>b<li>c</ul><p>after</p>") == [("item", 1, "a"), ("item", 1, "b"), ("item", 1, "c"), ("paragraph", 0, "after")]
+    assert read("<head><title>t</title><body><p>seen</p>") == [("paragraph", 0, "seen")]
+    assert read("<head><title>t</title><p>seen") == [("paragraph", 0, "seen")]
+    assert [(r[2], r[3]) for r in rows_of("<a href=x>one<a href=y>two</a>") if r[0] == "link"] == [("one", "x"), ("two", "y")]
+    assert [(r[2], r[3]) for r in rows_of("<a href=u><p>para</p></a>") if r[0] == "link"] == [("para", "u")]
+    assert read("<table><tr><td>a<ul><li>x</ul><td>b</table>z") == [("cell", 1, "a"), ("item", 1, "x"), ("cell", 1, "b"), ("paragraph", 0, "z")]
+    assert read("<ul><li>a<ul><li>b</ul><li>c</ul>") == [("item", 1, "a"), ("item", 2, "b"), ("item", 1, "c")]
+    assert read("<dl><dt>a<dd>b<dt>c</dl>d") == [("paragraph", 0, x) for x in "abcd"]
+    assert read("<h1>a<h2>b</h1>c") == [("heading", 1, "a"), ("heading", 2, "b"), ("paragraph", 0, "c")]
+    assert read("<svg><path/><text>no</text></svg>yes") == [("paragraph", 0, "yes")]
+    spans = [(r[1], r[2], r[4], r[5]) for r in rows_of("<table><tr><td colspan=2>a<td>b<tr><td colspan=x>c<th colspan=0>d</table>")]
+    assert spans == [(1, "a", 1, 2), (1, "b", 3, 1), (2, "c", 1, 1), (2, "d", 2, 1)]
+
+
+def test_no_page_stops_the_job(spark):
+    pages = [(1, "a<![foo[ x> b"), (2, "a<![foo[ x"), (3, "<" * 5000), (4, "<div>" * 20000 + "deep"), (5, "<p>good</p>"), (6, "<a href='&#xFFFFFFFF;'>x"), (7, None), (8, "")]
+    rows = html_blocks(spark.createDataFrame(pages, "page_id int, html string")).collect()
+    texts = {r.page_id: r.text for r in rows if r.kind == "paragraph"}
+    assert texts[1] == "a b" and texts[4] == "deep" and texts[5] == "good" and texts[2].startswith("a") and not {7, 8} & texts.keys()
