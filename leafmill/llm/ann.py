@@ -279,8 +279,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     ``probes``: lists searched for a query; by default as many as the sample shows to be needed. Of the vectors in these lists
     the nearest are found exactly; ``shortlist`` is how many are ranked first, and bounds nothing. ``score`` is the exact Euclidean distance in double precision; ties go to the smaller id. Rows without an id, and
     vectors that are null, zero or hold a null or non-finite component, take no part; nor do vectors of another length than
-    most have. Rows of the query's id are its own; of rows that repeat an id the nearest counts. Fewer candidates than
-    ``k`` give as many rows; an empty table none.
+    most have. Rows of the query's id are its own. Of rows that repeat an id with other vectors the nearest counts, as
+    query and as candidate: the score is the least of any two of their vectors. Fewer candidates than ``k`` give as many
+    rows; an empty table none.
     """
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vector_col)
@@ -290,7 +291,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     d = lengths[0][0]
     rows = rows.filter(F.size("v") == d)
     index = fit(rows, lengths[0][1])
-    queries = cut(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")))
+    queries = cut(rows.filter(is_query).select("id", "v").distinct())
     single = isinstance(getattr(vectors.select(vector_col).schema[0].dataType, "elementType", None), FloatType)
     coded = cut(encode(rows, index, "float" if single else "double"))
     found = ranked(coded, queries, index, probes or max(LEAST_PROBES, index.probes), k, shortlist)

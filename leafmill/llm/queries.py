@@ -134,11 +134,14 @@ SELECT * FROM r WHERE rank <= 10
 """,
     "op6_decontamination": """
 WITH t AS (SELECT DISTINCT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 1, item_id, text FROM benchmark),
-w AS (SELECT kind, id, text, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
-s AS (SELECT kind, id, text, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS x FROM w WHERE len(w) >= 5),
-q AS (SELECT id, count(*)::BIGINT AS q FROM s WHERE kind = 1 GROUP BY id),
-h AS (SELECT d.id AS doc_id, d.text, i.id AS item_id, count(*)::BIGINT AS shared FROM s d JOIN s i ON d.x = i.x AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
-SELECT doc_id, item_id, q AS item_shingles, shared, shared / q AS containment FROM h JOIN q ON q.id = h.item_id WHERE shared >= 0.8 * q
+w AS (SELECT row_number() OVER () AS k, kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
+v AS (SELECT DISTINCT least(len(w), 5) AS width FROM w WHERE kind = 1 AND len(w) > 0),
+s AS (SELECT kind, k, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' ')))) AS x
+      FROM w JOIN v ON len(w) >= width AND (kind = 0 OR width = least(len(w), 5))),
+q AS (SELECT k, count(*)::BIGINT AS q FROM s WHERE kind = 1 GROUP BY k),
+h AS (SELECT d.k AS d, i.k AS i, count(*)::BIGINT AS shared FROM s d JOIN s i ON d.x = i.x AND d.width = i.width AND d.kind = 0 AND i.kind = 1 GROUP BY ALL)
+SELECT d.id AS doc_id, i.id AS item_id, q AS item_shingles, shared, shared / q AS containment
+FROM h JOIN q ON q.k = h.i JOIN w d ON d.k = h.d JOIN w i ON i.k = h.i WHERE shared >= 0.8 * q
 """,
     "op7_mixing": """
 WITH q AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),

@@ -73,3 +73,9 @@ def test_copies_and_repeated_rows_do_not_push_out_nearer_vectors(spark):
     far = [(10_000 + 10 * k, [float(k % 31) * 3 - 40, float(k % 37) * 3 - 50]) for k in range(1200)]
     rows = near + far + [(k, [1.0, 1.01]) for k in range(1500)] + [(5000, [1.0, 1.001])] * 700 + [(5000, [9.0, 9.0])] + [(99_999, [1.0, 1.0])]
     assert ranked_ids(spark, rows, 99_999, 8, probes=10_000) == [90_000, 90_001, 90_002, 90_003, 90_004, 5000, 0, 1]
+
+
+def test_query_ids_with_several_vectors(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 9.0]), (100, [0.0, 9.0]), (1, [0.0, 8.8]), (2, [1.0, 0.5]), (2, [50.0, 50.0]), (3, [30.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, k=3).collect()
+    assert [(r.rank, r.vec_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 0.2), (2, 2, 0.5), (3, 3, 29.0)]

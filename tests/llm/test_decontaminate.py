@@ -62,3 +62,32 @@ def test_empty_tables(spark, docs, items):
     d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     assert dc.contaminated(d, i).collect() == []
     assert dc.without_contaminated(d, i).count() == len(docs)
+
+
+def test_ids_that_are_null_or_have_several_texts(spark):
+    one, two, none = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    items = [(1, one), (1, two), (1, one), (None, none), (None, "only three words"), (2, one)]
+    docs = [(10, f"x {one} y"), (11, f"x {two} y"), (12, f"{none} z"), (13, "are only three words here"), (None, two), (14, "clean"), (15, f"{one} 1 {two}")]
+    got = dc.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
+    want = [(10, 1), (10, 2), (11, 1), (12, None), (13, None), (None, 1), (15, 1), (15, 1), (15, 2)]
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted(want, key=str)
+    kept = dc.without_contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM))
+    assert [r.doc_id for r in kept.collect()] == [14]
+
+
+def test_query_equals_its_sql_with_odd_items(spark, tmp_path):
+    from leafmill.llm.queries import QUERIES, SQL
+    from tests.compare import same_rows
+
+    docs, items = corpus()
+    items += [(None, "one two three four five six"), (None, "seven eight"), (items[0][0], "another text of the same item it is"), (900, ""), (901, None)]
+    docs += [(5000, "zero one two three four five six"), (5001, "and seven eight too"), (5002, "so another text of the same item it is then"), (None, "seven eight")]
+    for name, rows, schema in (("documents", docs, DOC), ("benchmark", items, ITEM)):
+        spark.createDataFrame(rows, schema).toPandas().astype({schema.split()[0]: "Int64"}).to_parquet(f"{tmp_path}/{name}.parquet")
+    same_rows(spark, QUERIES["op6_decontamination"], SQL["op6_decontamination"], str(tmp_path))
+
+
+def test_very_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(300_000))
+    got = dc.contaminated(spark.createDataFrame([(1, words + " a b c d e f")], DOC), spark.createDataFrame([(1, "a b c d e f"), (2, "w5 w6 w7 w8 w9"), (3, "no such words in the text")], ITEM)).collect()
+    assert sorted(r.item_id for r in got) == [1, 2]
