@@ -7,41 +7,71 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.spans import SPACE, regex_spans
+from leafmill.functions.spans import SPACE, let, prefix_sums, regex_spans
 from leafmill.functions.text import cell_number, join_lines
-from leafmill.operators.layout import PAGE, group_lines
+from leafmill.operators.layout import PAGE, group_lines, lines_of
 
-#: A gutter is sought between these shares of a page's width, and is so wide at least.
-MIDDLE, GUTTER = (0.3, 0.7), 8
+# Fixed values of columns: where a gutter is sought (shares of the page's width), how wide it is at least, how many items a page has
+# at least, what share of them may cross a gutter, how many lines a side has at least, and what share of it their median covers.
+MIDDLE, GUTTER, LEAST_ITEMS, CROSSING, LEAST_LINES, LINE_SHARE = (0.3, 0.7), 8, 20, 0.03, 5, 0.5
 COLUMN = (*PAGE, "column")
 
 
+def covered_ranges(spans: Column, more_than: Column) -> Column:
+    """The ranges (``start``, ``stop``) of whole numbers that more than ``more_than`` of ``spans`` cover, from left to right.
+
+    A sweep: each span is +1 at its start and -1 at its stop, and running sums of the sorted edges count the spans over each
+    stretch, however wide it is.
+    """
+    edges = F.array_sort(F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("by"))), F.transform(spans, lambda s: F.struct(s["stop"].alias("at"), F.lit(-1).alias("by")))))
+
+    def swept(e: Column) -> Column:
+        over = prefix_sums(F.transform(e, lambda x: x["by"]))
+        parts = F.zip_with(e, over, lambda x, n: F.struct(x["at"].alias("start"), n.alias("n")))
+        ended = lambda p: F.transform(p, lambda x, k: F.struct(x["start"].alias("start"), F.coalesce(F.get(p, k + 1)["start"], x["start"]).alias("stop"), x["n"].alias("n")))
+        thick = let(parts, lambda p: F.filter(ended(p), lambda x: (x["stop"] > x["start"]) & (x["n"] > more_than)))
+        # stretches that touch are one range
+        begins = lambda t: F.filter(F.transform(t, lambda x, k: F.when((k == 0) | (F.get(t, k - 1)["stop"] < x["start"]), k)), lambda k: k.isNotNull())
+        joined = lambda t, b: F.transform(b, lambda at, k: F.struct(F.get(t, at)["start"].alias("start"), F.get(t, F.coalesce(F.get(b, k + 1), F.size(t)) - 1)["stop"].alias("stop")))
+        return let(thick, lambda t: let(begins(t), lambda b: joined(t, b)))
+
+    return let(edges, swept)
+
+
+def _columns_of(items: DataFrame, widths: DataFrame) -> DataFrame:
+    """``doc_id, page, _gutter, _used, _left, _right``: the middle of each page's gutter, if it has one, its items in order, and their lines left and right of it."""
+    page = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size", "width", "text"))).alias("_all")).join(widths.select(*PAGE, "page_width"), list(PAGE), "left")
+    page = page.withColumns({"_lo": F.floor(F.col("page_width") * MIDDLE[0]), "_hi": F.ceil(F.col("page_width") * MIDDLE[1]), "_text": F.filter("_all", lambda i: F.trim(i["text"]) != "")})
+    spans = F.transform("_text", lambda i: F.struct(F.greatest("_lo", F.floor(i["x"])).alias("start"), F.least("_hi", F.ceil(i["x"] + i["width"])).alias("stop")))
+    most = F.greatest(F.lit(1), F.floor(F.size("_text") * CROSSING))
+    page = page.withColumn("_closed", covered_ranges(F.filter(spans, lambda s: s["stop"] > s["start"]), most))
+    begins = F.concat(F.array("_lo"), F.transform("_closed", lambda c: c["stop"]))
+    open_ = F.transform(begins, lambda b, k: F.struct((F.coalesce(F.get("_closed", k)["start"], F.col("_hi")) - b).alias("wide"), (-b).alias("back")))
+    page = page.withColumn("_open", F.array_max(open_))
+    page = page.withColumn("_middle", F.when((F.size("_text") >= LEAST_ITEMS) & (F.col("_open.wide") >= GUTTER), F.col("_open.wide") / 2 - F.col("_open.back")))
+    page = page.withColumn("_used", F.filter("_text", lambda i: i["size"] > 0))
+    left = lambda i: i["x"] + i["width"] / 2 < F.col("_middle")
+    split = F.col("_middle").isNotNull()
+    page = page.withColumns({"_left": F.when(split, lines_of(F.filter("_used", left))), "_right": F.when(split, lines_of(F.filter("_used", lambda i: ~left(i))))})
+    right_of = lambda i: i["x"] + i["width"]
+
+    def long(lines: str, wide: Column) -> Column:
+        own = F.array_sort(F.transform(lines, lambda line: F.array_max(F.transform(line, right_of)) - F.array_min(F.transform(line, lambda i: i["x"]))))
+        return let(own, lambda w: (F.size(w) >= LEAST_LINES) & (F.get(w, F.floor(F.size(w) / 2).cast("int")) > wide * LINE_SHARE))
+
+    begin = F.array_min(F.transform(F.filter("_all", left), lambda i: i["x"]))
+    end = F.array_max(F.transform(F.filter("_all", lambda i: ~left(i)), right_of))
+    good = split & long("_left", F.col("_middle") - begin) & long("_right", end - F.col("_middle"))
+    return page.select(*PAGE, F.when(good, F.col("_middle")).alias("_gutter"), "_used", "_left", "_right")
+
+
 def split_columns(items: DataFrame, widths: DataFrame) -> DataFrame:
     """``items`` with ``column``: 0, or 1 for what stands right of a gutter; ``widths``: ``doc_id, page, page_width``.
 
     A gutter is the widest stretch in the middle of the page that hardly any item crosses. A page of fewer than 20 items is not split, nor is one
     where the lines of a side are few or short, as the cells of a table are.
     """
-    text = items.filter(F.trim("text") != "").join(widths.select(*PAGE, "page_width"), list(PAGE))
-    text = text.withColumns({"_lo": F.floor(F.col("page_width") * MIDDLE[0]), "_hi": F.ceil(F.col("page_width") * MIDDLE[1])})
-    pages = text.groupBy(*PAGE, "_lo", "_hi").agg(F.count("*").alias("_n")).filter("_n >= 20")
-    left, right = F.greatest("_lo", F.floor("x")), F.least("_hi", F.ceil(F.col("x") + F.col("width"))) - 1
-    covered = text.filter(left <= right).select(*PAGE, F.explode(F.sequence(left, right)).alias("at")).groupBy(*PAGE, "at").agg(F.count("*").alias("c"))
-    open_ = pages.select("*", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("at")).join(covered, [*PAGE, "at"], "left")
-    open_ = open_.filter(F.coalesce("c", F.lit(0)) <= F.greatest(F.lit(1), F.floor(F.col("_n") * 0.03)))
-    run = open_.withColumn("_run", F.col("at") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("at")))
-    run = run.groupBy(*PAGE, "_run").agg(F.min("at").alias("_from"), F.count("*").alias("_wide"))
-    gutter = run.groupBy(*PAGE).agg(F.max(F.struct("_wide", (-F.col("_from")).alias("_back"))).alias("_g")).filter(F.col("_g._wide") >= GUTTER)
-    gutter = gutter.select(*PAGE, (F.col("_g._wide") / 2 - F.col("_g._back")).alias("_gutter"))
-    sided = items.join(gutter, list(PAGE)).withColumn("column", F.when(F.col("x") + F.col("width") / 2 < F.col("_gutter"), 0).otherwise(1))
-    lines = group_lines(sided, COLUMN).groupBy(*COLUMN, "line").agg((F.max(F.col("x") + F.col("width")) - F.min("x")).alias("_w"))
-    lines = lines.groupBy(*COLUMN).agg(F.array_sort(F.collect_list("_w")).alias("_w"))
-    edges = sided.groupBy(*COLUMN, "_gutter").agg(F.min("x").alias("_l"), F.max(F.col("x") + F.col("width")).alias("_r"))
-    wide = F.when(F.col("column") == 0, F.col("_gutter") - F.col("_l")).otherwise(F.col("_r") - F.col("_gutter"))
-    median = F.get("_w", F.floor(F.size("_w") / 2).cast("int"))
-    long = lines.join(edges, list(COLUMN)).filter((F.size("_w") >= 5) & (median > wide * 0.5))
-    good = long.groupBy(*PAGE, "_gutter").agg(F.count("*").alias("_sides")).filter("_sides = 2").select(*PAGE, "_gutter")
-    out = items.join(good, list(PAGE), "left")
+    out = items.join(_columns_of(items, widths).select(*PAGE, "_gutter"), list(PAGE), "left")
     return out.withColumn("column", F.when(F.col("x") + F.col("width") / 2 >= F.col("_gutter"), 1).otherwise(0)).drop("_gutter")
 
 
@@ -115,13 +145,26 @@ def span_boxes(spans: DataFrame, indexed: DataFrame, sizes: DataFrame) -> DataFr
 
 
 def reading_order_words(items: DataFrame, widths: DataFrame) -> DataFrame:
-    """``doc_id, page, pos, word``: the words of each page, columns from left to right and lines from top to bottom."""
-    lined = group_lines(split_columns(items, widths), COLUMN)
-    by = (*COLUMN, "line")
-    lines = indexed_text(page_index(lined, ["x", "item_no"], by), by)
-    words = lines.withColumn("_w", F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != ""))
-    page = words.groupBy(*PAGE).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("column", "line", "_w"))), lambda s: s["_w"])).alias("_w"))
-    return page.select(*PAGE, F.posexplode("_w").alias("pos", "word"))
+    """``doc_id, page, pos, word``: the words of each page, columns from left to right and lines from top to bottom.
+
+    A page's items meet once, as an array; columns, lines and words are made from that.
+    """
+    page = _columns_of(items, widths)
+    lines = F.when(F.col("_gutter").isNotNull(), F.concat("_left", "_right")).otherwise(lines_of(F.col("_used")))
+
+    def words(line: Column) -> Column:
+        def text(row: Column) -> Column:
+            def with_gap(i: Column, k: Column) -> Column:
+                after = F.get(row, k + 1)
+                apart = (F.abs(after["y"] - i["y"]) > i["size"] * 0.5) | (after["x"] - (i["x"] + i["width"]) > i["size"] * 0.15)
+                return F.concat(i["text"], F.when(F.coalesce(apart, F.lit(False)), F.lit(" ")).otherwise(F.lit("")))
+
+            return F.array_join(F.transform(row, with_gap), "")
+
+        by_x = F.transform(F.array_sort(F.transform(line, lambda i: F.struct(i["x"].alias("x"), i["item_no"].alias("item_no"), i.alias("i")))), lambda s: s["i"])
+        return F.filter(F.split(let(by_x, text), f"[{SPACE}]+"), lambda w: w != "")
+
+    return page.select(*PAGE, lines.alias("_lines")).select(*PAGE, F.posexplode(F.flatten(F.transform("_lines", words))).alias("pos", "word"))
 
 
 def line_cells(lined: DataFrame) -> DataFrame:
@@ -139,15 +182,10 @@ def line_cells(lined: DataFrame) -> DataFrame:
 def column_bands(cells: DataFrame, tolerated: float = 0.1) -> DataFrame:
     """``doc_id, page, band, x0, x1``: ranges of x that more than a tenth of the rows of several cells ``doc_id, page, row, x0, x1`` cover."""
     keys = ["doc_id", "page"]
-    rows = cells.groupBy(*keys, "row").agg(F.count("*").alias("n")).filter("n >= 2")
-    many = rows.groupBy(*keys).agg(F.floor(F.count("*") * tolerated).alias("_most"))
-    used = cells.join(rows.select(*keys, "row"), [*keys, "row"], "left_semi")
-    at = used.select(*keys, F.explode(F.sequence(F.floor("x0"), F.greatest(F.ceil("x1") - 1, F.floor("x0")))).alias("x"))
-    covered = at.groupBy(*keys, "x").agg(F.count("*").alias("c")).join(many, keys).filter("c > _most")
-    w = Window.partitionBy(*keys).orderBy("x")
-    island = covered.withColumn("_i", F.col("x") - F.row_number().over(w))
-    bands = island.groupBy(*keys, "_i").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
-    return bands.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("x0")) - 1).alias("band"), "x0", "x1")
+    rows = cells.groupBy(*keys, "row").agg(F.collect_list(F.struct(F.floor("x0").alias("start"), F.greatest(F.ceil("x1"), F.floor("x0") + 1).alias("stop"))).alias("_spans")).filter(F.size("_spans") >= 2)
+    page = rows.groupBy(*keys).agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.floor(F.count("*") * tolerated).alias("_most"))
+    bands = page.select(*keys, F.posexplode(covered_ranges(F.col("_spans"), F.col("_most"))).alias("band", "_b"))
+    return bands.select(*keys, "band", F.col("_b.start").alias("x0"), F.col("_b.stop").alias("x1"))
 
 
 def page_rows(lined: DataFrame) -> DataFrame:

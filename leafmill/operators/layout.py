@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.spans import let
+
 # Page numbers in margins, list marks, and sizes of headings against the body.
 PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$|^[-–—]\s*\d{1,4}\s*[-–—]$"
 BULLET = r"^\s*([•●○◦▪▫■□‣⁃∙·*–-])\s+"
@@ -25,25 +27,36 @@ def mode_of(values: Column, weights: Column) -> Column:
     return F.array_max(F.transform(F.array_distinct(half), one))["value"]
 
 
-def group_lines(items: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
-    """``items`` with ``line``: numbered from the top of each page, or of each column where ``by`` has one.
+def lines_of(items: Column) -> Column:
+    """An array of items (``y``, ``x``, ``size`` and more), sorted by y, x and number, cut into lines: an array of arrays.
 
     An item is on the line before it if its baseline is within 45 % of the larger size of the line's anchor, its largest item so far. That is
-    a running state, so a page's items are folded in order; a page is small, and pages are dealt over the cluster.
+    a running state, so the items are folded in order; what is folded up is only where lines begin.
     """
-    used = items.filter((F.trim("text") != "") & (F.col("size") > 0))
-    page = used.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size"))).alias("items"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("size"), F.array().cast("array<struct<item_no:int,line:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("y"), F.lit(0.0).alias("size"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, i: Column) -> Column:
         same = F.coalesce(F.abs(i["y"] - acc["y"]) <= F.greatest(F.lit(1.5), F.lit(0.45) * F.greatest(i["size"], acc["size"])), F.lit(False))
-        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
         taller = ~same | (i["size"] > acc["size"])
-        out = F.concat(acc["out"], F.array(F.struct(i["item_no"].cast("int").alias("item_no"), n.alias("line"))))
-        return F.struct(n.alias("n"), F.when(taller, i["y"]).otherwise(acc["y"]).alias("y"), F.when(taller, i["size"]).otherwise(acc["size"]).alias("size"), out.alias("out"))
+        begins = F.when(same, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["n"])))
+        return F.struct((acc["n"] + 1).alias("n"), F.when(taller, i["y"]).otherwise(acc["y"]).alias("y"), F.when(taller, i["size"]).otherwise(acc["size"]).alias("size"), begins.alias("begins"))
+
+    def cut(x: Column) -> Column:
+        return F.transform(x["begins"], lambda at, k: F.slice(x["items"], at + 1, F.coalesce(F.get(x["begins"], k + 1), F.size(x["items"])) - at))
+
+    return let(let(items, lambda i: F.struct(i.alias("items"), F.aggregate(i, start, step, lambda a: a["begins"]).alias("begins"))), cut)
 
-    lines = page.select(*by, F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
-    return used.join(lines, [*by, "item_no"])
+
+def group_lines(items: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """``items`` with ``line``: numbered from the top of each page, or of each column where ``by`` has one.
+
+    A page's items travel as one array, once; a page is small, and pages are dealt over the cluster.
+    """
+    rest = [c for c in items.columns if c not in by]
+    used = items.filter((F.trim("text") != "") & (F.col("size") > 0))
+    page = used.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size", F.struct(*rest).alias("row")))).alias("_items"))
+    numbered = F.flatten(F.transform(lines_of(F.col("_items")), lambda line, k: F.transform(line, lambda i: F.struct(i["row"].alias("row"), (k + 1).alias("line")))))
+    return page.select(*by, F.inline(numbered)).select(*by, "row.*", "line")
 
 
 def _pieces(lined: DataFrame, tab_gap: float, by: tuple[str, ...]) -> DataFrame:

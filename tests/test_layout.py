@@ -76,3 +76,20 @@ def test_markdown_tables_and_single_rows(spark):
     rows = [(1, 0, 0, "Head", 1, False), (1, 0, 1, "a\tb\tc", None, False), (1, 0, 2, "1\t2", None, False), (1, 0, 3, "3. third", None, True), (1, 0, 4, "- x_y", None, True), (1, 1, 0, "p\tq", None, False)]
     p = spark.createDataFrame(rows, "doc_id int, page int, paragraph int, text string, level int, list boolean")
     assert layout.markdown_document(p).collect()[0].text == "# Head\n\n| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |  |\n\n3. third\n- x\\_y\n\np q"
+
+
+def test_a_cell_of_any_width_gives_bands(spark):
+    cells = [(1, 0, r, 0.0, 50.5) for r in range(12)] + [(1, 0, r, 100.0, 3e9) for r in range(12)] + [(1, 0, 12, 60.0, 70.0), (2, 0, 0, 1.0, 2.0)]
+    got = columns.column_bands(spark.createDataFrame(cells, "doc_id int, page int, row int, x0 double, x1 double")).collect()
+    assert sorted((r.doc_id, r.band, r.x0, r.x1) for r in got) == [(1, 0, 0, 51), (1, 1, 100, 3_000_000_000)]
+
+
+def test_reading_order_takes_one_exchange_for_the_items(spark):
+    import re
+
+    items = [(1, 0, k, f"w{k}", 40.0 + 330 * (k >= 40) + k % 4 * 60, 100.0 + k % 40 // 4 * 14, 55.0, 10.0, False) for k in range(80)]
+    df = spark.createDataFrame(items, "doc_id int, page int, item_no int, text string, x double, y double, width double, size double, bold boolean")
+    words = columns.reading_order_words(df, spark.createDataFrame([(1, 0, 600.0)], "doc_id int, page int, page_width double"))
+    assert len(re.findall("Exchange hashpartitioning", words._jdf.queryExecution().executedPlan().toString())) <= 3
+    assert [r.word for r in sorted(words.collect(), key=lambda r: r.pos)] == [f"w{k}" for k in range(80)]
+    assert {r.column for r in columns.split_columns(df, spark.createDataFrame([(1, 0, 600.0)], "doc_id int, page int, page_width double")).collect()} == {0, 1}
