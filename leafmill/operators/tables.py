@@ -32,34 +32,74 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _jumped(chain: DataFrame) -> DataFrame:
+    """``file_id, node, up`` of chain nodes and their only predecessors: ``up`` becomes the nearest that is no chain node itself.
+
+    Each round takes every pointer that still ends at a chain node twice as far, so a chain of n nodes needs log2(n) rounds. Rings of
+    chain nodes have no such end and are left out.
+    """
+    open_, done = cut(chain), None
+    left = open_.count()
+    for _ in range(max(1, left).bit_length() + 1):
+        further = open_.select(F.col("file_id").alias("_f"), F.col("node").alias("_n"), F.col("up").alias("_u"))
+        ended = done.select(F.col("file_id").alias("_f"), F.col("node").alias("_n"), F.col("up").alias("_u")) if done is not None else None
+        known = further.withColumn("_end", F.lit(False)) if ended is None else further.withColumn("_end", F.lit(False)).union(ended.withColumn("_end", F.lit(True)))
+        step = open_.join(known, (F.col("file_id") == F.col("_f")) & (F.col("up") == F.col("_n")), "left")
+        step = cut(step.select("file_id", "node", F.coalesce("_u", "up").alias("up"), (F.col("_n").isNull() | F.col("_end")).alias("_end")))
+        ready = step.filter("_end").drop("_end")
+        done = ready if done is None else cut(done.union(ready))
+        open_ = step.filter("not _end").drop("_end")
+        if not open_.limit(1).count():
+            break
+    return done
+
+
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows ``file_id, node`` of ``nodes`` that no path of ``edges`` (``file_id, src, dst``) leads to from ``roots``.
 
-    A round for each step away from the roots; only nodes that are new go on to the next.
+    Nodes with one edge in and one out form chains, which are contracted before the search: a chain is reached where the node that it
+    begins at is. What is left is searched by a round for each step away from the roots; only nodes that are new go on
+    to the next, and what has been seen is written together again from time to time.
     """
-    seen = frontier = cut(roots.select("file_id", "node").distinct())
-    links = edges.select("file_id", F.col("src").alias("node"), "dst")
+    key = ["file_id", "node"]
+    begin = cut(roots.select(*key).distinct())
+    links = cut(edges.select("file_id", "src", "dst").distinct())
+    into = links.groupBy("file_id", F.col("dst").alias("node")).agg(F.count("*").alias("_in"), F.min("src").alias("up"))
+    out = links.groupBy("file_id", F.col("src").alias("node")).agg(F.count("*").alias("_out"))
+    chain = _jumped(into.filter("_in = 1").join(out.filter("_out = 1"), key).join(begin, key, "left_anti").select(*key, "up"))
+    inner = into.filter("_in = 1").join(out.filter("_out = 1"), key).join(begin, key, "left_anti").select(*key)
+    # edges between the nodes that are left: those that come out of a chain come from its beginning
+    ends = links.join(inner.select("file_id", F.col("node").alias("dst")), ["file_id", "dst"], "left_anti")
+    ends = ends.join(chain.select("file_id", F.col("node").alias("src"), "up"), ["file_id", "src"], "left")
+    short = cut(ends.select("file_id", F.coalesce("up", "src").alias("node"), "dst").distinct())
+    seen, frontier, rounds = begin, begin, 0
     while frontier.limit(1).count():
-        after = frontier.join(links, ["file_id", "node"]).select("file_id", F.col("dst").alias("node")).distinct()
-        frontier = cut(after.join(seen, ["file_id", "node"], "left_anti"))
-        seen = seen.union(frontier)
-    return nodes.join(seen, ["file_id", "node"], "left_anti")
+        after = frontier.join(short, key).select("file_id", F.col("dst").alias("node")).distinct()
+        frontier = cut(after.join(seen, key, "left_anti"))
+        seen, rounds = seen.union(frontier), rounds + 1
+        if rounds % 8 == 0:
+            seen = cut(seen)
+    within = chain.join(seen.select("file_id", F.col("node").alias("up")), ["file_id", "up"], "left_semi").select(*key)
+    return nodes.join(seen.union(within), key, "left_anti")
 
 
 def issuer_chain(certs: DataFrame) -> DataFrame:
     """``file_id, leaf, depth, subject``: the issuers of every certificate ``file_id, subject, issuer``, nearest first, without going round.
 
-    A round for each step up, until no certificate has a further issuer; the path that was gone ends chains that go round.
+    An issuer counts once, at its least depth, and a certificate is not its own issuer; so chains that go round end. Each round
+    puts the known issuers of an issuer 1, 2, 4, … steps up behind it: a chain of n links takes log2(n) rounds.
     """
-    step = certs.select("file_id", F.col("subject").alias("leaf"), F.col("issuer").alias("next"), F.array("subject").alias("path"), F.lit(0).alias("depth")).filter("next <> leaf")
-    own, out = certs.select(F.col("file_id").alias("_f"), F.col("subject").alias("_s"), F.col("issuer").alias("_i")), None
+    first = certs.filter("issuer <> subject").select("file_id", F.col("subject").alias("leaf"), F.lit(1).alias("depth"), F.col("issuer").alias("subject"))
+    known = cut(first.join(certs.select("file_id", "subject").distinct(), ["file_id", "subject"], "left_semi").select("file_id", "leaf", "depth", "subject").distinct())
+    reach = 1
     while True:
-        step = cut(step.join(own, (F.col("file_id") == F.col("_f")) & (F.col("next") == F.col("_s")) & ~F.array_contains("path", F.col("_s"))).select("file_id", "leaf", F.when(F.col("_i") != F.col("_s"), F.col("_i")).alias("next"), F.concat("path", F.array("_s")).alias("path"), (F.col("depth") + 1).alias("depth")))
-        found = step.select("file_id", "leaf", "depth", F.element_at("path", -1).alias("subject"))
-        out = found if out is None else out.union(found)
-        step = step.filter("next is not null")
-        if not step.limit(1).count():
-            return out
+        last = known.filter(F.col("depth") == reach).select("file_id", "leaf", F.col("subject").alias("_via"))
+        if not last.limit(1).count():
+            return known
+        above = known.select("file_id", F.col("leaf").alias("_via"), (F.col("depth") + reach).alias("depth"), "subject")
+        more = last.join(above, ["file_id", "_via"]).filter(F.col("subject") != F.col("leaf")).select("file_id", "leaf", "depth", "subject")
+        known = cut(known.union(more).groupBy("file_id", "leaf", "subject").agg(F.min("depth").alias("depth")).select("file_id", "leaf", "depth", "subject"))
+        reach *= 2
 
 
 def display_name(subject):
