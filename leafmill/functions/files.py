@@ -101,14 +101,13 @@ def detect_type(content: Column) -> Column:
 
 
 def text_type(content: Column) -> Column:
-    """``name, category`` of text formats, from the first 4096 bytes; null for binary data."""
+    """``name, category`` of text formats; null for binary data, which one zero byte, bytes that are no UTF-8 or many marks show anywhere in the file."""
     kind = lambda name, category: F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"))
     wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
-    sample = _ascii(content, 0, 4096)
-    whole = F.octet_length(content) <= 4096
-    binary = (sample.contains("\x00") & ~wide) | (whole & ~wide & ~F.is_valid_utf8(F.coalesce(content.cast("string"), F.lit(""))))
+    sample = F.decode(content, "ISO-8859-1")
+    binary = ~wide & (sample.contains("\x00") | ~F.is_valid_utf8(F.coalesce(content.cast("string"), F.lit(""))))
     marks = F.length(F.regexp_replace(sample, "[^\\x01-\\x08\\x0e-\\x1f]", ""))
-    low = F.lower(F.substring(F.ltrim(F.regexp_replace(sample, "^(ï»¿|\\s)+", "")), 1, 512))
+    low = F.lower(F.substring(F.ltrim(F.regexp_replace(sample, "^[ï»¿\\s]+", "")), 1, 512))
     return (
         F.when(binary | (~wide & (marks > F.length(sample) * 0.05)), F.lit(None))
         .when(low.startswith("#!"), kind("Script (Unix shell, Python…)", "program"))

@@ -17,7 +17,8 @@ def _parts(spec: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.nullif(text, F.lit("")).try_cast("bigint")
+    """The number in a text of digits: null for none, and the largest there is for one that is larger."""
+    return F.when(text != "", F.coalesce(text.try_cast("bigint"), F.lit((1 << 63) - 1)))
 
 
 def parse_page_ranges(spec: Column, pages: Column) -> Column:

@@ -24,9 +24,14 @@ def match_hashes(hashed: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def tools_for(files: DataFrame, tools: DataFrame) -> DataFrame:
-    """Which operation (``id, accepts``) takes which file (``kind``); one that accepts ``unknown`` takes any."""
-    wanted = tools.select("id", F.explode("accepts").alias("_kind"))
-    return files.join(wanted, (F.col("kind") == F.col("_kind")) | (F.col("_kind") == "unknown")).drop("_kind").distinct()
+    """Which operation (``id, accepts``) takes which file (``kind``); one that accepts ``unknown`` takes any.
+
+    A file asks for its own kind and for ``unknown``, and an operation answers to one of both, so the join is by equality and meets no pair twice.
+    """
+    kinds = F.when(F.array_contains("accepts", "unknown"), F.array(F.lit("unknown"))).otherwise(F.array_distinct("accepts"))
+    wanted = tools.select("id", F.explode(kinds).alias("_kind")).distinct()
+    asking = files.withColumn("_kind", F.explode(F.array_distinct(F.array_compact(F.array(F.col("kind"), F.lit("unknown"))))))
+    return asking.join(wanted, "_kind").drop("_kind")
 
 
 def size_savings(sizes: DataFrame) -> DataFrame:

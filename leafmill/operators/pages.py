@@ -96,9 +96,9 @@ def rearrange_pages(pages: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def insert_pages(pages: DataFrame, new: DataFrame, at: int) -> DataFrame:
-    """``new`` (``doc, page``, other columns null where it has none) before page ``at`` of its document, clamped to its end."""
+    """``new`` (``doc, page``, other columns null where it has none) before page ``at`` of its document, clamped to its begin and end."""
     n = new.groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("_n"))
-    place = F.least(F.lit(at), F.col("pages"))
+    place = F.greatest(F.lit(0), F.least(F.lit(at), F.col("pages")))
     own = pages.join(page_counts(pages).select(F.col("doc").alias("_c"), "pages"), F.col("doc") == F.col("_c")).join(n, F.col("doc") == F.col("_doc"), "left")
     own = own.withColumn("at", (F.col("page") + F.when(F.col("page") >= place, F.coalesce("_n", F.lit(0))).otherwise(0)).cast("long")).select(*pages.columns, "at")
     added = new.join(page_counts(pages).select(F.col("doc").alias("_c"), "pages"), F.col("doc") == F.col("_c")).withColumn("at", (F.col("page") + place).cast("long")).drop("_c", "pages")

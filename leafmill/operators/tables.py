@@ -196,9 +196,9 @@ def catalog_lookup(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 def catalog_quality(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     """By language: keys without text, texts without a key, keys given twice, and texts that lost or invented a ``{name}``."""
     names = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{(\w+)\}"), F.lit(1))))
-    langs = catalog.select("lang").distinct()
-    wanted = langs.crossJoin(F.broadcast(keys.select("key").distinct()))  # a row for each language and key
-    missing = wanted.join(catalog.select("lang", "key"), ["lang", "key"], "left_anti").groupBy("lang").agg(F.count("*").alias("missing"))
+    langs, wanted = catalog.select("lang").distinct(), keys.select("key").filter("key is not null").distinct()
+    met = catalog.select("lang", "key").distinct().join(wanted, "key", "left_semi").groupBy("lang").agg(F.count("*").alias("_met"))
+    missing = langs.join(met, "lang", "left").select("lang", (F.lit(wanted.count()) - F.coalesce("_met", F.lit(0))).alias("missing"))
     stale = catalog.join(keys, "key", "left_anti").groupBy("lang").agg(F.count("*").alias("stale"))
     twice = catalog.groupBy("lang", "key").count().filter("count > 1").groupBy("lang").agg(F.count("*").alias("twice"))
     off = catalog.filter(~names(F.col("key")).eqNullSafe(names(F.col("text")))).groupBy("lang").agg(F.count("*").alias("placeholders"))

@@ -11,6 +11,8 @@ def collect() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for m in sorted(pkgutil.iter_modules(__path__), key=lambda m: m.name):
         module = importlib.import_module(f"{__name__}.{m.name}")
-        queries |= getattr(module, "QUERIES", {})
-        sql |= getattr(module, "SQL", {})
+        for all_, own in ((queries, getattr(module, "QUERIES", {})), (sql, getattr(module, "SQL", {}))):
+            if twice := all_.keys() & own.keys():
+                raise ValueError(f"registered twice: {sorted(twice)}")
+            all_ |= own
     return queries, sql

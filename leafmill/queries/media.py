@@ -192,7 +192,7 @@ def files_by_path(spark, sf_dir):
     return rows.distinct()
 
 
-def report_lines(spark, sf_dir):
+def report_written(spark, sf_dir):
     """The report of all e-mail addresses, written as text and read again."""
     found = findings.pii_findings(read_table(spark, sf_dir, "documents", "doc_id", "text"), ["email"])
     folder = _folder(spark)
@@ -250,7 +250,7 @@ def media_summary(spark, sf_dir):
     return s.select("event_id", "duration", "bit_rate", *[F.col(c).cast("long").alias(c) for c in ("video", "audio", "subtitles")], "cover", F.array_join("groups", ",").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_lines, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
+QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
 _Q = "greatest(1, least(100, floor(CASE WHEN s = 64 THEN 100 WHEN s * 100.0 / 3688 <= 100 THEN (200 - s * 100.0 / 3688) / 2 ELSE 5000 / (s * 100.0 / 3688) END + 0.5)))::INT"
 SQL = {
     "image_entries": """SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Make' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'image', 'Orientation', (c_custkey % 8 + 1)::VARCHAR FROM customer
@@ -276,7 +276,7 @@ SELECT lang, key, n || CASE WHEN two AND (n = 1 OR (n = 0 AND lang = 'fr')) THEN
     "signer_names": "SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'Jane ' || c_name WHEN 3 THEN 'Unnamed' ELSE c_name END AS name FROM customer",
     "csv_rows": "SELECT p_partkey, '\"' || p_name || ',' || chr(10) || '\"' AS p_name, p_size::BIGINT AS p_size FROM part",
     "files_by_path": "SELECT n_nationkey, true AS by_path, true AS whole FROM nation",
-    "report_lines": r"WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}')) AS v, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}'), 1) AS k, regexp_split_to_array(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS g, regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS a FROM documents) SELECT 'email' || chr(9) || v || chr(9) || (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k - 1], lambda x: length(x))), 0))::BIGINT AS line FROM m",
+    "report_written": r"WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}')) AS v, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}'), 1) AS k, regexp_split_to_array(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS g, regexp_extract_all(text, '[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}') AS a FROM documents) SELECT 'email' || chr(9) || v || chr(9) || (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(a[1:k - 1], lambda x: length(x))), 0))::BIGINT AS line FROM m",
     "input_table": "SELECT c_custkey::VARCHAR AS file_id, c_name AS subject, 'root' AS issuer FROM customer",
     "odd_bytes": "SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE chr(65533) END AS text, s_name || '&#xD800;A' || chr(128512) AS entities FROM supplier",
     "text_chunks_whole": r"SELECT doc_id, true AS short, sha256(regexp_replace('!?! ' || coalesce(text, ''), '\s', '', 'g')) AS sha FROM documents",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +49,26 @@ def read_csv_text(spark: SparkSession, path: str, schema: str, tabs: bool = Fals
     return spark.read.schema(schema).csv(path, header=True, sep="\t" if tabs else ",", quote='"', escape='"', multiLine=True)
 
 
+#: What reading a damaged or unknown kind of package, or an entry of one, can raise.
+BAD_ENTRY = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError, NotImplementedError, RuntimeError, ValueError, IndexError, struct.error)
+
+
+def read_entry(z: zipfile.ZipFile, entry: zipfile.ZipInfo, names_only: bool = False) -> tuple[bytes | None, str | None]:
+    """An entry's bytes, or why there are none."""
+    if names_only:
+        return None, None
+    try:
+        return z.read(entry), None
+    except BAD_ENTRY as e:
+        return None, f"{type(e).__name__}: {e}"[:200]
+
+
 def package_parts(files: DataFrame, key: str = "path", content: str = "content", names_only: bool = False) -> DataFrame:
-    """``key, part_no, part, size, bytes`` of every entry of zip packages; files that are none have no rows."""
+    """``key, part_no, part, size, bytes, error`` of every entry of zip packages; files that are none have no rows.
+
+    An entry that can't be read has null bytes and says why; the others of its package are read all the same. A package is one value
+    here; ``sources.packages`` reads large ones by ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,14 +76,14 @@ def package_parts(files: DataFrame, key: str = "path", content: str = "content",
             for k, data in enumerate(batch.column(1)):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(data.as_py() or b""))
-                    rows += [(k, n, i.filename, i.file_size, None if names_only else z.read(i)) for n, i in enumerate(z.infolist())]
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                except BAD_ENTRY:
                     continue
+                rows += [(k, n, i.filename, i.file_size, *read_entry(z, i, names_only)) for n, i in enumerate(z.infolist())]
             keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(kinds))], names=[key, "part_no", "part", "size", "bytes"])
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(kinds))], names=[key, "part_no", "part", "size", "bytes", "error"])
 
-    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, part_no int, part string, size long, bytes binary")
+    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, part_no int, part string, size long, bytes binary, error string")
 
 
 def _segments(data: bytes) -> list[tuple[str, int, int, bytes]]:

@@ -53,6 +53,7 @@ def track_facts(df: DataFrame, key: str, json: str = "json") -> DataFrame:
     t = _probe(df, key, json).select(key, F.posexplode("streams").alias("track", "s"))
     matrix = F.get(F.filter("s.side_data_list", lambda d: d["rotation"].isNotNull()), F.lit(0))["rotation"]
     degrees = F.coalesce(matrix, F.col("s.tags")["rotate"].try_cast("double"), F.lit(0.0))
+    degrees = F.when(F.isnan(degrees) | (F.abs(degrees) == float("inf")), F.lit(0.0)).otherwise(F.pmod(degrees, F.lit(360.0)))
     turn = F.pmod((F.floor(degrees / 90 + 0.5) * 90).cast("int"), F.lit(360))
     video, sideways = F.col("s.codec_type") == "video", F.col("rotation").isin(90, 270)
     t = t.withColumn("rotation", F.when(video, turn))

@@ -105,7 +105,7 @@ def xmp_properties(packet: bytes) -> list[tuple[str, str]]:
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, lambda name: stack.pop(), text
     try:
         parser.Parse(packet.strip(b"\0 \r\n\t"), True)
-    except (expat.ExpatError, UnicodeError):
+    except (expat.ExpatError, LookupError, ValueError):  # also encodings that are not known or of several bytes
         pass
     return out
 
