@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.spans import let
+from leafmill.operators.contains import containing
 
 # Page numbers in margins, list marks, and sizes of headings against the body.
 PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$|^[-–—]\s*\d{1,4}\s*[-–—]$"
@@ -178,12 +179,12 @@ def textless_pages(pages: DataFrame, items: DataFrame) -> DataFrame:
 def annotation_hits(annotations: DataFrame, queries: DataFrame) -> DataFrame:
     """``doc_id, page, annot_no, query`` of annotations whose text holds a query, without regard to case and runs of white space.
 
-    The queries are what a person typed: they are broadcast if they are counted to be few, else paired by a nested loop over both.
+    Many queries are looked up in an index of the texts' stretches of characters (``contains``).
     """
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     q = queries.select("query", flat(F.col("query")).alias("_q")).filter("_q <> ''").distinct()
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
-    return annotations.withColumn("_t", flat(F.col("text"))).join(q, F.col("_t").contains(F.col("_q"))).select("doc_id", "page", "annot_no", "query")
+    texts = annotations.select("doc_id", "page", "annot_no", flat(F.col("text")).alias("_t"))
+    return containing(texts, q, "_t", "_q").select("doc_id", "page", "annot_no", "query")
 
 
 def join_across_pages(paragraphs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.metadata import classify_key
+from leafmill.operators.contains import containing
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -213,13 +214,14 @@ def keyword_rank(items: DataFrame, queries: DataFrame | str, k: int | None = 10,
 
     A word gives 6 where it begins a word of the name, 4 inside it, 3 where it begins a keyword (an array column) and 2 inside one, 1 elsewhere, the most
     of these; 4 more for the words in a row in the name, 4 for the id that reads the same with dashes, 2 for the words in order. A
-    query without words finds all items, unscored (null). Many ``queries`` (``query``) at once give ``query, id, score``; they are what people typed
-    and are broadcast if counted to be few. The limit is the feature: a top-k report.
+    query without words finds all items, unscored (null). Many ``queries`` (``query``) at once give ``query, id, score``; each is looked up by its
+    longest word in an index of the items' stretches of characters (``contains``). The limit is the feature: a top-k report.
     """
     single = isinstance(queries, str)
     typed = items.sparkSession.createDataFrame([(queries,)], "query string") if single else queries.select("query").distinct()
     q = typed.withColumn("_words", F.filter(F.split(F.lower(F.col("query")), r"\s+"), lambda w: w != ""))
-    q = F.broadcast(q) if single or q.limit(10_001).count() <= 10_000 else q
+    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = q.withColumn("_needle_", F.coalesce(longest, F.lit("")))
     low, rest = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(more, F.lit("")))
     terms = F.lower(F.array_join(F.coalesce(F.col(keywords), F.array().cast("array<string>")), " | ")) if keywords else F.lit("")
     df = items.select(id_col, low.alias("_name"), rest.alias("_rest"), terms.alias("_terms")).withColumns({"_parts": F.split("_name", r"[^\p{L}\p{N}]+"), "_keys": F.split("_terms", r"[^\p{L}\p{N}-]+")})
@@ -230,7 +232,8 @@ def keyword_rank(items: DataFrame, queries: DataFrame | str, k: int | None = 10,
         listed = F.when(begins("_keys"), 3).when(F.contains("_terms", w), 2)
         return F.coalesce(named, listed, F.when(F.contains("_rest", w), 1), F.lit(0))
 
-    hit = df.join(q, F.lit(True)).withColumn("_each", F.transform("_words", points)).filter(F.forall("_each", lambda p: p > 0))
+    df = df.withColumn("_all", F.concat_ws("\n", "_name", "_terms", "_rest"))
+    hit = containing(df, q, "_all", "_needle_").drop("_all", "_needle_").withColumn("_each", F.transform("_words", points)).filter(F.forall("_each", lambda p: p > 0))
     at = F.transform("_words", lambda w: F.position(w, F.col("_name")))
     found = F.forall("_words", lambda w: F.contains("_name", w))
     ordered = found & (F.size("_words") > 1) & F.forall(F.sequence(F.lit(1), F.greatest(F.size("_words") - 1, F.lit(1))), lambda i: F.coalesce(F.get(at, i) > F.get(at, i - 1), F.lit(False)))
@@ -281,19 +284,31 @@ def sheet_extent(cells: DataFrame) -> DataFrame:
     return cells.filter(F.trim("value") != "").groupBy("sheet").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.count("*").alias("filled"), *hidden)
 
 
+# A value's place in a template, and what may stand for a number.
+PLACE, NUMBER = r"\{(\d+|#)\}", r"(\d[\d,.\x{a0}\x{202f}]*)"
+
+
 def template_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
-    """``text, shown``: texts made from a template of one value (``{0}``, or ``{#}`` for a number), rebuilt in its ``translation``; the longest
-    template counts. Templates are a catalogue of a bounded size and are broadcast if counted to be small."""
-    parts = F.split("template", r"\{(?:0|#)\}")
-    t = templates.select("template", "translation", F.get(parts, F.lit(0)).alias("_head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("_tail"), F.col("template").contains("{#}").alias("_number"))
-    t = F.broadcast(t) if t.limit(10_001).count() <= 10_000 else t
+    """``text, shown``: texts made from a template with values (``{0}``, ``{1}``, …, ``{#}`` for a number), rebuilt in its ``translation``, which may
+    name the values in another order. The longest template counts, of equal ones the greater. Templates without a value match nothing.
+
+    A text is tried only on templates whose longest literal part it holds (``contains``).
+    """
+    parts, names = F.split("template", PLACE, -1), F.regexp_extract_all("template", F.lit(PLACE), F.lit(1))
+    quoted = lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    value = lambda name: F.when(name == "#", F.lit(NUMBER)).when(name.isNotNull(), F.lit(r"([\s\S]*?)")).otherwise(F.lit(""))
+    pattern = F.concat(F.lit("^"), F.array_join(F.zip_with(F.transform(parts, quoted), F.transform(names, value), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), ""), F.lit("\\z"))
+    literal = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    t = templates.filter(F.col("template").rlike(PLACE)).select("template", "translation", names.alias("_names"), pattern.alias("_pattern"), literal.alias("_literal")).distinct()
     d = texts.select("text").distinct()
-    n = F.length("text") - F.length("_head") - F.length("_tail")
-    value = F.substring(F.col("text"), F.length("_head") + 1, n)
-    hit = d.join(t, F.col("text").startswith(F.col("_head")) & F.col("text").endswith(F.col("_tail")) & (n > 0))
-    hit = hit.withColumn("_v", value).filter(~F.col("_number") | F.col("_v").rlike(r"^\d[\d,.  ]*$"))
-    best = hit.groupBy("text").agg(F.max_by(F.regexp_replace(F.replace("translation", F.lit("{#}"), F.lit("{0}")), r"\{0\}", "\u0001"), F.length("template")).alias("_t"), F.max_by("_v", F.length("template")).alias("_v"))
-    return d.join(best.withColumnRenamed("text", "_k"), F.col("text") == F.col("_k"), "left").select("text", F.coalesce(F.replace("_t", F.lit("\u0001"), "_v"), "text").alias("shown"))
+    hit = containing(d, t, "text", "_literal").filter(F.call_function("rlike", F.col("text"), F.col("_pattern")))
+    best = hit.groupBy("text").agg(F.max_by(F.struct("translation", "_names", "_pattern"), F.struct(F.length("template"), "template")).alias("_b"))
+    values = F.transform("_b._names", lambda name, k: F.struct(name.alias("name"), F.call_function("regexp_extract", F.col("text"), F.col("_b._pattern"), k + 1).alias("value")))
+    own = lambda name: F.coalesce(F.try_element_at(F.filter("_values", lambda v: v["name"] == name), F.lit(-1))["value"], F.concat(F.lit("{"), name, F.lit("}")))
+    placed = F.transform(F.regexp_extract_all("_b.translation", F.lit(PLACE), F.lit(1)), own)
+    shown = F.array_join(F.zip_with(F.split("_b.translation", PLACE, -1), placed, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    best = best.withColumn("_values", values).select(F.col("text").alias("_k"), shown.alias("_shown"))
+    return d.join(best, F.col("text") == F.col("_k"), "left").select("text", F.coalesce("_shown", "text").alias("shown"))
 
 
 def forensic_findings(entries: DataFrame, facts: DataFrame | None = None) -> DataFrame:

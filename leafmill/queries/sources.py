@@ -85,6 +85,26 @@ def annotations(spark, sf_dir):
     return layout.annotation_hits(t.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("annot_no"), "text"), q)
 
 
+def annotations_many(spark, sf_dir):
+    """Every turn as an annotation, searched for the second and third word of every turn."""
+    t = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    q = t.filter(F.size(w) >= 3).select(F.concat_ws("  ", F.get(w, F.lit(1)), F.get(w, F.lit(2))).alias("query")).distinct()
+    hits = layout.annotation_hits(t.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("annot_no"), "text"), q)
+    return hits.groupBy("doc_id", "annot_no").agg(F.count("*").alias("hits"))
+
+
+def template_values(spark, sf_dir):
+    """Texts of two values, whose translation names them the other way round, from templates that are as many as the nations."""
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    made = n.select(F.concat(F.lit("{0} of "), "n_name", F.lit(": {#} files")).alias("template"), F.concat("n_name", F.lit(" {#} {0}?{1}")).alias("translation"))
+    many = made.union(made.select(F.concat(F.lit("x"), "template"), "translation")).union(made.select(F.lit("of "), F.lit("no value")))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat("c_name", F.lit(" of "), "n_name", F.lit(": "), F.when(F.col("c_custkey") % 3 == 0, F.lit("no")).otherwise(F.format_number("c_custkey", 0)), F.lit(" files"))
+    return tables.template_match(rows.select(text.alias("text")), many)
+
+
 def templates(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
     text = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_custkey", F.lit(" files"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("My files of "), "c_name")).otherwise(F.col("c_name"))
@@ -105,7 +125,7 @@ def forensics(spark, sf_dir):
     return tables.forensic_findings(entries).select("file_id", "id", "severity")
 
 
-QUERIES = {"page_texts": page_texts, "sheet_extents": sheets, "annotation_hits": annotations, "template_match": templates, "image_forensics": forensics, "office_findings": office_findings, "office_people": people, "office_zip_kinds": zip_kinds, "pdf_actions": actions, "media_probes": probes, "ocr_words": ocr, "sql_functions": sql_functions}
+QUERIES = {"page_texts": page_texts, "sheet_extents": sheets, "annotation_hits": annotations, "template_match": templates, "template_values": template_values, "annotation_index": annotations_many, "image_forensics": forensics, "office_findings": office_findings, "office_people": people, "office_zip_kinds": zip_kinds, "pdf_actions": actions, "media_probes": probes, "ocr_words": ocr, "sql_functions": sql_functions}
 SQL = {
     "page_texts": r"""WITH p AS (SELECT conv_id AS doc, turn AS page, generate_subscripts(string_split(text, chr(10)), 1) AS par, unnest(string_split(text, chr(10))) AS s FROM conversations),
 w AS (SELECT doc, page, par, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM p),
@@ -118,6 +138,10 @@ SELECT doc, page, sha256(string_agg(t, chr(10) || chr(10) ORDER BY par)) AS sha,
     "office_findings": """WITH c AS (SELECT conv_id AS file_id, count(*) AS n FROM conversations GROUP BY 1)
 SELECT file_id, 'comments' AS id, 'high' AS severity, 1::BIGINT AS parts FROM c WHERE n > 2 UNION ALL SELECT file_id, 'properties', 'medium', 1 FROM c WHERE n > 3 UNION ALL SELECT file_id, 'hidden-text', 'high', 1 FROM c WHERE n > 1 AND file_id % 2 = 0""",
     "office_people": "SELECT conv_id AS file_id, string_agg(DISTINCT role, ',' ORDER BY role) AS people FROM conversations WHERE turn % 4 = 3 GROUP BY 1",
+    "annotation_index": r"""WITH t AS (SELECT conv_id AS doc_id, turn AS annot_no, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+q AS (SELECT DISTINCT w[2] || '  ' || w[3] AS query, lower(w[2] || ' ' || w[3]) AS q FROM t WHERE len(w) >= 3)
+SELECT doc_id, annot_no, count(*) AS hits FROM t JOIN q ON contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), q) GROUP BY ALL""",
+    "template_values": "WITH c AS (SELECT c_custkey, c_name, n_name, c_name || ' of ' || n_name || ': ' AS head FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT DISTINCT head || CASE WHEN c_custkey % 3 = 0 THEN 'no' ELSE format('{:,}', c_custkey) END || ' files' AS text, CASE WHEN c_custkey % 3 = 0 THEN head || 'no files' ELSE n_name || ' ' || format('{:,}', c_custkey) || ' ' || c_name || '?{1}' END AS shown FROM c",
     "office_zip_kinds": "SELECT conv_id AS file_id, CASE WHEN count(*) > 1 THEN 'Word document' ELSE 'ZIP archive' END AS kind FROM conversations GROUP BY 1",
     "pdf_actions": "WITH e AS (SELECT user_id AS file_id, CASE event_id % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'links' WHEN 3 THEN 'submit' END AS id FROM events) SELECT file_id, id, count(*) AS n, CASE id WHEN 'javascript' THEN 'high' WHEN 'submit' THEN 'medium' ELSE 'info' END AS severity FROM e WHERE id IS NOT NULL GROUP BY file_id, id",
     "media_probes": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7.5 WHEN event_id % 2 = 0 THEN greatest(event_id, 1) ELSE event_id END::DOUBLE AS duration, 1 AS video, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS audio, false AS cover FROM events",
