@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from leafmill.functions.files import content_marks, decode_text, pdf_version, text_format
@@ -11,7 +15,7 @@ from leafmill.functions.text import decode_entities, plural_form, sentence_chunk
 from leafmill.operators import findings, images, office, tables
 from leafmill.operators.tables import shared_folder
 from leafmill.sources import files as src
-from leafmill.sources import media, metadata
+from leafmill.sources import media, metadata, packages
 from leafmill.sources.tables import read_table
 
 
@@ -112,6 +116,27 @@ def package_parts(spark, sf_dir):
     return src.package_parts(files).select("path", "part", "size", F.decode("bytes", "UTF-8").alias("text"))
 
 
+def packages_by_range(spark, sf_dir):
+    """The suppliers of each nation as one package, an entry for each, of which every third is read again by its name."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    folder = _folder(spark)
+
+    def write(key, group):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, name in sorted(zip(group["s_suppkey"].to_pylist(), group["s_name"].to_pylist())):
+                z.writestr(f"{'names' if k % 3 == 0 else 'others'}/{k}.txt", name)
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/{key[0].as_py()}.zip") as out:
+            out.write(buffer.getvalue())
+        return pa.table({"n": [group.num_rows]})
+
+    s.groupBy("s_nationkey").applyInArrow(write, "n long").count()
+    rows = packages.read_packages(spark, folder, parts="names/*", task_bytes=400)
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]zip$", 1).cast("long").alias("nation"), "part", "size", F.decode("bytes", "UTF-8").alias("text"), "error")
+
+
 def zip_kinds_by_mime(spark, sf_dir):
     """Packages that say in a part ``mimetype`` what they are."""
     p = read_table(spark, sf_dir, "part", "p_partkey")
@@ -250,7 +275,7 @@ def media_summary(spark, sf_dir):
     return s.select("event_id", "duration", "bit_rate", *[F.col(c).cast("long").alias(c) for c in ("video", "audio", "subtitles")], "cover", F.array_join("groups", ",").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
+QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, packages_by_range, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
 _Q = "greatest(1, least(100, floor(CASE WHEN s = 64 THEN 100 WHEN s * 100.0 / 3688 <= 100 THEN (200 - s * 100.0 / 3688) / 2 ELSE 5000 / (s * 100.0 / 3688) END + 0.5)))::INT"
 SQL = {
     "image_entries": """SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Make' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'image', 'Orientation', (c_custkey % 8 + 1)::VARCHAR FROM customer
@@ -262,6 +287,7 @@ UNION ALL SELECT c_custkey::VARCHAR, 'xmp', 'dc:creator', c_name || ', Studio &
     "image_findings": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 10 = 0) AS m FROM customer)
 SELECT 'ai' AS id, 'high' AS severity, m AS n FROM c UNION ALL SELECT 'c2pa', 'info', m FROM c UNION ALL SELECT 'camera', 'info', n FROM c UNION ALL SELECT 'quality', 'info', n FROM c UNION ALL SELECT 'software', 'info', n FROM c""",
     "image_places": "SELECT c_custkey::VARCHAR AS path, round(((c_custkey % 90 + 0.51) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE, 6) AS latitude, round(((c_custkey % 200 + 0.25) * CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END)::DOUBLE, 6) AS longitude FROM customer WHERE c_custkey % 200 < 180",
+    "packages_by_range": "SELECT s_nationkey AS nation, 'names/' || s_suppkey || '.txt' AS part, strlen(s_name)::BIGINT AS size, s_name AS text, NULL::VARCHAR AS error FROM supplier WHERE s_suppkey % 3 = 0",
     "package_parts": "SELECT s_suppkey AS path, 'part-' || s_suppkey || '.txt' AS part, strlen(s_name)::BIGINT AS size, s_name AS text FROM supplier",
     "zip_kinds_by_mime": "SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN 'EPUB e-book' WHEN 1 THEN 'OpenDocument text' WHEN 2 THEN 'OpenDocument spreadsheet' ELSE 'ZIP archive' END AS kind FROM part",
     "pdf_marks": "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN '1.' || (p_partkey % 8) END AS version, ['markdown', 'html', 'text'][(p_partkey % 3 + 1)::INT] AS form FROM part",

@@ -4,7 +4,7 @@ import zipfile
 import zlib
 
 from leafmill.operators import images
-from leafmill.sources import files
+from leafmill.sources import files, packages
 from leafmill.sources.html import html_blocks, rows_of
 
 
@@ -61,3 +61,35 @@ def test_no_page_stops_the_job(spark):
     rows = html_blocks(spark.createDataFrame(pages, "page_id int, html string")).collect()
     texts = {r.page_id: r.text for r in rows if r.kind == "paragraph"}
     assert texts[1] == "a b" and texts[4] == "deep" and texts[5] == "good" and texts[2].startswith("a") and not {7, 8} & texts.keys()
+
+
+def test_large_packages_are_dealt_by_entries(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_STORED) as z:
+        for k in range(40):
+            z.writestr(f"{'a' if k % 4 else 'b'}/{k}.txt", str(k) * 1000)
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"small{k}.zip", "w") as z:
+            z.writestr("a/x.txt", "small")
+    (tmp_path / "c.txt").write_bytes(b"no package")
+    folder = f"file://{tmp_path}"
+    df = packages.read_packages(spark, folder, task_bytes=10_000)
+    assert df.rdd.getNumPartitions() >= 7
+    rows = {(r.path.rpartition("/")[2], r.part): bytes(r.bytes) for r in df.collect()}
+    assert len(rows) == 43 and rows["big.zip", "a/39.txt"] == b"39" * 1000
+    named = packages.read_packages(spark, folder, "b/*", task_bytes=10_000)
+    assert sorted(r.part for r in named.collect()) == sorted(f"b/{k}.txt" for k in range(0, 40, 4)) and named.rdd.getNumPartitions() < df.rdd.getNumPartitions()
+    assert {r.bytes for r in packages.read_packages(spark, folder, names_only=True).collect()} == {None}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        one = packages.read_packages(spark, folder, task_bytes=10_000).filter("part = 'a/x.txt'")
+        assert [bytes(r.bytes) for r in one.collect()] == [b"small"] * 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_filters_keep_entries_from_being_read():
+    reader = packages.FilteredReader({"path": "x", "parts": "*.txt"})
+    from pyspark.sql.datasource import EqualTo, In, IsNotNull, StringStartsWith
+
+    rest = list(reader.pushFilters([StringStartsWith(("part",), "a/"), In(("part",), ("a/1.txt", "b/1.txt")), IsNotNull(("part",)), EqualTo(("size",), 3)]))
+    assert len(rest) == 2 and reader.takes("a/1.txt") and not reader.takes("b/1.txt") and not reader.takes("a/2.txt")
