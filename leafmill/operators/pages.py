@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill.functions.ranges import bates_label, fill_template, pages_to_delete, parse_page_ranges
+from leafmill.operators.tables import cut
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -134,39 +131,70 @@ def bates_number(pages: DataFrame, order: str = "doc", prefix: str = "", digits:
     return merge_docs(pages, order).withColumn("bates", bates_label(F.col("merged") + start, prefix, suffix, digits)).drop("merged")
 
 
+#: A name that ends in a number as given to a repeated name, before its extension: what is before it, the number, the extension.
+NUMBERED = r"(?s)^(.*) \(([1-9]\d*)\)((?:\.[^.]*)?)\z"
+
+
+def _settled(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """``claims`` (``_base, _n, _came, _name``) with ``_own``, whether a name came before a repeated ``_base`` took its number, and ``_from``.
+
+    ``files``: ``_base, _j, _at``, the repeated names of each base, numbered from 1, and their places in the order. The j-th takes number j + 1 and one
+    more for each number up to there that was gone when its turn came: those of claims whose own name came first. How many
+    these are before a claim lies between the sure ones and all possible ones; the more, the earlier the file that would take the claim's number. So
+    a claim that is sure either way for both ends is sure, the first unsure one of a base always is, and the rest wait for another round.
+    """
+    at = lambda c: files.select(F.col("_base").alias("_b"), F.col("_j").alias("_k"), F.col("_at").alias(c))
+    on = lambda j: (F.col("_base") == F.col("_b")) & (F.col(j) == F.col("_k"))
+    state = cut(claims.withColumn("_own", F.lit(None).cast("boolean")))
+    while True:
+        sure = F.when(F.col("_own"), 1).otherwise(0)
+        may = F.when(F.coalesce("_own", F.lit(True)), 1).otherwise(0)
+        step = state.withColumns({"_sure": sure, "_may": may})
+        step = prefix_sums(prefix_sums(step, "_n", "_may", "_most", ["_base"]), "_n", "_sure", "_least", ["_base"])
+        step = step.withColumns({"_early": F.col("_n") - 1 - F.col("_most"), "_late": F.col("_n") - 1 - F.col("_least")})
+        step = step.join(at("_e"), on("_early"), "left").drop("_b", "_k").join(at("_l"), on("_late"), "left").drop("_b", "_k")
+        own = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_e").isNull() | (F.col("_came") < F.col("_e")), True).when(F.col("_came") > F.col("_l"), False)
+        state = cut(step.select("_base", "_n", "_came", "_name", own.alias("_own"), F.col("_early").alias("_from")))
+        if not state.filter("_own is null").limit(1).count():
+            break
+    counted = prefix_sums(state.withColumn("_sure", F.when(F.col("_own"), 1).otherwise(0)), "_n", "_sure", "_gone", ["_base"])
+    return cut(counted.select("_base", "_name", "_own", (F.col("_n") - 1 - F.col("_gone")).alias("_from")))
+
+
 def unique_names(files: DataFrame, name: str = "name", order: str = "tab_order") -> DataFrame:
     """``unique``: in order, a name that an earlier file has, whatever the case, gets " (2)" before its extension, or the next number that is free.
 
-    Names that differ only in such numbers are a family. Where no name of a family has a number, the files of a name are counted by ranges of the
-    order, so that one name may be that of most files. Other families are gone through in order, each in one task that keeps their names.
+    Files of one name are counted by ranges of the order, so one name may be that of most files, and get their numbers from that
+    count. Only a file whose own name is such a number of another name can be in the way: which of both comes first is settled in rounds, from
+    names without numbers to those that have several, by joins; no task goes through a family of names.
     """
-    low = F.lower(F.col(name))
-    root = F.regexp_replace(low, r"(?: \(\d+\))+((?:\.[^.]*)?)$", "$1")
-    df = files.withColumns({"_low": low, "_root": root})
-    numbered = df.filter(F.col("_low") != F.col("_root")).select(F.col("_root").alias("_family")).distinct()
-    same = F.col("_root").eqNullSafe(F.col("_family"))
-    plain = prefix_sums(df.join(numbered, same, "left_anti").withColumn("_one", F.lit(1)), order, "_one", "_k", ["_low"])
-    tail = F.regexp_extract(F.col(name), r"(\.[^.]*)?$", 0)
+    df = cut(prefix_sums(files.withColumns({"_low": F.lower(F.col(name)), "_one": F.lit(1)}), order, "_one", "_k", ["_low"]).drop("_one"))
+    groups = df.groupBy("_low").agg(F.min(order).alias("_came"))
+    part = lambda k: F.regexp_extract("_low", NUMBERED, k)
+    numbered = groups.filter(F.col("_low").rlike(NUMBERED)).select(F.col("_low").alias("_name"), "_came", F.concat(part(1), part(3)).alias("_base"), part(2).try_cast("long").alias("_n"))
+    claims = cut(numbered.filter("_n >= 2").join(groups.select(F.col("_low").alias("_base")), "_base", "left_semi"))
+    settled = None
+    while claims.limit(1).count():
+        waiting = claims.select(F.col("_name").alias("_base"))
+        ready, claims = cut(claims.join(waiting, "_base", "left_anti")), cut(claims.join(waiting, "_base", "left_semi"))
+        owned = df.select("_low", "_k", F.col(order).alias("_at")).join(ready.select(F.col("_base").alias("_low")).distinct(), "_low", "left_semi")
+        if settled is None:
+            owned = owned.withColumn("_j", F.col("_k"))
+        else:
+            known = settled.select(F.col("_name").alias("_low"), "_own")
+            owned = owned.join(known, "_low", "left").withColumn("_j", F.col("_k") + F.when(F.coalesce("_own", F.lit(True)), 0).otherwise(1))
+        found = _settled(ready, cut(owned.filter("_j >= 1").select(F.col("_low").alias("_base"), "_j", "_at")))
+        settled = found if settled is None else cut(settled.union(found))
+    df = df.withColumns({"_j": F.col("_k"), "_more": F.lit(0).cast("long")})
+    if settled is not None:
+        known = settled.select(F.col("_name").alias("_low"), "_own")
+        df = df.join(known, "_low", "left").withColumn("_j", F.col("_k") + F.when(F.coalesce("_own", F.lit(True)), 0).otherwise(1)).drop("_own", "_more")
+        # numbers that were gone: each moves the files from the one on that would have taken it
+        moved = settled.filter("_own").select(F.col("_base").alias("_low"), (F.col("_from") * 2).alias("_o"), F.lit(1).alias("_v"), F.lit(None).cast("long").alias("_j"))
+        asking = df.join(moved.select("_low").distinct(), "_low", "left_semi").select("_low", (F.col("_j") * 2 + 1).alias("_o"), F.lit(0).alias("_v"), "_j")
+        sums = prefix_sums(cut(moved.union(asking)), "_o", "_v", "_more", ["_low"]).filter("_j is not null").select(F.col("_low").alias("_b"), F.col("_j").alias("_i"), "_more")
+        df = df.join(sums, (F.col("_low") == F.col("_b")) & (F.col("_j") == F.col("_i")), "left").drop("_b", "_i").withColumn("_more", F.coalesce("_more", F.lit(0)))
+    tail = F.regexp_extract(F.col(name), r"(\.[^.]*)?\z", 0)
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(tail))
-    plain = plain.withColumn("unique", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), (F.col("_k") + 1).cast("string"), F.lit(")"), tail)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, used, after = None, set(), {}
-        for batch in batches:
-            out = []
-            for own, text in zip(batch.column("_root").to_pylist(), batch.column(name).to_pylist()):
-                if own != family:
-                    family, used, after = own, set(), {}
-                head, dot, end = text.rpartition(".")
-                head, end = (head, dot + end) if dot else (text, "")
-                shown, n = text, after.get(text.lower(), 2)
-                while shown.lower() in used:
-                    shown, n = f"{head} ({n}){end}", n + 1
-                after[text.lower()] = n
-                used.add(shown.lower())
-                out.append(shown)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "unique"])
-
-    some = df.join(numbered, same, "left_semi").repartition("_root").sortWithinPartitions("_root", order)
-    some = some.mapInArrow(run, T.StructType([*some.schema.fields, T.StructField("unique", T.StringType())]))
-    return plain.select(*files.columns, "unique").unionByName(some.select(*files.columns, "unique"))
+    shown = F.concat(stem, F.lit(" ("), (F.col("_j") + 1 + F.col("_more")).cast("string"), F.lit(")"), tail)
+    return df.select(*files.columns, F.when(F.col("_j") == 0, F.col(name)).otherwise(shown).alias("unique"))
