@@ -23,18 +23,25 @@ def keep_drop(segments: DataFrame, keep_icc: bool = True) -> DataFrame:
     return segments.withColumn("keep", keeps(F.col("marker"), F.col("bytes"), keep_icc))
 
 
-def upright_segment(turn: Column, png: Column) -> Column:
-    """The bytes of a segment that holds the orientation alone, as EXIF."""
-    tiff = F.concat(F.unhex(F.lit("4D4D002A000000080001011200030000000100")), F.unhex(F.lpad(F.hex(turn), 2, "0")), F.unhex(F.lit("000000000000")))
+def upright_tiff(turn: Column) -> Column:
+    """An EXIF block that holds the orientation alone."""
+    return F.concat(F.unhex(F.lit("4D4D002A000000080001011200030000000100")), F.unhex(F.lpad(F.hex(turn), 2, "0")), F.unhex(F.lit("000000000000")))
+
+
+def exif_segment(tiff: Column, png: Column) -> Column:
+    """The bytes of a JPEG's segment, or a PNG's chunk, that holds an EXIF block; none where there is none or it is too long for a segment."""
+    number = lambda n, digits: F.unhex(F.lpad(F.hex(n), digits, "0"))
     chunk = F.concat(F.lit(b"eXIf"), tiff)
-    whole = F.concat(F.unhex(F.lit("0000001A")), chunk, F.unhex(F.lpad(F.hex(F.crc32(chunk)), 8, "0")))
-    return F.when(png, whole).otherwise(F.concat(F.unhex(F.lit("FFE10022457869660000")), tiff))
+    whole = F.concat(number(F.octet_length(tiff), 8), chunk, number(F.crc32(chunk), 8))
+    segment = F.concat(F.unhex(F.lit("FFE1")), number(F.octet_length(tiff) + 8, 4), F.unhex(F.lit("457869660000")), tiff)
+    return F.coalesce(F.when(png, whole).when(F.octet_length(tiff) + 8 <= 0xFFFF, segment), F.unhex(F.lit("")))
 
 
-def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content: str = "content", keep_icc: bool = True, orientation: DataFrame | None = None) -> DataFrame:
+def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content: str = "content", keep_icc: bool = True, orientation: DataFrame | None = None, technical: DataFrame | None = None) -> DataFrame:
     """``key, content`` of JPEG and PNG files without what only describes them: header, kept segments, and a JPEG's image data, in order.
 
-    With ``orientation`` (``key, turn``, 1 to 8) a picture that is not upright keeps that tag alone, after a JPEG's header or a PNG's first chunk.
+    With ``orientation`` (``key, turn``, 1 to 8) a picture that is not upright keeps that tag alone, after a JPEG's header or a PNG's first chunk;
+    with ``technical`` (``key, tiff``, as ``technical_exif`` gives) it keeps that block there instead.
     """
     s = keep_drop(segments, keep_icc).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "length", "keep"))).alias("_s"))
     df = files.select(key, content).join(s, key)
@@ -44,9 +51,15 @@ def sanitize(files: DataFrame, segments: DataFrame, key: str = "path", content:
     tail = F.when(png, F.unhex(F.lit(""))).otherwise(F.substring(F.col(content), (last["start"] + last["length"] + 1).cast("int"), F.octet_length(content)))
     kept = F.filter("_s", lambda x: x["keep"])
     own = lambda x: F.substring(F.col(content), (x["start"] + 1).cast("int"), x["length"].cast("int"))
-    if orientation is not None:
-        df = df.join(orientation.select(F.col(key).alias("_k"), "turn"), F.col(key) == F.col("_k"), "left")
-        tag = F.when(F.col("turn").between(2, 8), upright_segment(F.col("turn"), png)).otherwise(F.unhex(F.lit("")))
+    if orientation is not None or technical is not None:
+        block = F.lit(None).cast("binary")
+        if orientation is not None:
+            df = df.join(orientation.select(F.col(key).alias("_k"), "turn"), F.col(key) == F.col("_k"), "left").drop("_k")
+            block = F.when(F.col("turn").between(2, 8), upright_tiff(F.col("turn")))
+        if technical is not None:
+            df = df.join(technical.select(F.col(key).alias("_k"), F.col("tiff").alias("_tiff")), F.col(key) == F.col("_k"), "left").drop("_k")
+            block = F.coalesce("_tiff", block)
+        tag = exif_segment(block, png)
         first = F.when(png, own(F.get("_s", F.lit(0)))).otherwise(F.unhex(F.lit("")))
         head, kept = F.concat(head, first, tag), F.when(png, F.filter(F.slice("_s", F.lit(2), F.size("_s")), lambda x: x["keep"])).otherwise(kept)
     body = F.aggregate(kept, head, lambda acc, x: F.concat(acc, own(x)))

@@ -80,6 +80,14 @@ def image_clean(spark, sf_dir):
     return clean.select("path", F.lower(same).alias("data")).join(entries, "path", "left")
 
 
+def image_technical(spark, sf_dir):
+    """What is left of each file's entries after it was cleaned but for its technical tags."""
+    files = _pictures(spark, sf_dir)
+    s = src.image_segments(files)
+    left = src.image_segments(images.sanitize(files, s, technical=metadata.technical_exif(s)))
+    return metadata.exif_entries(left).select("path", "grp", "key", "value").union(metadata.xmp_entries(left).select("path", "grp", "key", "value"))
+
+
 def image_kept(spark, sf_dir):
     """Segments of a kind, and whether they are needed to show the picture."""
     return images.keep_drop(src.image_segments(_pictures(spark, sf_dir))).groupBy("marker", "keep").agg(F.count("*").alias("n"))
@@ -275,13 +283,14 @@ def media_summary(spark, sf_dir):
     return s.select("event_id", "duration", "bit_rate", *[F.col(c).cast("long").alias(c) for c in ("video", "audio", "subtitles")], "cover", F.array_join("groups", ",").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_kept, image_findings, package_parts, packages_by_range, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
+QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_technical, image_kept, image_findings, package_parts, packages_by_range, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
 _Q = "greatest(1, least(100, floor(CASE WHEN s = 64 THEN 100 WHEN s * 100.0 / 3688 <= 100 THEN (200 - s * 100.0 / 3688) / 2 ELSE 5000 / (s * 100.0 / 3688) END + 0.5)))::INT"
 SQL = {
     "image_entries": """SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Make' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'image', 'Orientation', (c_custkey % 8 + 1)::VARCHAR FROM customer
 UNION ALL SELECT c_custkey::VARCHAR, 'exif', 'ExposureTime', '1/' || (c_custkey % 500 + 2) || ' s' FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'xmp', 'xmp:CreatorTool', 'Tool ' || c_nationkey FROM customer
 UNION ALL SELECT c_custkey::VARCHAR, 'xmp', 'dc:creator', c_name || ', Studio & Sons' FROM customer""",
     "image_quality": f"SELECT c_custkey::VARCHAR AS path, {_Q} AS quality FROM (SELECT c_custkey, (c_custkey % 200 + 1) * 64 AS s FROM customer)",
+    "image_technical": "SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Orientation' AS key, (c_custkey % 8 + 1)::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'exif', 'ExposureTime', '1/' || (c_custkey % 500 + 2) || ' s' FROM customer",
     "image_clean": "SELECT c_custkey::VARCHAR AS path, md5(c_name) AS data, CASE WHEN c_custkey % 8 > 0 THEN 'Orientation' END AS key, CASE WHEN c_custkey % 8 > 0 THEN (c_custkey % 8 + 1)::VARCHAR END AS value FROM customer",
     "image_kept": "SELECT marker, keep, (n * times)::BIGINT AS n FROM (SELECT count(*) AS n FROM customer), (VALUES ('E0', true, 1), ('E1', false, 2), ('DB', true, 1), ('EB', false, 1)) v(marker, keep, times)",
     "image_findings": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 10 = 0) AS m FROM customer)

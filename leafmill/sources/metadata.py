@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.metadata import camera_value, format_value
+from leafmill.functions.metadata import TECHNICAL_EXIF, TECHNICAL_IMAGE, camera_value, format_value
 
 # Names of tags, in their blocks; the bytes of each type's values; where packets begin; XMP's own elements and attributes.
 TAGS = {
@@ -52,11 +52,11 @@ def _value(kind: int, raw: bytes, order: str) -> tuple[str, float | None]:
     return ", ".join(f"{x:.10g}" for x in numbers), float(numbers[0]) if len(numbers) == 1 else None
 
 
-def exif_tags(tiff: bytes) -> list[tuple]:
-    """(block, tag, name, text, number) of a TIFF block; tags outside of it or of no known type are passed over."""
+def raw_tags(tiff: bytes) -> tuple[str, list[tuple[str, int, int, bytes]]]:
+    """The byte order, and (block, tag, type, bytes) of a TIFF block's tags; those outside of it or of no known type are passed over."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(tiff[:4])
     if not order or len(tiff) < 8:
-        return []
+        return "", []
     out, work, seen = [], [("image", struct.unpack(order + "I", tiff[4:8])[0])], set()
     while work:
         block, at = work.pop()
@@ -75,15 +75,54 @@ def exif_tags(tiff: bytes) -> list[tuple]:
                 continue
             if block == "image" and tag in POINTERS and size == 4:
                 work.append((POINTERS[tag], struct.unpack_from(order + "I", tiff, begin)[0]))
-            elif block == "thumbnail":
-                if tag == 0x0202:
-                    out.append(("thumbnail", tag, "IFD1", f"{struct.unpack_from(order + 'I', tiff, begin)[0]} bytes", None))
-            else:
-                out.append((block, tag, TAGS[block].get(tag, f"0x{tag:04X}"), *_value(kind, tiff[begin : begin + size], order)))
+            elif block != "thumbnail" or tag == 0x0202:
+                out.append((block, tag, kind, tiff[begin : begin + size]))
         if block == "image" and at + 6 + 12 * n <= len(tiff):
             after = struct.unpack_from(order + "I", tiff, at + 2 + 12 * n)[0]
             work += [("thumbnail", after)] if after else []
-    return sorted(out, key=lambda x: (["image", "exif", "gps", "thumbnail"].index(x[0]), x[1]))
+    return order, sorted(out, key=lambda x: (["image", "exif", "gps", "thumbnail"].index(x[0]), x[1]))
+
+
+def exif_tags(tiff: bytes) -> list[tuple]:
+    """(block, tag, name, text, number) of a TIFF block."""
+    order, raw = raw_tags(tiff)
+    out: list[tuple] = []
+    for block, tag, kind, data in raw:
+        if block == "thumbnail":
+            if len(data) >= 4:
+                out.append((block, tag, "IFD1", f"{struct.unpack_from(order + 'I', data)[0]} bytes", None))
+        else:
+            out.append((block, tag, TAGS[block].get(tag, f"0x{tag:04X}"), *_value(kind, data, order)))
+    return out
+
+
+def _block(order: str, at: int, tags: list[tuple[int, int, bytes]]) -> bytes:
+    """A block of tags that begins at ``at``, with the values that do not fit into it behind it."""
+    head, rest = struct.pack(order + "H", len(tags)), b""
+    begin = at + 2 + 12 * len(tags) + 4
+    for tag, kind, data in sorted(tags):
+        head += struct.pack(order + "HHI", tag, kind, len(data) // SIZES[kind])
+        if len(data) <= 4:
+            head += data.ljust(4, b"\0")
+        else:
+            head += struct.pack(order + "I", begin + len(rest))
+            rest += data + b"\0" * (len(data) % 2)
+    return head + b"\0" * 4 + rest
+
+
+def technical_tiff(tiff: bytes, orientation: bool = True) -> bytes | None:
+    """A TIFF block with the technical tags of another alone, and its orientation if asked; null where nothing would be left."""
+    order, raw = raw_tags(tiff)
+    image = [(tag, kind, data) for block, tag, kind, data in raw if block == "image" and (tag in TECHNICAL_IMAGE or (orientation and tag == 0x0112))]
+    exif = [(tag, kind, data) for block, tag, kind, data in raw if block == "exif" and tag in TECHNICAL_EXIF]
+    if not image and not exif:
+        return None
+    if exif:
+        image.append((0x8769, 4, b"\0" * 4))
+    size = len(_block(order, 8, image))
+    if exif:
+        image[-1] = (0x8769, 4, struct.pack(order + "I", 8 + size))
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + _block(order, 8, image) + (_block(order, 8 + size, exif) if exif else b"")
 
 
 def xmp_properties(packet: bytes) -> list[tuple[str, str]]:
@@ -134,6 +173,20 @@ def exif_entries(segments: DataFrame, key: str = "path") -> DataFrame:
     return rows.withColumn("value", F.when(settings, camera_value(F.col("key"), F.col("number"))).otherwise(format_value(F.col("value"))))
 
 
+def technical_exif(segments: DataFrame, key: str = "path", orientation: bool = True) -> DataFrame:
+    """``key, tiff``: for files with EXIF a block of its technical tags alone, for ``images.sanitize``; files without any have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [(m, x.as_py() or b"") for m, x in zip(batch.column(1).to_pylist(), batch.column(2))]
+            made = [technical_tiff(d if m == "eXIf" else d[6:], orientation) if m == "eXIf" or d.startswith(EXIF_HEAD) else None for m, d in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(made, pa.binary())], names=[key, "seq", "tiff"])
+
+    used = segments.filter(F.col("marker").isin("E1", "eXIf")).select(key, "marker", "bytes", "seq")
+    rows = used.mapInArrow(run, f"{key} {segments.schema[key].dataType.simpleString()}, seq int, tiff binary").filter("tiff is not null")
+    return rows.groupBy(key).agg(F.min_by("tiff", "seq").alias("tiff"))
+
+
 def xmp_entries(segments: DataFrame, key: str = "path") -> DataFrame:
     """``key, grp, key, value``: XMP properties of JPEG and PNG files, the distinct values of a name joined by commas."""
 

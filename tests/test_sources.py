@@ -4,7 +4,7 @@ import zipfile
 import zlib
 
 from leafmill.operators import images
-from leafmill.sources import files, packages
+from leafmill.sources import files, metadata, packages
 from leafmill.sources.html import html_blocks, rows_of
 
 
@@ -93,3 +93,26 @@ def test_filters_keep_entries_from_being_read():
 
     rest = list(reader.pushFilters([StringStartsWith(("part",), "a/"), In(("part",), ("a/1.txt", "b/1.txt")), IsNotNull(("part",)), EqualTo(("size",), 3)]))
     assert len(rest) == 2 and reader.takes("a/1.txt") and not reader.takes("b/1.txt") and not reader.takes("a/2.txt")
+
+
+def test_technical_tags_stay(spark):
+    tags = {0x010F: (2, b"Maker\0\0\0"), 0x0112: (3, b"\0\6"), 0x011A: (5, struct.pack(">II", 300, 1))}
+    own = {0x829A: (5, struct.pack(">II", 1, 120)), 0x9286: (7, b"ASCII\0\0\0me"), 0x8827: (3, b"\0\x64")}
+    image = [(t, *v) for t, v in tags.items()] + [(0x8769, 4, b"\0" * 4)]
+    size = len(metadata._block(">", 8, image))
+    image[-1] = (0x8769, 4, struct.pack(">I", 8 + size))
+    tiff = b"MM\0*" + struct.pack(">I", 8) + metadata._block(">", 8, image) + metadata._block(">", 8 + size, [(t, *v) for t, v in own.items()])
+    assert len(metadata.exif_tags(tiff)) == 6
+    png = files.PNG + chunk(b"IHDR", b"x" * 13) + chunk(b"eXIf", tiff) + chunk(b"IDAT", b"d") + chunk(b"IEND", b"")
+    photo = jpeg((0xE1, b"Exif\0\0" + tiff), (0xDB, b"\0" + b"x" * 64))
+    bare = jpeg((0xE1, b"Exif\0\0" + b"MM\0*\0\0\0\x08\0\0"), (0xDB, b"\0" + b"x" * 64))
+    df = spark.createDataFrame([("a.jpg", bytearray(photo)), ("b.png", bytearray(png)), ("c.jpg", bytearray(bare))], "path string, content binary")
+    segments = files.image_segments(df)
+    clean = images.sanitize(df, segments, technical=metadata.technical_exif(segments))
+    left = metadata.exif_entries(files.image_segments(clean)).collect()
+    want = [("image", "Orientation", "6"), ("image", "XResolution", "300"), ("exif", "ExposureTime", "1/120 s"), ("exif", "ISO", "100")]
+    for name in ("a.jpg", "b.png"):
+        assert sorted((r.grp, r.key, r.value) for r in left if r.path == name) == sorted(want)
+    out = {r.path: bytes(r.content) for r in clean.collect()}
+    assert out["c.jpg"] == jpeg((0xDB, b"\0" + b"x" * 64))
+    assert b"Maker" not in out["a.jpg"] + out["b.png"]
