@@ -15,9 +15,37 @@ def with_hashes(files: DataFrame, content: Column) -> DataFrame:
     return files.withColumns(hash_all(content))
 
 
+#: A bitmap has so many bits (Spark's own size), a list of known hashes about 16 for each hash, if it has no more than ``MOST_KNOWN``.
+BITMAP_BITS, MOST_KNOWN = 1 << 15, 4_000_000
+
+
+def _may_be_known(lists: DataFrame, n: int):
+    """A test of a hash against bitmaps of ``lists`` (``hash``, ``n`` rows): false only for hashes that are not there."""
+    bitmaps = max(1, -(-16 * n // BITMAP_BITS))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bitmaps * BITMAP_BITS)) + 1
+    made = lists.groupBy((F.bitmap_bucket_number(place("hash")) - 1).alias("_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("hash"))).alias("_map"))
+    every = lists.sparkSession.range(bitmaps).join(made, F.col("id") == F.col("_no"), "left")
+    held = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_map"))), lambda x: x["_map"])).scalar()  # at most 8 MB
+
+    def test(column: str):
+        at = F.bitmap_bit_position(place(column))
+        byte = F.conv(F.hex(F.substring(F.get(held, (F.bitmap_bucket_number(place(column)) - 1).cast("int")), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1, F.lit(False))
+
+    return test
+
+
 def match_hashes(hashed: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """``key, hash, algorithm`` of files that have a hash of ``known`` (column ``hash``, as pasted); the first algorithm counts."""
+    """``key, hash, algorithm`` of files that have a hash of ``known`` (column ``hash``, as pasted); the first algorithm counts.
+
+    A bitmap of the known hashes drops nearly all other files before each file's four hashes become rows of their own; a list too
+    long for that is joined without it.
+    """
     lists = known.select(clean_hash(F.col("hash")).alias("hash")).filter("hash is not null").distinct()
+    n = lists.limit(MOST_KNOWN + 1).count()
+    if n <= MOST_KNOWN:
+        may = _may_be_known(lists, n)
+        hashed = hashed.filter(may(ALGORITHMS[0]) | may(ALGORITHMS[1]) | may(ALGORITHMS[2]) | may(ALGORITHMS[3]))
     pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(a).alias("algorithm"), F.col(a).alias("hash")) for k, a in enumerate(ALGORITHMS)])
     rows = hashed.select(key, F.explode(pairs).alias("h")).select(key, "h.rank", "h.algorithm", "h.hash")
     return rows.join(lists, "hash").groupBy(key).agg(F.min_by("algorithm", "rank").alias("algorithm"), F.min_by("hash", "rank").alias("hash"))

@@ -82,9 +82,16 @@ def layer_findings(layers: DataFrame) -> DataFrame:
     return g.select("file_id", F.when(some, "layers").otherwise("layers-info").alias("id"), F.when(some, "high").otherwise("info").alias("severity"), F.when(some, F.col("_hidden")).otherwise(F.col("_all")).alias("n"))
 
 
+# Fixed value: names of files that run.
+EXECUTABLE = r"(?i)\.(exe|scr|bat|cmd|com|js|jse|vbs|vbe|wsf|ps1|msi|jar|hta|lnk|dll|app|sh)$"
+
+
 def object_findings(actions: DataFrame) -> DataFrame:
-    """``file_id, id, severity, n`` of PDF actions ``file_id, action, target``: code, programs, forms sent, files elsewhere, links."""
+    """``file_id, id, severity, n, programs`` of PDF actions ``file_id, action, target``: code, programs, forms sent, files elsewhere, links, attached files, and
+    stored pictures of pages (action ``thumb``). ``programs``: how many attached files have a program's name; 0 where ``target`` is missing."""
     a = F.lower("action")
-    kind = F.when(a == "javascript", "javascript").when(a == "launch", "launch").when(a.isin("submitform", "importdata"), "submit").when(a.isin("gotor", "gotoe"), "remote").when(a == "uri", "links").when(a == "embeddedfile", "attachments")
-    severity = F.when(F.col("id").isin("javascript", "launch"), "high").when(F.col("id").isin("submit", "remote", "attachments"), "medium").otherwise("info")
-    return actions.withColumn("id", kind).filter("id is not null").groupBy("file_id", "id").agg(F.count("*").alias("n")).withColumn("severity", severity)
+    kind = F.when(a == "javascript", "javascript").when(a == "launch", "launch").when(a.isin("submitform", "importdata"), "submit").when(a.isin("gotor", "gotoe"), "remote").when(a == "uri", "links").when(a == "embeddedfile", "attachments").when(a == "thumb", "thumbnails")
+    severity = F.when(F.col("id").isin("javascript", "launch", "attachments"), "high").when(F.col("id").isin("submit", "remote", "thumbnails"), "medium").otherwise("info")
+    program = F.trim("target").rlike(EXECUTABLE) if "target" in actions.columns else F.lit(False)
+    rows = actions.withColumn("id", kind).filter("id is not null").groupBy("file_id", "id")
+    return rows.agg(F.count("*").alias("n"), F.count_if((kind == "attachments") & program).alias("programs")).withColumn("severity", severity)

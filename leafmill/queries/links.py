@@ -75,6 +75,15 @@ def verdicts(spark, sf_dir):
     return c.select("page_id", "severity", F.array_join(F.array_sort(F.col("flags.rule")), ",").alias("rules"), "domain")
 
 
+def disguised(spark, sf_dir):
+    """Hosts in two scripts, in one beyond ASCII (as punycode and as letters), and in ASCII, before each page's own path: what they show, and how bad it is."""
+    id_ = F.col("page_id")
+    host = F.element_at(F.array(*map(F.lit, ("xn--pypal-4ve.com", "xn--bcher-kva.example", "bücher.example", "books.example"))), (id_ % 4 + 1).cast("int"))
+    u = _pages(spark, sf_dir, "page_id", "url").select("page_id", F.concat(F.lit("https://"), host, F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)?", 1)).alias("url"))
+    idn = F.get(F.filter("flags", lambda f: f["rule"] == "idn"), F.lit(0))
+    return ops.check_links(u).select("page_id", "host", idn["severity"].alias("idn"), idn["detail"].alias("shows"))
+
+
 def summary(spark, sf_dir):
     return ops.link_summary(ops.check_links(_shown(spark, sf_dir), "url", "shown"))
 
@@ -111,6 +120,7 @@ def payloads(spark, sf_dir):
 QUERIES = {
     "html_blocks": blocks,
     "html_texts": block_texts,
+    "link_disguised": disguised,
     "html_headings": headings,
     "html_anchors": anchors,
     "url_parts": parts,
@@ -135,6 +145,7 @@ SQL = {
     "html_blocks": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 n AS (SELECT page_id, len(regexp_extract_all(h, '<h1\b')) AS h1, len(regexp_extract_all(h, '<li\b')) AS li, len(regexp_extract_all(h, '<a\s+href')) AS a FROM b)
 SELECT page_id, 'heading' AS kind, 1 AS level, h1 AS n FROM n WHERE h1 > 0 UNION ALL SELECT page_id, 'item', 1, li FROM n WHERE li > 0 UNION ALL SELECT page_id, 'link', 0, a FROM n WHERE a > 0""",
+    "link_disguised": "SELECT page_id, ['pаypal.com', 'bücher.example', 'bücher.example', 'books.example'][(page_id % 4 + 1)::INT] AS host, ['high', 'medium', 'medium', NULL][(page_id % 4 + 1)::INT] AS idn, ['pаypal.com', 'bücher.example', 'bücher.example', NULL][(page_id % 4 + 1)::INT] AS shows FROM pages",
     "html_texts": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(/?)(h1|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '</?(p|div|article|nav|ul|ol|body|html|footer|header|main|section|br|table|tr)\b[^>]*>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g') AS h FROM b),
 p AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(1)), lambda x: [CASE WHEN x LIKE 'h1' || chr(2) || '%' THEN 'heading' WHEN x LIKE 'li' || chr(2) || '%' THEN 'item' ELSE 'paragraph' END,

@@ -162,6 +162,14 @@ def pdf_marks(spark, sf_dir):
     return p.select("p_partkey", pdf_version(F.when(k % 5 == 0, F.substring(content, 5, 9)).otherwise(content)).alias("version"), text_format(name).alias("form"))
 
 
+def pdf_attachments(spark, sf_dir):
+    """Orders as files with their lines as attachments, named by part and ending by quantity, and a stored picture of every page."""
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    ends = F.element_at(F.array(*map(F.lit, (".PDF", ".txt", ".exe", ".Js", ".exe.zip", ""))), (F.col("l_quantity").cast("int") % 6 + 1))
+    attached = li.select(F.col("l_orderkey").alias("file_id"), F.lit("EmbeddedFile").alias("action"), F.concat(F.col("l_partkey").cast("string"), ends).alias("target"))
+    return office.object_findings(attached.union(li.filter("l_linenumber > 2").select("l_orderkey", F.lit("Thumb"), F.lit("x.exe"))))
+
+
 def pdf_remarks(spark, sf_dir):
     """Findings of annotations, form fields and layers, one for each line of an order."""
     df = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag").withColumnRenamed("l_orderkey", "file_id")
@@ -283,7 +291,7 @@ def media_summary(spark, sf_dir):
     return s.select("event_id", "duration", "bit_rate", *[F.col(c).cast("long").alias(c) for c in ("video", "audio", "subtitles")], "cover", F.array_join("groups", ",").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_technical, image_kept, image_findings, package_parts, packages_by_range, zip_kinds_by_mime, pdf_marks, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
+QUERIES = {f.__name__: f for f in (image_entries, image_quality, image_clean, image_technical, image_kept, image_findings, package_parts, packages_by_range, zip_kinds_by_mime, pdf_marks, pdf_attachments, pdf_remarks, plural_texts, form_values, signer_names, csv_rows, files_by_path, report_written, input_table, odd_bytes, media_tags, media_summary)} | {"image_places": places, "media_tracks": tracks, "text_chunks_whole": chunks}
 _Q = "greatest(1, least(100, floor(CASE WHEN s = 64 THEN 100 WHEN s * 100.0 / 3688 <= 100 THEN (200 - s * 100.0 / 3688) / 2 ELSE 5000 / (s * 100.0 / 3688) END + 0.5)))::INT"
 SQL = {
     "image_entries": """SELECT c_custkey::VARCHAR AS path, 'image' AS grp, 'Make' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'image', 'Orientation', (c_custkey % 8 + 1)::VARCHAR FROM customer
@@ -300,6 +308,8 @@ SELECT 'ai' AS id, 'high' AS severity, m AS n FROM c UNION ALL SELECT 'c2pa', 'i
     "package_parts": "SELECT s_suppkey AS path, 'part-' || s_suppkey || '.txt' AS part, strlen(s_name)::BIGINT AS size, s_name AS text FROM supplier",
     "zip_kinds_by_mime": "SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN 'EPUB e-book' WHEN 1 THEN 'OpenDocument text' WHEN 2 THEN 'OpenDocument spreadsheet' ELSE 'ZIP archive' END AS kind FROM part",
     "pdf_marks": "SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN '1.' || (p_partkey % 8) END AS version, ['markdown', 'html', 'text'][(p_partkey % 3 + 1)::INT] AS form FROM part",
+    "pdf_attachments": """SELECT l_orderkey AS file_id, 'attachments' AS id, count(*) AS n, count(*) FILTER (l_quantity::INT % 6 IN (2, 3)) AS programs, 'high' AS severity FROM lineitem GROUP BY 1
+UNION ALL SELECT l_orderkey, 'thumbnails', count(*), 0, 'medium' FROM lineitem WHERE l_linenumber > 2 GROUP BY 1""",
     "pdf_remarks": """WITH g AS (SELECT l_orderkey AS file_id, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS notes, count(*) FILTER (l_returnflag = 'N' AND l_partkey % 2 = 0) AS named, count(*) FILTER (l_partkey % 7 <> 0 AND l_quantity > 25) AS filled,
   count(*) FILTER (l_partkey % 7 = 0 AND l_quantity > 25) AS signed, count(*) FILTER (l_quantity >= 40) AS hidden FROM lineitem GROUP BY 1)
 SELECT file_id, 'comments' AS id, CASE WHEN named > 0 THEN 'high' ELSE 'medium' END AS severity, notes AS n FROM g WHERE notes > 0 UNION ALL SELECT file_id, 'form', CASE WHEN filled > 0 THEN 'medium' ELSE 'info' END, n FROM g

@@ -34,7 +34,7 @@ def zip_kinds(spark, sf_dir):
 def actions(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id", "user_id")
     kind = F.element_at(F.array(F.lit("JavaScript"), F.lit("URI"), F.lit("GoTo"), F.lit("SubmitForm")), (F.col("event_id") % 4 + 1).cast("int"))
-    return office.object_findings(e.select(F.col("user_id").alias("file_id"), kind.alias("action")))
+    return office.object_findings(e.select(F.col("user_id").alias("file_id"), kind.alias("action"))).drop("programs")
 
 
 def probes(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Rows that once stopped a job or gave a wrong answer, each beside a good one."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -80,3 +81,21 @@ def test_a_query_is_registered_once(monkeypatch):
     monkeypatch.setattr(pii, "QUERIES", pii.QUERIES | {"report_written": None})
     with pytest.raises(ValueError, match="report_written"):
         queries.collect()
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_known_hashes_with_and_without_bitmaps(spark, monkeypatch, most):
+    monkeypatch.setattr(file_ops, "MOST_KNOWN", most)
+    rows = [(k, f"text {k}".encode()) for k in range(3000)]
+    hashed = file_ops.with_hashes(spark.createDataFrame([(k, bytearray(c)) for k, c in rows], "id int, content binary"), F.col("content")).drop("content")
+    known = [(hashlib.md5(c).hexdigest().upper(),) for k, c in rows if k % 100 == 3] + [(hashlib.sha256(c).hexdigest(),) for k, c in rows if k % 200 == 3] + [("no hash",), (None,), ("00" * 16,)]
+    got = file_ops.match_hashes(hashed, spark.createDataFrame(known, "hash string"), "id").collect()
+    assert sorted((r.id, r.algorithm) for r in got) == [(k, "sha256" if k % 200 == 3 else "md5") for k, _ in rows if k % 100 == 3]
+    assert file_ops.match_hashes(hashed, spark.createDataFrame([], "hash string"), "id").count() == 0
+
+
+def test_bitmaps_keep_few_other_files(spark):
+    known = spark.createDataFrame([(hashlib.md5(str(k).encode()).hexdigest(),) for k in range(5000)], "hash string")
+    other = spark.createDataFrame([(hashlib.md5(f"x{k}".encode()).hexdigest(),) for k in range(5000)], "hash string")
+    may = file_ops._may_be_known(known, 5000)
+    assert known.filter(may("hash")).count() == 5000 and other.filter(may("hash")).count() < 600
