@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.files import clean_hash, hash_all
+from leafmill.operators.tables import cut
 
 # The hashes in the order in which they count.
 ALGORITHMS = ["sha256", "sha512", "sha1", "md5"]
@@ -15,8 +16,8 @@ def with_hashes(files: DataFrame, content: Column) -> DataFrame:
     return files.withColumns(hash_all(content))
 
 
-#: A bitmap has so many bits (Spark's own size), a list of known hashes about 16 for each hash, if it has no more than ``MOST_KNOWN``.
-BITMAP_BITS, MOST_KNOWN = 1 << 15, 4_000_000
+#: A list of known hashes is broadcast if it is no longer than ``SHORT``, and gets bitmaps up to ``MOST_KNOWN``: of Spark's own size, about 16 bits a hash.
+SHORT, BITMAP_BITS, MOST_KNOWN = 200_000, 1 << 15, 4_000_000
 
 
 def _may_be_known(lists: DataFrame, n: int):
@@ -38,12 +39,14 @@ def _may_be_known(lists: DataFrame, n: int):
 def match_hashes(hashed: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``key, hash, algorithm`` of files that have a hash of ``known`` (column ``hash``, as pasted); the first algorithm counts.
 
-    A bitmap of the known hashes drops nearly all other files before each file's four hashes become rows of their own; a list too
-    long for that is joined without it.
+    A short list goes to every task, so nothing is shuffled but what is found. For a longer one a bitmap of the known hashes drops
+    nearly all other files before each file's four hashes become rows of their own; one too long for that is joined without it.
     """
-    lists = known.select(clean_hash(F.col("hash")).alias("hash")).filter("hash is not null").distinct()
+    lists = cut(known.select(clean_hash(F.col("hash")).alias("hash")).filter("hash is not null").distinct())
     n = lists.limit(MOST_KNOWN + 1).count()
-    if n <= MOST_KNOWN:
+    if n <= SHORT:
+        lists = F.broadcast(lists)
+    elif n <= MOST_KNOWN:
         may = _may_be_known(lists, n)
         hashed = hashed.filter(may(ALGORITHMS[0]) | may(ALGORITHMS[1]) | may(ALGORITHMS[2]) | may(ALGORITHMS[3]))
     pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(a).alias("algorithm"), F.col(a).alias("hash")) for k, a in enumerate(ALGORITHMS)])

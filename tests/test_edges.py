@@ -83,8 +83,9 @@ def test_a_query_is_registered_once(monkeypatch):
         queries.collect()
 
 
-@pytest.mark.parametrize("most", [0, 4_000_000])
-def test_known_hashes_with_and_without_bitmaps(spark, monkeypatch, most):
+@pytest.mark.parametrize("short, most", [(-1, -1), (-1, 4_000_000), (200_000, 4_000_000)])
+def test_known_hashes_with_and_without_bitmaps(spark, monkeypatch, short, most):
+    monkeypatch.setattr(file_ops, "SHORT", short)
     monkeypatch.setattr(file_ops, "MOST_KNOWN", most)
     rows = [(k, f"text {k}".encode()) for k in range(3000)]
     hashed = file_ops.with_hashes(spark.createDataFrame([(k, bytearray(c)) for k, c in rows], "id int, content binary"), F.col("content")).drop("content")
