@@ -13,19 +13,25 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc").agg(F.count("*").alias("pages"))
 
 
-#: Rows whose order values give the bounds of ranges, on average at most.
+#: Rows whose order values give the bounds of ranges, on average at most, for up to 256 ranges; more ranges have more.
 SAMPLE = 10_000
+#: A range has about so many rows at most, as one task sorts it; and there are so many ranges at most.
+RANGE_ROWS, MOST_RANGES = 2_000_000, 1 << 14
 
 
 def ranges_of(rows: DataFrame, order: str, total: int, buckets: int = 256) -> DataFrame:
     """``rows`` with ``_b``, the number of the range of ``order`` that each is in, from 0; null orders come first, as in a sort.
 
-    Bounds are quantiles of a sample chosen by hash, so any type that sorts will do. They only even out the ranges.
+    Bounds are quantiles of a sample chosen by hash, so any type that sorts will do. They only even out the ranges, whose number grows with the rows.
     """
-    pick = F.pmod(F.xxhash64(order), F.lit(max(1, total // SAMPLE))) == 0
+    buckets = max(buckets, min(MOST_RANGES, total // RANGE_ROWS))
+    pick = F.pmod(F.xxhash64(order), F.lit(max(1, total // max(SAMPLE, 40 * buckets)))) == 0
     values = rows.filter(pick).agg(F.array_sort(F.collect_set(order)).alias("_v"))
     cuts = values.select(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda k: F.get("_v", F.floor(k * F.size("_v") / buckets).cast("int"))).alias("_cuts"))
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
+    # a binary search: the number of bounds below the row's order
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range((buckets - 1).bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda n, by: F.when(F.get("_cuts", n + by - 1) < F.col(order), n + by).otherwise(n))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_b", below).drop("_cuts")
 
 
 def prefix_sums(counts: DataFrame, order: str, value: str, out: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
