@@ -12,7 +12,8 @@ from leafmill.functions.spans import SPACE, guarded, regex_spans, resolve_overla
 
 # Kinds in order of priority, and their patterns.
 KINDS = ["email", "card", "iban", "ssn", "nino", "dob", "ip", "phone"]
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# A host has 127 labels at most; the bound keeps a text of very many from filling the stack.
+EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){0,125}\.\p{L}{2,}"
 CARD = r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b"
 SSN = r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b"

@@ -12,7 +12,7 @@ from leafmill import queries
 from leafmill.functions.files import text_type
 from leafmill.functions.ranges import pages_to_delete, parse_page_ranges
 from leafmill.operators import files as file_ops
-from leafmill.operators import pages
+from leafmill.operators import findings, pages
 from leafmill.sources import files, media, metadata
 
 
@@ -100,3 +100,9 @@ def test_bitmaps_keep_few_other_files(spark):
     other = spark.createDataFrame([(hashlib.md5(f"x{k}".encode()).hexdigest(),) for k in range(5000)], "hash string")
     may = file_ops._may_be_known(known, 5000)
     assert known.filter(may("hash")).count() == 5000 and other.filter(may("hash")).count() < 600
+
+
+def test_addresses_of_very_many_labels(spark):
+    texts = ["x@" + "a." * 20000 + "com", "b@c.de", "x@" + "a." * 120 + "com", "b@c.de..fg"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.value) for r in findings.pii_findings(rows, ["email"]).collect()) == [(1, "b@c.de"), (2, texts[2]), (3, "b@c.de")]
