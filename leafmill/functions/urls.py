@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.spans import regex_spans
+from leafmill.functions.spans import let, regex_spans
 
 # Patterns, endings, services and brands.
 IN_TEXT = r"(?i)\b(?:https?://|www\.)[^\s<>\"'`]+"
@@ -83,8 +83,8 @@ def url_parts(url: Column) -> Column:
     raw = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*:"), raw).otherwise(F.concat(F.lit("https://"), raw))
     part = lambda k: F.regexp_extract(raw, _URL, k)
     host = F.lower(F.regexp_replace(F.coalesce(F.try_url_decode(part(3)), part(3)), r"^\[|\]$", ""))
-    host = numeric_host(host)
-    good = F.when((host != "") & ~host.rlike(r"[\s<>^|%]") & F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int").between(0, 65535), F.lit(True)), host)
+    able = F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int").between(0, 65535), F.lit(True))
+    good = let(let(host, numeric_host), lambda h: F.when((h != "") & ~h.rlike(r"[\s<>^|%]") & able, h))
     empty = lambda c: F.nullif(c, F.lit(""))
     port = F.nullif(F.regexp_replace(part(4), "^0+(?=.)", ""), F.lit(""))
     return F.struct(F.lower(part(1)).alias("scheme"), empty(part(2)).alias("userinfo"), good.alias("host"), port.alias("port"), part(5).alias("path"), empty(part(6)).alias("query"))
@@ -94,13 +94,21 @@ def numeric_host(host: Column) -> Column:
     """A host of one to four numbers, decimal, octal or hexadecimal, as browsers read it: in dotted form; other hosts as they are."""
     number = r"(?:0x[0-9a-f]{0,8}|[0-9]{1,12})"
     parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
-    value = lambda p: F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 8)), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p).try_cast("long")
-    n, values = F.size(parts), F.transform(parts, value)
+    return F.when(host.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$"), let(F.transform(parts, _number), _dotted)).otherwise(host)
+
+
+def _number(p: Column) -> Column:
+    return F.when(p.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 8)), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p).try_cast("long")
+
+
+def _dotted(values: Column) -> Column:
+    """An address of four bytes from its one to four numbers; null where one is too large."""
+    n = F.size(values)
     room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
     fits = F.forall(F.slice(values, 1, n - 1), lambda v: v < 256) & (F.element_at(values, -1) < room)
     whole = F.aggregate(F.slice(values, 1, n - 1), F.struct(F.lit(1 << 24).cast("long").alias("unit"), F.lit(0).cast("long").alias("sum")), lambda a, v: F.struct((a["unit"] / 256).cast("long").alias("unit"), (a["sum"] + v * a["unit"]).alias("sum")))["sum"] + F.element_at(values, -1)
-    byte = lambda k: F.shiftright(whole, k).bitwiseAND(F.lit(255).cast("long")).cast("string")
-    return F.when(host.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$"), F.when(fits, F.concat_ws(".", byte(24), byte(16), byte(8), byte(0)))).otherwise(host)
+    byte = lambda w, k: F.shiftright(w, k).bitwiseAND(F.lit(255).cast("long")).cast("string")
+    return F.when(fits, let(whole, lambda w: F.concat_ws(".", byte(w, 24), byte(w, 16), byte(w, 8), byte(w, 0))))
 
 
 def registrable_domain(host: Column) -> Column:
@@ -128,7 +136,7 @@ def _onward(query: Column) -> Column:
     """The host of the first redirect-like value of a query that is a web address."""
     pairs = F.transform(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
     first = F.get(F.filter(pairs, lambda p: p["k"].rlike(ONWARD) & p["v"].rlike("(?i)^https?://")), F.lit(0))
-    return url_parts(first["v"])["host"]
+    return let(first["v"], lambda v: url_parts(v)["host"])
 
 
 def flags_of(c: dict[str, Column], url: Column) -> Column:
