@@ -135,6 +135,17 @@ QUERIES = {
     "qr_payloads": payloads,
 }
 
+#: Character references as HTML reads them: these need no semicolon. That of the ampersand comes last, so nothing is read twice.
+_REFERENCES = {"quot": '"', "#x27": "''", "#39": "''", "lt": "<", "gt": ">", "copy": "©", "middot": "·", "nbsp": "\u00a0", "amp": "&"}
+
+
+def _seen(text: str) -> str:
+    """SQL for what a reader sees of the text between tags, with single spaces."""
+    for name, sign in _REFERENCES.items():
+        text = f"regexp_replace({text}, '&{name};?', '{sign}', 'g')"
+    return rf"trim(regexp_replace({text}, '[\s\x{{A0}}]+', ' ', 'g'))"
+
+
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)"
 _V = f"""v AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' WHEN 5 THEN 'medium' WHEN 6 THEN 'high' ELSE CASE WHEN url LIKE 'http:%' THEN 'medium' ELSE 'info' END END AS severity,
   CASE page_id % 7 WHEN 1 THEN ['brand', 'cheap'] WHEN 2 THEN ['ip', 'userinfo'] WHEN 3 THEN CASE WHEN url LIKE 'http:%' THEN ['http', 'redirect'] ELSE ['redirect'] END WHEN 4 THEN ['hidden'] WHEN 5 THEN ['http', 'port', 'shortener']
@@ -146,12 +157,12 @@ SQL = {
 n AS (SELECT page_id, len(regexp_extract_all(h, '<h1\b')) AS h1, len(regexp_extract_all(h, '<li\b')) AS li, len(regexp_extract_all(h, '<a\s+href')) AS a FROM b)
 SELECT page_id, 'heading' AS kind, 1 AS level, h1 AS n FROM n WHERE h1 > 0 UNION ALL SELECT page_id, 'item', 1, li FROM n WHERE li > 0 UNION ALL SELECT page_id, 'link', 0, a FROM n WHERE a > 0""",
     "link_disguised": "SELECT page_id, ['pаypal.com', 'bücher.example', 'bücher.example', 'books.example'][(page_id % 4 + 1)::INT] AS host, ['high', 'medium', 'medium', NULL][(page_id % 4 + 1)::INT] AS idn, ['pаypal.com', 'bücher.example', 'bücher.example', NULL][(page_id % 4 + 1)::INT] AS shows FROM pages",
-    "html_texts": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+    "html_texts": rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(/?)(h1|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '</?(p|div|article|nav|ul|ol|body|html|footer|header|main|section|br|table|tr)\b[^>]*>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g') AS h FROM b),
 p AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(1)), lambda x: [CASE WHEN x LIKE 'h1' || chr(2) || '%' THEN 'heading' WHEN x LIKE 'li' || chr(2) || '%' THEN 'item' ELSE 'paragraph' END,
-      trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(string_split(x, chr(2))[-1], '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '[\s ]+', ' ', 'g'))]), lambda x: x[2] <> '') AS l FROM t)
+      {_seen("string_split(x, chr(2))[-1]")}]), lambda x: x[2] <> '') AS l FROM t)
 SELECT page_id, array_to_string(list_transform(l, lambda x: x[1] || ': ' || x[2]), chr(10)) AS lines FROM p WHERE len(l) > 0""",
-    "html_headings": r"SELECT page_id, replace(trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&amp;', '&') AS text FROM pages",
+    "html_headings": rf"WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS h FROM pages) SELECT page_id, {_seen("regexp_replace(h, '<[^>]*>', '', 'g')")} AS text FROM h",
     "html_anchors": r"SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS target, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS text FROM pages",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '^[a-z]+://[^/:?#]*:([0-9]+)', 1), '') AS port FROM pages",
     "url_normal": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^www\.', ''), '/$', '') AS url FROM pages",
