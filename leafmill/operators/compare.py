@@ -1,12 +1,13 @@
 """Word-by-word comparison of two versions, for many pairs at once.
 
-Words, keys, common starts and ends and the words that stand once on both sides are found by column expressions and one
-aggregation. Their longest rising chain cuts a pair into gaps; gaps are rows of their own, so that a long pair is dealt over
-many tasks, and only gaps reach the helper that finds a least script of edits.
+A pair is cut into gaps where it is: by its common start and end and the longest rising chain of words that stand once on both
+sides. Gaps are rows of their own, so that a long pair is dealt over many tasks: only what differs is shuffled, and reaches
+the helper that finds a least script of edits.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
@@ -23,12 +24,20 @@ from leafmill.functions.spans import SPACE
 # Marks that count as one, and how many edits a gap may take before it is one replacement.
 UNIFIED = str.maketrans({**dict.fromkeys("‘’‚′", "'"), **dict.fromkeys("“”„″", '"'), **dict.fromkeys("‐‑‒–—―−", "-"), "­": None})
 MOST_EDITS = 1500
-SIDES = ["pair", "a", "b", "wa", "wb", "pa", "pb"]
+#: White space as Java has it in ``SPACE``.
+WHITE = re.compile("[" + SPACE.replace(r"\s", r" \t\n\x0b\f\r") + "]+")
+#: Pairs whose words a task holds at a time.
+GAP_ROWS = 100
+GAP = "a0 int, b0 int, wa array<string>, wb array<string>, pa array<int>, pb array<int>"
 CHANGE = "kind string, a_from int, a_to int, b_from int, b_to int, before string, after string, before_page int, after_page int"
 
 
+def _key(word: str) -> str:
+    return unicodedata.normalize("NFKC", word).translate(UNIFIED)
+
+
 def _folded(words: pa.Array) -> pa.Array:
-    flat = [None if w is None else unicodedata.normalize("NFKC", w).translate(UNIFIED) for w in words.flatten().to_pylist()]
+    flat = [None if w is None else _key(w) for w in words.flatten().to_pylist()]
     sizes = words.value_lengths().to_pylist()
     ends = np.cumsum([0, *(n or 0 for n in sizes)]).tolist()
     starts = [None if n is None else e for n, e in zip(sizes, ends)] + ends[-1:]
@@ -41,7 +50,7 @@ _keys = F.arrow_udf(_folded, T.ArrayType(T.StringType())).asNondeterministic()
 
 def page_words(text: Column) -> Column:
     """``page, word`` of the words of a text; pages, from 0, end at form feeds. Null has none."""
-    words = lambda t: F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
+    words = lambda t: F.filter(F.split(t, f"[[^!-~]&&[{SPACE}]]+"), lambda w: w != "")  # noqa: E731  most characters fail the first test
     return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\f"), lambda t, i: F.transform(words(t), lambda w: F.struct(i.cast("int").alias("page"), w.alias("word")))))
 
 
@@ -174,31 +183,73 @@ def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return sorted(kept)
 
 
-def gaps(ready: DataFrame) -> DataFrame:
-    """``pair, a0, b0, a, b, wa, wb, pa, pb`` of the stretches between anchors in which the sides of ``prepared`` pairs differ.
+def split_words(text: str | None) -> tuple[list[str], list[int]]:
+    """The words of a text and their pages, as ``page_words`` has them."""
+    words, pages = [], []
+    for page, part in enumerate((text or "").split("\f")):
+        own = [w for w in WHITE.split(part) if w]
+        words += own
+        pages += [page] * len(own)
+    return words, pages
+
+
+class Codes(dict):
+    """Numbers of words, equal where their keys are; a word's key is worked out once."""
+
+    def __init__(self) -> None:
+        self.keys_: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = self.keys_.setdefault(word if word.isascii() else _key(word), len(self.keys_))
+        return code
+
+
+def codes_of(*sides: list[str]) -> list[np.ndarray]:
+    """The keys of words as numbers, equal where the keys are."""
+    codes = Codes()
+    return [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in sides]
 
-    ``pa`` and ``pb`` go one word further than the stretch, where there is one, and begin one word before it.
+
+def cuts_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of both sides that are kept, one before and one behind all that may differ among them: common ends and the longest
+    rising chain of keys that stand exactly once on both sides between these."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    unlike = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    tail = min(n - 1 - int(unlike[-1]) if len(unlike) else n, n - head)
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    most = 1 + max(x.max(initial=0), y.max(initial=0))
+    once = (np.bincount(x, minlength=most) == 1) & (np.bincount(y, minlength=most) == 1)
+    place = np.zeros(most, np.int64)
+    place[y] = np.arange(len(y))
+    left = np.flatnonzero(once[x])
+    right = place[x[left]]
+    chain = rising(right.tolist())
+    return tuple(np.concatenate([[head - 1], head + side[chain], [len(own) - tail]]).astype(np.int64) for side, own in ((left, a), (right, b)))
+
+
+def gaps(pairs: DataFrame) -> DataFrame:
+    """``pair, a0, b0, wa, wb, pa, pb`` of the stretches between anchors in which the sides of ``pairs`` differ.
+
+    Each row is cut where it is, and only what differs goes on. ``pa`` and ``pb`` go one word further than the stretch, where there is one, and begin one
+    word before it.
     """
-    anchors = unique_anchors(words_of(ready)).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("anchors"))
-    df = ready.filter("size(a) + size(b) > head + head + tail + tail").join(anchors, "pair", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for head, tail, na, nb, anchors in zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "na", "nb", "anchors"))):
-                anchors = anchors or []
-                chain = [anchors[i] for i in rising([x["b"] for x in anchors])]
-                cuts = [(head - 1, head - 1), *((x["a"], x["b"]) for x in chain), (na - tail, nb - tail)]
-                out.append([{"a0": i + 1, "a1": u, "b0": j + 1, "b1": v} for (i, j), (u, v) in zip(cuts, cuts[1:]) if u > i + 1 or v > j + 1])
-            kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("a0", "a1", "b0", "b1")]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SIDES), pa.array(out, kind)], names=[*SIDES, "gaps"])
-
-    df = df.select(*SIDES, "head", "tail", F.size("a").alias("na"), F.size("b").alias("nb"), "anchors")
-    shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in SIDES)
-    cut = df.mapInArrow(run, f"{shape}, gaps array<struct<a0:int,a1:int,b0:int,b1:int>>").select("*", F.inline("gaps"))
-    part = lambda c, s: F.slice(c, F.col(f"{s}0") + 1, F.col(f"{s}1") - F.col(f"{s}0")).alias(c)
-    wide = lambda s: F.slice(f"p{s}", F.greatest(F.col(f"{s}0"), F.lit(1)), F.col(f"{s}1") - F.col(f"{s}0") + 2).alias(f"p{s}")
-    return cut.select("pair", "a0", "b0", part("a", "a"), part("b", "b"), part("wa", "a"), part("wb", "b"), wide("a"), wide("b"))
+        for batch in (b.slice(k, GAP_ROWS) for b in batches for k in range(0, b.num_rows, GAP_ROWS)):
+            out: list[tuple] = []
+            for k, (before, after) in enumerate(zip(batch.column(1), batch.column(2))):
+                (wa, pages_a), (wb, pages_b) = split_words(before.as_py()), split_words(after.as_py())
+                ca, cb = cuts_of(*codes_of(wa, wb))
+                for g in np.flatnonzero((np.diff(ca) > 1) | (np.diff(cb) > 1)):
+                    a0, a1, b0, b1 = int(ca[g]) + 1, int(ca[g + 1]), int(cb[g]) + 1, int(cb[g + 1])
+                    out.append((k, a0, b0, wa[a0:a1], wb[b0:b1], pages_a[max(a0 - 1, 0) : a1 + 1], pages_b[max(b0 - 1, 0) : b1 + 1]))
+            keys = batch.column(0).take(pa.array([r[0] for r in out], pa.int64()))
+            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.string())] * 2, *[pa.list_(pa.int32())] * 2]
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c + 1] for r in out], t) for c, t in enumerate(kinds))], names=["pair", *(c.split()[0] for c in GAP.split(", "))])
+
+    return pairs.select("pair", "before", "after").mapInArrow(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, {GAP}")
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:
@@ -212,8 +263,7 @@ def word_diff(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for k, g in enumerate(batch.drop_columns(["pair"]).to_pylist()):
-                code: dict[str, int] = {}
-                a, b = (np.array([code.setdefault(w, len(code)) for w in g[s]], np.int64) for s in "ab")
+                a, b = codes_of(g["wa"], g["wb"])
                 kept = [(-1, -1), *matched(a, b), (len(a), len(b))]
                 for (i, j), (u, v) in zip(kept, kept[1:]):
                     if u > i + 1 or v > j + 1:
@@ -225,7 +275,7 @@ def word_diff(pairs: DataFrame) -> DataFrame:
             keys = batch.column("pair").take(pa.array([r[0] for r in out], pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[c + 1] for r in out], t) for c, t in enumerate(kinds))], names=["pair", *(c.split()[0] for c in CHANGE.split(", "))])
 
-    dealt = gaps(prepared(pairs)).repartition("pair", "a0")
+    dealt = gaps(pairs).repartition("pair", "a0")
     return dealt.mapInArrow(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, {CHANGE}")
 
 

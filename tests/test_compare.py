@@ -93,3 +93,12 @@ def test_random_pairs_are_rebuilt(spark):
     df = spark.createDataFrame(rows, "pair int, before string, after string")
     out = {r.pair: r.text for r in compare.rebuilt(df, compare.word_diff(df)).collect()}
     assert out == {k: b for k, _, b in rows}
+
+def test_only_what_differs_is_shuffled(spark):
+    # one row a word went through a shuffle before, for all words of both sides
+    df = spark.createDataFrame([(1, "a b c\fd e", "a x c\fd e e"), (2, None, "é "), (3, "", None)], "pair int, before string, after string")
+    changes = compare.word_diff(df)
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert changes._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    gaps = {(r.pair, r.a0, r.b0): (r.wa, r.wb) for r in compare.gaps(df).collect()}
+    assert gaps == {(1, 1, 1): (["b"], ["x"]), (1, 4, 4): ([], ["e"]), (2, 0, 0): ([], ["é"])}
