@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.spans import SPACE, let, prefix_sums, regex_spans
+from leafmill.functions.spans import SPACE, let, prefix_sums, regex_spans, running
 from leafmill.functions.text import cell_number, join_lines
-from leafmill.operators.layout import PAGE, group_lines, lines_of
+from leafmill.operators.layout import PAGE, group_lines, line_pages, lines_of
 
 # Fixed values of columns: where a gutter is sought (shares of the page's width), how wide it is at least, how many items a page has
 # at least, what share of them may cross a gutter, how many lines a side has at least, and what share of it their median covers.
@@ -188,18 +188,59 @@ def column_bands(cells: DataFrame, tolerated: float = 0.1) -> DataFrame:
     return bands.select(*keys, "band", F.col("_b.start").alias("x0"), F.col("_b.stop").alias("x1"))
 
 
+def _cells_of(line: Column) -> Column:
+    """The cells (``x0``, ``x1``, ``text``) of a line's items, as ``line_cells`` cuts them."""
+    ordered = F.array_sort(F.transform(line, lambda i: F.struct(*[i[c].alias(c) for c in ("x", "item_no", "width", "size", "text")])))
+
+    def with_gaps(items: Column) -> Column:
+        reach = running(F.transform(items, lambda i: i["x"] + i["width"]), lambda u, v: F.greatest(u, v))
+        return let(reach, lambda r: F.transform(items, lambda i, k: F.struct(i["x"].alias("x"), (i["x"] + i["width"]).alias("right"), i["size"].alias("size"), i["text"].alias("text"), (i["x"] - F.get(r, k - 1)).alias("gap"))))
+
+    def cells(items: Column) -> Column:
+        begins = F.filter(F.transform(items, lambda i, k: F.when(~F.coalesce(i["gap"] <= 0.9 * i["size"], F.lit(False)), k)), lambda k: k.isNotNull())
+        return let(begins, lambda b: F.transform(F.transform(b, lambda at, k: F.slice(items, at + 1, F.coalesce(F.get(b, k + 1), F.size(items)) - at)), cell))
+
+    def cell(part: Column) -> Column:
+        space = lambda i: F.when((i["gap"] > 0.15 * i["size"]) & (i["gap"] <= 0.9 * i["size"]), " ").otherwise("")
+        text = F.array_join(F.transform(part, lambda i: F.concat(space(i), i["text"])), "")
+        return F.struct(F.array_min(F.transform(part, lambda i: i["x"])).alias("x0"), F.array_max(F.transform(part, lambda i: i["right"])).alias("x1"), F.trim(F.regexp_replace(text, f"[{SPACE}]+", " ")).alias("text"))
+
+    return F.filter(let(let(ordered, with_gaps), cells), lambda c: c["text"] != "")
+
+
+def _rows_of(pages: DataFrame) -> DataFrame:
+    """``page_rows`` of pages with ``_lines``, arrays of ``line`` and its ``items``: all of it is made from that array, without another sort."""
+    span = lambda c: F.struct(F.floor(c["x0"]).alias("start"), F.greatest(F.ceil(c["x1"]), F.floor(c["x0"]) + 1).alias("stop"))
+
+    def with_bands(rows: Column) -> Column:
+        several = F.filter(rows, lambda r: F.size(r["cells"]) >= 2)
+        bands = let(several, lambda s: F.when(F.size(s) > 0, covered_ranges(F.flatten(F.transform(s, lambda r: F.transform(r["cells"], span))), F.floor(F.size(s) * 0.1))))
+        return F.struct(rows.alias("rows"), bands.alias("bands"))
+
+    def banded(x: Column) -> Column:
+        band = lambda c: F.greatest(F.coalesce(F.size(F.filter(x["bands"], lambda b: c["x0"] >= b["start"] - 1)), F.lit(0)) - 1, F.lit(0)).alias("band")
+        placed = F.transform(x["rows"], lambda r: F.struct(r["line"].alias("line"), F.transform(r["cells"], lambda c: F.struct(band(c), c["text"].alias("text"))).alias("cells")))
+        own = lambda r: lambda b: F.struct(r["line"].alias("row"), b.alias("band"), F.array_join(F.transform(F.filter(r["cells"], lambda c: c["band"] == b), lambda c: c["text"]), " ").alias("text"))
+        return F.flatten(F.transform(placed, lambda r: F.transform(F.array_distinct(F.transform(r["cells"], lambda c: c["band"])), own(r))))
+
+    rows = F.transform("_lines", lambda r: F.struct(r["line"].cast("int").alias("line"), _cells_of(r["items"]).alias("cells")))
+    out = pages.select(*PAGE, F.inline(let(let(rows, with_bands), banded)))
+    return out.withColumn("number", cell_number(F.col("text")))
+
+
 def page_rows(lined: DataFrame) -> DataFrame:
     """``doc_id, page, row, band, text, number``: the cells of a page in columns that hold over all its rows; ``number`` where a cell shows one.
 
     A cell belongs to the last band that begins no more than a point right of it; cells of a row in one band are joined by a space.
     """
-    cells = line_cells(lined)
-    own = column_bands(cells).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("band", "x0"))).alias("_bands"))
-    before = F.filter("_bands", lambda b: F.col("x0") >= b["x0"] - 1)
-    df = cells.join(own, list(PAGE), "left").withColumn("band", F.coalesce(F.element_at(F.when(F.size(before) > 0, before), -1)["band"], F.lit(0)).cast("int"))
-    parts = F.array_sort(F.collect_list(F.struct("cell", "text")))
-    rows = df.groupBy(*PAGE, "row", "band").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
-    return rows.withColumn("number", cell_number(F.col("text")))
+    lines = lined.groupBy(*PAGE, "line").agg(F.collect_list(F.struct("x", "item_no", "width", "size", "text")).alias("items"))
+    return _rows_of(lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line", "items"))).alias("_lines")))
+
+
+def table_rows(items: DataFrame) -> DataFrame:
+    """``page_rows`` of items that have no lines yet: a page's items meet once, as an array, and only its rows come out of it."""
+    pages = line_pages(items, fields=["width", "text"])
+    return _rows_of(pages.select(*PAGE, F.transform("_lines", lambda items, k: F.struct((k + 1).alias("line"), items.alias("items"))).alias("_lines")))
 
 
 def merge_phrases(runs: DataFrame) -> DataFrame:

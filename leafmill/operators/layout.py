@@ -48,16 +48,23 @@ def lines_of(items: Column) -> Column:
     return let(let(items, lambda i: F.struct(i.alias("items"), F.aggregate(i, start, step, lambda a: a["begins"]).alias("begins"))), cut)
 
 
+def line_pages(items: DataFrame, by: tuple[str, ...] = PAGE, fields: list[str] | None = None) -> DataFrame:
+    """``by`` and ``_lines``: the lines of each page from its top, each an array of its items' ``fields`` (all that are not in ``by``)."""
+    first = ["y", "x", "item_no", "size"]
+    rest = [c for c in fields or items.columns if c not in (*by, *first)]
+    used = items.filter((F.trim("text") != "") & (F.col("size") > 0))
+    page = used.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("_items"))
+    return page.select(*by, lines_of(F.col("_items")).alias("_lines"))
+
+
 def group_lines(items: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
     """``items`` with ``line``: numbered from the top of each page, or of each column where ``by`` has one.
 
     A page's items travel as one array, once; a page is small, and pages are dealt over the cluster.
     """
     rest = [c for c in items.columns if c not in by]
-    used = items.filter((F.trim("text") != "") & (F.col("size") > 0))
-    page = used.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "item_no", "size", F.struct(*rest).alias("row")))).alias("_items"))
-    numbered = F.flatten(F.transform(lines_of(F.col("_items")), lambda line, k: F.transform(line, lambda i: F.struct(i["row"].alias("row"), (k + 1).alias("line")))))
-    return page.select(*by, F.inline(numbered)).select(*by, "row.*", "line")
+    numbered = F.flatten(F.transform("_lines", lambda line, k: F.transform(line, lambda i: F.struct(*[i[c].alias(c) for c in rest], (k + 1).alias("line")))))
+    return line_pages(items, by).select(*by, F.inline(numbered))
 
 
 def _pieces(lined: DataFrame, tab_gap: float, by: tuple[str, ...]) -> DataFrame:

@@ -85,7 +85,7 @@ def page_rows(spark, sf_dir):
     cells = F.array(*[F.struct(F.lit(k).alias("c"), t.alias("text"), F.lit(x).alias("x")) for k, t, x in ((0, F.concat(F.lit("No"), at.cast("string")), 72.0), (1, F.format_string("(%d)", F.col("l_quantity").cast("int")), 200.0), (2, F.format_number("l_extendedprice", 2), 340.0))])
     items = df.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), "at", F.inline(cells))
     items = items.select("doc_id", "page", (at * 3 + F.col("c")).cast("int").alias("item_no"), "text", "x", (100.0 + at * 14).alias("y"), F.lit(60.0).alias("width"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"))
-    return columns.page_rows(layout.group_lines(items)).select("doc_id", "row", "band", "text", "number")
+    return columns.table_rows(items).select("doc_id", "row", "band", "text", "number")
 
 
 def markdown(spark, sf_dir):

@@ -93,3 +93,14 @@ def test_reading_order_takes_one_exchange_for_the_items(spark):
     assert len(re.findall("Exchange hashpartitioning", words._jdf.queryExecution().executedPlan().toString())) <= 3
     assert [r.word for r in sorted(words.collect(), key=lambda r: r.pos)] == [f"w{k}" for k in range(80)]
     assert {r.column for r in columns.split_columns(df, spark.createDataFrame([(1, 0, 600.0)], "doc_id int, page int, page_width double")).collect()} == {0, 1}
+
+
+def test_page_rows_meet_their_items_once(spark):
+    # cells, bands and rows were joined and sorted again and again before
+    cells = [(1, 0, k, t, float(x), 100.0 + 14 * (k // 3), 60.0, 10.0, False) for k, (t, x) in enumerate([("a", 72), ("b", 200), ("c", 340), ("d", 72), ("(7)", 134), ("9.50", 340), (" ", 72), ("e  f", 201)])]
+    items = spark.createDataFrame(cells, "doc_id int, page int, item_no int, text string, x double, y double, width double, size double, bold boolean")
+    plan = columns.table_rows(items)._jdf.queryExecution()
+    assert "Join" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("Exchange") == 1
+    rows = sorted((r.row, r.band, r.text, r.number) for r in columns.table_rows(items).collect())
+    assert rows == [(1, 0, "a", None), (1, 1, "b", None), (1, 2, "c", None), (2, 0, "d (7)", None), (2, 2, "9.50", 9.5), (3, 1, "e f", None)]
+    assert rows == sorted((r.row, r.band, r.text, r.number) for r in columns.page_rows(layout.group_lines(items)).collect())
