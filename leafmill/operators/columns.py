@@ -78,28 +78,46 @@ def split_columns(items: DataFrame, widths: DataFrame) -> DataFrame:
 def page_index(items: DataFrame, order: list[str], by: tuple[str, ...] = PAGE) -> DataFrame:
     """``items`` with ``start, chars``: where an item's characters begin in its page's text, and the item's own offset of each of them.
 
-    White space is made one space, none begins the text, and items that do not touch, or begin a new line, get a space between them. A page is
-    folded in order, as each item's first space depends on what stands before it.
+    White space is made one space, none begins the text, and items that do not touch, or begin a new line, get a space between them. A page's items
+    travel as one array, once; what stands before an item, and where it begins, are running results over that array.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    apart = (F.abs(F.lead("y").over(w) - F.col("y")) > F.col("size") * 0.5) | (F.lead("x").over(w) - (F.col("x") + F.col("width")) > F.col("size") * 0.15)
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    rows = items.withColumns({"_apart": F.coalesce(apart, F.lit(False)), "_s": F.transform(chars, lambda c: c.rlike(f"[{SPACE}]"))})
-    page = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("item_no").alias("_item"), "_apart", "_s"))).alias("_items"))
-    kind = "array<struct<item_no:int,start:int,chars:array<int>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.lit(True).alias("space"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        s = i["_s"]
-        n = F.size(s)
-        places = F.filter(F.sequence(F.lit(0), n), lambda k: (k < n) & ~(F.coalesce(F.get(s, k), F.lit(False)) & F.when(k == 0, acc["space"]).otherwise(F.coalesce(F.get(s, k - 1), F.lit(False)))))
-        ends = F.when(n == 0, acc["space"]).otherwise(F.coalesce(F.get(s, n - 1), F.lit(False)))
-        full = F.when(i["_apart"] & ~ends, F.concat(places, F.array(n))).otherwise(places)
-        row = F.struct(i["_item"].cast("int").alias("item_no"), acc["at"].alias("start"), full.alias("chars"))
-        return F.struct((acc["at"] + F.size(full)).alias("at"), (ends | i["_apart"]).alias("space"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    found = page.select(*by, F.inline(F.aggregate("_items", begin, step, lambda a: a["out"])))
-    return items.join(found, [*by, "item_no"])
+    first = [*order, *(c for c in ["item_no"] if c not in order)]
+    rest = [c for c in items.columns if c not in (*by, *first)]
+    page = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("_items"))
+    n = lambda i: F.coalesce(F.length(i["text"]), F.lit(0))
+    none = F.array().cast("array<int>")
+
+    def apart(every: Column, i: Column, k: Column) -> Column:
+        after = F.get(every, k + 1)
+        return F.coalesce((F.abs(after["y"] - i["y"]) > i["size"] * 0.5) | (after["x"] - (i["x"] + i["width"]) > i["size"] * 0.15), F.lit(False))
+
+    def with_ends(every: Column) -> Column:
+        # whether a space ends what stands up to here: null where the item has no say in it
+        own = lambda i, far: F.when((n(i) > 0) | far, far | F.coalesce(F.substring(i["text"], -1, 1).rlike(f"[{SPACE}]"), F.lit(False)))
+        say = F.transform(every, lambda i, k: own(i, apart(every, i, k)))
+        return F.struct(every.alias("items"), running(say, lambda u, v: F.coalesce(v, u)).alias("spaced"))
+
+    def kept(text: Column, size: Column, spaced: Column) -> Column:
+        """The offsets of the characters that are no white space, or the first of it."""
+        white = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: c.rlike(f"[{SPACE}]"))
+        seldom = let(white(text), lambda s: F.filter(F.sequence(F.lit(0), size - 1), lambda k: ~(F.get(s, k) & F.when(k == 0, spaced).otherwise(F.get(s, k - 1)))))
+        return F.when(size == 0, none).when(text.rlike(f"[{SPACE}]"), seldom).otherwise(F.sequence(F.lit(0), size - 1))
+
+    def with_chars(x: Column) -> Column:
+        def chars(i: Column, k: Column) -> Column:
+            spaced = F.coalesce(F.get(x["spaced"], k - 1), F.lit(True))
+            ends = F.when(n(i) == 0, spaced).otherwise(F.substring(i["text"], -1, 1).rlike(f"[{SPACE}]"))
+            return F.concat(kept(i["text"], n(i), spaced), F.when(apart(x["items"], i, k) & ~ends, F.array(n(i))).otherwise(none))
+
+        return F.struct(x["items"].alias("items"), F.transform(x["items"], chars).alias("chars"))
+
+    def with_starts(x: Column) -> Column:
+        at = prefix_sums(F.transform(x["chars"], lambda c: F.size(c)))
+        item = lambda i, k, ends: F.struct(*[i[c].alias(c) for c in (*first, *rest)], (F.get(ends, k) - F.size(F.get(x["chars"], k))).alias("start"), F.get(x["chars"], k).alias("chars"))
+        return let(at, lambda ends: F.transform(x["items"], lambda i, k: item(i, k, ends)))
+
+    whole = let(let(let(F.col("_items"), with_ends), with_chars), with_starts)
+    return page.select(*by, F.inline(whole)).select(*items.columns, "start", "chars")
 
 
 def indexed_text(indexed: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:

@@ -20,8 +20,11 @@ def _words(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """Turns of 40 words and more in two columns of four words a line, others in lines of eight; every fourth word is bold."""
-    df = _words(spark, sf_dir).select("doc_id", "page", F.size("w").alias("n"), F.posexplode("w").alias("k", "text"))
+    """Turns of 40 words and more in two columns of four words a line, others in lines of eight; every fourth word is bold.
+
+    Turns are dealt by page as texts, so the words made from them are where their page's other words are and are not dealt again.
+    """
+    df = _words(spark, sf_dir).repartition("doc_id", "page").select("doc_id", "page", F.size("w").alias("n"), F.posexplode("w").alias("k", "text"))
     two, half = F.col("n") >= 40, F.ceil(F.col("n") / 2)
     right = two & (F.col("k") >= half)
     own, wide = F.when(right, F.col("k") - half).otherwise(F.col("k")), F.when(two, 4).otherwise(8)
