@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.spans import let
+from leafmill.functions.spans import let, running
 from leafmill.operators.contains import containing
 
 # Page numbers in margins, list marks, and sizes of headings against the body.
@@ -92,6 +92,38 @@ def line_text(lined: DataFrame, tab_gap: float = 3, by: tuple[str, ...] = PAGE)
     return rows.select(*by, "line", F.array_join("_i._t", "").alias("text"), "x", "right", F.coalesce(main, F.get("_i", F.lit(0))["y"]).alias("y"), "size", "bold")
 
 
+def page_lines(items: DataFrame, tab_gap: float = 3, by: tuple[str, ...] = PAGE) -> DataFrame:
+    """``line_text`` of items that have no lines yet: a page's items meet once, as an array, and only its lines come out of it."""
+    pages = line_pages(items, by, ["text", "width", "bold"])
+
+    def with_gaps(line: Column) -> Column:
+        reach = running(F.transform(line, lambda i: i["x"] + i["width"]), lambda u, v: F.greatest(u, v))
+        own = lambda r: lambda i, k: F.struct(*[i[c].alias(c) for c in ("x", "y", "size", "text", "bold")], (i["x"] + i["width"]).alias("right"), (i["x"] - F.get(r, k - 1)).alias("gap"))
+        return let(reach, lambda r: F.transform(line, own(r)))
+
+    tab = lambda i: F.coalesce(i["gap"] > tab_gap * i["size"], F.lit(False))
+
+    def piece(line: Column, i: Column, k: Column) -> Column:
+        last = F.get(line, k - 1)["text"]
+        space = F.coalesce((i["gap"] > 0.15 * i["size"]) & ~last.rlike(r"\s$") & ~i["text"].rlike(r"^\s"), F.lit(False))
+        own = F.when(F.coalesce(tab(F.get(line, k + 1)), F.lit(False)), F.rtrim(i["text"])).otherwise(i["text"])
+        return F.when(tab(i), F.concat(F.lit("\t"), F.ltrim(own))).when(space, F.concat(F.lit(" "), own)).otherwise(own)
+
+    def shown(line: Column) -> Column:
+        # most lines are of one size
+        sizes = F.transform(line, lambda i: i["size"])
+        size = F.when(F.array_min(sizes) == F.array_max(sizes), F.floor(F.array_min(sizes) * 2 + 0.5) / 2).otherwise(mode_of(sizes, F.transform(line, lambda i: F.length(i["text"]))))
+        main = lambda z: F.coalesce(F.get(F.filter(line, lambda i: F.abs(i["size"] - z) < 0.01), F.lit(0))["y"], F.get(line, F.lit(0))["y"])
+        return let(size, lambda z: F.struct(
+            F.array_join(F.transform(line, lambda i, k: piece(line, i, k)), "").alias("text"), F.array_min(F.transform(line, lambda i: i["x"])).alias("x"),
+            F.array_max(F.transform(line, lambda i: i["right"])).alias("right"), main(z).alias("y"), z.alias("size"), F.forall(line, lambda i: F.coalesce(i["bold"], F.lit(False))).alias("bold"),
+        ))
+
+    by_x = lambda line: F.array_sort(F.transform(line, lambda i: F.struct(*[i[c].alias(c) for c in ("x", "item_no", "y", "size", "text", "width", "bold")])))
+    lines = F.transform("_lines", lambda line, k: F.struct((k + 1).alias("line"), let(let(by_x(line), with_gaps), shown).alias("l")))
+    return pages.select(*by, F.inline(lines)).select(*by, "line", "l.text", "l.x", "l.right", "l.y", "l.size", "l.bold")
+
+
 def line_segments(lined: DataFrame, tab_gap: float = 3, by: tuple[str, ...] = PAGE) -> DataFrame:
     """``doc_id, page, line, segment, text, bold, italic, size``: stretches of one style in each line, from 0; ``italic`` may be missing."""
     lined = lined if "italic" in lined.columns else lined.withColumn("italic", F.lit(False))
@@ -212,29 +244,41 @@ def markdown_document(paragraphs: DataFrame, page_marks: bool = False) -> DataFr
     """``doc_id, text``: paragraphs with their ``level`` and ``list`` as Markdown, a blank line between them but not inside lists.
 
     Paragraphs with tabs in a row are a table, the first of them its head; one alone is text. With ``page_marks`` a comment with the page's
-    number, from 1, stands before the first paragraph of each page, and ends a table.
+    number, from 1, stands before the first paragraph of each page, and ends a table. A document's paragraphs travel as one array, once.
     """
     from leafmill.functions.text import escape_markdown
 
-    w = Window.partitionBy("doc_id").orderBy("page", "paragraph")
-    df = paragraphs.filter(F.trim("text") != "").withColumn("text", F.trim("text"))
-    df = df.withColumn("_row", F.col("text").contains("\t") & F.col("level").isNull())
-    mark = F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True)) & F.lit(page_marks)
-    df = df.withColumn("_mark", mark).withColumn("_block", F.sum(F.when(F.col("_row") & F.coalesce(F.lag("_row").over(w), F.lit(False)) & ~F.col("_mark"), 0).otherwise(1)).over(w))
-    number = F.regexp_extract("text", r"^\s*\(?(\d{1,3})[.)]\s", 1)
-    body = escape_markdown(F.regexp_replace(F.regexp_replace("text", BULLET, ""), NUMBERED, ""))
-    shown = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), escape_markdown(F.col("text")))).when(F.col("list"), F.concat(F.when(number != "", F.concat(number, F.lit(". "))).otherwise("- "), body)).otherwise(escape_markdown(F.col("text")))
-    cells = F.transform(F.split("text", "\t+"), lambda c: F.trim(escape_markdown(c)))
-    order = F.struct("page", "paragraph", F.when(F.col("_row"), cells).alias("cells"), shown.alias("shown"))
-    blocks = df.groupBy("doc_id", "_block").agg(F.array_sort(F.collect_list(order)).alias("_r"), F.first("page").alias("page"), F.bool_or("_mark").alias("_mark"), F.bool_and(F.coalesce("list", F.lit(False)) & F.col("level").isNull() & ~F.col("_row")).alias("list"), F.bool_or("_row").alias("_row"))
-    wide = F.array_max(F.transform("_r", lambda r: F.size(r["cells"])))
-    line = lambda c: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(""), wide - F.size(c))), " | "), F.lit(" |"))
-    lines = F.transform("_r", lambda r: line(r["cells"]))
-    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), wide))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
-    alone = F.array_join(F.get("_r", F.lit(0))["cells"], " ")
-    text = F.when(~F.col("_row"), F.get("_r", F.lit(0))["shown"]).when(F.size("_r") > 1, table).otherwise(alone)
-    v = Window.partitionBy("doc_id").orderBy("_block")
-    head = F.when(F.col("_mark"), F.concat(F.lit("<!-- Page "), (F.col("page") + 1).cast("string"), F.lit(" -->\n\n"))).otherwise("")
-    lead = F.when(F.row_number().over(v) == 1, "").when(F.col("list") & F.lag("list").over(v) & ~F.col("_mark"), "\n").otherwise("\n\n")
-    piece = blocks.withColumn("_t", F.concat(lead, head, text))
-    return piece.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_t"))), lambda s: s["_t"]), "").alias("text"))
+    t = F.trim("text")
+    row = t.contains("\t") & F.col("level").isNull()
+    number = F.regexp_extract(t, r"^\s*\(?(\d{1,3})[.)]\s", 1)
+    body = escape_markdown(F.regexp_replace(F.regexp_replace(t, BULLET, ""), NUMBERED, ""))
+    shown = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), escape_markdown(t))).when(F.col("list"), F.concat(F.when(number != "", F.concat(number, F.lit(". "))).otherwise("- "), body)).otherwise(escape_markdown(t))
+    cells = F.when(row, F.transform(F.split(t, "\t+"), lambda c: F.trim(escape_markdown(c))))
+    item = F.struct("page", "paragraph", row.alias("row"), (F.coalesce("list", F.lit(False)) & F.col("level").isNull() & ~row).alias("list"), cells.alias("cells"), F.when(~row, shown).alias("shown"))
+    docs = paragraphs.filter(F.trim("text") != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
+
+    def with_blocks(every: Column) -> Column:
+        turned = lambda k: F.coalesce(F.get(every, k - 1)["page"] != F.get(every, k)["page"], F.lit(True)) & F.lit(page_marks)
+        goes_on = lambda i, k: i["row"] & F.coalesce(F.get(every, k - 1)["row"], F.lit(False)) & ~turned(k)
+        begins = F.filter(F.transform(every, lambda i, k: F.when(~goes_on(i, k), F.struct(k.alias("at"), turned(k).alias("mark")))), lambda b: b.isNotNull())
+        part = lambda b, at, k: F.slice(every, at["at"] + 1, F.coalesce(F.get(b, k + 1)["at"], F.size(every)) - at["at"])
+        return let(begins, lambda b: F.transform(b, lambda at, k: F.struct(at["mark"].alias("mark"), part(b, at, k).alias("rows"))))
+
+    def table(rows: Column) -> Column:
+        wide = F.array_max(F.transform(rows, lambda r: F.size(r["cells"])))
+        line = lambda w: lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r["cells"], F.array_repeat(F.lit(""), w - F.size(r["cells"]))), " | "), F.lit(" |"))
+        ruled = lambda w, lines: F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), w))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+        return let(wide, lambda w: let(F.transform(rows, line(w)), lambda lines: ruled(w, lines)))
+
+    def written(blocks: Column) -> Column:
+        def piece(b: Column, k: Column) -> Column:
+            first = F.get(b["rows"], F.lit(0))
+            listed = first["list"] & F.coalesce(F.get(F.get(blocks, k - 1)["rows"], F.lit(0))["list"], F.lit(False)) & ~b["mark"]
+            lead = F.when(k == 0, "").when(listed, "\n").otherwise("\n\n")
+            head = F.when(b["mark"], F.concat(F.lit("<!-- Page "), (first["page"] + 1).cast("string"), F.lit(" -->\n\n"))).otherwise("")
+            text = F.when(~first["row"], first["shown"]).when(F.size(b["rows"]) > 1, table(b["rows"])).otherwise(F.array_join(first["cells"], " "))
+            return F.concat(lead, head, text)
+
+        return F.array_join(F.transform(blocks, piece), "")
+
+    return docs.select("doc_id", let(let(F.col("_p"), with_blocks), written).alias("text"))

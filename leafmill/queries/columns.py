@@ -93,12 +93,15 @@ def page_rows(spark, sf_dir):
 
 def markdown(spark, sf_dir):
     """Orders as documents: a heading, a list of parts, a table of quantities."""
-    df = _numbered(spark, sf_dir).withColumnRenamed("l_orderkey", "doc_id")
     n, none = F.col("at"), F.lit(None).cast("int")
-    p = df.select("doc_id", F.lit(0).alias("paragraph"), F.concat(F.lit("Order_"), "doc_id").alias("text"), F.lit(1).alias("level"), F.lit(False).alias("list")).distinct()
-    p = p.union(df.select("doc_id", n, F.concat(F.lit("• part "), "l_partkey"), none, F.lit(True)))
-    p = p.union(df.select("doc_id", n + 100, F.concat(F.lit("*"), n.cast("string"), F.lit("\t"), F.col("l_quantity").cast("int").cast("string")), none, F.lit(False)))
-    return layout.markdown_document(p.withColumn("page", F.lit(0)), page_marks=True)
+    paragraph = lambda no, text, level, listed: F.struct(no.alias("paragraph"), text.alias("text"), level.alias("level"), F.lit(listed).alias("list"))
+    head = paragraph(F.lit(0), F.concat(F.lit("Order_"), "l_orderkey"), F.lit(1), False)
+    part = paragraph(n, F.concat(F.lit("• part "), "l_partkey"), none, True)
+    row = paragraph(n + 100, F.concat(F.lit("*"), n.cast("string"), F.lit("\t"), F.col("l_quantity").cast("int").cast("string")), none, False)
+    # an order's paragraphs come from its lines where these are numbered: the heading from the first
+    own = F.when(n == 1, F.array(head, part, row)).otherwise(F.array(part, row))
+    p = _numbered(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.inline(own))
+    return layout.markdown_document(p, page_marks=True)
 
 
 def joined(spark, sf_dir):

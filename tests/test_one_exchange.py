@@ -2,7 +2,7 @@
 
 import random
 
-from leafmill.operators import columns
+from leafmill.operators import columns, layout
 
 ITEM = "doc_id int, page int, item_no int, text string, x double, y double, width double, size double, bold boolean"
 
@@ -40,3 +40,23 @@ def test_page_index_is_one_exchange_and_takes_null_texts(spark):
     assert exchanges(indexed) == 1 and "Join" not in plan(indexed)
     got = {p: sorted((r.item_no, r.start, list(r.chars)) for r in indexed.filter(f"page = {p}").collect()) for p in rows}
     assert got == {p: plain_index(page) for p, page in rows.items()}
+
+
+def test_page_lines_are_the_lines_of_line_text(spark):
+    rng = random.Random(7)
+    rows = [(1, p, k, rng.choice(["a", "b ", " c", "d e ", "", " "]), float(rng.randint(0, 300)), float(rng.choice([50, 52, 70, 90])), float(rng.randint(0, 20)), float(rng.choice([8, 10, 10.1, 12])), rng.choice([True, False, None])) for p in range(5) for k in range(30)]
+    df = spark.createDataFrame(rows, ITEM)
+    own = layout.page_lines(df)
+    assert exchanges(own) == 1 and "Window" not in plan(own)
+    want = layout.line_text(layout.group_lines(df))
+    assert own.columns == want.columns
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_markdown_is_one_exchange(spark):
+    rows = [(1, 0, 0, "Head_1", 1, False), (1, 0, 1, "• a", None, True), (1, 0, 2, "2) b", None, True), (1, 0, 3, "x\ty", None, False), (1, 0, 4, "1\t2\t3", None, False), (1, 1, 0, "4\t5", None, False), (1, 1, 1, " ", None, False), (1, 1, 2, "end", None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, paragraph int, text string, level int, list boolean")
+    made = layout.markdown_document(df, page_marks=True)
+    assert exchanges(made) == 1 and "Window" not in plan(made)
+    assert [r.text for r in made.collect()] == ["<!-- Page 1 -->\n\n# Head\\_1\n\n- a\n2. b\n\n| x | y |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n\n<!-- Page 2 -->\n\n4 5\n\nend"]
+    assert [r.text for r in layout.markdown_document(df).collect()] == ["# Head\\_1\n\n- a\n2. b\n\n| x | y |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 | 5 |  |\n\nend"]
