@@ -2,7 +2,13 @@
 
 import random
 
-from leafmill.operators import columns, layout
+from pyspark.sql import functions as F
+
+from leafmill.operators import columns, layout, tables
+from leafmill.plans import recipe
+from leafmill.queries import media
+from leafmill.sources import files as src
+from leafmill.sources import metadata
 
 ITEM = "doc_id int, page int, item_no int, text string, x double, y double, width double, size double, bold boolean"
 
@@ -60,3 +66,46 @@ def test_markdown_is_one_exchange(spark):
     assert exchanges(made) == 1 and "Window" not in plan(made)
     assert [r.text for r in made.collect()] == ["<!-- Page 1 -->\n\n# Head\\_1\n\n- a\n2. b\n\n| x | y |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n\n<!-- Page 2 -->\n\n4 5\n\nend"]
     assert [r.text for r in layout.markdown_document(df).collect()] == ["# Head\\_1\n\n- a\n2. b\n\n| x | y |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 | 5 |  |\n\nend"]
+
+
+def test_a_recipe_makes_each_text_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def shout(t):
+        made.add(1)
+        return t.upper()
+
+    steps = [recipe.Step("shout", ("text",), one=lambda t: (shout(t), F.lit(None).cast("string"))), recipe.clean_step(), recipe.seal_step()]
+    files = spark.createDataFrame([(k, "a.txt", "text", f"t{k}") for k in range(12)], "tab_order int, name string, kind string, text string")
+    out = recipe.run_recipe(files, steps).outputs.collect()
+    assert made.value == 12
+    assert sorted(r.unique for r in out) == sorted(["a.txt", *(f"a ({k}).txt" for k in range(2, 13))])
+    assert all(r.text.split("\n")[0] == f"T{r.tab_order}" and "sha256:" in r.text for r in out)
+
+
+def test_a_step_of_the_search_shuffles_no_edges(spark, monkeypatch):
+    plans, own = [], tables.cut
+    monkeypatch.setattr(tables, "cut", lambda df: (plans.append(plan(df)), own(df))[1])
+    for n, factors in ((60, (2, 3)), (40, (2,))):  # with two edges from each node, and as chains
+        nodes = spark.createDataFrame([(1, k) for k in range(1, n)], "file_id int, node int")
+        edges = spark.createDataFrame([(1, k, k * f) for k in range(1, n) for f in factors], "file_id int, src int, dst int")
+        seen, new = set(), {1}
+        while new:
+            seen, new = seen | new, {k * f for k in new for f in factors if k < n} - seen - new
+        assert sorted(r.node for r in tables.unreachable(nodes, edges, nodes.filter("node = 1")).collect()) == sorted(set(range(1, n)) - seen)
+    rounds = [p for p in plans if "LeftAnti" in p and "Scan ExistingRDD" in p and "BroadcastHashJoin" in p]
+    assert len(rounds) > 4 and not any("SortMergeJoin" in p for p in rounds)
+
+
+def test_entries_of_both_kinds_come_from_one_reading(spark):
+    files = media._pictures(spark, "/root/testdata/sf0.001")
+    segments = src.image_segments(files)
+    # a file whose blocks stand twice keeps all its tags
+    segments = segments.withColumn("seq", F.explode(F.when(F.col("path") == "7", F.array("seq", F.col("seq") + 100)).otherwise(F.array("seq"))))
+    got = metadata.all_entries(segments)
+    both = metadata.exif_entries(segments).select("path", "grp", "key", "value").union(metadata.xmp_entries(segments).select("path", "grp", "key", "value"))
+    readings = lambda df: sum(line.lstrip(" :+-").lstrip("*(0123456789) ").startswith("MapInArrow") for line in plan(df).splitlines())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, both.collect()))
+    # segments from files, and entries from segments
+    assert readings(media.image_entries(spark, "/root/testdata/sf0.001")) == 2
