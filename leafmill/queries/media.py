@@ -41,8 +41,10 @@ def _segment(marker, body):
 
 
 def _pictures(spark, sf_dir):
-    """Customers as JPEG files: JFIF, EXIF with the name as maker, an orientation and an exposure time, XMP with a creator, a luminance table, image data."""
-    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    """Customers as JPEG files: JFIF, EXIF with the name as maker, an orientation and an exposure time, XMP with a creator, a luminance table, image data.
+
+    Customers are dealt out first: a file of so short rows is one task's, and would have all the pictures made from it in that task."""
+    c = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").repartition("c_custkey")
     name = F.concat(_text(F.col("c_name")), _hex("00"))
     turn = F.col("c_custkey") % 8 + 1
     n = F.octet_length(name)
