@@ -77,3 +77,11 @@ def test_blank_search_has_no_hits(spark):
     df = spark.createDataFrame([(1, "a  b")], "doc_id long, text string")
     assert findings.search_text(df, "  ").count() == 0
     assert findings.search_text(df, "A b").collect()[0]["hits"] == 1
+
+
+def test_a_text_is_put_in_lower_case_once_for_all_words_of_birth(spark):
+    from leafmill.functions import pii
+
+    df = spark.createDataFrame([("Né le 3 March 1990; born 12/05/1980",)], "text string").select(pii.spans_of("dob", F.col("text")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [x.value for x in df.first().s] == ["3 March 1990", "12/05/1980"]
