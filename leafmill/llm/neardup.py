@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import compact, cut, fresh, in_python, mix, shingles, small, word_hashes
+from leafmill.llm.common import compact, counted, cut, fresh, in_python, mix, narrow, shingles, small, word_hashes
 
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
@@ -119,14 +119,14 @@ def held_shingles(texts: DataFrame, shingle: int = 5) -> DataFrame:
     return in_python(texts.select("id", "text"), run, "id long, h int")
 
 
-def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
+def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame, percent: int, rare: int, most: int) -> tuple[DataFrame, DataFrame]:
     """``id, n, label, common`` of the sets ``id, n, label``, and ``id, h, n, label`` of the rare shingles that decide.
 
     A shingle of ``held`` (``id, h``) that 2 to ``rare`` sets hold is rare, one that more hold is common. Two sets that can
     be linked share one of the rows returned, or have no more in common than the lesser of their two ``common``: of a set's rare
     shingles, the rarest first, only so many are returned that the rest is too small for a link. Shingles are known by 32
     bits: those of one hash count as one, and what a set loses by that counts as common. For the ids of ``several_texts``, whose
-    rows of ``held`` come from different texts, all is common and all rare shingles are returned.
+    rows of ``held`` come from different texts, all is common and all rare shingles are returned. ``most``: no more sets than this.
     """
     seen = cut(held.groupBy("h").agg(F.count("*").alias("f"), F.min("id").alias("id")).filter(F.col("f") <= rare))
     alone = seen.filter("f = 1").groupBy("id").agg(F.count("*").alias("alone"))
@@ -136,7 +136,7 @@ def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame,
     own = sizes.join(alone, "id", "left").join(several, "id", "left").join(small(many), "id", "left").na.fill(0, ["alone", "several"])
     reach = F.when(F.col("many"), F.col("n") + F.col("several")).otherwise(F.col("n") - F.col("alone"))
     common = F.when(F.col("many"), F.col("n")).otherwise(F.col("n") - F.col("alone") - F.col("several"))
-    own = cut(own.select("id", "n", "label", reach.alias("reach"), common.alias("common")))
+    own = compact(own.select("id", "n", "label", reach.alias("reach"), common.alias("common")), most)
     rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("f", "h"))
     least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100))
     rows = few.join(own.filter(F.col("reach") >= least), "id").withColumn("rank", rank)
@@ -146,24 +146,26 @@ def split_by_rarity(held: DataFrame, sizes: DataFrame, several_texts: DataFrame,
 def components(edges: DataFrame) -> DataFrame:
     """``v, label`` of every vertex of the edges ``a, b``: the smallest vertex that it can reach.
 
-    Each round takes the least label of the neighbours and then that label's own label, until none changes.
+    Each round takes the least label of the neighbours and then that label's own label, until none changes. Its joins are
+    merges throughout: one turned into a broadcast when its sides are dealt already takes a task for each of their parts.
     """
     both = compact(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label"))
+    n = both.count()
+    labels = compact(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), n)
     while True:
-        labels = compact(labels)
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "m").alias("l"))
+        near = narrow(both.join(labels.hint("merge"), F.col("b") == F.col("v")).select("a", "label"), n).groupBy("a").agg(F.min("label").alias("m"))
+        step = narrow(labels.join(near.hint("merge"), F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "m").alias("l")), n)
         up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
-        after = compact(step.join(up, F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")))
-        if not after.filter("old <> label").limit(1).count():
-            return after.select("v", "label")
+        after = compact(step.join(up.hint("merge"), F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")), n)
         labels = after.select("v", "label")
+        if not after.filter("old <> label").limit(1).count():
+            return labels
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows ``h, rep, ...`` of buckets ``h`` that hold several components, with the ``label`` of each."""
+def mixed_buckets(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The rows ``h, rep, ...`` of buckets ``h`` that hold several components, with the ``label`` of each; there are at most ``most`` members."""
     m = members.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    m = narrow(m, most)
     mixed = m.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("h")
     return m.join(mixed, "h", "left_semi")
 
@@ -176,8 +178,9 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     cells = classes.select("rep", "n", F.explode("bands").alias("h"))
     shared = cells.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     members = compact(cells.join(shared.select("h", "hub"), "h"))
+    n_members = members.count()
 
-    ids = compact(members.select(F.col("rep").alias("id")).distinct())
+    ids = compact(members.select(F.col("rep").alias("id")).distinct(), n_members)
     wanted = classes.select(F.col("rep").alias("id"), F.col("th").alias("_th")).join(ids, "id", "left_semi")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_t"))
     rows = rows.join(small(cut(wanted)), (F.col("_id") == F.col("id")) & (F.col("_t") == F.col("_th")))
@@ -188,23 +191,23 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.filter(alike & (F.col("rep") != F.col("rep2"))).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
-    first = compact(ordered(members.select("rep", "n", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"))))
+    first = compact(ordered(members.select("rep", "n", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"))), n_members)
     # rows of one id with different texts belong together
     several = used.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").select("doc_id")
     same = used.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
     edges = compact(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
     labels = components(edges)
-    open_ = compact(mixed_buckets(members.select("h", "rep", "n"), labels))
+    open_ = compact(mixed_buckets(members.select("h", "rep", "n"), labels, n_members), n_members)
     held = cut(held_shingles(texts.join(small(cut(open_.select(F.col("rep").alias("id")).distinct())), "id", "left_semi"), shingle))
-    several_texts = cut(texts.groupBy("id").count().filter("count > 1").select("id"))
-    tested, rare, most = first, RARE, texts.count()
-    while open_.limit(1).count():
-        sizes = compact(open_.select(F.col("rep").alias("id"), "n", "label").distinct())
-        own, rows = split_by_rarity(held.join(small(sizes.select("id").distinct()), "id", "left_semi"), sizes, several_texts, percent, rare)
+    several_texts = compact(texts.groupBy("id").count().filter("count > 1").select("id"))
+    tested, rare, most = first, RARE, counted(texts)
+    while n_open := open_.count():
+        sizes = compact(open_.select(F.col("rep").alias("id"), "n", "label").distinct(), n_open)
+        own, rows = split_by_rarity(held.join(small(sizes.select("id").distinct()), "id", "left_semi"), sizes, several_texts, percent, rare, n_open)
         other = rows.select("h", F.col("id").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
         by_rare = ordered(rows.withColumnRenamed("id", "rep").join(other, "h").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))))
-        m = compact(open_.join(own.select(F.col("id").alias("rep"), "n", "common"), ["rep", "n"]))
-        m = compact(m.join(m.groupBy("rep", "n").agg(F.array_sort(F.collect_set("h")).alias("hs")), ["rep", "n"]))
+        m = compact(open_.join(own.select(F.col("id").alias("rep"), "n", "common"), ["rep", "n"]), n_open)
+        m = compact(m.join(m.groupBy("rep", "n").agg(F.array_sort(F.collect_set("h")).alias("hs")), ["rep", "n"]), n_open)
         size = m.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
         size = size.select("h", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
         # first the member with the fewest shingles of its own, which copies of one text have in common; later members outside the largest component
@@ -230,11 +233,11 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         if rare > RARE:
             # where all members outside the largest component were compared with all others, no link is missing
             m = m.join(size.filter(F.col("rest") > hubs).select("h"), "h", "left_semi")
-        m = compact(mixed_buckets(m.select("h", "rep", "n", "common"), labels).withColumn("fit", fit))
+        m = compact(mixed_buckets(m.select("h", "rep", "n", "common"), labels, n_open).withColumn("fit", fit), n_open)
         partner = m.groupBy(F.col("h").alias("h2"), F.col("n").alias("n2")).agg(F.max("fit").alias("fit2"), F.min("label").alias("l1"), F.max("label").alias("l2"))
         fits = (F.col("n2") <= F.col("fit")) & (F.col("n") <= F.col("fit2")) & ((F.col("l1") != F.col("label")) | (F.col("l2") != F.col("label")))
         m = m.join(partner, (F.col("h") == F.col("h2")) & fits, "left_semi")
-        open_ = compact(mixed_buckets(m.select("h", "rep", "n"), labels))
+        open_ = compact(mixed_buckets(m.select("h", "rep", "n"), labels, n_open), n_open)
         tested, rare = tested.union(pairs), rare * 4
 
     name = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("_key"), F.coalesce("label", "rep").alias("component"))
