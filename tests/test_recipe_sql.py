@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from leafmill.plans import recipe
 from leafmill.queries import collect
 
 from .compare import same_rows
@@ -25,3 +26,13 @@ def documents(folder, rows):
 @pytest.mark.parametrize("rows", [ROWS, [(1, "a", "en")]], ids=["odd texts", "no failure"])
 def test_failures_equal_sql(spark, tmp_path, rows):
     same_rows(spark, QUERIES["recipe_failures"], SQL["recipe_failures"], documents(tmp_path, rows))
+
+
+def test_outputs_equal_sql(spark, tmp_path):
+    same_rows(spark, QUERIES["recipe_outputs"], SQL["recipe_outputs"], documents(tmp_path, ROWS))
+
+
+def test_a_label_is_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(recipe.PRESETS, "numbered bundle", [recipe.require_text_step(), recipe.bates_step("LM-", 9)])
+    got = QUERIES["recipe_outputs"](spark, documents(tmp_path, [(1, "a b", "en"), (2, "c", "en")])).collect()
+    assert sorted((r.tab_order, r.label) for r in got) == [(1, "LM-000000001"), (2, "LM-000000002")]
