@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import compact, counted, cut, fresh, in_python, mix, narrow, shingles, small, word_hashes
+from leafmill.llm.common import carried, compact, counted, cut, fresh, in_python, mix, narrow, shingles, small, word_hashes
 
 #: At similarity 0.8 a pair shares none of the bands with a chance of 1.3e-7, at 0.85 of 7e-11.
 BANDS, ROWS = 40, 5
@@ -149,14 +149,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then that label's own label, until none changes. Its joins are
     merges throughout: one turned into a broadcast when its sides are dealt already takes a task for each of their parts.
     """
-    both = compact(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = carried(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     n = both.count()
-    labels = compact(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), n)
+    labels = carried(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), n)
     while True:
         near = narrow(both.join(labels.hint("merge"), F.col("b") == F.col("v")).select("a", "label"), n).groupBy("a").agg(F.min("label").alias("m"))
         step = narrow(labels.join(near.hint("merge"), F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "m").alias("l")), n)
         up = labels.select(F.col("v").alias("u"), F.col("label").alias("up"))
-        after = compact(step.join(up.hint("merge"), F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")), n)
+        after = carried(step.join(up.hint("merge"), F.col("l") == F.col("u")).select("v", "old", F.least("l", "up").alias("label")), n)
         labels = after.select("v", "label")
         if not after.filter("old <> label").limit(1).count():
             return labels
@@ -195,9 +195,9 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     # rows of one id with different texts belong together
     several = used.groupBy("doc_id").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter("k1 <> k2").select("doc_id")
     same = used.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
-    edges = compact(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
+    edges = carried(confirmed(first, texts, percent, shingle).union(same.filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))))
     labels = components(edges)
-    open_ = compact(mixed_buckets(members.select("h", "rep", "n"), labels, n_members), n_members)
+    open_ = carried(mixed_buckets(members.select("h", "rep", "n"), labels, n_members), n_members)
     held = cut(held_shingles(texts.join(small(cut(open_.select(F.col("rep").alias("id")).distinct())), "id", "left_semi"), shingle))
     several_texts = compact(texts.groupBy("id").count().filter("count > 1").select("id"))
     tested, rare, most = first, RARE, counted(texts)
@@ -222,7 +222,7 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         once = F.get(F.array_intersect("hs", "hs2"), F.lit(0)) == F.col("h")
         by_hub = ordered(m.join(hub, "h").filter((F.col("label") != F.col("label2")) & can & alike & (once if rare > RARE else F.lit(True))))
         pairs = compact(by_rare.union(by_hub).distinct().join(tested, ["a", "b"], "left_anti"))
-        found = compact(confirmed(pairs, texts, percent, shingle))
+        found = carried(confirmed(pairs, texts, percent, shingle))
         if found.limit(1).count():
             edges = edges.union(found)
             labels = components(edges)
@@ -237,7 +237,7 @@ def linked(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
         partner = m.groupBy(F.col("h").alias("h2"), F.col("n").alias("n2")).agg(F.max("fit").alias("fit2"), F.min("label").alias("l1"), F.max("label").alias("l2"))
         fits = (F.col("n2") <= F.col("fit")) & (F.col("n") <= F.col("fit2")) & ((F.col("l1") != F.col("label")) | (F.col("l2") != F.col("label")))
         m = m.join(partner, (F.col("h") == F.col("h2")) & fits, "left_semi")
-        open_ = compact(mixed_buckets(m.select("h", "rep", "n"), labels, n_open), n_open)
+        open_ = carried(mixed_buckets(m.select("h", "rep", "n"), labels, n_open), n_open)
         tested, rare = tested.union(pairs), rare * 4
 
     name = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("_key"), F.coalesce("label", "rep").alias("component"))

@@ -139,3 +139,25 @@ def test_one_bucket_of_many_members_that_are_not_linked(spark, monkeypatch):
     # no original in the table, and every version far from the others or close to a few
     far = [(k, " ".join(w if (i + k) % 9 or rng.random() < 0.5 else f"z{k // 2}" for i, w in enumerate(base))) for k in range(60)]
     check(spark, far, 70)
+
+
+def size_bits(df):
+    """How many bits the size has that Spark estimates for ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    """Joins multiply them: carried through rounds, they once filled the driver's memory."""
+    names = random.Random(5).sample(range(10_000), 60)
+    labels = nd.components(spark.createDataFrame(list(zip(names, names[1:])), "a long, b long"))
+    assert size_bits(labels) < 1000
+    assert {tuple(r) for r in labels.collect()} == {(v, min(names)) for v in names}
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "RARE", 1)
+    monkeypatch.setattr(nd, "HUBS", 1)
+    rows, opened, own = corpus(), [], nd.mixed_buckets
+    monkeypatch.setattr(nd, "mixed_buckets", lambda members, labels, most: (opened.append(max(size_bits(members), size_bits(labels))), own(members, labels, most))[1])
+    check(spark, rows, 70)
+    assert len(opened) > 1 and max(opened) < 20_000, opened
